@@ -4,9 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import simhash
+    from . import bpe, packing, simhash
 
-    return {"op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates}
+    return {
+        "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
+        "op6_sum_of_squares_packing": packing.op6_sum_of_squares_packing,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
