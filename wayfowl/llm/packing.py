@@ -29,8 +29,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs. Fixed: more input gives more groups, not larger ones.
 GROUP_PIECES = 32768
-#: Words whose ids a worker remembers at most; the memory is emptied when full.
-MEMO_WORDS = 400_000
+#: Words whose ids a worker remembers at most. When half of that is new, the older half goes.
+MEMO_WORDS = 1_000_000
 
 
 class WordTokens:
@@ -41,14 +41,15 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.memo_words = memo_words
 
     def ids(self, text: bytes) -> bytes:
         return self.batch([text])[0]
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.memo) > self.memo_words:
-            self.memo.clear()
+        if len(self.memo) > self.memo_words // 2:
+            self.memo, self.old = {}, self.memo
         get, out, late = self.memo.__getitem__, [], []
         for text in texts:
             words = text.split()  # at ASCII white space, which every definition of white space has
@@ -67,7 +68,9 @@ class WordTokens:
         """A plain ASCII word is looked up in lower case and without the marks at its end, which are pre-tokens of their own."""
         parts = {}
         for w in words:
-            if w.isascii() and (core := w.rstrip(b".,;:!?")) and core.isalnum():
+            if (ids := self.old.get(w)) is not None:
+                self.memo[w] = ids
+            elif w.isascii() and (core := w.rstrip(b".,;:!?")) and core.isalnum():
                 parts[w] = (core.lower(), w[len(core) :])
             else:
                 parts[w] = (w, b"")
