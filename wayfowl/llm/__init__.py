@@ -4,12 +4,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, packing, simhash
+    from . import bpe, packing, quality, simhash, toxicity
 
     return {
         "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
         "op6_sum_of_squares_packing": packing.op6_sum_of_squares_packing,
+        "op7_quality": quality.op7_quality,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
