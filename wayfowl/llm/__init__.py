@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, packing, quality, simhash, toxicity
+    from . import bpe, packing, quality, simhash, toxicity, warc
 
     return {
         "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
@@ -12,8 +12,11 @@ def queries() -> dict:
         "op7_quality": quality.op7_quality,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import warc
+
+    return {"op10_warc": warc.ORACLE_SQL}
