@@ -4,10 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, packing, quality, simhash, toxicity, warc
+    from . import ann, bpe, packing, quality, simhash, topk, toxicity, warc
 
     return {
+        "op1_exact_topk": topk.op1_exact_topk,
         "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
+        "op4_ann": ann.op4_ann,
         "op6_sum_of_squares_packing": packing.op6_sum_of_squares_packing,
         "op7_quality": quality.op7_quality,
         "op8_byte_bpe": bpe.op8_byte_bpe,
@@ -17,6 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import warc
+    from . import topk, warc
 
-    return {"op10_warc": warc.ORACLE_SQL}
+    return {"op1_exact_topk": topk.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
