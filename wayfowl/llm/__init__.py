@@ -4,12 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, bpe, packing, quality, simhash, topk, toxicity, warc
+    from . import ann, bpe, ctw, packing, quality, simhash, topk, toxicity, warc
 
     return {
         "op1_exact_topk": topk.op1_exact_topk,
         "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
         "op4_ann": ann.op4_ann,
+        "op5_context_tree_scores": ctw.op5_context_tree_scores,
         "op6_sum_of_squares_packing": packing.op6_sum_of_squares_packing,
         "op7_quality": quality.op7_quality,
         "op8_byte_bpe": bpe.op8_byte_bpe,
