@@ -4,11 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, bpe, ctw, packing, quality, simhash, topk, toxicity, warc
+    from . import ann, bpe, ctw, mincut, packing, quality, simhash, topk, toxicity, warc
 
     return {
         "op1_exact_topk": topk.op1_exact_topk,
         "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
+        "op3_html_min_cut": mincut.op3_html_min_cut,
         "op4_ann": ann.op4_ann,
         "op5_context_tree_scores": ctw.op5_context_tree_scores,
         "op6_sum_of_squares_packing": packing.op6_sum_of_squares_packing,
