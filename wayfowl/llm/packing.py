@@ -30,7 +30,7 @@ END_ID = 1
 #: Pieces that one task packs. Fixed: more input gives more groups, not larger ones.
 GROUP_PIECES = 32768
 #: Words whose ids a worker remembers at most. When half of that is new, the older half goes.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 2_000_000
 
 
 class WordTokens:
@@ -42,6 +42,7 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.memo_words = memo_words
 
     def ids(self, text: bytes) -> bytes:
@@ -58,6 +59,8 @@ class WordTokens:
             except KeyError:
                 late.append((len(out), words))
                 out.append(b"")
+        if len(self.tails) > 10_000:
+            self.tails.clear()
         if late:
             self._learn({w for _, words in late for w in words}.difference(self.memo))
             for i, words in late:
@@ -65,36 +68,39 @@ class WordTokens:
         return out
 
     def _learn(self, words: set[bytes]) -> None:
-        """A plain ASCII word is looked up in lower case and without the marks at its end, which are pre-tokens of their own."""
-        parts = {}
+        """A word of letters is looked up without the marks at its end, which are pre-tokens of their own, and if it is ASCII in
+        lower case. Such words are one pre-token each: they are encoded as one text and told apart by the pre-token's number."""
+        memo, old = self.memo, self.old
+        memo[b""] = b""
+        cores: dict[str, int] = {}
+        plain, rest = [], []
         for w in words:
-            if (ids := self.old.get(w)) is not None:
-                self.memo[w] = ids
-            elif w.isascii() and (core := w.rstrip(b".,;:!?")) and core.isalnum():
-                parts[w] = (core.lower(), w[len(core) :])
+            if (ids := old.get(w)) is not None:
+                memo[w] = ids
+                continue
+            text = w.decode("utf-8", "replace")
+            core = text.rstrip(".,;:!?")
+            if core.isalpha():
+                if core.isascii():
+                    core = core.lower()
+                plain.append((w, cores.setdefault(core, len(cores)), text[len(core) :]))
             else:
-                parts[w] = (w, b"")
-        memo = self.memo
-        self._encode(list({p for pair in parts.values() for p in pair if p and p not in memo}))
-        memo[b""] = b""
-        memo.update({w: memo[core] + memo[tail] for w, (core, tail) in parts.items()})
-
-    def _encode(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        # Words of letters only are one pre-token each: they are encoded as one text and told apart by the pre-token's number.
-        alone = [i for i, t in enumerate(texts) if t.isalpha()]
-        rest = range(len(texts))
-        if alone:
-            found = self.tokenizer.encode("\n".join(texts[i] for i in alone), add_special_tokens=False)
-            of, ids = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4")
-            if len(of) and of[-1] == len(alone) - 1:
-                cuts = np.searchsorted(of, np.arange(len(alone) + 1)) * 4
-                data = ids.tobytes()
-                for k, i in enumerate(alone):
-                    self.memo[words[i]] = data[cuts[k] : cuts[k + 1]]
-                rest = sorted(set(rest).difference(alone))
-        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            self.memo[words[i]] = np.array(e.ids, "<u4").tobytes()
+                rest.append((w, text))
+        if cores:
+            found = self.tokenizer.encode("\n".join(cores), add_special_tokens=False)
+            of, data = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4").tobytes()
+            if len(of) and of[-1] == len(cores) - 1:
+                cuts = (np.searchsorted(of, np.arange(len(cores) + 1)) * 4).tolist()
+                tails = self.tails
+                for w, k, tail in plain:
+                    if tail and tail not in tails:
+                        tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+                    ids = data[cuts[k] : cuts[k + 1]]
+                    memo[w] = ids + tails[tail] if tail else ids
+            else:  # a letter that the normaliser turns into several pre-tokens
+                rest += [(w, w.decode("utf-8", "replace")) for w, _, _ in plain]
+        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            memo[w] = np.array(e.ids, "<u4").tobytes()
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
