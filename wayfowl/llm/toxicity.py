@@ -17,6 +17,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,8 +32,8 @@ from .common import id_bucket, short_batches, table, text_bytes
 BUCKETS = 1 << 17
 DIM = 8
 NGRAMS = (3, 4, 5)
-MAX_PER_CLASS = 2500
-MAX_BYTES = 32 << 20
+MAX_PER_CLASS = 1500
+MAX_BYTES = 8 << 20
 EPOCHS = 80
 #: Pull of embeddings towards zero: what a single text suggests stays weak, what many share comes through.
 DECAY = 3e-5
@@ -103,12 +104,16 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, prior: floa
             word.append(number.setdefault(w, len(number)))
             times.append(n)
     doc, word, times = np.array(doc), np.array(word), np.array(times, np.float64)
-    bags = [grams(w) for w in number]
-    size = np.array([len(b) for b in bags])
+    flat, size = array("i"), np.zeros(len(number), np.int64)
+    for i, w in enumerate(number):
+        own = grams(w)
+        flat.extend(own)
+        size[i] = len(own)
     some = size > 0
-    ids = np.fromiter((g for b in bags for g in b), np.int64, int(size.sum()))
-    starts = (np.cumsum(size) - size)[some]
-    share = np.repeat(1 / np.maximum(size, 1), size)
+    ids = np.frombuffer(flat, np.int32)
+    starts, count = (np.cumsum(size) - size)[some], size[some]
+    n_words = len(number)
+    del number
 
     rng = np.random.default_rng(seed)
     emb, soft = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM))
@@ -118,13 +123,13 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, prior: floa
     for t in range(1, epochs + 1):
         rate = 0.1 * (1 - t / (epochs + 1))
         across = soft[1] - soft[0]
-        z = np.full(len(bags), -50.0)
-        z[some] = np.add.reduceat((emb @ across)[ids] * share, starts) + bias
+        z = np.full(n_words, -50.0)
+        z[some] = np.add.reduceat((emb @ across)[ids], starts) / count + bias
         s = np.bincount(doc, np.logaddexp(0, z)[word] * times, len(texts))
         # loss: s for harmless texts, -log(1 - exp(-s)) for toxic ones
         d_s = weights * np.where(y, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0)
-        d_z = np.bincount(word, d_s[doc] * times, len(bags)) / (1 + np.exp(-z))
-        d_v = np.bincount(ids, np.repeat(d_z, size) * share, BUCKETS)
+        d_z = np.bincount(word, d_s[doc] * times, n_words) / (1 + np.exp(-z))
+        d_v = np.bincount(ids, np.repeat(d_z[some] / count, count), BUCKETS)
         d_across = emb.T @ d_v
         moves = (d_v[:, None] * across[None, :] + decay * emb, np.stack([-d_across, d_across]) + 1e-6 * soft, float(d_z[some].sum()))
         for k, (value, g) in enumerate(zip((emb, soft, bias), moves, strict=True)):
