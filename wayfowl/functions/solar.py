@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,22 +15,35 @@ class Sun:
     cos_dec: Column
 
 
-def sun(seconds: Column) -> Sun:
-    """Of a time in seconds since the epoch. The coefficients are the published ones of the NOAA calculator."""
+def with_sun(df: DataFrame, name: str, seconds: Column) -> tuple[DataFrame, Sun]:
+    """df with the sun's terms for a time in seconds since the epoch, built in layers of columns, so that no term is written out
+    more than once. The coefficients are the published ones of the NOAA calculator."""
     rad, deg = F.radians, F.degrees
-    jd = seconds / 86400.0 + 2440587.5
-    jc = (jd - 2451545.0) / 36525.0
-    l0 = F.pmod(280.46646 + jc * (36000.76983 + 0.0003032 * jc), F.lit(360.0))
-    m = 357.52911 + jc * (35999.05029 - 0.0001537 * jc)
-    e = 0.016708634 - jc * (0.000042037 + 0.0000001267 * jc)
-    centre = F.sin(rad(m)) * (1.914602 - jc * (0.004817 + 0.000014 * jc)) + F.sin(rad(2 * m)) * (0.019993 - 0.000101 * jc) + F.sin(rad(3 * m)) * 0.000289
-    omega = 125.04 - 1934.136 * jc
-    lam = l0 + centre - 0.00569 - 0.00478 * F.sin(rad(omega))
-    tilt = 23 + (26 + (21.448 - jc * (46.815 + jc * (0.00059 - 0.001813 * jc))) / 60) / 60 + 0.00256 * F.cos(rad(omega))
-    y = F.pow(F.tan(rad(tilt / 2)), 2.0)
-    eot = 4 * deg(y * F.sin(2 * rad(l0)) - 2 * e * F.sin(rad(m)) + 4 * e * y * F.sin(rad(m)) * F.cos(2 * rad(l0)) - 0.5 * y * y * F.sin(4 * rad(l0)) - 1.25 * e * e * F.sin(2 * rad(m)))
-    sin_dec = F.sin(rad(tilt)) * F.sin(rad(lam))
-    return Sun((F.pmod(jd - 0.5, F.lit(1.0)) * 1440 + eot) / 4, sin_dec, F.sqrt(1 - sin_dec * sin_dec))
+    c = lambda k: F.col(f"{name}_{k}")
+
+    def layer(d: DataFrame, **terms: Column) -> DataFrame:
+        return d.withColumns({f"{name}_{k}": v for k, v in terms.items()})
+
+    d = layer(df, jd=seconds / 86400.0 + 2440587.5)
+    d = layer(d, jc=(c("jd") - 2451545.0) / 36525.0)
+    jc = c("jc")
+    d = layer(
+        d, l0=rad(F.pmod(280.46646 + jc * (36000.76983 + 0.0003032 * jc), F.lit(360.0))), m=rad(357.52911 + jc * (35999.05029 - 0.0001537 * jc)),
+        e=0.016708634 - jc * (0.000042037 + 0.0000001267 * jc), om=rad(125.04 - 1934.136 * jc),
+    )
+    m = c("m")
+    centre = F.sin(m) * (1.914602 - jc * (0.004817 + 0.000014 * jc)) + F.sin(2 * m) * (0.019993 - 0.000101 * jc) + F.sin(3 * m) * 0.000289
+    tilt = 23 + (26 + (21.448 - jc * (46.815 + jc * (0.00059 - 0.001813 * jc))) / 60) / 60 + 0.00256 * F.cos(c("om"))
+    d = layer(d, lam=c("l0") + rad(centre - 0.00569 - 0.00478 * F.sin(c("om"))), tilt=rad(tilt))
+    d = layer(d, y=F.pow(F.tan(c("tilt") / 2), 2.0), sin=F.sin(c("tilt")) * F.sin(c("lam")))
+    y, e, l0 = c("y"), c("e"), c("l0")
+    eot = 4 * deg(y * F.sin(2 * l0) - 2 * e * F.sin(m) + 4 * e * y * F.sin(m) * F.cos(2 * l0) - 0.5 * y * y * F.sin(4 * l0) - 1.25 * e * e * F.sin(2 * m))
+    d = layer(d, time=(F.pmod(c("jd") - 0.5, F.lit(1.0)) * 1440 + eot) / 4, cos=F.sqrt(1 - c("sin") * c("sin")))
+    return d.drop(*(f"{name}_{k}" for k in ("jd", "jc", "l0", "m", "e", "om", "lam", "tilt", "y"))), Sun(c("time"), c("sin"), c("cos"))
+
+
+def without_sun(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*(f"{n}_{k}" for n in names for k in ("time", "sin", "cos")))
 
 
 def zenith(s: Sun, lon: Column, lat: Column) -> Column:

@@ -27,6 +27,9 @@ def spark_sql(name: str, sf_dir: str) -> str:
 
 
 def stand_in(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stand-in, or a table of that name."""
+    if name not in VIEWS:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(spark_sql(name, sf_dir))
 
 
