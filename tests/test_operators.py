@@ -78,7 +78,7 @@ def test_segmentation_equals_brute_force():
 def test_complete_linkage_is_not_the_largest_gap():
     x = np.array([[0.0], [1.0], [2.1], [3.3], [4.6], [9.0]])
     assert behaviour.complete_linkage_two(x).tolist() == [1, 1, 1, 1, 1, 2]
-    assert behaviour.complete_linkage_two(np.array([[0.0], [4.0], [5.0], [9.0]])).tolist() == [1, 2, 2, 2]
+    assert behaviour.complete_linkage_two(np.array([[0.0], [4.0], [5.0], [9.5]])).tolist() == [1, 1, 1, 2]
     assert behaviour.complete_linkage_two(np.array([[1.0]])).tolist() == [1]
 
 
