@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import short_batches, table
 
 #: Transitions and chunk results that a worker remembers at most.
-MEMO_STATES = 150_000
-MEMO_CHUNKS = 600_000
+MEMO_STATES = 250_000
+MEMO_CHUNKS = 2_000_000
 DECODE_TOKENS = 8192
 
 
@@ -214,34 +214,38 @@ class ByteBpe:
         self.findall = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.memos: tuple[dict[str, bytes], ...] = ({}, {})  # of whole chunks, and of chunks behind a space
         self.old: tuple[dict[str, bytes], ...] = ({}, {})
-        self.pieces: dict[str, bytes] = {}
         self.memo_chunks = memo_chunks
 
-    def chunk(self, text: str) -> bytes:
-        out, pieces = [], self.pieces
-        for piece in self.findall(text):
-            if (ids := pieces.get(piece)) is None:
-                ids = pieces[piece] = np.array(self.fst.encode(piece.encode()), "<u4").tobytes()
+    def chunk(self, text: str, spaced: bool) -> bytes:
+        """Ids of a chunk (behind a space); its pieces are remembered like chunks of their own."""
+        pieces = self.findall(" " + text if spaced else text)
+        if len(pieces) == 1:
+            return np.array(self.fst.encode(pieces[0].encode()), "<u4").tobytes()
+        out = []
+        for piece in pieces:
+            behind = piece[0] == " " and len(piece) > 1
+            key, memo = (piece[1:], self.memos[1]) if behind else (piece, self.memos[0])
+            if (ids := memo.get(key) or self.old[behind].get(key)) is None:
+                ids = np.array(self.fst.encode(piece.encode()), "<u4").tobytes()
+            memo[key] = ids
             out.append(ids)
-        return b"".join(out) if len(out) != 1 else out[0]
+        return b"".join(out)
 
     def _joined(self, parts: list[str], spaced: bool) -> bytes:
         memo = self.memos[spaced]
         try:
             return b"".join(map(memo.__getitem__, parts))
         except KeyError:
-            old, before = self.old[spaced], " " if spaced else ""
+            old = self.old[spaced]
             for p in parts:
                 if p not in memo:
-                    memo[p] = old.get(p) or self.chunk(before + p)
+                    memo[p] = old.get(p) or self.chunk(p, spaced)
             return b"".join(map(memo.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if sum(map(len, self.memos)) > self.memo_chunks // 2:  # what was used lately stays, as the old half
             self.old, self.memos = self.memos, ({}, {})
-        if len(self.pieces) > self.memo_chunks // 2:
-            self.pieces = {}
         if _LOOSE.search(text):
             return self._joined(_CUTS.split(text), False)
         first, *rest = text.split(" ")
