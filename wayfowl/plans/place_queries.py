@@ -9,7 +9,18 @@ from wayfowl.operators import review as rv
 from wayfowl.operators import twilights as tw
 
 from .register import query
-from .twilight_queries import events
+from .twilight_queries import CROSS, events
+
+def sun_ctes(src: str, name: str, seconds: str, p: str) -> str:
+    """SQL of the sun's terms, as layers of common table expressions; the last is called name."""
+    return f""", {name}1 AS (SELECT *, ({seconds}) / 86400.0::DOUBLE + 2440587.5 AS {p}jd FROM {src}),
+{name}2 AS (SELECT *, ({p}jd - 2451545.0) / 36525.0 AS {p}jc FROM {name}1),
+{name}3 AS (SELECT *, 280.46646 + {p}jc * (36000.76983 + 0.0003032 * {p}jc) AS {p}l, radians(357.52911 + {p}jc * (35999.05029 - 0.0001537 * {p}jc)) AS {p}m, 0.016708634 - {p}jc * (0.000042037 + 0.0000001267 * {p}jc) AS {p}e, radians(125.04 - 1934.136 * {p}jc) AS {p}om FROM {name}2),
+{name}4 AS (SELECT *, radians({p}l - 360 * floor({p}l / 360)) AS {p}l0, radians(23 + (26 + (21.448 - {p}jc * (46.815 + {p}jc * (0.00059 - 0.001813 * {p}jc))) / 60) / 60 + 0.00256 * cos({p}om)) AS {p}tilt,
+  sin({p}m) * (1.914602 - {p}jc * (0.004817 + 0.000014 * {p}jc)) + sin(2 * {p}m) * (0.019993 - 0.000101 * {p}jc) + sin(3 * {p}m) * 0.000289 AS {p}c FROM {name}3),
+{name}5 AS (SELECT *, pow(tan({p}tilt / 2), 2) AS {p}y, sin({p}tilt) * sin({p}l0 + radians({p}c - 0.00569 - 0.00478 * sin({p}om))) AS {p}sin FROM {name}4),
+{name} AS (SELECT *, sqrt(1 - {p}sin * {p}sin) AS {p}cos, (({p}jd - 0.5 - floor({p}jd - 0.5)) * 1440 + 4 * degrees({p}y * sin(2 * {p}l0) - 2 * {p}e * sin({p}m) + 4 * {p}e * {p}y * sin({p}m) * cos(2 * {p}l0) - 0.5 * {p}y * {p}y * sin(4 * {p}l0) - 1.25 * {p}e * {p}e * sin(2 * {p}m))) / 4 AS {p}time FROM {name}5)"""
+
 
 # --- sources and lookups that are tables here ----------------------------------------------------------------------------
 
@@ -154,10 +165,17 @@ def f3(v):
     return cb.enforce_alternation(v("dates")).select("trip_id", "ord", "type")
 
 
-@query("f4_twilight_deviation")
+def _zenith(p: str) -> str:
+    return f"degrees(acos(greatest(-1.0, least(1.0, sin(radians(lat)) * {p}sin + cos(radians(lat)) * {p}cos * cos(radians({p}time + lon - 180))))))"
+
+
+DEVIATION = CROSS + ", pl AS (SELECT e.*, c.lon, c.lat FROM e JOIN v_colony c ON e.trip_id % 25 = c.colony_id)" + sun_ctes("pl", "sa", "u / 1e6", "a_") + sun_ctes("sa", "sb", "u / 1e6 + 60.0", "b_")
+
+
+@query("f4_twilight_deviation", DEVIATION + f", z AS (SELECT *, {_zenith('a_')} AS z, {_zenith('b_')} AS z1 FROM sb) SELECT trip_id, ord, round(z, 4) AS zenith, round((96.0 - z) / (z1 - z), 3) AS deviation FROM z")
 def f4(v):
     e = events(v).join(v("colony").select((F.col("colony_id") + 0).alias("_c"), "lon", "lat"), F.col("trip_id") % 25 == F.col("_c")).drop("_c")
-    return cb.twilight_deviation(e).select("trip_id", "ord", "zenith", "deviation")
+    return cb.twilight_deviation(e).select("trip_id", "ord", F.round("zenith", 4).alias("zenith"), F.round("deviation", 3).alias("deviation"))
 
 
 GAMMA = """
@@ -243,14 +261,36 @@ def zenith_pairs(v):
     return tw.pair_twilights(tw.repair_types(events(v))).withColumn("zenith", F.lit(96.0))
 
 
-@query("g1_threshold_location")
+PLACE = CROSS + """, rr AS (SELECT *, CASE WHEN type IS DISTINCT FROM lag(type) OVER (PARTITION BY trip_id ORDER BY u, ord) THEN 1 ELSE 0 END AS ch FROM e),
+rg AS (SELECT *, sum(ch) OVER (PARTITION BY trip_id ORDER BY u, ord) AS run FROM rr),
+rh AS (SELECT *, row_number() OVER (PARTITION BY trip_id, run ORDER BY u, ord) - 1 AS k, count(*) OVER (PARTITION BY trip_id, run) AS n FROM rg),
+pr AS (SELECT trip_id, ord, u, lead(u) OVER (PARTITION BY trip_id ORDER BY u, ord) AS u2, CASE WHEN k % 2 = 1 AND k < n - 1 THEN 3 - type ELSE type END AS type FROM rh), pq AS (SELECT * FROM pr WHERE u2 IS NOT NULL)""" + sun_ctes("pq", "sa", "u / 1e6", "a_") + sun_ctes("sa", "sb", "u2 / 1e6", "b_") + """,
+lo AS (SELECT *, -(a_time + b_time + CASE WHEN CASE WHEN type = 1 THEN a_time < b_time ELSE b_time < a_time END THEN 360 ELSE 0 END) / 2 + 180 AS x FROM sb), ln AS (SELECT *, x - 360 * floor(x / 360) - 180 AS lon FROM lo)"""
+
+
+def _lat(p: str, z: float) -> str:
+    a, b, c = f"{p}sin", f"({p}cos * cos(radians({p}time + lon - 180)))", f"cos(radians({z}))"
+    root = f"({a} * {a} + {b} * {b} - {c} * {c})"
+    ratio = f"(({a} * {c} - sign({a}) * {b} * sqrt(greatest({root}, 0))) / ({a} * {a} + {b} * {b}))"
+    return f"CASE WHEN {root} >= 0 AND abs({ratio}) <= 1 THEN degrees(asin(greatest(-1.0, least(1.0, {ratio})))) END"
+
+
+def _place(z: float) -> str:
+    return PLACE + f", la AS (SELECT *, {_lat('a_', z)} AS l1, {_lat('b_', z)} AS l2 FROM ln) SELECT trip_id, ord, round(lon, 4) AS lon, round(coalesce((l1 + l2) / 2, l1, l2), 4) AS lat FROM la"
+
+
+def _rounded(df):
+    return df.select("trip_id", "ord", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
+
+
+@query("g1_threshold_location", _place(96.0))
 def g1(v):
-    return ps.threshold_location(zenith_pairs(v)).select("trip_id", "ord", "ts", "lon", "lat")
+    return _rounded(ps.threshold_location(zenith_pairs(v)))
 
 
-@query("e1_pair_location")
+@query("e1_pair_location", _place(94.5))
 def e1(v):
-    return ps.threshold_location(zenith_pairs(v).withColumn("zenith", F.lit(90.0) + 4.5)).select("trip_id", "ord", "lon", "lat")
+    return _rounded(ps.threshold_location(zenith_pairs(v).withColumn("zenith", F.lit(90.0) + 4.5)))
 
 
 @query("g2_threshold_path")
@@ -327,10 +367,17 @@ def g8(v):
     return ps.apply_anchor(p, v("trips").join(v("colony"), "colony_id")).select("trip_id", "ord", "anchor", "lon", "lat")
 
 
-@query("d8_civil_twilight")
+CIVIL = "WITH dd AS (SELECT d.trip_id, d.day, c.lon, c.lat, epoch_us(CAST(d.day AS TIMESTAMP)) / 1e6 + 43200.0 - c.lon * 240.0 AS noon0 FROM v_days d JOIN v_trips t ON d.trip_id = t.trip_id JOIN v_colony c ON t.colony_id = c.colony_id)" + sun_ctes("dd", "sa", "noon0", "a_") + """,
+nn AS (SELECT *, noon0 - ((a_time + lon) - 360 * floor((a_time + lon) / 360) - 180) * 240 AS noon, (cos(radians(96.0)) - sin(radians(lat)) * a_sin) / (cos(radians(lat)) * a_cos) AS ch FROM sa),
+hh AS (SELECT *, CASE WHEN abs(ch) <= 1 THEN degrees(acos(greatest(-1.0, least(1.0, ch)))) * 240 END AS half FROM nn)
+SELECT trip_id, CAST(day AS VARCHAR) AS day, CAST(round((noon - half) / 10) AS BIGINT) AS dawn, CAST(round((noon + half) / 10) AS BIGINT) AS dusk FROM hh"""
+
+
+@query("d8_civil_twilight", CIVIL)
 def d8(v):
     d = v("trips").join(v("colony"), "colony_id").join(v("days").select("trip_id", "day"), "trip_id")
-    return ps.civil_twilight(d).select("trip_id", "day", "dawn", "dusk")
+    tens = lambda c: F.round(F.unix_micros(c) / 1e7).cast("long").alias(c)  # noqa: E731  of seconds
+    return ps.civil_twilight(d).select("trip_id", "day", tens("dawn"), tens("dusk"))
 
 
 # --- phenology -----------------------------------------------------------------------------------------------------------
