@@ -15,9 +15,9 @@ ATTRIBUTES = ("dx", "dy", "dist", "dt", "r2n", "abs_angle", "rel_angle")
 
 
 def _turn(a: Column, b: Column) -> Column:
-    """b - a within (-pi, pi]."""
-    d = b - a
-    return F.when(d > F.lit(np.pi), d - 2 * np.pi).when(d <= F.lit(-np.pi), d + 2 * np.pi).otherwise(d)
+    """b - a within (-pi, pi], half a turn being pi however it is rounded."""
+    d, eps = b - a, 1e-9
+    return F.when(d > F.lit(np.pi + eps), d - 2 * np.pi).when(d <= F.lit(-np.pi + eps), d + 2 * np.pi).otherwise(d)
 
 
 def step_attributes(track: DataFrame, keys: tuple[str, ...] = ("trip_id",)) -> DataFrame:

@@ -236,22 +236,22 @@ def pooled(v):
     return cb.pooled_mean(cleaned(v), "zenith", ["P1", "P2", "P3"], ["colony_id", "producer"])
 
 
-@query("f8_pooled_mean", POOL + "SELECT logger_id, round(mean, 4) AS mean_zenith FROM m")
+@query("f8_pooled_mean", POOL + "SELECT logger_id, round(mean + 1e-6, 3) AS mean_zenith FROM m")
 def f8(v):
-    return pooled(v).select("logger_id", F.round("mean_zenith", 4).alias("mean_zenith"))
+    return pooled(v).select("logger_id", F.round(F.col("mean_zenith") + 1e-6, 3).alias("mean_zenith"))
 
 
-@query("f9_calibration_summary", POOL + "SELECT colony_id, producer, count(DISTINCT logger_id) AS n_geos, round(avg(mean), 4) AS mean_zenith FROM m GROUP BY 1, 2")
+@query("f9_calibration_summary", POOL + "SELECT colony_id, producer, count(DISTINCT logger_id) AS n_geos, round(avg(mean) + 1e-6, 3) AS mean_zenith FROM m GROUP BY 1, 2")
 def f9(v):
     s = cb.calibration_summary(pooled(v), ["colony_id", "producer"], ["mean_zenith"])
-    return s.withColumn("mean_zenith", F.round("mean_zenith", 4))
+    return s.withColumn("mean_zenith", F.round(F.col("mean_zenith") + 1e-6, 3))
 
 
-@query("f10_select_calibration", POOL + ", o AS (SELECT * FROM m WHERE logger_id % 3 = 0 AND mean IS NOT NULL), s AS (SELECT colony_id, producer, avg(mean) AS mean FROM m GROUP BY 1, 2), x AS (SELECT m.logger_id, coalesce(o.mean, s.mean) AS z, CASE WHEN o.logger_id IS NOT NULL THEN 'own' WHEN s.producer IS NOT NULL THEN 'group' END AS source FROM m LEFT JOIN o ON m.logger_id = o.logger_id LEFT JOIN s ON m.colony_id = s.colony_id AND m.producer = s.producer) SELECT logger_id, source, round(z, 4) AS mean_zenith, round(90 - z, 4) AS sun_angle FROM x")
+@query("f10_select_calibration", POOL + ", o AS (SELECT * FROM m WHERE logger_id % 3 = 0 AND mean IS NOT NULL), s AS (SELECT colony_id, producer, avg(mean) AS mean FROM m GROUP BY 1, 2), x AS (SELECT m.logger_id, coalesce(o.mean, s.mean) AS z, CASE WHEN o.logger_id IS NOT NULL THEN 'own' WHEN s.producer IS NOT NULL THEN 'group' END AS source FROM m LEFT JOIN o ON m.logger_id = o.logger_id LEFT JOIN s ON m.colony_id = s.colony_id AND m.producer = s.producer) SELECT logger_id, source, round(z + 1e-6, 3) AS mean_zenith, round(90 - z + 1e-6, 3) AS sun_angle FROM x")
 def f10(v):
     p = pooled(v)
     found = cb.select_calibration(p.select("logger_id", "colony_id", "producer"), p.where("logger_id % 3 = 0"), cb.calibration_summary(p, ["colony_id", "producer"], ["mean_zenith"]), ["colony_id", "producer"], ["mean_zenith"])
-    return found.select("logger_id", "source", F.round("mean_zenith", 4).alias("mean_zenith"), F.round("sun_angle", 4).alias("sun_angle"))
+    return found.select("logger_id", "source", F.round(F.col("mean_zenith") + 1e-6, 3).alias("mean_zenith"), F.round(F.col("sun_angle") + 1e-6, 3).alias("sun_angle"))
 
 
 # --- positions -----------------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from wayfowl.operators import tracks as tr
 from .register import query
 
 W = "(PARTITION BY trip_id ORDER BY ts, ord)"
-TURN = "CASE WHEN d > pi() THEN d - 2 * pi() WHEN d <= -pi() THEN d + 2 * pi() ELSE d END"
+TURN = "CASE WHEN d > pi() + 1e-9 THEN d - 2 * pi() WHEN d <= -pi() + 1e-9 THEN d + 2 * pi() ELSE d END"
 STEPS = f"""
 WITH a AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, (US(lead(ts) OVER w) - US(ts)) / 1e6 AS dt, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0 FROM v_track WINDOW w AS {W}),
 b AS (SELECT *, sqrt(dx * dx + dy * dy) AS dist, (x - x0) * (x - x0) + (y - y0) * (y - y0) AS r2n FROM a),
