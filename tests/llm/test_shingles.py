@@ -1,0 +1,49 @@
+import itertools
+
+import corpus_pipeline
+import numpy as np
+from wayfowl.llm import shingles, simhash
+
+WORDS = [f"w{i}" for i in range(5000)]
+
+
+def brute_force(texts):
+    sets = {i: shingles.shingles((t or "").encode()) for i, t in texts.items()}
+    group = {i: i for i in texts}
+    for i, j in itertools.combinations(sorted(texts), 2):
+        if shingles.similarity(sets[i], sets[j]) >= 0.8:
+            a, b = group[i], group[j]
+            group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
+    return group
+
+
+def near_copies_of(rng):
+    """Texts of 60 to 200 words, each with a copy in which every 60th word is another: similar by 0.8 to 0.9."""
+    texts = {}
+    for i in range(40):
+        own = rng.choice(WORDS, int(rng.integers(60, 200))).tolist()
+        other = [("x" + w) if k % 60 == 30 else w for k, w in enumerate(own)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(own), " ".join(other)
+    return texts
+
+
+def test_stage_drops_what_is_similar_by_shingles(spark):
+    texts = near_copies_of(np.random.default_rng(3))
+    far = [i for i in range(40) if (simhash.fingerprint(texts[2 * i].encode()) ^ simhash.fingerprint(texts[2 * i + 1].encode())).bit_count() > simhash.MAX_BITS]
+    assert far  # pairs that a limit of four bits misses
+    texts |= {100: "", 101: None, 102: "a b", 103: "A  b", 104: "a c"}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, lang string")
+    want = brute_force(texts)
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()}
+    assert got == want
+    step = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert step.columns == docs.columns and {r.doc_id for r in step.collect()} == set(want.values())
+
+
+def test_a_chain_in_one_key_and_rows_without_id(spark):
+    words = WORDS[:60]
+    texts = {k: " ".join(words[2 * k :] + WORDS[1000 : 1000 + 2 * k]) for k in range(12)}  # neighbours are similar, the ends are not
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0]), (3, texts[3])], "doc_id long, text string")
+    want = brute_force(texts)
+    step = [r.doc_id for r in shingles.keep_one(docs).collect()]
+    assert sorted(x for x in step if x is not None) == sorted(set(want.values())) and step.count(None) == 1

@@ -1,0 +1,124 @@
+"""Near copies by the similarity of their word shingles.
+
+A text is the set of its five-word shingles (a shorter text is one shingle). Two texts are linked when the Jaccard similarity of
+their sets is at least 0.8; connected components of those links are the groups. Texts with equal sets are one node. Candidates
+share one of BANDS keys, each made of BAND_ROWS minimum hashes, and every candidate is verified by its exact shingles: a link is
+never wrong, and a pair at similarity s is missed with probability (1 - s**BAND_ROWS)**BANDS, 7e-5 at 0.8 and less above.
+
+Of a key's texts, first each is compared with the smallest one; then pairs that are in different components so far are. So a
+large group of near copies costs its size, not its square, and no candidate pair is left out that could join two groups.
+
+Defined cases: null text counts as empty; texts without words are copies of each other; rows with a null doc_id are kept and
+never name a group; repeated rows with a doc_id stay once; an empty table gives an empty result; other columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import per_text, short_batches, text_bytes, written
+from .simhash import connected_components
+
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+BANDS = 24
+BAND_ROWS = 5
+#: Shingles that are hashed at once; bounds a worker's memory on long texts.
+CHUNK = 4096
+
+
+def shingles(text: bytes, n: int = SHINGLE_WORDS) -> set[bytes]:
+    words = text.lower().split()  # on bytes both touch ASCII only: A-Z, and x20 x09-x0D
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similarity(a: set[bytes], b: set[bytes]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+_KEYED = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def _keys():
+    rng = np.random.default_rng(5)
+    # Odd factors and a shift: the upper half of the product is a fresh order of the hashes.
+    factor, add = rng.integers(0, 2**64, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1), rng.integers(0, 2**64, (BANDS * BAND_ROWS, 1), np.uint64)
+
+    def keys(text: bytes) -> tuple:
+        hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(text)), np.uint64))
+        node = xxhash.xxh64_intdigest(hashes.tobytes(), 7)
+        least = np.full(BANDS * BAND_ROWS, 2**32 - 1, np.uint32)
+        for at in range(0, len(hashes), CHUNK):
+            mixed = hashes[None, at : at + CHUNK] ^ add
+            mixed *= factor
+            least = np.minimum(least, (mixed >> np.uint64(32)).min(axis=1).astype(np.uint32))
+        bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
+        return np.uint64(node).astype(np.int64), np.array(bands, np.uint64).view(np.int64)
+
+    return keys
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, own = None, set()
+    for batch in batches:
+        a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+        for i, (x, y) in enumerate(zip(text_bytes(batch, "text_a"), text_bytes(batch, "text_b"), strict=True)):
+            if a[i] != last:
+                last, own = a[i], shingles(x)
+            keep.append(similarity(own, shingles(y)) >= SIMILARITY)
+        yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(a, keep, strict=True) if k], pa.int64()), pa.array([v for v, k in zip(b, keep, strict=True) if k], pa.int64())], schema=_LINKS)
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b) those whose texts are similar enough; rows has (node, text)."""
+    pairs = written(pairs)
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(rows.select("node", "text").join(used, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    short_batches(rows.sparkSession)
+    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
+
+
+def _pairs(x: str, y: str) -> list:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row; component_id is the smallest doc_id of the group."""
+    short_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = written(rows.mapInArrow(per_text(_keys, _KEYED, ("doc_id", "text")), "doc_id long, text binary, node long, bands array<long>"))
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    keyed = written(keyed.join(least, "key"))
+    stars = verified(keyed.where("node != least").select(*_pairs("node", "least")).distinct(), rows)
+    root = connected_components(stars).withColumnRenamed("root", "own")
+    placed = keyed.select("node", "key").join(root, "node", "left").select("node", "key", F.coalesce("own", "node").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
+    placed = written(placed.join(split, "key", "left_semi"))
+    other = placed.select("key", F.col("node").alias("node_2"), F.col("root").alias("root_2"))
+    # Pairs with a key's smallest node were compared in the first round.
+    rest = placed.join(other, "key").where("node < node_2 AND root != root_2").select(*_pairs("node", "node_2")).distinct()
+    tried = keyed.where("node != least").select(*_pairs("node", "least")).distinct()
+    links = stars.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti"), rows))
+    labelled = connected_components(links)
+    member = nodes.join(labelled, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "node").join(member.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near copies: of each group the row with the smallest doc_id stays. Rows without a doc_id stay."""
+    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
