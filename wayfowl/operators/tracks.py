@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +35,40 @@ def step_attributes(track: DataFrame, keys: tuple[str, ...] = ("trip_id",)) -> D
     return d.withColumn("rel_angle", _turn(F.lag("abs_angle").over(w), F.col("abs_angle")))
 
 
-def drop_large_jumps(track: DataFrame, limit: float = 40.0, max_rounds: int = 50) -> DataFrame:
+def rows_without_jumps(x: list, y: list, limit: float) -> np.ndarray:
+    """Which of a trip's rows, in order, stay when rounds drop all rows whose step to the next one is too long until none is. A
+    round only looks at rows whose next one went in the round before, so the work is in proportion to the rows."""
+    n = len(x)
+    keep, after, before = np.ones(n, bool), list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def far(i: int) -> bool:
+        j = after[i]
+        if j == n or None in (x[i], y[i], x[j], y[j]):
+            return False
+        return not math.sqrt((x[j] - x[i]) ** 2 + (y[j] - y[i]) ** 2) <= limit  # what is not a number is far, as in Spark's order
+
+    look = list(range(n))
+    while gone := [i for i in look if far(i)]:
+        keep[gone] = False
+        for i in gone:
+            a, b = before[i], after[i]
+            if a >= 0:
+                after[a] = b
+            if b < n:
+                before[b] = a
+        look = list({a for i in gone if (a := before[i]) >= 0 and keep[a]})
+    return keep
+
+
+def drop_large_jumps(track: DataFrame, limit: float = 40.0, window_rounds: int = 12) -> DataFrame:
     """Drops rows whose step to the next one is too long, until none is, then rows without complete attributes. A round is a
-    window and a filter; dirty trips go on to the next one, clean ones are set aside, and each round is checkpointed."""
+    window and a filter; dirty trips go on to the next one, clean ones are set aside, and each round is checkpointed. Trips that
+    are dirty after `window_rounds` are finished by one pass over each trip's rows, however many rounds they need."""
     spark = track.sparkSession
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-wayfowl-"))  # only without a cluster's setting, as in tests
     todo, done = track, None
-    for _ in range(max_rounds):
+    for _ in range(window_rounds):
         w = in_order()
         step = F.sqrt(F.pow(F.lead("x").over(w) - F.col("x"), 2.0) + F.pow(F.lead("y").over(w) - F.col("y"), 2.0))
         marked = todo.withColumn("_far", F.coalesce(step > limit, F.lit(False))).withColumn("_dirty", F.max("_far").over(Window.partitionBy("trip_id")))
@@ -49,6 +78,15 @@ def drop_large_jumps(track: DataFrame, limit: float = 40.0, max_rounds: int = 50
         todo = marked.where(F.col("_dirty") & ~F.col("_far")).drop("_far", "_dirty")
         if todo.isEmpty():
             break
+    else:
+
+        def one(rows: pa.Table) -> pa.Table:
+            rows = rows.take(pc.sort_indices(rows, [("ts", "ascending"), ("ord", "ascending")], null_placement="at_start"))
+            x, y = (rows[c].cast(pa.float64()).to_pylist() for c in ("x", "y"))
+            return rows.filter(pa.array(rows_without_jumps(x, y, limit)))
+
+        rest = todo.groupBy("trip_id").applyInArrow(one, todo.schema)
+        done = rest if done is None else done.unionByName(rest)
     return step_attributes(done).na.drop(subset=[*ATTRIBUTES])
 
 

@@ -32,7 +32,7 @@ def h2_once(v):
 
 @query("h2_drop_large_jumps")
 def h2(v):
-    return tr.drop_large_jumps(v("track"), 45.0).select("trip_id", "ord", "dist", "rel_angle")
+    return tr.drop_large_jumps(v("track")).select("trip_id", "ord", "dist", "rel_angle")
 
 
 EQ = "CASE WHEN abs(date_diff('day', make_date(year(ts), 9, 23), CAST(ts AS DATE))) <= 20 THEN 'Sep' WHEN abs(date_diff('day', make_date(year(ts), 3, 21), CAST(ts AS DATE))) <= 20 THEN 'Mar' ELSE 'No' END"
