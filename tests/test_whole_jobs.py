@@ -36,3 +36,12 @@ def test_pass_equals_the_rounds():
         xs = np.cumsum(rng.normal(0, 25, 80)).tolist()
         keep = tracks.rows_without_jumps(xs, [float(i % 3) for i in range(80)], 40.0)
         assert np.flatnonzero(keep).tolist() == [r[0] for r in slow_jumps(xs, 40.0)]
+
+
+def test_densities_reach_every_part_of_a_trip(spark, sf):
+    from wayfowl.plans import registry
+
+    whole = {(r.trip_id, r.ord) for r in registry.queries()["k5_project_laea"](spark, sf).select("trip_id", "ord").collect()}
+    assert {(r.trip_id, r.ord) for r in registry.queries()["k8_points_in_ud"](spark, sf).select("trip_id", "ord").collect()} == whole
+    groups = {(r.trip_id, r.g) for r in registry.queries()["k6_href"](spark, sf).where("h > 0").select("trip_id", "g").collect()}
+    assert {(r.trip_id, r.g) for r in registry.queries()["k7_utilisation_distribution"](spark, sf).select("trip_id", "g").distinct().collect()} == groups

@@ -435,12 +435,12 @@ def k6(v):
 
 @query("k7_utilisation_distribution")
 def k7(v):
-    return ph.utilisation_distribution(projected(v).where("g < 4"), ["trip_id", "g"]).select("trip_id", "g", "gx", "gy", "density")
+    return ph.utilisation_distribution(projected(v), ["trip_id", "g"]).select("trip_id", "g", "gx", "gy", "density")
 
 
 @query("k8_points_in_ud")
 def k8(v):
-    p = projected(v).where("g < 4")
+    p = projected(v)
     return ph.points_in_ud(p, ph.utilisation_distribution(p, ["trip_id", "g"]), ["trip_id", "g"]).select("trip_id", "ord", "inside")
 
 
