@@ -45,3 +45,27 @@ def test_densities_reach_every_part_of_a_trip(spark, sf):
     assert {(r.trip_id, r.ord) for r in registry.queries()["k8_points_in_ud"](spark, sf).select("trip_id", "ord").collect()} == whole
     groups = {(r.trip_id, r.g) for r in registry.queries()["k6_href"](spark, sf).where("h > 0").select("trip_id", "g").collect()}
     assert {(r.trip_id, r.g) for r in registry.queries()["k7_utilisation_distribution"](spark, sf).select("trip_id", "g").distinct().collect()} == groups
+
+
+def test_long_trips_are_not_averaged(spark):
+    rng = np.random.default_rng(6)
+    xs = np.concatenate([rng.normal(0, 1, 801), rng.normal(30, 1, 800)])
+    got = tracks.segment_tracks(positions_of(spark, xs, rng.normal(0, 1, 1601)), 2, 5, (2,)).collect()
+    assert sorted((r.first_row, r.last_row) for r in got) == [(1, 801), (802, 1601)]
+
+
+def test_blocks_of_costs_change_nothing():
+    v = np.random.default_rng(7).normal(0, 1, (120, 2)).cumsum(axis=0)
+    whole, best = tracks.best_segments(v, 6, 5)
+    for cells in (1, 500, 3000):
+        ends, cost = tracks.best_segments(v, 6, 5, cells)
+        assert ends == whole and np.allclose(cost, best)
+
+
+def test_segmentation_query_takes_whole_trips(spark, sf):
+    from wayfowl.plans import registry
+
+    rows = {r.trip_id: r["count"] for r in registry.queries()["h3_equinox_label"](spark, sf).groupBy("trip_id").count().collect()}
+    models = registry.queries()["h9_segment_tracks"](spark, sf).groupBy("trip_id", "n_cluster").agg({"last_row": "max"}).collect()
+    assert {r.n_cluster for r in models} == set(range(5, 11)) and {r.trip_id for r in models} == set(rows)
+    assert all(r["max(last_row)"] == rows[r.trip_id] for r in models)

@@ -145,37 +145,56 @@ def colony_r2n(track: DataFrame, colonies: DataFrame) -> DataFrame:
 # --- segmentation: a dynamic programme per trip ------------------------------------------------------------------------
 
 
+#: Costs that are held at once while the best splits are sought; bounds the memory of a long trip.
+COST_CELLS = 1 << 20
+
+
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(v, axis=0)]) for v in (values, values**2))
+
+
+def _costs(s: np.ndarray, q: np.ndarray, starts: np.ndarray, ends: np.ndarray, lmin: int) -> np.ndarray:
+    length = ends[None, :] - starts[:, None]
+    safe, cost = np.maximum(length, 1), np.zeros(length.shape)
+    for c in range(s.shape[1]):
+        var = (q[ends, c][None] - q[starts, c][:, None]) / safe - ((s[ends, c][None] - s[starts, c][:, None]) / safe) ** 2
+        cost += safe * (np.log(2 * np.pi * np.maximum(var, 1e-6)) + 1)
+    return np.where(length >= lmin, 0.5 * cost, np.inf)
+
+
 def segment_costs(values: np.ndarray, lmin: int) -> np.ndarray:
     """cost[i, j] of rows i..j-1 as one segment: Gaussian, with a mean and a variance of its own, from prefix sums."""
-    n = len(values)
-    s, q = (np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(v, axis=0)]) for v in (values, values**2))
-    length = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
-    safe = np.maximum(length, 1)[..., None]
-    var = (q[None] - q[:, None]) / safe - ((s[None] - s[:, None]) / safe) ** 2
-    cost = 0.5 * (safe * (np.log(2 * np.pi * np.maximum(var, 1e-6)) + 1)).sum(axis=2)
-    return np.where(length >= lmin, cost, np.inf)
+    rows = np.arange(len(values) + 1)
+    return _costs(*_sums(values), rows, rows, lmin)
 
 
-def best_segments(values: np.ndarray, kmax: int, lmin: int) -> tuple[list[list[int]], np.ndarray]:
-    """For each number of segments the ends of the best split, and its cost."""
+def best_segments(values: np.ndarray, kmax: int, lmin: int, cells: int = COST_CELLS) -> tuple[list[list[int]], np.ndarray]:
+    """For each number of segments the ends of the best split, and its cost. Costs are made for a block of ends at a time, so
+    that memory is in proportion to rows times kmax."""
     n = len(values)
     kmax = min(kmax, n // lmin)
     if kmax < 1:
         return [], np.zeros(0)
-    cost = segment_costs(values, lmin)
-    best, back = [cost[0]], []
-    for _ in range(1, kmax):
-        total = best[-1][:, None] + cost
-        back.append(total.argmin(axis=0))
-        best.append(total.min(axis=0))
+    s, q = _sums(values)
+    best, back = np.full((kmax, n + 1), np.inf), np.zeros((kmax, n + 1), np.int32)
+    width = max(1, cells // (n + 1))
+    for lo in range(lmin, n + 1, width):
+        hi = min(lo + width, n + 1)
+        starts = hi - lmin  # later rows start no segment that ends here
+        cost = _costs(s, q, np.arange(starts), np.arange(lo, hi), lmin)
+        best[0, lo:hi] = cost[0]
+        for k in range(1, kmax):
+            total = best[k - 1, :starts, None] + cost
+            back[k, lo:hi] = total.argmin(axis=0)
+            best[k, lo:hi] = total.min(axis=0)
     ends = []
     for k in range(kmax):
         cut, at = [n], n
-        for b in back[:k][::-1]:
+        for b in back[1 : k + 1][::-1]:
             at = int(b[at])
             cut.append(at)
         ends.append(cut[::-1])
-    return ends, np.array([b[n] for b in best])
+    return ends, best[:, n].copy()
 
 
 def cluster_segments(values: np.ndarray, ends: list[int], clusters: int, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -206,15 +225,13 @@ def cluster_segments(values: np.ndarray, ends: list[int], clusters: int, rounds:
 _SEGMENTS = "trip_id long, n_seg int, n_cluster int, bic double, seg int, state int, first_row int, last_row int"
 
 
-def segment_tracks(track: DataFrame, kmax: int = 15, lmin: int = 5, clusters: tuple[int, ...] = tuple(range(5, 11)), columns: tuple[str, ...] = ("x", "y"), max_rows: int = 1500) -> DataFrame:
+def segment_tracks(track: DataFrame, kmax: int = 15, lmin: int = 5, clusters: tuple[int, ...] = tuple(range(5, 11)), columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Joint segmentation and clustering of each trip for every number of clusters: n_seg and bic of each model, and its
-    segments. A trip is one group, bounded by a deployment's length; longer ones are averaged to max_rows rows first."""
+    segments. A trip is one group of its own rows, whatever its length; time grows with the square of its rows, memory does not."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "ord"], ignore_index=True)
         values = pdf[list(columns)].to_numpy(np.float64)
-        stride = -(-len(values) // max_rows)
-        values = np.add.reduceat(values, np.arange(0, len(values), stride)) / np.diff(np.append(np.arange(0, len(values), stride), len(values)))[:, None]
         rows, trip = [], int(pdf.trip_id.iloc[0])
         ends, _ = best_segments(values, kmax, lmin)
         for c in clusters:
@@ -227,7 +244,7 @@ def segment_tracks(track: DataFrame, kmax: int = 15, lmin: int = 5, clusters: tu
             if models:
                 bic, cut, label = max(models, key=lambda m: m[0])
                 starts = [0, *cut[:-1]]
-                rows += [(trip, len(cut), c, bic, i + 1, int(s) + 1, a * stride + 1, min(b * stride, len(pdf))) for i, (s, a, b) in enumerate(zip(label, starts, cut, strict=True))]
+                rows += [(trip, len(cut), c, bic, i + 1, int(s) + 1, a + 1, b) for i, (s, a, b) in enumerate(zip(label, starts, cut, strict=True))]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _SEGMENTS.split(", ")])
 
     return track.select("trip_id", "ts", "ord", *columns).groupBy("trip_id").applyInPandas(one, _SEGMENTS)

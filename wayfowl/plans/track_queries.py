@@ -79,7 +79,7 @@ def h8(v):
 
 @query("h9_segment_tracks")
 def h9(v):
-    return tr.segment_tracks(v("track").where("ord <= 240"), 8, 5, (2, 3))
+    return tr.segment_tracks(v("track"))
 
 
 @query("h10_select_model", "WITH m AS (SELECT trip_id, CAST(seg % 5 + 3 AS INT) AS n_seg, CAST(seg % 3 + 2 AS INT) AS n_cluster, max(round(mu_x * 7) - seg) AS bic FROM v_seg GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY bic DESC, n_seg, n_cluster) AS k FROM m) SELECT trip_id, n_seg, n_cluster, bic FROM r WHERE k = 1")
