@@ -1,0 +1,35 @@
+import zlib
+from collections import Counter
+
+import pytest
+
+from wayfowl.llm import ctw
+
+from test_ctw import slow_log, slow_tree
+
+
+def test_tables_equal_the_slow_tree(spark):
+    counts = {b"": 6, b"the": 40, b"then": 9, b"other": 5, "é".encode(): 3, b"a": 30, b"bathe": 2}
+    df = spark.createDataFrame([(bytearray(k), v) for k, v in counts.items()], "token binary, n long")
+    words = [*counts, b"thee", b"zebra", "ñé".encode(), b"bath", b"a" * 300]
+    tokens = spark.createDataFrame([(bytearray(w),) for w in words], "token binary")
+    got = {bytes(r.token): r.score for r in ctw.token_scores(tokens, ctw.tree_tables(df, 3)).collect()}
+    nodes = slow_tree(counts, 3, 1)
+    assert set(got) == set(words)
+    for w in words:
+        assert got[w] * 2.302585092994046 == pytest.approx(slow_log(nodes, 3, w), rel=1e-9)
+
+
+def test_no_bound_cuts_the_model(spark, monkeypatch):
+    """With the old bound on pairs every text's score changed."""
+    monkeypatch.setattr(ctw, "MAX_PAIRS", 20)
+    texts = {i: f"word{i % 7} the other thing{i % 3} then" for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ctw.score_documents(docs, max_depth=3, hot_words=4).collect()}
+    counts = Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([*t.encode().split(), b""])
+    nodes = slow_tree(counts, 3, 1)
+    for i, t in texts.items():
+        assert got[i] * 2.302585092994046 == pytest.approx(sum(slow_log(nodes, 3, w) for w in [*t.encode().split(), b""]), rel=1e-9)

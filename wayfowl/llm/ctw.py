@@ -5,15 +5,16 @@ could begin. Each byte is decomposed into eight binary decisions, each with a tr
 the word (spaces stand before it). Every node holds a Krichevsky-Trofimov estimate of its decisions, and context-tree weighting
 mixes the estimates of all depths along a context's path with the weights that the training data give: the node's own
 estimate against what its children make of the same data. A context that was never seen ends the path at its deepest known
-suffix. A context has longer ones below it only if it occurred often enough. Code length per byte follows from the score.
+suffix. Code length per byte follows from the score.
 
 All counts are gathered by Spark from all training rows: words (summed up before they are shuffled), then from the distinct
-words the byte contexts, weighted by the words' counts. "Often enough" is the smallest power of two at which the trees have at
-most MAX_PAIRS pairs of context and byte, so that the model that is sent to the executors has a fixed bound; no row and no
-word is left out, and what a context does not pass on to longer ones stays counted in itself.
+words the byte contexts, weighted by the words' counts. The tree is a table for each depth with all contexts that occurred,
+however many: it is weighted from the deepest level up by aggregations and from the root down by joins, and distinct words are
+scored by joining their contexts with it, so no part of the model has to fit the driver or a task. (train() makes a tree in
+memory, bounded by an occurrence threshold; tests compare with it, no query uses it.)
 
-Scores of texts: the most frequent words of at most HOT_BYTES bytes, HOT_WORDS of them at most, are sent to every task (another fixed bound); all
-other words of a text are joined with the counts by a shuffle.
+Scores of texts: the scores of the most frequent words of at most HOT_BYTES bytes, HOT_WORDS of them at most, are sent to every task (a fixed
+bound); all other words of a text are joined with the same table of scores by a shuffle.
 
 Defined cases: null text counts as empty (its only token is the end); rows with a null doc_id fall in the training part and are
 scored like any other; repeated rows count as often as they occur; without training rows N and V are zero; an empty table
@@ -30,12 +31,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_bucket, short_batches, table, text_bytes, written
 
-MAX_DEPTH = 5
+MAX_DEPTH = 6
 MAX_PAIRS = 150_000
 HOT_WORDS = 1 << 17
 HOT_BYTES = 48
@@ -221,18 +222,103 @@ def train(counts: DataFrame, max_depth: int = MAX_DEPTH, max_pairs: int = MAX_PA
     return weigh(found)
 
 
+_NODES = "node long, zeros double, ones double, mixed double, stop double"
+
+
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of nodes (node, zeros, ones, below) the mixture's logarithm and the weight of a node's own estimate; below is the sum of
+    its children's mixtures, null at the deepest level."""
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("zeros", "ones"))
+        own = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
+        below = batch.column("below").to_numpy(zero_copy_only=False).astype(np.float64)  # null becomes not-a-number
+        leaf = np.isnan(below)
+        mixed = np.where(leaf, own, np.logaddexp(own, np.where(leaf, 0.0, below)) + math.log(0.5))
+        stop = np.where(leaf, 1.0, np.exp(np.minimum(own + math.log(0.5) - mixed, 0.0)))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(a), pa.array(b), pa.array(mixed), pa.array(stop)], names=["node", "zeros", "ones", "mixed", "stop"])
+
+
+def _shorter(node: Column, d: int) -> Column:
+    """A node's key with only the last d bytes of its context."""
+    context = F.shiftrightunsigned(node, 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
+    return F.shiftleft(context, 8).bitwiseOR(node.bitwiseAND(F.lit(255)))
+
+
+def _decisions(pair: Column) -> Column:
+    """The eight decisions of a pair of context and byte: (node, bit)."""
+    byte, context = pair.bitwiseAND(F.lit(255)), F.shiftleft(F.shiftrightunsigned(pair, 8), 8)
+    return F.array(*(F.struct(context.bitwiseOR(F.shiftrightunsigned(byte, 8 - i)).bitwiseOR(F.lit(1 << i)).alias("node"), F.shiftrightunsigned(byte, 7 - i).bitwiseAND(F.lit(1)).alias("bit")) for i in range(8)))
+
+
+def tree_tables(counts: DataFrame, max_depth: int = MAX_DEPTH) -> list[DataFrame]:
+    """For each depth all nodes (node, chance): the mixed probability of a one where this node is the deepest known one."""
+    short_batches(counts.sparkSession, 50_000)
+    pairs = counts.where("n > 0").mapInArrow(_count_pairs(max_depth), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    bits = pairs.select("n", F.explode(_decisions(F.col("pair"))).alias("d")).select("d.node", "d.bit", "n")
+    level = bits.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("ones"), F.lit(None).cast("double").alias("below"))
+    levels = []
+    for d in range(max_depth, -1, -1):
+        levels.append(written(level.select("node", "zeros", "ones", "below").mapInArrow(_weighted, _NODES)))
+        if d:
+            level = levels[-1].groupBy(_shorter(F.col("node"), d - 1).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("below"))
+    out, estimate = [], (F.col("ones") + 0.5) / (F.col("ones") + F.col("zeros") + 1)
+    for d, level in enumerate(levels[::-1]):
+        # From the root down: the mixture's chance of a one is fixed + share * (what this node says).
+        if d == 0:
+            level = level.withColumn("fixed", F.lit(0.0)).withColumn("share", F.lit(1.0))
+        else:
+            level = level.withColumn("up", _shorter(F.col("node"), d - 1)).join(above, "up")
+        chance = F.least(F.greatest(F.col("fixed") + F.col("share") * estimate, F.lit(1e-15)), F.lit(1 - 1e-15))
+        level = written(level.select("node", chance.alias("chance"), (F.col("fixed") + F.col("share") * F.col("stop") * estimate).alias("fixed"), (F.col("share") * (1 - F.col("stop"))).alias("share")))
+        above = level.select(F.col("node").alias("up"), "fixed", "share")
+        out.append(level.select("node", "chance"))
+    return out
+
+
+def pair_scores(pairs: DataFrame, tree: list[DataFrame]) -> DataFrame:
+    """(pair, log): natural logarithm of each distinct pair's byte in its context, from the deepest known node of each decision."""
+    todo = pairs.select("pair", F.explode(_decisions(F.col("pair"))).alias("d")).select("pair", "d.node", "d.bit")
+    found = None
+    for d in range(len(tree) - 1, -1, -1):
+        met = written(todo.withColumn("node", _shorter(F.col("node"), d)).join(tree[d], "node", "left"))
+        log = met.where("chance IS NOT NULL").select("pair", F.log(F.when(F.col("bit") == 1, F.col("chance")).otherwise(1 - F.col("chance"))).alias("log"))
+        found = log if found is None else found.unionByName(log)
+        todo = met.where("chance IS NULL").select("pair", "node", "bit")
+    found = found.unionByName(todo.select("pair", F.lit(math.log(0.5)).alias("log")))
+    return found.groupBy("pair").agg(F.sum("log").alias("log"))
+
+
+def _token_pairs(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("token")
+            for at in range(0, batch.num_rows, 1000):
+                some = tokens.slice(at, 1000)
+                keys, of = symbols(some.to_pylist(), depth)
+                rows, times = np.unique(np.stack([of.astype(np.uint64), keys]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([some.take(pa.array(rows[0].astype(np.int64))), pa.array(rows[1].view(np.int64)), pa.array(times.astype(np.int64))], names=["token", "pair", "times"])
+
+    return run
+
+
+def token_scores(tokens: DataFrame, tree: list[DataFrame]) -> DataFrame:
+    """(token, score) of distinct tokens; scores are log10 probabilities."""
+    short_batches(tokens.sparkSession, 50_000)
+    used = written(tokens.select("token").mapInArrow(_token_pairs(len(tree) - 1), "token binary, pair long, times long"))
+    scored = used.join(pair_scores(used.select("pair").distinct(), tree), "pair")
+    return scored.groupBy("token").agg((F.sum(F.col("times") * F.col("log")) / math.log(10)).alias("score"))
+
+
 _ROWS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, token binary, times long"
 _ROW_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("token", pa.binary()), ("times", pa.int64())])
 
 
-def _score_rows(shared, total: int):
-    """For each text a row with what its frequent words and its end give, and a row for each other distinct word, with its score."""
+def _score_rows(shared, end: tuple[float, float], end_known: int):
+    """For each text a row with what its frequent words and its end give, and a row for each other distinct word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, words, base, logs = shared.value
+        words, base, logs = shared.value
         known = {w: (b, s) for w, b, s in zip(words, base.tolist(), logs.tolist(), strict=True)}
-        end = known.get(END) or (-math.log10(total), float(tree.token_logs([END])[0]) / math.log(10))
-        end_known = int(END in known)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, rest, of, times = [], [], [], []
@@ -259,16 +345,13 @@ def _score_rows(shared, total: int):
             cols = [pa.array(c) for c in zip(*sums, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("doc_id"), *cols, none, pa.nulls(len(ids), pa.int64())], schema=_ROW_SCHEMA)
             if rest:
-                distinct = list(dict.fromkeys(rest))
-                number = {w: i for i, w in enumerate(distinct)}
-                score = (tree.token_logs(distinct) / math.log(10))[[number[w] for w in rest]] * np.array(times)
-                nulls = [pa.nulls(len(rest), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *nulls, pa.array(score), pa.array(rest, pa.binary()), pa.array(times, pa.int64())], schema=_ROW_SCHEMA)
+                nulls = [pa.nulls(len(rest), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *nulls, pa.array(rest, pa.binary()), pa.array(times, pa.int64())], schema=_ROW_SCHEMA)
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, max_depth: int = MAX_DEPTH, max_pairs: int = MAX_PAIRS, hot_words: int = HOT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, max_depth: int = MAX_DEPTH, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -276,8 +359,9 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, max_d
     counts = written(token_counts(own.where(~held)))
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total = size.n + size.v + 1
-    tree = train(counts, max_depth, max_pairs)
-    short = counts.where(F.octet_length("token") <= HOT_BYTES)
+    tokens = written(counts.unionByName(token_counts(own.where(held)).withColumn("n", F.lit(0).cast("long"))).groupBy("token").agg(F.sum("n").alias("n")))
+    scored = written(tokens.join(token_scores(tokens, tree_tables(counts, max_depth)), "token"))
+    short = scored.where(F.octet_length("token") <= HOT_BYTES).where("n > 0")
     sizes = np.zeros(64, np.int64)
     for r in short.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("m")).collect():
         sizes[r.k] += r.m
@@ -285,14 +369,16 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, max_d
     frequent = short.where(F.col("n") >= least).toPandas()
     words = [bytes(w) for w in frequent["token"]]
     base = np.log10((frequent["n"].to_numpy(np.float64) + 1) / total)
-    shared = spark.sparkContext.broadcast((tree, words, base, tree.token_logs(words) / math.log(10)))
+    last = scored.where(F.octet_length("token") == 0).first()
+    end = (math.log10((last.n + 1) / total), last.score) if last else (0.0, 0.0)  # without it there are no texts
+    shared = spark.sparkContext.broadcast((words, base, frequent["score"].to_numpy(np.float64)))
     short_batches(spark)
-    rows = written(own.mapInArrow(_score_rows(shared, total), _ROWS))
+    rows = written(own.mapInArrow(_score_rows(shared, end, int(bool(last and last.n))), _ROWS))
     shared.destroy()  # the written rows need it no more
     # The other words: what the frequent ones and the end have not given, looked up by a shuffle and summed up by row.
-    n = F.coalesce("n", F.lit(0))
-    rest = rows.where("token IS NOT NULL").select("row", "token", "times", "score").join(counts, "token", "left")
-    rest = rest.select("row", F.when(n > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * F.log10((n + 1) / F.lit(total))).alias("base"), "score")
+    n = F.col("n")
+    rest = rows.where("token IS NOT NULL").select("row", "token", "times").join(scored, "token")
+    rest = rest.select("row", F.when(n > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * F.log10((n + 1) / F.lit(total))).alias("base"), (F.col("times") * F.col("score")).alias("score"))
     whole = rows.where("token IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
     parts = whole.unionByName(rest, allowMissingColumns=True)
     sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
