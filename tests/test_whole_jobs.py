@@ -1,8 +1,10 @@
 """Jobs that must be done whole, however large a trip is."""
 
 import datetime as dt
+import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wayfowl.operators import tracks
 
@@ -69,3 +71,25 @@ def test_segmentation_query_takes_whole_trips(spark, sf):
     models = registry.queries()["h9_segment_tracks"](spark, sf).groupBy("trip_id", "n_cluster").agg({"last_row": "max"}).collect()
     assert {r.n_cluster for r in models} == set(range(5, 11)) and {r.trip_id for r in models} == set(rows)
     assert all(r["max(last_row)"] == rows[r.trip_id] for r in models)
+
+
+def test_shape_metrics_come_from_the_rediscretised_track(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.exponential(3, 40).cumsum(), rng.normal(0, 4, 40).cumsum()
+    steps = tracks.step_attributes(positions_of(spark, x, y)).withColumn("seg", F.lit(1))
+    got = tracks.shape_metrics(steps, places=9).first()
+    at = [0.0]
+    for i in range(39):
+        at.append(at[-1] + math.hypot(x[i + 1] - x[i], y[i + 1] - y[i]))
+    along = [at[-1] * k / 39 for k in range(40)]
+    px, py = np.interp(along, at, x), np.interp(along, at, y)
+    dist = [math.hypot(px[i + 1] - px[i], py[i + 1] - py[i]) for i in range(39)]
+    angle = [math.atan2(py[i + 1] - py[i], px[i + 1] - px[i]) for i in range(39)]
+    turns = [b - a for a, b in zip(angle, angle[1:])]
+    c, s = np.mean(np.cos(turns)), np.mean(np.sin(turns))
+    p, b = np.mean(dist), np.std(dist, ddof=1) / np.mean(dist)
+    assert math.isclose(got.straightness, math.hypot(px[-1] - px[0], py[-1] - py[0]) / sum(dist), rel_tol=1e-6)
+    assert math.isclose(got.sinuosity, 2 / math.sqrt(p * ((1 + c) / (1 - c) + b * b)), rel_tol=1e-6)
+    assert math.isclose(got.ang_vector, math.hypot(c, s), rel_tol=1e-6) and math.isclose(got.ang_mean, math.atan2(s, c), rel_tol=1e-5)
+    raw = tracks.raw_shape_metrics(steps, places=9).first()
+    assert got.emax == raw.emax and got.sq_disp == raw.sq_disp and got.straightness != raw.straightness

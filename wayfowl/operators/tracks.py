@@ -261,7 +261,7 @@ def segment_stats(steps: DataFrame, columns: tuple[str, ...] = ("dx", "dy", "r2n
     return steps.groupBy("trip_id", "seg").agg(*(a for c in columns for a in (F.avg(c).alias(f"mu_{c}"), F.stddev_samp(c).alias(f"sd_{c}"))))
 
 
-def shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int = 3) -> DataFrame:
+def raw_shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int = 3) -> DataFrame:
     """Per (trip_id, seg), from the raw steps: straightness, sinuosity, Emax, expected squared displacement, directional change.
     Sums over steps only; a segment without turns gets nulls."""
     c = F.cos("rel_angle")
@@ -282,6 +282,18 @@ def shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int = 3) ->
     )
 
 
+#: Metrics that the reference takes from the rediscretised track; all others come from the raw steps.
+OF_REDISCRETISED = ("straightness", "sinuosity", "ang_vector", "ang_mean")
+
+
+def shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int = 3) -> DataFrame:
+    """Per (trip_id, seg) the metrics of raw_shape_metrics, but turning vector, straightness and sinuosity of the segment's track
+    rediscretised to its mean step."""
+    walked = raw_shape_metrics(step_attributes(rediscretise(steps), ("trip_id", "seg")), frame_s, places)
+    raw = raw_shape_metrics(steps, frame_s, places).drop(*OF_REDISCRETISED)
+    return raw.join(walked.select("trip_id", "seg", *OF_REDISCRETISED), ["trip_id", "seg"], "left")
+
+
 _REDISCRETISED = "trip_id long, seg int, ord long, ts timestamp, x double, y double"
 
 

@@ -108,10 +108,15 @@ SELECT trip_id, seg, round(net / len, 2) AS straightness, round(2 / sqrt(p * ((1
 
 @query("h12_shape_metrics", SHAPE)
 def h12(v):
-    s = tr.shape_metrics(seg_steps(v), 1 / 50, 9)
+    s = tr.raw_shape_metrics(seg_steps(v), 1 / 50, 9)  # as its SQL twin does; the next query has the reference's metrics
     return s.select("trip_id", "seg", *(F.round(c, 2).alias(c) for c in ("straightness", "sinuosity", "emax", "ang_vector", "dc_mean")), F.round(F.col("r2n_mean") + 1e-7, 2).alias("r2n_mean"))
 
 
+@query("h12_shape_metrics_rediscretised")
+def h12w(v):
+    return tr.shape_metrics(seg_steps(v))
+
+
 @query("h12_rediscretise")
 def h12r(v):
     return tr.rediscretise(v("track").withColumn("seg", (F.floor((F.col("ord") - 1) / 40) + 1).cast("int")))
