@@ -6,7 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from wayfowl.operators import tracks
+from wayfowl.operators import behaviour, tracks
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -93,3 +93,27 @@ def test_shape_metrics_come_from_the_rediscretised_track(spark):
     assert math.isclose(got.ang_vector, math.hypot(c, s), rel_tol=1e-6) and math.isclose(got.ang_mean, math.atan2(s, c), rel_tol=1e-5)
     raw = tracks.raw_shape_metrics(steps, places=9).first()
     assert got.emax == raw.emax and got.sq_disp == raw.sq_disp and got.straightness != raw.straightness
+
+
+def test_all_tolerances_and_combinations(spark, sf):
+    from wayfowl.plans import registry
+
+    sweep = registry.queries()["g3_tolerance_sweep"](spark, sf)
+    assert {r.n for r in sweep.groupBy("trip_id").agg(F.count_distinct("tol").alias("n")).collect()} == {200}
+    clusters = registry.queries()["i3_two_cluster"](spark, sf)
+    assert {r.n for r in clusters.groupBy("trip_id").agg(F.count_distinct("combo").alias("n")).collect()} == {231}
+    best = registry.queries()["i6_best_of_all_combinations"](spark, sf).collect()
+    assert len(best) == len({r.trip_id for r in best}) == clusters.select("trip_id").distinct().count() and all(0 <= r.score <= 1 for r in best)
+
+
+def test_linkage_equals_the_slow_one():
+    rng = np.random.default_rng(9)
+    for n in range(1, 16):
+        points = rng.integers(0, 6, (n, 2)).astype(float)  # with ties
+        groups = [[i] for i in range(n)]
+        far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+        while len(groups) > 2:
+            _, i, j = min((far[np.ix_(groups[i], groups[j])].max(), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+            groups[i] += groups.pop(j)
+        want = [1 if any(0 in g and i in g for g in groups) else 2 for i in range(n)]
+        assert behaviour.complete_linkage_two(points).tolist() == want

@@ -39,8 +39,13 @@ def complete_linkage_two(points: np.ndarray) -> np.ndarray:
     """Labels 1 and 2 of agglomerative clustering with complete linkage, cut at two; the first row is in cluster 1."""
     groups = [[i] for i in range(len(points))]
     far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    far[np.tril_indices(len(far))] = np.inf  # pairs i < j; ties go to the first
     while len(groups) > 2:
-        _, i, j = min((far[np.ix_(groups[i], groups[j])].max(), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        i, j = divmod(int(far.argmin()), len(far))
+        both = np.minimum(far, far.T)
+        farther = np.maximum(both[i], both[j])
+        far[i, i + 1 :], far[:i, i] = farther[i + 1 :], farther[:i]
+        far = np.delete(np.delete(far, j, axis=0), j, axis=1)
         groups[i] += groups.pop(j)
     out = np.ones(len(points), np.int64)
     if len(groups) == 2:
@@ -49,16 +54,15 @@ def complete_linkage_two(points: np.ndarray) -> np.ndarray:
 
 
 def two_cluster(segments: DataFrame, combos: DataFrame, columns: list[str]) -> DataFrame:
-    """(trip_id, combo, seg, cluster): each trip's segments in two clusters for each combination of metrics. Groups have a trip's
-    few segments; trips meet the short list of combinations by a broadcast."""
+    """(trip_id, combo, seg, cluster): each trip's segments in two clusters for each combination of metrics. A group has a trip's
+    few segments and goes through the list of combinations, which has a fixed size."""
+    listed = [(r.combo, [m for m in r.metrics if m in columns]) for r in combos.collect()]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg", ignore_index=True)
-        used = [m for m in pdf.metrics.iloc[0] if m in columns]
-        x = np.nan_to_num(pdf[used].to_numpy(np.float64))
-        return pd.DataFrame({"trip_id": pdf.trip_id, "combo": pdf.combo, "seg": pdf.seg, "cluster": complete_linkage_two(x)})
+        return pd.concat([pd.DataFrame({"trip_id": pdf.trip_id, "combo": c, "seg": pdf.seg, "cluster": complete_linkage_two(np.nan_to_num(pdf[used].to_numpy(np.float64)))}) for c, used in listed])
 
-    return segments.select("trip_id", "seg", *columns).crossJoin(F.broadcast(combos)).groupBy("trip_id", "combo").applyInPandas(one, "trip_id long, combo int, seg int, cluster long")
+    return segments.select("trip_id", "seg", *columns).groupBy("trip_id").applyInPandas(one, "trip_id long, combo int, seg int, cluster long")
 
 
 def classify_segment(segments: DataFrame, short: int = 5) -> DataFrame:

@@ -315,7 +315,7 @@ def g2i(v):
 
 @query("g3_tolerance_sweep")
 def g3(v):
-    return ps.tolerance_sweep(zenith_pairs(v), 0.02, 0.2)
+    return ps.tolerance_sweep(zenith_pairs(v))
 
 
 TOL = """

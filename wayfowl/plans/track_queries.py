@@ -156,12 +156,35 @@ def i2(v):
     return bh.zscore(metrics(v).select("trip_id", "seg", "straightness", "r2n_mean"), ["straightness", "r2n_mean"])
 
 
+def shapes(v):
+    """All metrics of GROUPS for each segment, with its first and last position."""
+    steps = seg_steps(v)
+    m = tr.shape_metrics(steps).join(tr.segment_stats(steps, ("x", "y", "dx", "dy", "dist")), ["trip_id", "seg"])
+    return m.join(steps.groupBy("trip_id", "seg").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")), ["trip_id", "seg"])
+
+
+def clustered(m):
+    """(trip_id, combo, seg, cluster) of all combinations of one to three groups."""
+    cols = [c for g in GROUPS for c in g]
+    return bh.two_cluster(bh.zscore(m.select("trip_id", "seg", *cols), cols), bh.metric_combinations(m.sparkSession, GROUPS), cols)
+
+
 @query("i3_two_cluster")
 def i3(v):
-    m = metrics(v)
-    combos = bh.metric_combinations(m.sparkSession, [("straightness",), ("sinuosity",), ("r2n_mean",)], 1)
-    cols = ["straightness", "sinuosity", "ang_vector", "r2n_mean"]
-    return bh.two_cluster(bh.zscore(m.select("trip_id", "seg", *cols), cols), combos, cols)
+    return clustered(shapes(v))
+
+
+@query("i6_best_of_all_combinations")
+def i6_all(v):
+    m = shapes(v)
+    spark = m.sparkSession
+    home = bh.two_cluster(bh.zscore(m.select("trip_id", "seg", "r2n_mean"), ["r2n_mean"]), spark.createDataFrame([(0, ["r2n_mean"])], "combo int, metrics array<string>"), ["r2n_mean"])
+    d = m.join(home.select("trip_id", "seg", F.col("cluster").alias("clust_bnb")), ["trip_id", "seg"]).join(clustered(m).withColumnRenamed("cluster", "clust_sm"), ["trip_id", "seg"])
+    d = d.join(tr.r2n_limit(tr.step_attributes(v("track"))).withColumnRenamed("limit", "r2n_limit"), "trip_id", "left")
+    d = d.join(F.broadcast(bh.metric_combinations(spark, GROUPS).select("combo", F.size("metrics").alias("n_metrics"))), "combo")
+    # Each trip is judged once for each combination, so both are the key of the rules' windows.
+    d = bh.confidence_score(bh.classify_segment(d.withColumn("trip_id", F.struct("trip_id", "combo"))))
+    return bh.best_combination(d.withColumn("trip_id", F.col("trip_id.trip_id")))
 
 
 CLASSIFY = SM + f""", k AS (SELECT *, arg_min(clust_sm, ang_vector) OVER t = clust_sm AS still, arg_min(clust_bnb, r2n_mean) OVER t = clust_bnb AS home, row_number() OVER {SW} AS i, count(*) OVER t AS n FROM m WINDOW t AS (PARTITION BY trip_id)),
