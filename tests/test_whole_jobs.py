@@ -117,3 +117,16 @@ def test_linkage_equals_the_slow_one():
             groups[i] += groups.pop(j)
         want = [1 if any(0 in g and i in g for g in groups) else 2 for i in range(n)]
         assert behaviour.complete_linkage_two(points).tolist() == want
+
+
+def test_light_files_are_written_by_several_tasks(spark, sf, tmp_path, monkeypatch):
+    from wayfowl.plans import place_queries, registry
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # Spark joins small partitions, which these are
+    for name in ("a1_read_light_delimited", "a2_read_light_tabbed"):
+        path = str(tmp_path / name)
+        monkeypatch.setattr(place_queries, "_scratch", lambda _, path=path: path)
+        rows = registry.queries()[name](spark, sf).count()
+        parts = {f.name.split("-")[1] for f in (tmp_path / name).glob("*/part-*")}
+        assert rows == spark.read.text(path + "/*").count() and len(parts) > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

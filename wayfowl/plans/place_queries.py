@@ -555,10 +555,14 @@ def _scratch(spark):
 LIGHT = "SELECT CAST(trip_id AS VARCHAR) AS trip_id, US(ts) // 1000000 * 1000000 AS ts, round(lux, 6) AS lux FROM v_light"
 
 
+#: Files that a trip's lines are dealt over, so that no task writes all of a trip.
+LIGHT_FILES = 4
+
+
 def _round_trip(v, line, read):
     light = v("light")
     path = _scratch(light.sparkSession)
-    light.select("trip_id", line.alias("value")).repartition(1, "trip_id").write.partitionBy("trip_id").text(path)
+    light.select("trip_id", line.alias("value")).repartition("trip_id", F.pmod(F.xxhash64("value"), F.lit(LIGHT_FILES))).write.partitionBy("trip_id").text(path)
     back = read(light.sparkSession, path + "/*")
     return back.withColumn("trip_id", F.regexp_extract(F.col("folder"), "trip_id=([^/]+)", 1)).drop("folder") if "folder" in back.columns else back
 
