@@ -31,11 +31,27 @@ def test_transducer_equals_the_library_on_odd_texts():
 
 def test_tokens_come_out_after_bounded_lookahead():
     fst = bpe.MergeTransducer(bpe.load_ranks(PATH))
-    state, held, text = fst.start, 0, b"internationalisation" * 200
-    for byte in text:
-        state, out = fst.step(state, byte)
-        held += 1 - sum(len(fst.bytes_of[t]) for t in out)
-        assert held <= 2 * max(map(len, fst.ranks))
+    state, longest = fst.start, max(map(len, fst.ranks))
+    for byte in b"internationalisation" * 200:
+        state, token, length = fst.step(state, byte)
+        assert len(fst.bytes_of[token]) == length and max(node.depth for node in state.nodes) < longest
+
+
+def test_a_long_piece_of_varied_letters_stays_within_the_memory():
+    rng = random.Random(8)
+    piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    fst = bpe.MergeTransducer(bpe.load_ranks(PATH), memo_states=5000)
+    assert fst.encode(piece.encode()) == library().encode_ordinary(piece)
+    assert len(fst.states) <= 5000
+
+
+def test_memories_are_bounded_by_bytes():
+    rng, lib = random.Random(3), library()
+    own = bpe.ByteBpe(bpe.load_ranks(PATH), memo_size=200_000)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abcdefgh日本語") for _ in range(rng.choice((5, 9, 300)))) for _ in range(60))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode_ordinary(text)
+        assert own.size <= 200_000 and all(len(k) <= bpe.MEMO_BYTES for k in own.new)
 
 
 def test_utf8_stream_takes_any_cut():

@@ -3,9 +3,10 @@
 A merge table is compiled into a transducer that reads bytes and writes tokens. Its ground is a locality property of BPE: a
 split of a text into tokens is the one that merging by rank gives exactly if each two neighbours, merged on their own, stay
 as they are. So after each byte exactly one token can end there, given the tokens that end before it. A state holds the
-positions from which a longer token may still begin, each with the tokens that lead to it; what all of them share is
-written, so a token comes out as soon as no longer token can change it, and the lookahead is bounded by the longest token.
-States and transitions are made when they are first needed and then remembered.
+places from which a longer token may still begin, each with the token that ends where it begins; a transition tells the token
+that ends behind the byte read. No place lies further back than the longest token, so with that much lookahead all earlier
+tokens are settled: they are read back from the place where all ways meet, at the end of a piece or every SETTLE_BYTES of a
+long one. States and transitions are made when they are first needed and then remembered, MEMO_STATES of them at most.
 
 Decoding joins the tokens' bytes in chunks and feeds them to an incremental UTF-8 machine, whose state is the unfinished
 sequence at the end of the last chunk.
@@ -30,9 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import short_batches, table
 
-#: Transitions and chunk results that a worker remembers at most.
+#: States that a worker remembers at most.
 MEMO_STATES = 250_000
-MEMO_CHUNKS = 2_000_000
+#: Bytes of memory (with what Python needs for an entry) that remembered ids of chunks and pieces take at most, and the longest
+#: text that is remembered. When half of that is new, the older half goes.
+MEMO_SIZE = 384 << 20
+MEMO_BYTES = 64
+ENTRY = 150
+#: Bytes of a piece after which its settled tokens are written.
+SETTLE_BYTES = 4096
 DECODE_TOKENS = 8192
 
 
@@ -41,39 +48,40 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class _State:
-    """What is read but not written, and for each place in it the token that ends there (with its start), given the token that
-    was written last. Places from which a longer token may begin are live; a node of the vocabulary's trie goes with each."""
+class _Node:
+    """A place in the trie of the vocabulary: the token that ends in it, or -1."""
 
-    __slots__ = ("live", "next", "nodes", "starts", "text", "tokens")
+    __slots__ = ("depth", "kids", "token")
 
-    def __init__(self, text: bytes, live: tuple[int, ...], nodes: tuple[dict, ...], starts: tuple[int, ...], tokens: tuple[int, ...]):
-        self.text, self.live, self.nodes, self.starts, self.tokens = text, live, nodes, starts, tokens
-        self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
+    def __init__(self, depth: int):
+        self.depth, self.kids, self.token = depth, {}, -1
 
-    def path(self, end: int) -> tuple[int, ...]:
-        """The tokens from the beginning of text up to a place."""
-        out = []
-        while end:
-            out.append(self.tokens[end])
-            end = self.starts[end]
-        return tuple(out[::-1])
 
+class _State:
+    """The places from which a longer token may still begin, earliest first: for each the node that is reached from it and the
+    token that ends where it begins. The earliest node spells all text that can still matter, so histories with equal nodes and
+    tokens share a state, whatever was read before. next: byte to (state, token that ends behind the byte, its length)."""
+
+    __slots__ = ("lefts", "next", "nodes")
 
-_TOKEN = -1  # the key under which a node of the trie has the token that ends in it
+    def __init__(self, nodes: list[_Node], lefts: list[int]):
+        self.nodes, self.lefts = nodes, lefts
+        self.next: dict[int, tuple[_State, int, int]] = {}
 
 
 class MergeTransducer:
     def __init__(self, ranks: dict[bytes, int], memo_states: int = MEMO_STATES):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.trie: dict = {}
+        self.root = _Node(0)
         self.merges: dict[int, int] = {}  # rank of what two tokens merge to
         for name, rank in ranks.items():
-            node = self.trie
+            node = self.root
             for byte in name:
-                node = node.setdefault(byte, {})
-            node[_TOKEN] = rank
+                if (kid := node.kids.get(byte)) is None:
+                    kid = node.kids[byte] = _Node(node.depth + 1)
+                node = kid
+            node.token = rank
             for i in range(1, len(name)):
                 if (left := ranks.get(name[:i])) is not None and (right := ranks.get(name[i:])) is not None:
                     self.merges[left << 32 | right] = rank
@@ -82,8 +90,8 @@ class MergeTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.start = _State(b"", (0,), (self.trie,), (0,), (-1,))
-        self.states = {(-1, b""): self.start}
+        self.start = _State([self.root], [-1])
+        self.states: dict[tuple, _State] = {}
 
     def parts_of(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this token from its bytes; (token, token) for a single byte, None if merging by rank
@@ -120,58 +128,64 @@ class MergeTransducer:
             else:
                 before, right = right + 1, b
 
-    def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        n, known, token, start = len(state.text) + 1, state.tokens, -1, 0
-        live, nodes = [], []
-        for at, node in zip(state.live, state.nodes, strict=True):  # from the earliest on; exactly one token can end here
-            node = node.get(byte)
-            if node is None:
+    def step(self, state: _State, byte: int) -> tuple[_State, int, int]:
+        token, length = -1, 0
+        nodes: list[_Node] = []
+        lefts: list[int] = []
+        for node, left in zip(state.nodes, state.lefts):  # noqa: B905  # from the earliest on; exactly one token can end here
+            if (node := node.kids.get(byte)) is None:
                 continue
-            t = node.get(_TOKEN, -1)
-            if t >= 0 > token and self.stay(known[at], t):
-                token, start = t, at
-            if t < 0 or len(node) > 1:
-                live.append(at)
+            if node.token >= 0 > token and self.stay(left, node.token):
+                token, length = node.token, node.depth
+            if node.kids:
                 nodes.append(node)
+                lefts.append(left)
         if token < 0:
             raise ValueError("the ranks lack single bytes")
-        starts = (*state.starts, start)
-        fixed = {*live, n}  # where the ways to all live places last meet, what comes before is settled
-        while len(fixed) > 1:
-            last = max(fixed)
-            fixed.remove(last)
-            fixed.add(starts[last])
-        cut, out = fixed.pop(), ()
-        text = state.text[cut:] + bytes((byte,)) if cut < n else b""
-        if cut:
-            done, end = [], cut
-            while end:
-                done.append(token if end == n else known[end])
-                end = starts[end]
-            out = tuple(done[::-1])
-        key = (out[-1] if out else known[0], text)
-        to = self.states.get(key)
-        if to is None:
-            live.append(n)
-            nodes.append(self.trie)
-            to = self.states[key] = _State(text, tuple(x - cut for x in live), tuple(nodes), (0, *(x - cut for x in starts[cut + 1 :])), (*known, token)[cut:])
-        state.next[byte] = move = (to, out)
+        nodes.append(self.root)
+        lefts.append(token)
+        key = (nodes[0], *lefts)
+        if (to := self.states.get(key)) is None:
+            if len(self.states) >= self.memo_states:  # also within a piece: the walk goes on from here with an empty memory
+                self._reset()
+            to = self.states[key] = _State(nodes, lefts)
+        state.next[byte] = move = (to, token, length)
         return move
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    @staticmethod
+    def _tokens(tokens: list[int], lengths: list[int], end: int) -> list[int]:
+        """The tokens up to a place, read back from it."""
+        out = []
+        while end:
+            out.append(tokens[end - 1])
+            end -= lengths[end - 1]
+        out.reverse()
+        return out
+
+    def encode(self, piece: bytes) -> list[int]:
         """The ids of one match of the splitting pattern."""
         if (whole := self.ranks.get(piece)) is not None:
-            return (whole,)
-        if len(self.states) > self.memo_states:
-            self._reset()
-        out: list[int] = []
-        state = self.start
-        for byte in piece:
-            move = state.next.get(byte) or self.step(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        return (*out, *state.path(len(state.text)))
+            return [whole]
+        state, written = self.start, []
+        tokens: list[int] = []
+        lengths: list[int] = []
+        for at in range(0, len(piece), SETTLE_BYTES):
+            for byte in piece[at : at + SETTLE_BYTES]:
+                state, token, length = state.next.get(byte) or self.step(state, byte)
+                tokens.append(token)
+                lengths.append(length)
+            if at + SETTLE_BYTES < len(piece):
+                # Where the ways to all places that still matter last meet, what comes before is settled and written.
+                n = len(tokens)
+                ways = {n - node.depth for node in state.nodes}
+                while len(ways) > 1:
+                    last = max(ways)
+                    ways.remove(last)
+                    ways.add(last - lengths[last - 1])
+                cut = ways.pop()
+                written += self._tokens(tokens, lengths, cut)
+                del tokens[:cut], lengths[:cut]
+        return written + self._tokens(tokens, lengths, len(tokens))
 
 
 class Utf8Stream:
@@ -199,57 +213,50 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-# A space that white space or the end follows: there the text is not simply words behind single spaces.
-_LOOSE = re.compile(r" (?=\s|\Z)")
 _CUTS = re.compile(r"(?= \S)")
 
 
 class ByteBpe:
     """Encodes texts by a rank file and a splitting pattern. A match of the pattern never spans the place before a space that
-    a visible character follows, so texts are cut there, and the ids of each chunk are remembered."""
+    a visible character follows, so texts are cut there, and the ids of each chunk are remembered, unless it is long; of long
+    chunks the pieces are."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, memo_chunks: int = MEMO_CHUNKS):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, memo_size: int = MEMO_SIZE):
         self.fst = MergeTransducer(ranks)
         self.table = [self.fst.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.findall = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.memos: tuple[dict[str, bytes], ...] = ({}, {})  # of whole chunks, and of chunks behind a space
-        self.old: tuple[dict[str, bytes], ...] = ({}, {})
-        self.memo_chunks = memo_chunks
-
-    def chunk(self, text: str, spaced: bool) -> bytes:
-        """Ids of a chunk (behind a space); its pieces are remembered like chunks of their own."""
-        pieces = self.findall(" " + text if spaced else text)
-        if len(pieces) == 1:
-            return np.array(self.fst.encode(pieces[0].encode()), "<u4").tobytes()
-        out = []
-        for piece in pieces:
-            behind = piece[0] == " " and len(piece) > 1
-            key, memo = (piece[1:], self.memos[1]) if behind else (piece, self.memos[0])
-            if (ids := memo.get(key) or self.old[behind].get(key)) is None:
-                ids = np.array(self.fst.encode(piece.encode()), "<u4").tobytes()
-            memo[key] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _joined(self, parts: list[str], spaced: bool) -> bytes:
-        memo = self.memos[spaced]
-        try:
-            return b"".join(map(memo.__getitem__, parts))
-        except KeyError:
-            old = self.old[spaced]
-            for p in parts:
-                if p not in memo:
-                    memo[p] = old.get(p) or self.chunk(p, spaced)
-            return b"".join(map(memo.__getitem__, parts))
+        self.memo_size = memo_size
+        self.old: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.size = 0  # of what is new
+
+    def _learn(self, text: str) -> bytes:
+        """Ids of a chunk, which from now on are remembered if it is short."""
+        if (ids := self.old.get(text)) is None:
+            pieces = self.findall(text)
+            if len(pieces) == 1:
+                ids = np.array(self.fst.encode(text.encode()), "<u4").tobytes()
+            else:
+                ids = b"".join([self.new.get(p) or self._learn(p) for p in pieces])
+        if len(text) <= MEMO_BYTES:
+            self.new[text] = ids
+            self.size += len(text) + len(ids) + ENTRY
+        return ids
+
+    def _joined(self, parts: list[str]) -> bytes:
+        get = self.new.get
+        found = list(map(get, parts))
+        if None in found:
+            found = [get(p) or self._learn(p) for p in parts]
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if sum(map(len, self.memos)) > self.memo_chunks // 2:  # what was used lately stays, as the old half
-            self.old, self.memos = self.memos, ({}, {})
-        if _LOOSE.search(text):
-            return self._joined(_CUTS.split(text), False)
-        first, *rest = text.split(" ")
-        return self._joined([first], False) + self._joined(rest, True)
+        if not text:
+            return b""
+        if self.size > self.memo_size // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        return self._joined(_CUTS.split(text))
 
     def decode_stream(self, ids: bytes) -> Iterator[str]:
         stream = Utf8Stream()
