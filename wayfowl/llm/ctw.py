@@ -1,35 +1,39 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is its tokens: lower-cased words and one end. A word is its bytes and a closing space; the end is a newline where a word
-could begin. Each byte is decomposed into eight binary decisions, each with a tree of contexts: the last 0 to `depth` bytes of
-the word (spaces stand before it). Every node holds a Krichevsky-Trofimov estimate of its decisions, and context-tree weighting
-mixes the estimates of all depths along a context's path with the weights that the training data give: the node's own
-estimate against what its children make of the same data. A context that was never seen ends the path at its deepest known
-suffix. Code length per byte follows from the score.
-
-All counts are gathered by Spark from all training rows: words (summed up before they are shuffled), then from the distinct
-words the byte contexts, weighted by the words' counts. The tree is a table for each depth with all contexts that occurred,
-however many: it is weighted from the deepest level up by aggregations and from the root down by joins, and distinct words are
-scored by joining their contexts with it, so no part of the model has to fit the driver or a task. (train() makes a tree in
-memory, bounded by an occurrence threshold; tests compare with it, no query uses it.)
-
-Scores of texts: the scores of the most frequent words of at most HOT_BYTES bytes, HOT_WORDS of them at most, are sent to every task (a fixed
-bound); all other words of a text are joined with the same table of scores by a shuffle.
+A text is its lower-cased words, each followed by one space, and a newline as its end. Each byte is decomposed into eight binary
+decisions, each with a tree of contexts: the last 0 to MAX_DEPTH bytes before it, across words (spaces stand before the text).
+Every node holds a Krichevsky-Trofimov estimate of its decisions, and context-tree weighting mixes the estimates of all depths
+along a context's path with the weights that the training data give: the node's own estimate against what its children make of
+the same data. A context that was never seen ends the path at its deepest known suffix. A text's score is the sum over all its
+bytes; code length per byte follows from it.
+
+The model has every pair of context and byte that occurs, however many there are:
+
+* Each task sums up the pairs and words of its texts and hands them on in blocks, dealt out by the last TOP_DEPTH bytes of the
+  context (words by their hash). All deeper contexts that end in those bytes are below one node, so a bucket holds whole subtrees.
+* From the deepest level up, each bucket weighs its subtrees; the few levels above TOP_DEPTH are aggregations. From the root down,
+  those levels are joins, and each bucket goes on to the logarithm of every pair.
+* A text looks its pairs and words up: the most frequent ones (HOT_PAIRS and HOT_WORDS at most, a fixed bound) are sent to every
+  task, all others are joined with the same table by a shuffle.
+
+Words are told apart by 64-bit hashes; two of a billion distinct words share one with a probability of three in a hundred.
 
 Defined cases: null text counts as empty (its only token is the end); rows with a null doc_id fall in the training part and are
-scored like any other; repeated rows count as often as they occur; without training rows N and V are zero; an empty table
-gives an empty result; other columns are ignored.
+scored like any other; repeated rows count as often as they occur; texts of any length are worked through in slices; without
+training rows N and V are zero and every decision has a chance of one half; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +41,18 @@ from pyspark.sql import functions as F
 from .common import id_bucket, short_batches, table, text_bytes, written
 
 MAX_DEPTH = 6
-MAX_PAIRS = 150_000
-HOT_WORDS = 1 << 17
-HOT_BYTES = 48
+TOP_DEPTH = 3
+HOT_PAIRS = 1 << 20
+HOT_WORDS = 1 << 19
 HELD_OUT = (7, 2)  # crc32(doc_id as text) modulo 7 is 2: nothing is learnt from these rows
-END = b""  # stands for the end in tables of tokens; no word is empty
-#: Distinct words that a task gathers before it hands on their counts.
-GATHER_WORDS = 300_000
+#: Bytes of texts that are worked on at once, also of one long text.
+GROUP_BYTES = 2 << 20
+#: Keys that a task gathers before it sums them up, and that one row of a block holds.
+GATHER_KEYS = 4 << 20
+BLOCK_KEYS = 4096
+WORDS, PAIRS = 0, 1
+END = xxhash.xxh64_intdigest(b"")  # no word is empty
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -57,332 +66,452 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y
 
 
-def symbols(tokens: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, token's number) of every byte of the tokens: a key has the context's bytes, then the byte itself."""
-    own = [b"\n" if t == END else t + b" " for t in tokens]
-    lengths = np.fromiter(map(len, own), np.int64, len(own))
-    data = np.frombuffer((b" " * depth).join([b"", *own]), np.uint8).astype(np.uint64)
-    at = np.arange(int(lengths.sum())) + depth * np.repeat(np.arange(1, len(own) + 1), lengths)
-    keys = np.zeros(len(at), np.uint64)
-    for back in range(depth, -1, -1):
-        keys = keys << np.uint64(8) | data[at - back]
-    return keys, np.repeat(np.arange(len(own)), lengths)
+_HALVES, _WHOLES = log_gamma(np.arange(1 << 14) + 0.5), log_gamma(np.arange(1 << 14) + 1.0)
+
+
+def own_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    out, both = np.empty(len(zeros)), zeros + ones
+    small = both < len(_WHOLES)
+    a, b = zeros[small].astype(np.int64), ones[small].astype(np.int64)
+    out[small] = _HALVES[a] + _HALVES[b] - _WHOLES[a + b]
+    a, b = zeros[~small], ones[~small]
+    out[~small] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1)
+    return out - math.log(math.pi)
+
+
+def weighted(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logarithm of the mixture, weight of a node's own estimate); below is the sum of the children's mixtures."""
+    own = own_log(zeros, ones) + math.log(0.5)
+    mixed = np.logaddexp(own, below + math.log(0.5))
+    return mixed, np.exp(np.minimum(own - mixed, 0.0))
+
+
+# --- texts to keys -------------------------------------------------------------------------------------------------------
+
+
+def stream(words: list[bytes]) -> bytes:
+    return b" ".join([*words, b"\n"])
+
+
+def slices(data: bytes, depth: int, size: int) -> Iterator[bytes]:
+    """A stream in slices, each with the bytes before it that are contexts."""
+    padded = b" " * depth + data
+    for at in range(0, len(data), size):
+        yield padded[at : at + size + depth]
+
+
+def context_keys(parts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, part's number) of every byte of the parts behind their first `depth` bytes: a key has the context, the latest byte
+    lowest, and below it the byte itself."""
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) - depth
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    keys = data[depth:].astype(np.uint64)
+    for back in range(1, depth + 1):
+        keys |= data[depth - back : len(data) - back].astype(np.uint64) << np.uint64(8 * back)
+    of = np.repeat(np.arange(len(parts)), lengths)
+    return keys[np.arange(len(of)) + depth * of], of
+
+
+def word_keys(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text's number) of every token, the end included."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(n.sum()))
+    rows = np.arange(len(words))
+    return np.concatenate([keys, np.full(len(words), END, np.uint64)]), np.concatenate([np.repeat(rows, n), rows])
+
+
+def groups(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(number of the first, words of each): consecutive texts of bounded size together."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= GROUP_BYTES):
+            size += len(texts[stop])
+            stop += 1
+        yield at, [t.lower().split() for t in texts[at:stop]]  # on bytes both touch ASCII only: A-Z, and x20 x09-x0D
+        at = stop
+
+
+def pair_keys(words: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, text's number) of every byte of the texts' streams; a long text comes in several slices."""
+    parts, of, size = [], [], 0
+    for i, own in enumerate(words):
+        for part in slices(stream(own), depth, GROUP_BYTES):
+            if size + len(part) > 2 * GROUP_BYTES:
+                keys, place = context_keys(parts, depth)
+                yield keys, np.array(of)[place]
+                parts, of, size = [], [], 0
+            parts.append(part)
+            of.append(i)
+            size += len(part)
+    keys, place = context_keys(parts, depth)
+    yield keys, np.array(of)[place]
+
+
+# --- counting ------------------------------------------------------------------------------------------------------------
 
 
-def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, *(np.bincount(place, w, len(distinct)) for w in weights)
+    return distinct, np.bincount(place, n, len(distinct)).astype(np.int64)
 
 
-@dataclass
-class ContextTree:
-    """For each depth: the sorted keys of its nodes (context's bytes, then the decided bits behind a leading one), and the
-    logarithms of the mixed probability that the next bit is 0 or 1 where this node is the deepest known one."""
-
-    depth: int
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]  # nodes x 2, float32
-    seen: np.ndarray  # pairs of context and byte that occurred, sorted
-    seen_logs: np.ndarray
-
-    def pair_logs(self, pairs: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each byte's probability in its context."""
-        out = np.zeros(len(pairs))
-        byte = pairs & np.uint64(255)
-        for i in range(8):
-            bits = np.uint64(1 << i) | byte >> np.uint64(8 - i)
-            bit = (byte >> np.uint64(7 - i) & np.uint64(1)).astype(np.int64)
-            log = np.full(len(pairs), math.log(0.5))
-            todo = np.arange(len(pairs))
-            for d in range(self.depth, -1, -1):
-                mask = np.uint64((1 << 8 * d) - 1)
-                key = (pairs[todo] >> np.uint64(8) & mask) << np.uint64(8) | bits[todo]
-                place = np.minimum(np.searchsorted(self.keys[d], key), max(0, len(self.keys[d]) - 1))
-                known = self.keys[d][place] == key if len(self.keys[d]) else np.zeros(len(todo), bool)
-                log[todo[known]] = self.logs[d][place[known], bit[todo[known]]]
-                todo = todo[~known]
-                if not len(todo):
-                    break
-            out += log
-        return out
-
-    def token_logs(self, tokens: list[bytes]) -> np.ndarray:
-        """Natural logarithm of each token's probability."""
-        if not tokens:
-            return np.zeros(0)
-        keys, of = symbols(tokens, self.depth)
+class _Gathered:
+    """Keys and how often they came; summed up whenever many have come."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether it is time to hand them on."""
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.size += len(self.parts[-1][0])
+        if self.size > GATHER_KEYS:
+            self.parts = [self.sums()]
+            self.size = len(self.parts[0][0])
+        return self.size > GATHER_KEYS // 2 and len(self.parts) == 1
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))
+
+
+def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    own = keys if kind == WORDS else keys >> np.uint64(8) & np.uint64((1 << 8 * TOP_DEPTH) - 1)
+    return ((own * _MIX) >> np.uint64(40)).astype(np.int64) % buckets
+
+
+def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values of eight-byte numbers, cut at these places (the first 0, the last the end)."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+_BLOCK = "kind int, bucket int, held boolean, keys binary, n binary"
+_BLOCK_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("held", pa.bool_()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def _blocks(kind: int, held: bool, keys: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = bucket_of(kind, keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    sizes = np.diff(np.append(first, len(bucket)))
+    pieces = -(-sizes // BLOCK_KEYS)
+    starts = np.repeat(first, pieces) + BLOCK_KEYS * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    cuts = np.append(starts, len(bucket))
+    rows = len(starts)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), pa.array(bucket[starts].astype(np.int32)), pa.array(np.full(rows, held)), _blobs(keys[order], cuts), _blobs(n[order], cuts)], schema=_BLOCK_SCHEMA)
+
+
+def _count(depth: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = {(kind, held): _Gathered() for kind in (WORDS, PAIRS) for held in (False, True)}
+        for batch in batches:
+            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            for at, words in groups(text_bytes(batch, "text")):
+                mine = held[at : at + len(words)]
+                for kind, found in ((WORDS, [word_keys(words)]), (PAIRS, pair_keys(words, depth))):
+                    for keys, of in found:
+                        for side in (False, True):
+                            some = mine[of] == side
+                            if some.any() and gathered[kind, side].add(keys if some.all() else keys[some]):
+                                yield _blocks(kind, side, *gathered[kind, side].sums(), buckets)
+                                gathered[kind, side] = _Gathered()
+        for (kind, side), g in gathered.items():
+            if g.parts:
+                yield _blocks(kind, side, *g.sums(), buckets)
+
+    return run
+
+
+_SUMS = "kind int, bucket int, keys binary, n binary, m binary"
+_SUM_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("m", pa.binary())])
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by kind and bucket: one row a bucket, with each key's number in the training part (n) and elsewhere (m)."""
+
+    def row(at: tuple[int, int], parts: list[tuple[bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys = np.concatenate([p[1] for p in parts])
         distinct, place = np.unique(keys, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.seen, distinct), max(0, len(self.seen) - 1))
-        known = self.seen[at] == distinct if len(self.seen) else np.zeros(len(distinct), bool)
-        logs = np.zeros(len(distinct))
-        logs[known] = self.seen_logs[at[known]]
-        logs[~known] = self.pair_logs(distinct[~known])
-        return np.bincount(of, logs[place], len(tokens))
-
-
-def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
-    """The weighted tree; levels[d] has the pairs of a context of d bytes with the byte behind it, and how often they occurred."""
-    depth = len(levels) - 1
-    keys, ones, zeros = [], [], []
-    for own, n in levels:
-        byte, context = own & np.uint64(255), own >> np.uint64(8)
-        key = np.concatenate([context << np.uint64(8) | np.uint64(1 << i) | byte >> np.uint64(8 - i) for i in range(8)])
-        bit = np.concatenate([byte >> np.uint64(7 - i) & np.uint64(1) for i in range(8)])
-        for out, x in zip((keys, ones, zeros), _summed(key, np.tile(n, 8) * bit, np.tile(n, 8) * (1 - bit.astype(np.float64))), strict=True):
-            out.append(x)
-    stop: list[np.ndarray] = [np.zeros(0)] * (depth + 1)  # weight of a node's own estimate against what its children say
-    parents: list[np.ndarray] = [np.zeros(0, np.int64)] * (depth + 1)
-    below, kids = np.zeros(len(keys[depth])), np.zeros(len(keys[depth]))
-    for d in range(depth, -1, -1):
-        a, b = zeros[d], ones[d]
-        own_log = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
-        mixed = np.where(kids > 0, np.logaddexp(own_log, below) + math.log(0.5), own_log)
-        stop[d] = np.where(kids > 0, np.exp(np.minimum(own_log + math.log(0.5) - mixed, 0.0)), 1.0)
-        if d:
-            mask = np.uint64((1 << 8 * (d - 1)) - 1)
-            parents[d] = np.searchsorted(keys[d - 1], (keys[d] >> np.uint64(8) & mask) << np.uint64(8) | keys[d] & np.uint64(255))
-            below, kids = np.bincount(parents[d], mixed, len(keys[d - 1])), np.bincount(parents[d], minlength=len(keys[d - 1]))
-    # From the root down: the mixture's chance of a one is fixed + share * (what this node says).
-    logs = []
-    fixed, share = np.zeros(len(keys[0])), np.ones(len(keys[0]))
-    for d in range(depth + 1):
-        estimate = (ones[d] + 0.5) / (ones[d] + zeros[d] + 1)
-        chance = np.clip(fixed + share * estimate, 1e-15, 1 - 1e-15)
-        logs.append(np.log(np.stack([1 - chance, chance], axis=1)).astype(np.float32))
-        if d < depth:
-            p = parents[d + 1]
-            fixed, share = (fixed + share * stop[d] * estimate)[p], (share * (1 - stop[d]))[p]
-    tree = ContextTree(depth, keys, logs, np.zeros(0, np.uint64), np.zeros(0))
-    tree.seen_logs, tree.seen = tree.pair_logs(levels[depth][0]).astype(np.float32), levels[depth][0]
-    return tree
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
-
-    counts: Counter = Counter()
+        n, m = (np.bincount(place, np.concatenate([p[2] if p[0] == side else np.zeros(len(p[2])) for p in parts]), len(distinct)).astype(np.int64) for side in (False, True))
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*at, distinct.tobytes(), n.tobytes(), m.tobytes()), _SUM_SCHEMA.types, strict=True)], schema=_SUM_SCHEMA)
+
+    last, parts = None, []
     for batch in batches:
-        for text in text_bytes(batch, "text"):
-            counts.update(text.lower().split())  # on bytes both touch ASCII only: A-Z, and x20 x09-x0D
-        counts[END] += batch.num_rows
-        if len(counts) > GATHER_WORDS:
-            yield flush(counts)
-            counts = Counter()
-    if counts:
-        yield flush(counts)
-
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, n) over all rows; the end is the empty token."""
+        for kind, bucket, held, keys, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "held", "keys", "n")), strict=True):
+            if (kind, bucket) != last:
+                if parts:
+                    yield row(last, parts)
+                last, parts = (kind, bucket), []
+            parts.append((held, np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)))
+    if parts:
+        yield row(last, parts)
+
+
+def key_counts(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(kind, bucket, keys, n, m) over (held, text): all words and all pairs, in buckets."""
     short_batches(docs.sparkSession)
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    blocks = docs.mapInArrow(_count(depth, buckets), _BLOCK)
+    return written(blocks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_sum_blocks, _SUMS))
+
+
+# --- the tree ------------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class _Level:
+    nodes: np.ndarray  # sorted: context's bytes, then the decided bits behind a leading one
+    zeros: np.ndarray
+    ones: np.ndarray
+    up: np.ndarray  # place of a node's parent in the level above
+    mixed: np.ndarray
+    stop: np.ndarray
+
+
+def shorter(nodes: np.ndarray, d: int) -> np.ndarray:
+    """The nodes' keys with only the last d bytes of their contexts."""
+    return (nodes >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | nodes & np.uint64(255)
+
+
+def subtrees(pairs: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[_Level], np.ndarray, np.ndarray]:
+    """(levels, the deepest first and `top` last; place, bit): the subtrees below the depth `top`, weighed from the deepest level
+    up, and for each pair the deepest nodes and the bits of its eight decisions. Pairs that were not trained on have n = 0; their
+    nodes change no mixture."""
+    byte, context = pairs & np.uint64(255), pairs >> np.uint64(8) << np.uint64(8)
+    nodes = np.concatenate([context | np.uint64(1 << i) | byte >> np.uint64(8 - i) for i in range(8)])
+    bit = np.concatenate([byte >> np.uint64(7 - i) & np.uint64(1) for i in range(8)]).astype(bool)
+    nodes, place = np.unique(nodes, return_inverse=True)
+    times = np.tile(n.astype(np.float64), 8)
+    ones, all_ = np.bincount(place, times * bit, len(nodes)), np.bincount(place, times, len(nodes))
+    zeros, mixed, stop = all_ - ones, own_log(all_ - ones, ones), np.ones(len(nodes))
+    levels = []
+    for d in range(depth, top, -1):
+        parents, up = np.unique(shorter(nodes, d - 1), return_inverse=True)
+        levels.append(_Level(nodes, zeros, ones, up, mixed, stop))
+        nodes, zeros, ones = parents, *(np.bincount(up, x, len(parents)) for x in (zeros, ones))
+        mixed, stop = weighted(zeros, ones, np.bincount(up, mixed, len(parents)))
+    levels.append(_Level(nodes, zeros, ones, np.zeros(0, np.int64), mixed, stop))
+    return levels, place.reshape(8, -1), bit.reshape(8, -1)
+
+
+def pair_logs(levels: list[_Level], place: np.ndarray, bit: np.ndarray, fixed: np.ndarray, share: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each pair's byte in its context. At the level `top`, the mixture's chance of a one is fixed + share *
+    (what this node says), or `above` where the node was never trained on."""
+    for level in levels[::-1]:
+        estimate, known = (level.ones + 0.5) / (level.ones + level.zeros + 1), level.ones + level.zeros > 0
+        chance = np.where(known, fixed + share * estimate, above)
+        if level is not levels[0]:
+            down = levels[next(i for i, x in enumerate(levels) if x is level) - 1].up
+            fixed = np.where(known, fixed + share * level.stop * estimate, chance)[down]
+            share = np.where(known, share * (1 - level.stop), 0.0)[down]
+            above = chance[down]
+    chance = np.clip(chance, 1e-15, 1 - 1e-15)
+    return np.where(bit, np.log(chance)[place], np.log1p(-chance)[place]).sum(axis=0)
+
 
+def _numbers(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, n, m = (batch.column(c)[row].as_py() for c in ("keys", "n", "m"))
+    return np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(m, np.int64)
 
-def _count_pairs(depth: int):
+
+_TOPS = "bucket int, node long, zeros double, ones double, mixed double, stop double"
+
+
+def _bottom_up(depth: int, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys, of = symbols(batch.column("token").to_pylist(), depth)
-                keys, n = _summed(keys, batch.column("n").to_numpy(zero_copy_only=False)[of])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                pairs, n, _ = _numbers(batch, i)
+                t = subtrees(pairs, n, depth, top)[0][-1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t.nodes), bucket, np.int32)), *(pa.array(x) for x in (t.nodes.view(np.int64), t.zeros, t.ones, t.mixed, t.stop))], names=["bucket", "node", "zeros", "ones", "mixed", "stop"])
 
     return run
 
 
-def train(counts: DataFrame, max_depth: int = MAX_DEPTH, max_pairs: int = MAX_PAIRS) -> ContextTree:
-    """The tree of a table of token counts. Pairs are summed up by Spark at every depth; only those of contexts that occurred
-    often enough, max_pairs at most, come to the driver."""
-    short_batches(counts.sparkSession, 50_000)
-    level = counts.mapInArrow(_count_pairs(max_depth), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    levels, parents = [], []
-    for d in range(max_depth, -1, -1):
-        level = written(level)
-        levels.append(level)
-        context = F.shiftrightunsigned("pair", 8).bitwiseAND(F.lit((1 << 8 * max(0, d - 1)) - 1)).alias("context")
-        parents.append(level.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("m")))
-        if d:
-            level = level.groupBy(F.col("pair").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("pair")).agg(F.sum("n").alias("n"))
-    levels, parents = levels[::-1], parents[::-1]
-    sizes = np.zeros(64, np.int64)
-    for p in parents[1:]:
-        for r in p.groupBy(F.floor(F.log2("total")).cast("int").alias("k")).agg(F.sum("m").alias("m")).collect():
-            sizes[r.k] += r.m
-    kept = np.cumsum(sizes[::-1])[::-1] <= max_pairs  # with 2**k occurrences at least
-    least = 1 << int(np.argmax(kept))
-    found = []
-    for d, (own, p) in enumerate(zip(levels, parents, strict=True)):
-        if d:
-            context = F.shiftrightunsigned("pair", 8).bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
-            own = own.withColumn("context", context).join(p.where(F.col("total") >= least).select("context"), "context", "left_semi")
-        pdf = own.select("pair", "n").toPandas()
-        pairs, n = pdf["pair"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.float64)
-        order = np.argsort(pairs)
-        found.append((pairs[order], n[order]))
-    return weigh(found)
-
-
-_NODES = "node long, zeros double, ones double, mixed double, stop double"
-
-
-def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of nodes (node, zeros, ones, below) the mixture's logarithm and the weight of a node's own estimate; below is the sum of
-    its children's mixtures, null at the deepest level."""
+def _weigh_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("zeros", "ones"))
-        own = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
-        below = batch.column("below").to_numpy(zero_copy_only=False).astype(np.float64)  # null becomes not-a-number
-        leaf = np.isnan(below)
-        mixed = np.where(leaf, own, np.logaddexp(own, np.where(leaf, 0.0, below)) + math.log(0.5))
-        stop = np.where(leaf, 1.0, np.exp(np.minimum(own + math.log(0.5) - mixed, 0.0)))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(a), pa.array(b), pa.array(mixed), pa.array(stop)], names=["node", "zeros", "ones", "mixed", "stop"])
+        zeros, ones, below = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("zeros", "ones", "below"))
+        mixed, stop = weighted(zeros, ones, below)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(zeros), pa.array(ones), pa.array(mixed), pa.array(stop)], names=["node", "zeros", "ones", "mixed", "stop"])
 
 
 def _shorter(node: Column, d: int) -> Column:
-    """A node's key with only the last d bytes of its context."""
     context = F.shiftrightunsigned(node, 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
     return F.shiftleft(context, 8).bitwiseOR(node.bitwiseAND(F.lit(255)))
 
 
-def _decisions(pair: Column) -> Column:
-    """The eight decisions of a pair of context and byte: (node, bit)."""
-    byte, context = pair.bitwiseAND(F.lit(255)), F.shiftleft(F.shiftrightunsigned(pair, 8), 8)
-    return F.array(*(F.struct(context.bitwiseOR(F.shiftrightunsigned(byte, 8 - i)).bitwiseOR(F.lit(1 << i)).alias("node"), F.shiftrightunsigned(byte, 7 - i).bitwiseAND(F.lit(1)).alias("bit")) for i in range(8)))
-
-
-def tree_tables(counts: DataFrame, max_depth: int = MAX_DEPTH) -> list[DataFrame]:
-    """For each depth all nodes (node, chance): the mixed probability of a one where this node is the deepest known one."""
-    short_batches(counts.sparkSession, 50_000)
-    pairs = counts.where("n > 0").mapInArrow(_count_pairs(max_depth), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    bits = pairs.select("n", F.explode(_decisions(F.col("pair"))).alias("d")).select("d.node", "d.bit", "n")
-    level = bits.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("ones"), F.lit(None).cast("double").alias("below"))
+def top_nodes(sums: DataFrame, depth: int, top: int) -> DataFrame:
+    """(bucket, node, fixed, share, above) of all nodes of the depth `top`: what the levels above leave to them."""
+    tops = level = written(sums.where(F.col("kind") == PAIRS).mapInArrow(_bottom_up(depth, top), _TOPS))
     levels = []
-    for d in range(max_depth, -1, -1):
-        levels.append(written(level.select("node", "zeros", "ones", "below").mapInArrow(_weighted, _NODES)))
-        if d:
-            level = levels[-1].groupBy(_shorter(F.col("node"), d - 1).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("below"))
-    out, estimate = [], (F.col("ones") + 0.5) / (F.col("ones") + F.col("zeros") + 1)
-    for d, level in enumerate(levels[::-1]):
-        # From the root down: the mixture's chance of a one is fixed + share * (what this node says).
-        if d == 0:
-            level = level.withColumn("fixed", F.lit(0.0)).withColumn("share", F.lit(1.0))
+    for d in range(top - 1, -1, -1):
+        level = level.groupBy(_shorter(F.col("node"), d).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("below"))
+        level = written(level.mapInArrow(_weigh_nodes, "node long, zeros double, ones double, mixed double, stop double"))
+        levels.append(level)
+    known, estimate = F.col("ones") + F.col("zeros") > 0, (F.col("ones") + 0.5) / (F.col("ones") + F.col("zeros") + 1)
+    chance = F.when(known, F.col("fixed") + F.col("share") * estimate).otherwise(F.col("above"))
+    over = None
+    for d, level in enumerate([*levels[::-1], tops]):
+        if over is None:
+            placed = level.select("*", F.lit(0.0).alias("fixed"), F.lit(1.0).alias("share"), F.lit(0.5).alias("above"))
         else:
-            level = level.withColumn("up", _shorter(F.col("node"), d - 1)).join(above, "up")
-        chance = F.least(F.greatest(F.col("fixed") + F.col("share") * estimate, F.lit(1e-15)), F.lit(1 - 1e-15))
-        level = written(level.select("node", chance.alias("chance"), (F.col("fixed") + F.col("share") * F.col("stop") * estimate).alias("fixed"), (F.col("share") * (1 - F.col("stop"))).alias("share")))
-        above = level.select(F.col("node").alias("up"), "fixed", "share")
-        out.append(level.select("node", "chance"))
-    return out
-
-
-def pair_scores(pairs: DataFrame, tree: list[DataFrame]) -> DataFrame:
-    """(pair, log): natural logarithm of each distinct pair's byte in its context, from the deepest known node of each decision."""
-    todo = pairs.select("pair", F.explode(_decisions(F.col("pair"))).alias("d")).select("pair", "d.node", "d.bit")
-    found = None
-    for d in range(len(tree) - 1, -1, -1):
-        met = written(todo.withColumn("node", _shorter(F.col("node"), d)).join(tree[d], "node", "left"))
-        log = met.where("chance IS NOT NULL").select("pair", F.log(F.when(F.col("bit") == 1, F.col("chance")).otherwise(1 - F.col("chance"))).alias("log"))
-        found = log if found is None else found.unionByName(log)
-        todo = met.where("chance IS NULL").select("pair", "node", "bit")
-    found = found.unionByName(todo.select("pair", F.lit(math.log(0.5)).alias("log")))
-    return found.groupBy("pair").agg(F.sum("log").alias("log"))
-
-
-def _token_pairs(depth: int):
+            placed = level.withColumn("up", _shorter(F.col("node"), d - 1)).join(over, "up")
+        if d == top:
+            return placed.select("bucket", "node", "fixed", "share", "above")
+        over = written(placed.select(
+            F.col("node").alias("up"), F.when(known, F.col("fixed") + F.col("share") * F.col("stop") * estimate).otherwise(chance).alias("fixed"),
+            F.when(known, F.col("share") * (1 - F.col("stop"))).otherwise(0.0).alias("share"), chance.alias("above"),
+        ))
+
+
+_VALUES = "kind int, key long, times long, known int, base double, score double"
+
+
+def _values_of_words(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column("token")
-            for at in range(0, batch.num_rows, 1000):
-                some = tokens.slice(at, 1000)
-                keys, of = symbols(some.to_pylist(), depth)
-                rows, times = np.unique(np.stack([of.astype(np.uint64), keys]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([some.take(pa.array(rows[0].astype(np.int64))), pa.array(rows[1].view(np.int64)), pa.array(times.astype(np.int64))], names=["token", "pair", "times"])
+            for i in range(batch.num_rows):
+                keys, n, m = _numbers(batch, i)
+                yield _value_rows(WORDS, keys, n + m, n > 0, np.log10((n + 1) / total), np.zeros(len(keys)))
 
     return run
 
 
-def token_scores(tokens: DataFrame, tree: list[DataFrame]) -> DataFrame:
-    """(token, score) of distinct tokens; scores are log10 probabilities."""
-    short_batches(tokens.sparkSession, 50_000)
-    used = written(tokens.select("token").mapInArrow(_token_pairs(len(tree) - 1), "token binary, pair long, times long"))
-    scored = used.join(pair_scores(used.select("pair").distinct(), tree), "pair")
-    return scored.groupBy("token").agg((F.sum(F.col("times") * F.col("log")) / math.log(10)).alias("score"))
+def _value_rows(kind: int, keys: np.ndarray, times: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(times), pa.array(known.astype(np.int32)), pa.array(base), pa.array(score)], names=["kind", "key", "times", "known", "base", "score"])
 
 
-_ROWS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, token binary, times long"
-_ROW_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("token", pa.binary()), ("times", pa.int64())])
+def _values_of_pairs(depth: int, top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pairs, n, m = _numbers(batch, i)
+                tops = batch.column("tops")[i].values
+                node, *above = (tops.field(c).to_numpy(zero_copy_only=False) for c in ("node", "fixed", "share", "above"))
+                order = np.argsort(node.view(np.uint64))  # as subtrees() sorts them
+                logs = pair_logs(*subtrees(pairs, n, depth, top), *(x[order] for x in above))
+                yield _value_rows(PAIRS, pairs, n + m, np.zeros(len(pairs)), np.zeros(len(pairs)), logs / math.log(10))
+
+    return run
+
+
+def key_values(sums: DataFrame, total: int, depth: int, top: int = TOP_DEPTH) -> DataFrame:
+    """(kind, key, times, known, base, score) of every word and every pair: what one occurrence adds to a text's sums."""
+    short_batches(sums.sparkSession, 16)  # a row is a bucket
+    below = top_nodes(sums, depth, top).groupBy("bucket").agg(F.collect_list(F.struct("node", "fixed", "share", "above")).alias("tops"))  # a bucket's own
+    pairs = sums.where(F.col("kind") == PAIRS).join(below, "bucket").select("keys", "n", "m", "tops").mapInArrow(_values_of_pairs(depth, top), _VALUES)
+    words = sums.where(F.col("kind") == WORDS).select("keys", "n", "m").mapInArrow(_values_of_words(total), _VALUES)
+    return written(words.unionByName(pairs))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, n, _ = _numbers(batch, i)
+            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], names=["n", "v"])
+
+
+# --- scoring -------------------------------------------------------------------------------------------------------------
 
 
-def _score_rows(shared, end: tuple[float, float], end_known: int):
-    """For each text a row with what its frequent words and its end give, and a row for each other distinct word."""
+def frequent(values: DataFrame, kind: int, most: int) -> tuple[int, pa.Table]:
+    """(least, rows): the values of the keys of a kind that occur `least` times or more, at most `most` of them."""
+    own = values.where(F.col("kind") == kind)
+    sizes = np.zeros(256, np.int64)
+    for r in own.groupBy(F.floor(4 * F.log2("times")).cast("int").alias("k")).agg(F.count("*").alias("m")).collect():  # 256 rows at most
+        sizes[r.k] += r.m
+    first = int(np.argmax(np.cumsum(sizes[::-1])[::-1] <= most))
+    rows = own.where(F.floor(4 * F.log2("times")) >= first)
+    return first, rows.select("key", *ADDS[kind].values()).toArrow()
+
+
+#: What a word and a pair add to a text's sums: the sum's name, and the value's.
+ADDS = {WORDS: {"n_known": "known", "base": "base"}, PAIRS: {"score": "score"}}
+
+
+class _Lookup:
+    def __init__(self, rows: pa.Table):
+        key = rows.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        self.keys = key[order]
+        self.values = {c: rows.column(c).to_numpy()[order] for c in rows.column_names if c != "key"}
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of sorted keys."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+
+_ROWS = "row long, doc_id long, n_tokens long, n_bytes long, n_known long, base double, score double, kind int, key long, times long"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+_ROW_SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in _ROWS.split(", ")])
+
+
+def _score_rows(shared, depth: int):
+    """For each text a row with what its frequent words and pairs give, and a row for each other distinct word and pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, logs = shared.value
-        known = {w: (b, s) for w, b, s in zip(words, base.tolist(), logs.tolist(), strict=True)}
+        words_at, pairs_at = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, rest, of, times = [], [], [], []
-            sums = []
-            for text in text_bytes(batch, "text"):
-                counts = Counter(text.lower().split())
-                n, hits, b, s = 1, end_known, *end
-                for w, c in counts.items():
-                    n += c
-                    if (x := known.get(w)) is not None:
-                        hits += c
-                        b += c * x[0]
-                        s += c * x[1]
-                    else:
-                        rest.append(w)
-                        of.append(row)
-                        times.append(c)
-                ids.append(row)
-                sums.append((n, hits, b, s))
-                row += 1
-            if not ids:
-                continue
-            none = pa.nulls(len(ids), pa.binary())
-            cols = [pa.array(c) for c in zip(*sums, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("doc_id"), *cols, none, pa.nulls(len(ids), pa.int64())], schema=_ROW_SCHEMA)
-            if rest:
-                nulls = [pa.nulls(len(rest), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *nulls, pa.array(rest, pa.binary()), pa.array(times, pa.int64())], schema=_ROW_SCHEMA)
+            ids = batch.column("doc_id")
+            for at, words in groups(text_bytes(batch, "text")):
+                size = len(words)
+                sums = {c: np.zeros(size) for c in ("n_tokens", "n_bytes", "n_known", "base", "score")}
+                rest = []
+                for kind, lookup, found in ((WORDS, words_at, [word_keys(words)]), (PAIRS, pairs_at, pair_keys(words, depth))):
+                    for keys, of in found:
+                        distinct, place = np.unique(keys, return_inverse=True)
+                        spot, there = lookup.find(distinct)
+                        sums["n_tokens" if kind == WORDS else "n_bytes"] += np.bincount(of, minlength=size)
+                        if there.any():
+                            for to, c in ADDS[kind].items():
+                                sums[to] += np.bincount(of, np.where(there, lookup.values[c][spot], 0)[place], size)
+                        missed = ~there[place]
+                        if missed.any():
+                            k, t = keys[missed], of[missed]
+                            order = np.lexsort((k, t))
+                            k, t = k[order], t[order]
+                            first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (t[1:] != t[:-1]))))
+                            rest.append((kind, row + t[first], k[first], np.diff(np.append(first, len(k)))))
+                whole = [pa.array(np.arange(row, row + size)), ids.slice(at, size), *(pa.array(sums[c].astype(np.int64)) for c in ("n_tokens", "n_bytes", "n_known")), pa.array(sums["base"]), pa.array(sums["score"])]
+                yield pa.RecordBatch.from_arrays([*whole, *(pa.nulls(size, t) for t in _ROW_SCHEMA.types[7:])], schema=_ROW_SCHEMA)
+                for kind, rows, keys, times in rest:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.nulls(len(rows), t) for t in _ROW_SCHEMA.types[1:7]), pa.array(np.full(len(rows), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(times)], schema=_ROW_SCHEMA)
+                row += size
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, max_depth: int = MAX_DEPTH, hot_words: int = HOT_WORDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities."""
+def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, max_depth: int = MAX_DEPTH, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row; scores are log10
+    probabilities, n_bytes counts the coded bytes and bits_per_byte is their code length."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = (id_bucket("doc_id", held_out[0]) == held_out[1]) & F.col("doc_id").isNotNull()
-    counts = written(token_counts(own.where(~held)))
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total = size.n + size.v + 1
-    tokens = written(counts.unionByName(token_counts(own.where(held)).withColumn("n", F.lit(0).cast("long"))).groupBy("token").agg(F.sum("n").alias("n")))
-    scored = written(tokens.join(token_scores(tokens, tree_tables(counts, max_depth)), "token"))
-    short = scored.where(F.octet_length("token") <= HOT_BYTES).where("n > 0")
-    sizes = np.zeros(64, np.int64)
-    for r in short.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("m")).collect():
-        sizes[r.k] += r.m
-    least = 1 << int(np.argmax(np.cumsum(sizes[::-1])[::-1] <= hot_words))  # so often at least; hot_words of them at most
-    frequent = short.where(F.col("n") >= least).toPandas()
-    words = [bytes(w) for w in frequent["token"]]
-    base = np.log10((frequent["n"].to_numpy(np.float64) + 1) / total)
-    last = scored.where(F.octet_length("token") == 0).first()
-    end = (math.log10((last.n + 1) / total), last.score) if last else (0.0, 0.0)  # without it there are no texts
-    shared = spark.sparkContext.broadcast((words, base, frequent["score"].to_numpy(np.float64)))
+    buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = key_counts(own.select(held.alias("held"), "text"), max_depth, buckets)
+    size = sums.where(F.col("kind") == WORDS).mapInArrow(_sizes, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    values = key_values(sums, size.n + size.v + 1, max_depth, min(TOP_DEPTH, max_depth))
+    (least_words, words), (least_pairs, pairs) = frequent(values, WORDS, hot_words), frequent(values, PAIRS, hot_pairs)
+    shared = spark.sparkContext.broadcast((_Lookup(words), _Lookup(pairs)))
+    del words, pairs
     short_batches(spark)
-    rows = written(own.mapInArrow(_score_rows(shared, end, int(bool(last and last.n))), _ROWS))
+    rows = written(own.mapInArrow(_score_rows(shared, max_depth), _ROWS))
     shared.destroy()  # the written rows need it no more
-    # The other words: what the frequent ones and the end have not given, looked up by a shuffle and summed up by row.
-    n = F.col("n")
-    rest = rows.where("token IS NOT NULL").select("row", "token", "times").join(scored, "token")
-    rest = rest.select("row", F.when(n > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * F.log10((n + 1) / F.lit(total))).alias("base"), (F.col("times") * F.col("score")).alias("score"))
-    whole = rows.where("token IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
-    parts = whole.unionByName(rest, allowMissingColumns=True)
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
-    return sums.select("doc_id", (held.alias("held_out")), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    # The other words and pairs are looked up by a shuffle and summed up by row.
+    others = values.where(F.floor(4 * F.log2("times")) < F.when(F.col("kind") == WORDS, least_words).otherwise(least_pairs)).select("kind", "key", "known", "base", "score")
+    rest = rows.where("key IS NOT NULL").select("row", "kind", "key", F.col("times").alias("n")).join(others, ["kind", "key"])
+    rest = rest.select("row", (F.col("n") * F.col("known")).alias("n_known"), (F.col("n") * F.col("base")).alias("base"), (F.col("n") * F.col("score")).alias("score"))
+    whole = rows.where("key IS NULL").select("row", "doc_id", "n_tokens", "n_bytes", "n_known", "base", "score")
+    both = whole.unionByName(rest, allowMissingColumns=True)
+    total = both.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_tokens", "n_bytes")), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
+    bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
+    return total.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", "n_bytes", bits.alias("bits_per_byte"))
 
 
 def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
