@@ -99,8 +99,11 @@ class QualityModel:
             return np.full(len(x), self.prior)
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights + self.bias, -30, 30)))
 
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return self.predict(np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES)))
+
     def score(self, text: bytes) -> float:
-        return float(self.predict(np.array([features(text)]))[0])
+        return float(self.scores([text])[0])
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS) -> QualityModel:
@@ -152,9 +155,7 @@ def scores(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = np.array([features(t) for t in text_bytes(batch, "text")])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.predict(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(text_bytes(batch, "text")), pa.float64())], names=["doc_id", "score"])
 
     short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -163,7 +164,7 @@ def scores(docs: DataFrame, model: QualityModel) -> DataFrame:
 def only_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold, with all their columns; texts are not shuffled."""
     model = train(docs, labels)
-    return keep_by_score(docs, lambda t: model.score(t) >= threshold)
+    return keep_by_score(docs, lambda texts: model.scores(texts) >= threshold)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
