@@ -4,17 +4,21 @@ Largest inner product becomes smallest distance by one more component, sqrt(M**2
 the largest norm. Vectors are then turned by a random rotation, so that the first d of D components are a fair sample of a
 distance, and are kept in blocks of columns. While a probed list is scanned, a candidate whose partial distance after d
 components fails the test "its whole distance is within the k-th best" (its partial distance exceeds
-d / D * (1 + EPSILON / sqrt(d)) ** 2 of that) is abandoned; what survives gets its exact inner product.
+d / D * (1 + EPSILON / sqrt(d)) ** 2, or the whole, of that) is abandoned; what survives gets its exact inner product. Queries
+and candidates meet in tiles: a column block is one matrix product for a whole tile as long as many of its pairs are alive.
 
-k-means centres come from a bounded sample, and so does the number of lists to probe: the smallest with which a sample of
+k-means centres come from a sample of at most SAMPLE rows and SAMPLE_BYTES, and so does the number of lists to probe: the smallest with which a sample of
 queries finds TARGET of its true neighbours in the sample. Every vector is indexed. The nearest list is scanned first, and
 the k-th score found there is where the scan of the other lists starts.
 
 Lists of any size are cut into chunks of bounded size, and queries into blocks, so that one frequent vector neither fills a
 task nor is shortened.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, rows with a null id and vectors whose length
-differs from the commonest take no part; ties go to the smaller id; repeated rows are candidates of their own, but ask once;
+Vectors only meet vectors of their length. The FITTED_LENGTHS commonest lengths have an index each; vectors of a rarer length
+are one list, which is scanned whole.
+
+Defined cases: vectors that are null, zero or hold null or non-finite components and rows with a null id take no part; ties go
+to the smaller id; repeated rows are candidates of their own, but ask once, with the shortest and then least of their vectors;
 with fewer candidates than k all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -36,8 +40,13 @@ EVERY = 20
 EPSILON = 2.1
 TARGET = 0.97
 COLUMNS = 16  # of a block
-ROWS = 1024  # of a block
+ROWS = 2048  # of a block
+TILE_QUERIES = 256  # that meet a block of rows at once
+DENSE = 0.2  # share of a tile's pairs below which single pairs are followed
+PAIRS = 1 << 15  # whose rows are gathered at once
 SAMPLE = 8192
+SAMPLE_BYTES = 64 << 20
+FITTED_LENGTHS = 4
 SAMPLE_QUERIES = 256
 MAX_LISTS = 1024
 LIST_ROWS = 1024
@@ -94,63 +103,100 @@ def fit(sample: np.ndarray, norm: float, rows: int, k: int = K, target: float =
     return index
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, x: np.ndarray, ids: np.ndarray, index: ListIndex, k: int = K) -> Iterator[tuple[int, int, float]]:
+def _pair_sums(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows a[i] and b[j], in bounded memory."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), PAIRS):
+        out[lo : lo + PAIRS] = (a[i[lo : lo + PAIRS]] * b[j[lo : lo + PAIRS]]).sum(axis=1)
+    return out
+
+
+def _survivors(asked: list[np.ndarray], asked_norms: list[np.ndarray], rows: list[np.ndarray], row_norms: list[np.ndarray], limit: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs of a tile that no test abandons. Column blocks are matrix products over the tile while many pairs are
+    alive, and products of pairs afterwards."""
+    d, share, i, j = sum(c.shape[1] for c in rows), 0, None, None
+    partial = np.zeros((len(limit), len(rows[0])))
+    for c in range(len(rows)):
+        share += rows[c].shape[1]
+        most = limit * min(1.0, share / d * (1 + EPSILON / np.sqrt(share)) ** 2) + slack
+        if i is None:
+            partial += asked_norms[c][:, None] + row_norms[c][None] - 2 * asked[c] @ rows[c].T
+            alive = partial <= most[:, None]
+            if alive.sum() < DENSE * alive.size or c == len(rows) - 1:
+                i, j = np.nonzero(alive)
+                partial = partial[i, j]
+        else:
+            partial = partial + asked_norms[c][i] + row_norms[c][j] - 2 * _pair_sums(asked[c], i, rows[c], j)
+            kept = partial <= most[i]
+            i, j, partial = i[kept], j[kept], partial[kept]
+        if i is not None and not len(i):
+            break
+    return i, j
+
+
+def scan(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, x: np.ndarray, ids: np.ndarray, index: ListIndex, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's row, candidate's id, score): each query's best k among x, given that a score below floors is of no use."""
     turned, asked = index.lift(x) @ index.rotation, np.column_stack([queries, np.zeros(len(queries))]) @ index.rotation
     d = turned.shape[1]
     edges = [*range(0, d, COLUMNS), d]
-    # column blocks in contiguous memory, for each block of rows
-    blocks = [(lo, [np.ascontiguousarray(turned[lo : lo + ROWS, a:b]) for a, b in zip(edges, edges[1:], strict=False)]) for lo in range(0, len(x), ROWS)]
-    norms = [[(c**2).sum(axis=1) for c in columns] for _, columns in blocks]
-    for i in range(len(queries)):
-        q, floor = asked[i], floors[i]
-        reach = (q**2).sum() + index.norm**2
-        parts = [q[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        best_ids, best_scores = np.zeros(0, np.int64), np.zeros(0)
+    cut = lambda m: [np.ascontiguousarray(m[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    squares = lambda blocks: [(c**2).sum(axis=1) for c in blocks]
+    blocks = [(lo, cut(turned[lo : lo + ROWS])) for lo in range(0, len(x), ROWS)]
+    norms = [squares(columns) for _, columns in blocks]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(queries), TILE_QUERIES):
+        q, own_ids, floor = queries[at : at + TILE_QUERIES], query_ids[at : at + TILE_QUERIES], floors[at : at + TILE_QUERIES].copy()
+        parts = cut(asked[at : at + TILE_QUERIES])
+        part_norms, reach = squares(parts), (q**2).sum(axis=1) + index.norm**2
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, id, score
         for (lo, columns), own in zip(blocks, norms, strict=True):
-            alive: np.ndarray | None = None  # all
-            limit = reach - 2 * floor
-            if np.isfinite(limit):
-                partial = np.zeros(len(columns[0]))
-                for j in range(len(columns) - 1):
-                    c, n = (columns[j], own[j]) if alive is None else (columns[j][alive], own[j][alive])
-                    partial = partial + n + (parts[j] ** 2).sum() - 2 * c @ parts[j]
-                    share = edges[j + 1]
-                    kept = partial <= limit * share / d * (1 + EPSILON / np.sqrt(share)) ** 2 + 1e-9 * reach
-                    alive = np.flatnonzero(kept) if alive is None else alive[kept]
-                    partial = partial[kept]
-                    if not len(alive):
-                        break
-            rows = np.arange(lo, lo + len(columns[0])) if alive is None else alive + lo
-            rows = rows[ids[rows] != query_ids[i]]
-            if not len(rows):
-                continue
-            scores = (x[rows] * queries[i]).sum(axis=1)
-            some = scores >= floor
-            all_ids, all_scores = np.concatenate([best_ids, ids[rows[some]]]), np.concatenate([best_scores, scores[some]])
-            top = np.lexsort((all_ids, -all_scores))[:k]
-            best_ids, best_scores = all_ids[top], all_scores[top]
-            if len(top) == k:
-                floor = max(floor, best_scores[-1])
-        for c, s in zip(best_ids.tolist(), best_scores.tolist(), strict=True):
-            yield i, c, s
+            stop = lo + len(columns[0])
+            if np.isfinite(floor).all():
+                i, j = _survivors(parts, part_norms, columns, own, reach - 2 * floor, 1e-9 * reach)
+            else:  # some have no k-th score yet: whole products give one
+                whole = q @ x[lo:stop].T
+                whole[own_ids[:, None] == ids[None, lo:stop]] = -np.inf
+                least = np.partition(whole, -k, axis=1)[:, -k] if whole.shape[1] > k else np.full(len(q), -np.inf)
+                i, j = np.nonzero(whole >= np.maximum(least - 1e-9 * reach, floor - 1e-9 * reach)[:, None])
+            j = j + lo
+            other = ids[j] != own_ids[i]
+            i, j = i[other], j[other]
+            scores = _pair_sums(x, j, q, i)
+            some = scores >= floor[i]
+            i, hit_ids, scores = (np.concatenate(c) for c in zip(best, (i[some], ids[j[some]], scores[some]), strict=True))
+            order = np.lexsort((hit_ids, -scores, i))
+            i, hit_ids, scores = i[order], hit_ids[order], scores[order]
+            n = np.bincount(i, minlength=len(q))
+            top = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) < k
+            best = i[top], hit_ids[top], scores[top]
+            last = np.flatnonzero(n >= k)
+            ends = np.cumsum(np.minimum(n, k)) - 1
+            floor[last] = np.maximum(floor[last], best[2][ends[last]])
+        found.append((best[0] + at, best[1], best[2]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 _HITS = "query_id long, vec_id long, score double"
 
 
-def _scan_group(index: ListIndex, k: int):
+def _scan_group(indexes: dict[int, ListIndex], k: int):
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        i, hits, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        qids = queries.query_id.to_numpy()
         if len(candidates) and len(queries):
-            qids = queries.query_id.to_numpy()
-            found = scan(np.stack(queries.v), qids, queries.floor.to_numpy(), np.stack(candidates.v), candidates.vec_id.to_numpy(), index, k)
-            out = [(int(qids[i]), c, s) for i, c, s in found]
-        return pd.DataFrame({"query_id": pd.Series([r[0] for r in out], dtype="int64"), "vec_id": pd.Series([r[1] for r in out], dtype="int64"), "score": pd.Series([r[2] for r in out], dtype="float64")})
+            x = np.stack(candidates.v)
+            index = indexes.get(x.shape[1]) or whole_index(x)
+            i, hits, scores = scan(np.stack(queries.v), qids, queries.floor.to_numpy(), x, candidates.vec_id.to_numpy(), index, k)
+        return pd.DataFrame({"query_id": qids[i], "vec_id": hits, "score": scores}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
 
+def whole_index(x: np.ndarray) -> ListIndex:
+    """Of vectors whose length is rare: one list, which is scanned whole."""
+    return ListIndex(float(np.sqrt((x**2).sum(axis=1).max())) * (1 + 1e-12), np.zeros((1, x.shape[1] + 1)), np.eye(x.shape[1] + 1), 1)
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, target: float = TARGET, chunk_rows: int = CHUNK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) over (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -158,24 +204,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, target: float = TA
     whole = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("is_query"), doubles.alias("v"))
     size = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
     x = written(whole.withColumn("size", size).where(F.col("size") > 0))
-    dims = x.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("size").alias("m"), F.count_if("is_query").alias("q")).orderBy(F.desc("n"), "d").first()
-    if dims is None:
+    dims = x.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("size").alias("m"), F.count_if("is_query").alias("q")).orderBy(F.desc("n"), "d").limit(FITTED_LENGTHS).collect()
+    if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = x.where(F.size("v") == dims.d)
-    sample = x.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("v").collect()
-    index = fit(np.array([r.v for r in sample]), float(np.sqrt(dims.m)) * (1 + 1e-12), dims.n, k, target)
+    indexes: dict[int, ListIndex] = {}
+    for r in dims:
+        rows = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * r.d)))
+        sample = x.where(F.size("v") == r.d).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(rows).select("v").toArrow()
+        indexes[r.d] = fit(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, r.d), float(np.sqrt(r.m)) * (1 + 1e-12), r.n, k, target)
+    queries = x.where("is_query").count()
+    first_list = {d: i * MAX_LISTS for i, d in enumerate(indexes)}  # other lengths have the list -length
 
     short_batches(spark, 4096)
 
+    def by_length(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+        return pdf.groupby(pdf.v.map(len)) if len(pdf) else iter(())
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(list=index.lists_of(np.stack(pdf.v)))
+            for d, own in by_length(pdf):
+                yield own.assign(list=indexes[d].lists_of(np.stack(own.v)) + first_list[d] if d in indexes else -d)
 
     listed = written(x.select("vec_id", "is_query", "v").mapInPandas(assign, "vec_id long, is_query boolean, v array<double>, list int"))
-    # One row a list, MAX_LISTS at most: how many chunks it is cut into.
-    chunks = F.broadcast(listed.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")))
-    blocks = max(1, -(-dims.q // block_queries))
+    # One row a list: how many chunks it is cut into. Lists are FITTED_LENGTHS * MAX_LISTS and one for each rare length.
+    chunks = listed.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    blocks = max(1, -(-queries // block_queries))
     own = listed.join(chunks, "list").select(
         "vec_id", "v", "list",
         F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("chunks")).cast("int").alias("chunk"),
@@ -184,24 +237,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, target: float = TA
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(lists=list(index.probed(np.stack(pdf.v)).astype(np.int32)))
+            for d, own in by_length(pdf):
+                yield own.assign(lists=list(indexes[d].probed(np.stack(own.v)).astype(np.int32) + first_list[d]) if d in indexes else [[-d]] * len(own))
 
-    once = listed.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query_id")
+    once = listed.where("is_query").groupBy("vec_id", F.size("v").alias("d")).agg(F.min("v").alias("v"))
+    once = once.groupBy("vec_id").agg(F.min_by("v", "d").alias("v")).withColumnRenamed("vec_id", "query_id")
     asked = written(once.mapInPandas(probe, "query_id long, v array<double>, lists array<int>"))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(blocks)).cast("int"))
 
     def meet(queries: DataFrame) -> DataFrame:
         """Queries, each with one list, meet all chunks of that list."""
         dealt = queries.join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-        return own.groupBy("list", "chunk", "block").cogroup(dealt.groupBy("list", "chunk", "block")).applyInPandas(_scan_group(index, k), _HITS)
+        return own.groupBy("list", "chunk", "block").cogroup(dealt.groupBy("list", "chunk", "block")).applyInPandas(_scan_group(indexes, k), _HITS)
 
     lowest = F.lit(float("-inf"))
     first = best_hits(meet(asked.select("query_id", "v", "block", F.col("lists")[0].alias("list"), lowest.alias("floor"))), k, F.desc("score"), F.asc("vec_id"))
     hits = first = written(first.select("query_id", "vec_id", "score"))
-    if index.probes > 1:
+    if max(i.probes for i in indexes.values()) > 1:
         reached = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "low")
-        rest = asked.join(reached, "query_id", "left").select("query_id", "v", "block", F.explode(F.slice("lists", 2, index.probes)).alias("list"), F.coalesce("low", lowest).alias("floor"))
+        rest = asked.join(reached, "query_id", "left").where(F.size("lists") > 1).select("query_id", "v", "block", F.explode(F.slice("lists", F.lit(2), F.size("lists") - 1)).alias("list"), F.coalesce("low", lowest).alias("floor"))
         hits = first.unionByName(meet(rest))
     ranked = best_hits(hits, k, F.desc("score"), F.asc("vec_id"))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
