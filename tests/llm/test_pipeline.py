@@ -1,5 +1,6 @@
 import corpus_pipeline
-from wayfowl.llm import packing, quality, simhash, toxicity
+from test_simhash import slow_groups
+from wayfowl.llm import packing, quality, toxicity
 from wayfowl.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -19,16 +20,7 @@ def test_stages_take_effect_in_order(spark):
     step = corpus_pipeline.keep_quality(spark, kept, SF)
     assert step.columns == columns and {r.doc_id for r in step.select("doc_id").collect()} == good
     kept = docs.where(docs.doc_id.isin(list(good)))
-    fps, left = {}, []
-    for i in sorted(good):
-        fps[i] = simhash.fingerprint(rows[i])
-    group = {i: i for i in fps}
-    for i in fps:  # brute force: links, then the smallest id that can be reached
-        for j in fps:
-            if j < i and (fps[i] ^ fps[j]).bit_count() <= 4:
-                a, b = group[i], group[j]
-                group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
-    left = {g for g in group.values()}
+    left = set(slow_groups({i: rows[i].decode() for i in good}).values())
     step = corpus_pipeline.drop_near_duplicates(spark, kept, SF)
     assert step.columns == columns and {r.doc_id for r in step.select("doc_id").collect()} == left
     packed = corpus_pipeline.run(spark, SF).toPandas()
@@ -36,6 +28,26 @@ def test_stages_take_effect_in_order(spark):
     assert packed.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
 
 
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ties, and columns with clashing names."""
+    docs, labels = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels")
+    odd = [(None, None), (None, "a b c"), (-1, None), (-2, ""), (-3, "word " * 100_000), (-4, "twice told " * 20), (-4, "twice told " * 20), (-4, "another text under one id " * 9)]
+    both = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string")).selectExpr("doc_id", "text", "1 AS score", "'x' AS row", "2 AS predicted", "3 AS node", "4 AS piece")
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.unionByName(spark.createDataFrame([(None, 1, 0), (-1, None, None)], labels.schema)).write.parquet(f"{tmp_path}/labels.parquet")
+    docs, counts = table(spark, str(tmp_path), "documents"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, docs, str(tmp_path))
+        assert step.schema == docs.schema
+        docs = spark.createDataFrame(step.collect(), docs.schema)
+        counts.append(docs.count())
+    assert counts == sorted(counts, reverse=True) and counts[0] <= 1008
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
+    want = {r.doc_id for r in docs.collect()}
+    assert set(packed.doc_id.dropna().astype(int)) == {i for i in want if i is not None} and packed.doc_id.isna().any() == (None in want)
+
+
 def test_empty_documents(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
