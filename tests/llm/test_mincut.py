@@ -1,8 +1,11 @@
 import itertools
 import random
 import re
+import time
 from html import unescape
 
+import pytest
+
 from wayfowl.llm import mincut
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home">
@@ -23,6 +26,42 @@ def test_article_without_its_surroundings():
     assert mincut.main_text(PAGE).split("\n") == ["A & B", "First paragraph with a link in it. Next line.", "Short one.", "A point that is made", "Another point", "cell one", "cell two", "Last words <here>."]
 
 
+BODY = "<h1>A heading of the page</h1><p>First paragraph of the text, which has a number of words in it.</p><p>Second paragraph, and this one has quite a few words as well, so it is text.</p>"
+SIDE = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News of the day</a></li></ul>"
+TEXT = ["A heading of the page", "First paragraph of the text, which has a number of words in it.", "Second paragraph, and this one has quite a few words as well, so it is text."]
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html><head><title>T</title><meta charset=utf-8><body>{BODY}</body></html>",  # no end of the head
+        f"<title>T</title>{BODY}",  # no html, head or body at all
+        f"<html><body><div class='layout has-sidebar'><article>{BODY}</article><div class='sidebar'>{SIDE}</div></div></body></html>",
+        f"<body><div id='sidebar-right'><article>{BODY}</article></div></body>",
+        f"<body><article><div class='article-header'>{BODY[: BODY.index('<p>')]}</div>{BODY[BODY.index('<p>') :]}</article></body>",
+        f"<body><article><header class='masthead'>{BODY[: BODY.index('<p>')]}</header><div class='entry-content'>{BODY[BODY.index('<p>') :]}</div></article></body>",
+        f"<body><form method='post' action='./p.aspx' id='aspnetForm'><div id='nav'>{SIDE}</div><div id='content'>{BODY}</div><div class='footer'><p>All rights reserved by us, and by nobody else.</p></div></form></body>",
+        f"<body><div>{BODY}</div><svg><path d='m0'><div class='comments'><h3>Comments</h3><p>I have read this and I do not think that it is right at all.</p></div>",
+        f"<body><select><option>One<option>Two</select>{BODY}<object data='x'><script>if (a < b) document.write('<!-- <p>no</p>');</script>",
+        f"<body><div class='main'>{BODY}</div><div id='comments'><article class='comment'><p>{'What a long comment this is, and nobody asked for it. ' * 9}</p></article></div></body>",
+        f"<BODY><DIV CLASS=post>{BODY}</DIV><NAV>{SIDE}</NAV></BODY>",
+    ],
+)
+def test_pages_that_are_not_as_the_textbook_has_them(html):
+    assert mincut.main_text(html).split("\n") == TEXT
+
+
+def test_work_is_in_proportion_to_the_page():
+    def seconds(n):
+        deep = "<div><section>" * n + BODY + "</article></nav></li>" * n + "</section></div>" * n + "<svg>" * n + "<li>" * n
+        start = time.process_time()
+        assert mincut.main_text(deep).split("\n") == TEXT
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 10
+
+
 def test_flow_finds_the_least_cut():
     rng = random.Random(1)
     for _ in range(60):

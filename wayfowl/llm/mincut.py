@@ -7,7 +7,8 @@ whose capacity falls with their distance in the document tree. The maximum flow
 least total cost, so weak blocks go with their surroundings.
 
 A block is the text between two boundaries of block elements; a line break inside it is white space. Scripts, styles, the
-head, and other elements without readable text are left out as a whole.
+title, and other elements without readable text are left out as a whole; end tags that HTML lets out may be missing. An element that
+wraps the page (a form around everything, a layout named after its sidebar) is no evidence. Work is in proportion to the page.
 
 Defined cases: null html counts as empty; a page without content blocks has empty text; rows with a null page_id or url and
 repeated rows are kept; an empty table gives an empty result; other columns are ignored.
@@ -16,7 +17,7 @@ repeated rows are kept; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -31,25 +32,38 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes, up to the nearest of the containers named behind it.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-#: Evidence of an element for the text in it (positive: content).
-ELEMENTS = {"article": 3.0, "main": 2.5, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -8.0, "menu": -8.0, "dialog": -9.0, "button": -8.0, "fieldset": -6.0, "header": -5.0, "option": -8.0, "address": -3.0, "figcaption": 0.0}
+#: Elements whose content is raw text up to their end tag, or to the end of the page; and elements that are left out as a whole if
+#: they have an end tag (without one, only the tag is).
+RAW = frozenset("script style textarea title".split())
+LEFT_OUT = frozenset("template noscript svg math iframe object canvas select audio video".split())
+#: Evidence of an element for the text in it (positive: content). The weights were set by hand, to the rule that any one clear sign
+#: of boilerplate outweighs a long paragraph inside an article, and that page-wide wrappers count for nothing.
+ELEMENTS = {"article": 3.0, "main": 2.5, "nav": -9.0, "footer": -9.0, "aside": -9.0, "menu": -8.0, "dialog": -9.0, "button": -8.0, "option": -8.0, "address": -3.0}
+#: The same of elements that can also wrap a whole page, and of names in classes and ids: they count for nothing around it.
+WRAPPERS = {"form": -8.0, "fieldset": -6.0, "header": -5.0}
 ROLES = {"navigation": -9.0, "banner": -6.0, "contentinfo": -9.0, "complementary": -9.0, "search": -8.0, "dialog": -9.0, "alert": -8.0, "alertdialog": -9.0, "form": -8.0, "menu": -8.0, "menubar": -8.0, "main": 2.5, "article": 3.0}
 #: Words in classes and ids, and the evidence for the text in them.
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright cta disclaimer discussion disqus feedback footer footnav gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popover popup privacy promo promoted promotion recommended related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored sponsors submenu subscribe subscription tagcloud tags teaser toast toc toolbar topbar tracking trending widget widgets".split()
 )
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text prose".split())
+#: Words of the article's own heading, where an article is around it or named with it.
+HEADING_NAMES = frozenset("header masthead banner".split())
+#: A name that begins so tells what is beside or what the page can do, not what the element is.
+STATES = frozenset("has with without no is js not hide show can supports".split())
 BAD_NAME, GOOD_NAME, HIDDEN = -8.0, 1.5, -20.0
+#: Share of a page's running text that an element with an h1 or a main element in it (or a form) must hold to be a wrapper.
+WRAPS = 0.6
 SMOOTH = 1.6  # capacity between neighbours with the same parent
 
 _TAGS = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|math|iframe|object|canvas|textarea|select|head|title)(?![a-z0-9-])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>"
     r"|<[!?][^>]*+>",
     re.IGNORECASE | re.DOTALL,
 )
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.IGNORECASE) for t in RAW | LEFT_OUT}
 _NAMES = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _LINKS = frozenset(("a",))
@@ -60,8 +74,14 @@ class _Node:
     tag: str
     parent: _Node | None
     depth: int
-    evidence: float  # of all elements around the text
+    own: float  # evidence of this element alone, wherever it stands
+    soft: float  # evidence that does not count if the element wraps the page
     inside: bool  # of an article or a main element
+    running: int = 0  # characters of running text below it
+    heads: bool = False  # an h1 or a main element is in it
+    firm: float = 0.0  # evidence of all elements around the text: in one part, in the other, and in all
+    softly: float = 0.0
+    evidence: float = 0.0
 
 
 @dataclass(slots=True)
@@ -71,30 +91,45 @@ class Block:
     linked: int  # characters in links
 
 
-def _evidence(tag: str, attributes: str, inside: bool) -> float:
-    out = ELEMENTS.get(tag, 0.0)
+def _name_evidence(value: str, inside: bool) -> float:
+    """Of a class or an id: each of its names alone."""
+    out = 0.0
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if not words or words[0] in STATES:
+            continue
+        bad, good = BAD_NAMES.intersection(words), GOOD_NAMES.intersection(words)
+        if bad and bad <= HEADING_NAMES and (inside or good):
+            continue
+        out += BAD_NAME if bad else GOOD_NAME if good else 0.0
+    return min(max(out, BAD_NAME), GOOD_NAME)
+
+
+def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
+    """(wherever it stands, if it is no wrapper)"""
+    out, soft = ELEMENTS.get(tag, 0.0), WRAPPERS.get(tag, 0.0)
     if tag == "header" and inside:
-        out = 0.0  # the article's own heading
+        soft = 0.0  # the article's own heading
     if not attributes or attributes.isspace():
-        return out
+        return out, soft
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "role":
-            out += ROLES.get(value.lower(), 0.0)
+            if not (value.lower() == "banner" and inside):
+                out += ROLES.get(value.lower(), 0.0)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE)):
             out += HIDDEN
-        elif name in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & BAD_NAMES and tag not in ("html", "body", "main"):
-                out += BAD_NAME
-            elif words & GOOD_NAMES:
-                out += GOOD_NAME
-    return out
+        elif name in ("class", "id") and tag not in ("html", "body", "main"):
+            soft += _name_evidence(value, inside)
+    return out, soft
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks of text in their order."""
-    root = node = _Node("#", None, 0, 0.0, False)
+    root = node = _Node("#", None, 0, 0.0, 0.0, False)
+    nodes: list[_Node] = [root]
+    opened: Counter = Counter()  # of each tag, how many elements are open
+    closed: set[str] = set()  # elements to leave out that have no end tag any more
     out: list[Block] = []
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
@@ -115,48 +150,88 @@ def blocks(html: str) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
-    for m in _TAGS.finditer(html):
+    def leave(last: _Node) -> None:
+        """Closes all elements up to this one."""
+        nonlocal node
+        while True:
+            opened[node.tag] -= 1
+            done, node = node, node.parent
+            if done is last:
+                return
+
+    while m := _TAGS.search(html, at):
         add(html[at : m.start()])
         at = m.end()
-        end, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
-            if m[1]:
-                parts.append(" ")
             continue
         tag = tag.lower()
-        if tag in BLOCKS:
+        if tag in _ENDS:
+            parts.append(" ")
+            if not end and tag not in closed and not attributes.endswith("/"):
+                if stop := _ENDS[tag].search(html, at):
+                    at = stop.end()
+                elif tag in RAW:
+                    at = len(html)
+                else:
+                    closed.add(tag)
+        elif tag in BLOCKS:
             close()
             in_link = 0
             if end:
-                up = node
-                while up is not root and up.tag != tag:
-                    up = up.parent
-                if up is not root:
-                    node = up.parent
+                if opened[tag]:
+                    up = node
+                    while up.tag != tag:
+                        up = up.parent
+                    leave(up)
                 continue
             if node.tag == "p":
-                node = node.parent  # a paragraph has no blocks in it
+                leave(node)  # a paragraph has no blocks in it
             if tag in CLOSES:
-                shut, until = CLOSES[tag]
+                shut, until = (x.split() for x in CLOSES[tag])
                 up, last = node, None
-                while up is not root and up.tag not in until.split():
-                    if up.tag in shut.split():
-                        last = up
-                    up = up.parent
+                if any(opened[t] for t in shut):
+                    while up is not root and up.tag not in until:
+                        if up.tag in shut:
+                            last = up
+                        up = up.parent
                 if last is not None:
-                    node = last.parent
+                    leave(last)
             if tag not in VOID:
-                inside = node.inside or tag in ("article", "main")
-                node = _Node(tag, node, node.depth + 1, node.evidence + _evidence(tag, attributes, node.inside), inside)
+                hard, soft = _evidence(tag, attributes, node.inside)
+                node = _Node(tag, node, node.depth + 1, hard, soft, node.inside or tag in ("article", "main"))
+                node.heads = tag in ("h1", "main")
+                nodes.append(node)
+                opened[tag] += 1
         elif tag in _LINKS:
             in_link = 0 if end else 1
         elif tag == "br":
             parts.append(" ")
     add(html[at:])
     close()
+    _surroundings(nodes, out)
     return out
 
 
+def _surroundings(nodes: list[_Node], found: list[Block]) -> None:
+    """The evidence around every element; parents stand before their children."""
+    for b in found:
+        if b.text.count(" ") >= 9 and 2 * b.linked < len(b.text):
+            b.node.running += len(b.text)
+    for n in reversed(nodes[1:]):
+        n.parent.running += n.running
+        n.parent.heads |= n.heads
+    whole = WRAPS * nodes[0].running
+    for n in nodes[1:]:
+        around, soft = n.parent.softly, n.soft
+        if n.running > whole and soft < 0 and (n.heads or n.tag == "form"):
+            soft = 0.0
+        if n.tag in ("article", "main") and soft >= 0 and (n.heads or n.running > whole):
+            around = max(around, 0.0)  # names around the page's article do not speak against it
+        n.softly, n.firm = around + soft, n.parent.firm + n.own
+        n.evidence = n.firm + n.softly
+
+
 def evidence(block: Block) -> float:
     """Log-odds of content."""
     text, n = block.text, len(block.text)
