@@ -2,6 +2,8 @@ import base64
 import hashlib
 import random
 
+import pytest
+
 from wayfowl.llm import warc
 
 
@@ -20,6 +22,27 @@ def test_url_keys():
     assert warc.url_key("") == ")/"
 
 
+def test_records_are_put_together_again():
+    payloads = [b"", b"plain", b"WARC/1.1\r\n" * 3, b"a\r\n\r\nWARC/1.1\r\nContent-Length: 7\r\n\r\n", "é\r\n".encode()]
+    records = [warc._record(i, "http://a/\r\nx", p, warc.payload_digest(p), None) + b"\r\n" for i, p in enumerate(payloads)]
+    data = b"".join(records)
+    found = list(warc.parse_archive(data.split(warc.VERSION.encode())))
+    assert [b.partition(b"\r\n\r\n")[2] for _, _, b in found] == payloads
+    assert [at for at, _, _ in found] == [sum(map(len, records[:i])) for i in range(len(records))]
+    assert all(data[at:].startswith(warc.VERSION.encode()) for at, _, _ in found)
+    for broken in (data[:-1], data[:-9], b"x" + data, data[: len(records[0]) + 30]):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive(broken.split(warc.VERSION.encode())))
+
+
+def test_one_url_without_ids_spreads_over_ranges(spark):
+    pages = spark.createDataFrame([(None, "http://a.org/", f"page {i}") for i in range(200)], "page_id long, url string, html string").repartition(4)
+    path = warc.shared_folder(spark)
+    warc.write_archives(pages, path)
+    found = warc.capture_index(warc.written(warc.read_captures(spark, path)), 20).groupBy("range_no").count().collect()
+    assert len(found) > 5 and max(r["count"] for r in found) <= 60
+
+
 def test_query_and_sql_agree(spark, sf):
     import duckdb
 
@@ -43,7 +66,7 @@ def test_odd_rows_and_global_order(spark):
         assert r.payload_bytes == len(html) and r.payload_digest == base64.b32encode(hashlib.sha1(html).digest()).decode()
     kinds = {r.page_id: (r.record_type, r.refers_to) for r in found}
     assert kinds[0] == ("response", None) and kinds[5] == ("revisit", 0) and kinds[None] == ("revisit", 0) and kinds[70] == ("response", None)
-    split = sorted(warc.capture_index(warc.written(spark.createDataFrame([(*[r[c] for c in warc._COLUMNS], i) for i, r in enumerate(sorted(found, key=lambda r: (r.archive, warc._order(r))))], f"{warc._CAPTURE}, seq long")), 10).collect(), key=lambda r: (r.range_no, r.place))
+    split = sorted(warc.capture_index(warc.written(spark.createDataFrame([(*[r[c] for c in warc._COLUMNS], 0, i) for i, r in enumerate(sorted(found, key=lambda r: (r.archive, warc._order(r))))], f"{warc._CAPTURE}, run long, seq long")), 10).collect(), key=lambda r: (r.range_no, r.place))
     keys = [warc._order(tuple(r[c] for c in warc._COLUMNS)) for r in split]
     assert keys == sorted(keys) and len(keys) == 63 and len({r.range_no for r in split}) > 3
     small = warc.archive_and_index(pages, min_payload=1).where("payload_bytes = 0").collect()
