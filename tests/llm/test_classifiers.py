@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -45,6 +46,110 @@ def test_quality_learns_without_negatives():
     assert (model.predict(good[2800:]) > 0.5).mean() > 0.97 and (model.predict(bad[500:]) < 0.5).mean() > 0.97
 
 
+def slow_quality_step(positive, unlabelled, prior):
+    """Features, knots and one step of the non-negative risk, number by number."""
+    n, rows = len(quality.FEATURES), np.concatenate([positive, unlabelled])
+    knots = [[float(np.quantile(rows[:, f], q)) for q in quality.KNOTS] for f in range(n)]
+    expand = lambda x: list(x) + [max(0.0, x[f] - k) for f in range(n) for k in knots[f]]
+    wide = [expand(x) for x in rows]
+    scale = [max(abs(r[c]) for r in wide) or 1.0 for c in range(len(wide[0]))]
+    p, u = ([[a / b for a, b in zip(expand(x), scale)] for x in part] for part in (positive, unlabelled))
+    # At weights of zero every probability is a half, and both losses are log 2.
+    assert (1 - prior) * math.log(2) >= 0
+    grad = []
+    for c in range(len(scale) + 1):
+        mean = lambda part: sum(1.0 if c == len(scale) else r[c] for r in part) / len(part)
+        grad.append(-0.5 * prior * mean(p) + 0.5 * mean(u) - 0.5 * prior * mean(p))
+    step = [0.2 * (1 - 1 / 2) * g / (abs(g) + 1e-12) for g in grad]  # Adam's first step
+    return knots, scale, [-x for x in step[:-1]], -step[-1]
+
+
+def test_quality_equals_the_formulas_written_out():
+    rng = np.random.default_rng(3)
+    pos, unl = rng.normal(1, 1, (9, len(quality.FEATURES))), rng.normal(0, 2, (14, len(quality.FEATURES)))
+    model = quality.fit(pos, unl, 0.3, epochs=1)
+    knots, scale, weights, bias = slow_quality_step(pos, unl, 0.3)
+    assert np.allclose(model.knots, knots) and np.allclose(model.scale, scale) and np.allclose(model.weights, weights) and np.isclose(model.bias, bias)
+    text = "A Title | x\n\nSome words, some words. 123 !!\nSome words, some words. 123 !!\nÉnd"
+    words, raw = text.split(), text.encode()
+    lines = [x for x in text.split("\n") if x.strip()]
+    share = lambda f: sum(f(b) for b in raw) / len(raw)
+    of_words = lambda f: sum(map(f, words)) / len(words)
+    want = {
+        "log_bytes": math.log(1 + len(raw)), "upper": share(lambda b: 65 <= b <= 90), "pipes": share(lambda b: b == 124), "shouts": share(lambda b: b == 33), "digits": share(lambda b: 48 <= b <= 57), "stops": share(lambda b: chr(b) in ".,;:?'\"-()"), "high": share(lambda b: b > 127),
+        "symbols": share(lambda b: 33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:?'\"-()|!"), "distinct_words": len(set(words)) / len(words), "same_neighbour": sum(a == b for a, b in zip(words, words[1:])) / len(words), "commonest_word": max(map(words.count, words)) / len(words),
+        "mean_word": of_words(lambda w: len(w.encode())), "long_words": of_words(lambda w: len(w) > 20), "words_per_line": len(words) / len(lines), "distinct_lines": len(set(lines)) / len(lines), "ends_with_stop": 0.0, "log_words": math.log(1 + len(words)), "upper_words": of_words(lambda w: w.encode().isupper()),
+        "short_words": of_words(lambda w: len(w.encode()) < 3), "capital_starts": of_words(lambda w: w.encode().istitle()),
+    }
+    x = quality.features(raw)
+    assert np.allclose(x, [want[f] for f in quality.FEATURES])
+    wide = x + [max(0.0, x[f] - k) for f in range(len(x)) for k in knots[f]]
+    assert np.isclose(model.score(raw), 1 / (1 + math.exp(-max(-30, min(30, sum(a / b * c for a, b, c in zip(wide, scale, weights)) + bias)))))
+
+
+def slow_bag(word):
+    """Numbers of a word's n-grams and of the word, in any order."""
+    text = word.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())).lower()
+    if not text:
+        return []
+    text, out = f"<{text}>", []
+    for n in (3, 4, 5):
+        for i in range(len(text) - n + 1):
+            h = 0
+            for c in text[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            out.append((h * 0xD6E8FEB86659FD93 % 2**64 >> 32) % toxicity.BUCKETS)
+    return sorted([*out, zlib.crc32(text.encode(), 1) % toxicity.BUCKETS])
+
+
+def test_toxicity_equals_the_formulas_written_out():
+    words = ["Hello", "x", "...", "(naïve)", "a-b", "日本語", "İzmir!", "w" * 90]
+    ids, sizes = toxicity.bags([w.encode() for w in words])
+    assert [sorted(p.tolist()) for p in np.split(ids, np.cumsum(sizes)[:-1])] == [slow_bag(w) for w in words]
+    rng = np.random.default_rng(2)
+    model = toxicity.ToxicityModel(rng.normal(size=toxicity.BUCKETS), -1.5, 0.2)
+    for text in ["", "Hello x ...", " ".join(words * 3), "... !!"]:
+        safe = 1.0
+        for w in text.split():
+            if bag := slow_bag(w):
+                safe /= 1 + math.exp(sum(model.logits[i] for i in bag) / len(bag) + model.bias)
+        assert np.isclose(model.score(text.encode()), 1 - safe)
+    # The first step of training: Adam's steps have the size of the rate, against the sign of the gradient.
+    texts, y = ["bad word here", "good word there", "word"], [1, 0, 0]
+    model = toxicity.fit([t.encode() for t in texts], np.array(y), np.ones(3), 0.3, epochs=1)
+    rng = np.random.default_rng(9)
+    emb, soft = rng.normal(0, 0.1, (toxicity.BUCKETS, toxicity.DIM)), rng.normal(0, 0.5, (2, toxicity.DIM))
+    bias, across = math.log(0.3 / (7 / 3)), soft[1] - soft[0]
+    z = {w: np.mean([emb[i] @ across for i in slow_bag(w)]) + bias for w in set(" ".join(texts).split())}
+    d_bias, d_v = 0.0, {}
+    for t, label in zip(texts, y):
+        s = sum(math.log(1 + math.exp(z[w])) for w in t.split())
+        d_s = (-1 / math.expm1(s) if label else 1.0) / 3
+        for w in t.split():
+            d_z = d_s / (1 + math.exp(-z[w]))
+            d_bias += d_z
+            for i in slow_bag(w):
+                d_v[i] = d_v.get(i, 0.0) + d_z / len(slow_bag(w))
+    assert np.isclose(model.bias, bias - 0.05 * np.sign(d_bias))
+    d_across = sum(emb[i] * d for i, d in d_v.items())
+    after = soft - 0.05 * np.sign(np.stack([-d_across, d_across]) + 1e-6 * soft)
+    for i, d in list(d_v.items())[:20]:
+        assert np.isclose(model.logits[i], (emb[i] - 0.05 * np.sign(d * across + toxicity.DECAY * emb[i])) @ (after[1] - after[0]), atol=1e-6)
+
+
+def test_a_labelled_text_that_is_too_long_teaches_nothing_but_hides_no_other(spark):
+    docs = spark.createDataFrame([(i, ("vile scum " if i % 2 else "kind words ") * 20) for i in range(40)] + [(1000 + i, "vile " * 200_000) for i in range(3)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic").where("doc_id < 1000").unionByName(spark.createDataFrame([(1000 + i, 1) for i in range(3)], "doc_id long, toxic int"))
+    texts, y, _ = toxicity.labelled_sample(docs, labels, "toxic", max_bytes=20_000)
+    assert len(set(y.tolist())) == 2 and max(map(len, texts)) < 20_000 // 16
+
+
+def test_repeated_ids_come_to_the_driver_once(spark):
+    docs = spark.createDataFrame([(i % 3, f"some text {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    assert quality.scores(docs, quality.train(docs, labels, held_out=(5, 9))).count() == 300
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (None, "a b", 5), (2, "", 5), (2, "", 5), (3, "Z " * 60_000, None)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")

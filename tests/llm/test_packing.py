@@ -22,6 +22,21 @@ def test_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_memory_is_bounded_by_bytes_and_other_tokenizers_are_left_to_the_library():
+    rng, lib = np.random.default_rng(5), library()
+    own = packing.WordTokens(PATH, memo_size=60_000)
+    for _ in range(40):
+        text = " ".join("".join(rng.choice(list("abcdeXY.é"), int(rng.choice((3, 8, 200))))) for _ in range(50))
+        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert own.size <= 60_000 and max(map(len, own.memo), default=0) <= packing.MEMO_BYTES
+    special = Tokenizer.from_file(PATH)
+    assert np.frombuffer(packing.WordTokens(PATH, special_tokens=True).ids(b"a <|endoftext|> b"), "<u4").tolist() == special.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    text = "The end,  of\nthe <|x|> day"
+    assert np.frombuffer(packing.WordTokens(path).ids(text.encode()), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_is_tight_and_valid():
     rng = np.random.default_rng(0)
     lengths = np.minimum(4096, rng.lognormal(6.5, 1.2, 4000).astype(int) + 1)

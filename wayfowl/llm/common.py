@@ -23,17 +23,31 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a local one only where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def _scratch_root(spark: SparkSession) -> str:
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.wayfowl.checkpoint.dir", "")
     if not base:
-        base = spark.conf.get("spark.wayfowl.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='spark-wayfowl-')}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-wayfowl-')}"  # one machine: tests
         spark.conf.set("spark.wayfowl.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/wayfowl-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/wayfowl-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors see. Where that is unset, a cluster is refused; a session on one
+    machine takes a folder of its own."""
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes all that this application has written between its steps. DataFrames that come from it can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, outlives lost executors."""
+    """Writes df to the shared folder and reads it again: cuts the lineage, outlives lost executors. It stays until
+    remove_written(), since what is returned is read only later."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

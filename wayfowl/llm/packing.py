@@ -11,6 +11,7 @@ own; a null doc_id is kept; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,28 +30,38 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs. Fixed: more input gives more groups, not larger ones.
 GROUP_PIECES = 32768
-#: Words whose ids a worker remembers at most. When half of that is new, the older half goes.
-MEMO_WORDS = 2_000_000
+#: Bytes of memory (with what Python needs for an entry) that remembered ids of words take at most, and the longest word that is
+#: remembered. When half of that is new, the older half goes.
+MEMO_SIZE = 320 << 20
+MEMO_BYTES = 64
+ENTRY = 110
 
 
 class WordTokens:
-    """The tokenizer's ids of whole texts as little-endian unsigned 32-bit integers. Its pre-tokenizer never joins text across
-    white space, so ids of white-space separated words are remembered and joined."""
+    """The tokenizer's ids of whole texts as little-endian unsigned 32-bit integers. Where its pre-tokenizer drops white space and
+    never joins text across it (a probe tells), ids of white-space separated words are remembered and joined; otherwise texts are
+    encoded whole. The strings of special tokens are ordinary text unless special_tokens is set."""
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo_size: int = MEMO_SIZE, special_tokens: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_tokens
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_words = not special_tokens and all(plain(f"{a}{gap}{b}") == plain(a) + plain(b) for a in ("the", "x.", "7") for b in ("other", "(y", "8") for gap in (" ", "\n", " \t "))
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.tails: dict[str, bytes] = {}
-        self.memo_words = memo_words
+        self.memo_size, self.size = memo_size, 0
 
     def ids(self, text: bytes) -> bytes:
         return self.batch([text])[0]
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.memo) > self.memo_words // 2:
-            self.memo, self.old = {}, self.memo
+        if not self.by_words:
+            found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in found]
+        if self.size > self.memo_size // 2:
+            self.memo, self.old, self.size = {}, self.memo, 0
         get, out, late = self.memo.__getitem__, [], []
         for text in texts:
             words = text.split()  # at ASCII white space, which every definition of white space has
@@ -62,9 +73,15 @@ class WordTokens:
         if len(self.tails) > 10_000:
             self.tails.clear()
         if late:
-            self._learn({w for _, words in late for w in words}.difference(self.memo))
+            new = {w for _, words in late for w in words}.difference(self.memo)
+            self._learn(new)
             for i, words in late:
                 out[i] = b"".join(map(get, words))
+            for w in new:
+                if len(w) > MEMO_BYTES:
+                    del self.memo[w]
+                else:
+                    self.size += len(w) + len(self.memo[w]) + ENTRY
         return out
 
     def _learn(self, words: set[bytes]) -> None:
@@ -81,7 +98,7 @@ class WordTokens:
             text = w.decode("utf-8", "replace")
             core = text.rstrip(".,;:!?")
             if core.isalpha():
-                if core.isascii():
+                if self.lowers and core.isascii():
                     core = core.lower()
                 plain.append((w, cores.setdefault(core, len(cores)), text[len(core) :]))
             else:

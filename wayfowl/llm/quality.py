@@ -6,8 +6,9 @@ its second part falls below zero, the step goes the other way. The prior is esti
 training labels. The model is linear in hinge features of a text's surface statistics (case, symbols, separators, repetition,
 word and line shapes), so its score is a probability.
 
-Texts are reduced to some twenty numbers where they lie; the model is fitted on a bounded sample of those rows (MAX_POSITIVE and
-MAX_UNLABELLED, chosen by a hash of the id), and every whole text is scored.
+Texts are reduced to some twenty numbers where they lie; the model is fitted on a bounded sample of those rows: the MAX_POSITIVE
+positives and the MAX_UNLABELLED texts of any kind whose ids have the smallest hashes, one row an id (of repeated ids the least
+features). Every whole text is scored.
 
 Defined cases: null text counts as empty and is scored like any text; rows with a null doc_id and repeated rows are scored like
 any other; without positives every score is the estimated prior (0.5 without any labels); an empty table gives an empty result;
@@ -144,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
     sample = trusted.select("doc_id", F.lit(1).alias("kind")).unionByName(drawn.select("doc_id", F.lit(0).alias("kind")))
     kinds = sample.groupBy("doc_id").agg(F.max("kind").alias("trusted"), F.min("kind").alias("least"))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(kinds), "doc_id")
-    rows = feature_rows(chosen, "trusted", "least").collect()
+    # One row an id, however often it occurs: MAX_POSITIVE + MAX_UNLABELLED rows of a few numbers come to the driver.
+    rows = feature_rows(chosen, "trusted", "least").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("trusted").alias("trusted"), F.first("least").alias("least")).collect()
     pos, unl = (np.array([r.x for r in rows if want(r)]).reshape(-1, len(FEATURES)) for want in (lambda r: r.trusted == 1, lambda r: r.least == 0))
     order = [np.lexsort(x.T) for x in (pos, unl)]  # the same model whatever order the rows come in
     return fit(pos[order[0]], unl[order[1]], prior)
