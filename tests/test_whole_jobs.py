@@ -6,7 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from wayfowl.operators import behaviour, tracks
+from wayfowl.operators import behaviour, phenology, tracks, twilights
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -73,26 +73,70 @@ def test_segmentation_query_takes_whole_trips(spark, sf):
     assert all(r["max(last_row)"] == rows[r.trip_id] for r in models)
 
 
+def slow_chords(p, step):
+    """Small moves along the path, until a straight step is done."""
+    out, at = [p[0]], p[0]
+    for a, b in zip(p, p[1:]):
+        for t in np.linspace(0, 1, 20_001)[1:]:
+            q = a + t * (b - a)
+            if math.dist(q, at) >= step:
+                out.append(q)
+                at = q
+    return np.array(out)
+
+
 def test_shape_metrics_come_from_the_rediscretised_track(spark):
     rng = np.random.default_rng(8)
     x, y = rng.exponential(3, 40).cumsum(), rng.normal(0, 4, 40).cumsum()
-    steps = tracks.step_attributes(positions_of(spark, x, y)).withColumn("seg", F.lit(1))
-    got = tracks.shape_metrics(steps, places=9).first()
-    at = [0.0]
-    for i in range(39):
-        at.append(at[-1] + math.hypot(x[i + 1] - x[i], y[i + 1] - y[i]))
-    along = [at[-1] * k / 39 for k in range(40)]
-    px, py = np.interp(along, at, x), np.interp(along, at, y)
-    dist = [math.hypot(px[i + 1] - px[i], py[i + 1] - py[i]) for i in range(39)]
-    angle = [math.atan2(py[i + 1] - py[i], px[i + 1] - px[i]) for i in range(39)]
-    turns = [b - a for a, b in zip(angle, angle[1:])]
+    track = positions_of(spark, x, y).withColumn("seg", F.lit(1))
+    got = tracks.shape_metrics(track, places=9).first()
+    p = np.column_stack([x, y])
+    step = np.hypot(*np.diff(p, axis=0).T).mean()
+    q = tracks.equal_chords(p, step)
+    assert np.allclose(np.hypot(*np.diff(q, axis=0).T), step) and np.abs(q - slow_chords(p, step)).max() < 0.05
+    angle = np.arctan2(*np.diff(q, axis=0).T[::-1])
+    turns = np.diff(angle)
     c, s = np.mean(np.cos(turns)), np.mean(np.sin(turns))
-    p, b = np.mean(dist), np.std(dist, ddof=1) / np.mean(dist)
-    assert math.isclose(got.straightness, math.hypot(px[-1] - px[0], py[-1] - py[0]) / sum(dist), rel_tol=1e-6)
-    assert math.isclose(got.sinuosity, 2 / math.sqrt(p * ((1 + c) / (1 - c) + b * b)), rel_tol=1e-6)
+    assert math.isclose(got.straightness, math.dist(q[-1], q[0]) / (step * (len(q) - 1)), rel_tol=1e-6)
+    assert math.isclose(got.sinuosity, 2 / math.sqrt(step * ((1 + c) / (1 - c))), rel_tol=1e-6)
     assert math.isclose(got.ang_vector, math.hypot(c, s), rel_tol=1e-6) and math.isclose(got.ang_mean, math.atan2(s, c), rel_tol=1e-5)
-    raw = tracks.raw_shape_metrics(steps, places=9).first()
+    raw = tracks.raw_shape_metrics(tracks.step_attributes(track), places=9).first()
     assert got.emax == raw.emax and got.sq_disp == raw.sq_disp and got.straightness != raw.straightness
+    both = track.unionByName(positions_of(spark, x + 5, y).withColumn("seg", F.lit(2)).withColumn("ord", F.col("ord") + 100)).withColumn("cluster", F.col("seg") * 0 + 4)
+    assert tracks.shape_metrics(both, by="cluster").select("trip_id", "cluster").collect() == [(1, 4)]
+    alone = {r.seg: r.dc_mean for r in tracks.shape_metrics(both).collect()}
+    assert alone[1] == alone[2]  # no step leads from one segment to the next
+
+
+def test_local_regression_has_no_widest_window():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=3000).cumsum()
+    v[rng.integers(0, 3000, 40)] = np.nan
+    h = 75  # five percent of 3000 rows
+    got = twilights.local_quadratic(v, h)
+    for i in (0, 3, 74, 1500, 2999):
+        rows = np.array([j for j in range(max(0, i - h), min(3000, i + h + 1)) if not math.isnan(v[j])])
+        w = (1 - (np.abs(rows - i) / (h + 1)) ** 3) ** 3
+        fit = np.polyfit(rows - i, v[rows], 2, w=np.sqrt(w))
+        assert math.isclose(got[i], fit[2], rel_tol=1e-6, abs_tol=1e-8)
+
+
+def test_holes_and_parts_of_polygons(spark):
+    square = lambda r, a, b: [("r", r, i + 1, x, y) for i, (x, y) in enumerate([(a, a), (b, a), (b, b), (a, b)])]
+    shapes = spark.createDataFrame([*square(1, 0.0, 10.0), *square(2, 3.0, 6.0), *square(3, 20.0, 22.0)], "region string, ring int, idx int, x double, y double")
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(1, 1), (4, 4), (7, 5), (21, 21), (15, 5), (-1, 5), (5, 2.5)])], "pid int, x double, y double")
+    for band in (1.0, 0.3, 50.0):
+        assert sorted(r.pid for r in phenology.point_in_polygon_join(points, shapes, band).collect()) == [0, 2, 3, 6]
+
+
+def test_twilight_files_of_many_trips_share_folders(spark, tmp_path):
+    from wayfowl.sources import files
+
+    events = spark.createDataFrame([(i % 50, T0 + dt.timedelta(hours=i), i, 1) for i in range(500)], "trip_id long, ts timestamp, ord long, type int")
+    files.write_twilights(events, str(tmp_path / "t"), folders=4)
+    assert len(list((tmp_path / "t").glob("folder=*"))) <= 4
+    back = files.read_twilights(spark, str(tmp_path / "t"), "trip_id long, ts timestamp, ord long, type int, folder int")
+    assert back.count() == 500 and back.groupBy("trip_id").agg(F.count_distinct("folder").alias("n")).where("n > 1").count() == 0
 
 
 def test_all_tolerances_and_combinations(spark, sf):

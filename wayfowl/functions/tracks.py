@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+import tempfile
+
+from pyspark.sql import Column, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TRIP = ("trip_id",)
@@ -43,3 +45,15 @@ def last_known(c: str, window: WindowSpec) -> Column:
 
 def next_known(c: str, window: WindowSpec) -> Column:
     return F.first(c, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Where it is unset, a cluster is refused; a session on one machine (tests) gets a folder."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-wayfowl-')}"
+        sc.setCheckpointDir(base)
+    return base

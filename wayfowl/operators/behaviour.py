@@ -159,11 +159,12 @@ def trip_summary(segments: DataFrame) -> DataFrame:
 
 
 def label_positions(track: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each position takes the first segment whose days hold its date; the join has the trip as its key."""
+    """Each position takes the first segment whose days hold its date. Segments are spread over their days, of which the first segment
+    stays, and joined by trip and day, so rows grow with days and positions, not with their product."""
     s = segments.select("trip_id", "seg", "f_day", "l_day", *(c for c in segments.columns if c not in ("trip_id", "seg", "f_day", "l_day", "first_ord", "last_ord")))
-    hit = track.join(s, "trip_id").where(F.to_date("ts").between(F.col("f_day"), F.col("l_day"))).drop("f_day", "l_day")
-    first = F.row_number().over(Window.partitionBy("trip_id", "ord").orderBy("seg"))
-    return hit.withColumn("_k", first).where("_k = 1").drop("_k")
+    days = s.where("f_day <= l_day").select("trip_id", "seg", F.explode(F.sequence("f_day", "l_day")).alias("_day")).groupBy("trip_id", "_day").agg(F.min("seg").alias("seg"))
+    hit = track.withColumn("_day", F.to_date("ts")).join(days, ["trip_id", "_day"]).drop("_day")
+    return hit.join(s.drop("f_day", "l_day"), ["trip_id", "seg"]) if len(s.columns) > 4 else hit
 
 
 def split_migration(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -49,9 +49,17 @@ def twilight_deviation(events: DataFrame, reference_zenith: float = 96.0) -> Dat
     return without_sun(d.withColumn("deviation", (reference_zenith - F.col("zenith")) / slope), "_s1", "_s2").drop("_z1")
 
 
-def fit_error_distribution(errors: DataFrame, keys: list[str], value: str = "error", method: str = "gamma") -> DataFrame:
+def fit_error_distribution(errors: DataFrame, keys: list[str], value: str = "error", method: str = "gamma", zenith: str | None = None) -> DataFrame:
     """Shape and scale of positive errors by group: gamma after Minka's closed form, or mean and deviation of the logarithm.
-    Groups without two different positive values get nulls. Aggregates only."""
+    Groups without two different positive values get nulls. With a column of zeniths also zenith and zenith0: where the line of
+    zenith over error stands at the distribution's mode and at no error. Aggregates only."""
+    if zenith:
+        x = F.when(F.col(value) > 0, F.col(value))
+        line = errors.groupBy(*keys).agg(F.regr_slope(F.col(zenith), x).alias("_slope"), F.regr_intercept(F.col(zenith), x).alias("zenith0"))
+        fitted = fit_error_distribution(errors, keys, value, method).join(line, keys)
+        a, b = F.col("shape"), F.col("scale")
+        mode = F.when(a > 1, (a - 1) * b).otherwise(0.0) if method == "gamma" else F.exp(a - b * b)
+        return fitted.select(*keys, "shape", "scale", F.when(a.isNotNull(), F.col("zenith0") + F.col("_slope") * mode).alias("zenith"), F.when(a.isNotNull(), F.col("zenith0")).alias("zenith0"))
     x = F.when(F.col(value) > 0, F.col(value))
     sums = errors.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.avg(F.ln(x)).alias("ml"), F.stddev_samp(F.ln(x)).alias("sl"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     ok = (F.col("n") >= 2) & (F.col("hi") > F.col("lo"))

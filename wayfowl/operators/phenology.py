@@ -74,9 +74,10 @@ def href(points: DataFrame, keys: list[str], least: int = 6) -> DataFrame:
     return s.where(F.col("n") >= least).select(*keys, "n", h.alias("h"))
 
 
-def utilisation_distribution(points: DataFrame, keys: list[str], level: float = 0.9, grid: int = 40, reach: float = 3.0) -> DataFrame:
+def utilisation_distribution(points: DataFrame, keys: list[str], level: float = 0.9, reach: float = 3.0) -> DataFrame:
     """(keys, gx, gy, density): the smallest set of grid cells that holds `level` of a Gaussian kernel density. Cells have the size
-    of h / 2; a point only reaches cells within `reach` times h, so rows grow with points, not with the grid's area."""
+    of h / 2; a point only reaches cells within `reach` times h, so rows grow with points, not with the grid's area. The grid has no
+    outer edge, so no density falls off it and no other grid is needed where one would not close."""
     h = href(points, keys)
     p = points.join(h, keys).withColumn("cell", F.col("h") / 2).where("h > 0")
     near = math.ceil(2 * reach)
@@ -110,16 +111,18 @@ def arrival_departure(points: DataFrame, context: str = "context") -> DataFrame:
     return g.select("trip_id", c.alias("stage"), F.when(c != "B1", F.col("arr")).alias("arr"), F.when(c != "B2", F.col("dep")).alias("dep"))
 
 
-def point_in_polygon_join(points: DataFrame, vertices: DataFrame, key: str = "pid") -> DataFrame:
-    """(points' columns, region): planar, by the parity of crossings of a ray. Regions come as vertex rows (region, idx, x, y); their
-    edges meet only points within their bounding box."""
-    w = Window.partitionBy("region").orderBy("idx")
-    whole = Window.partitionBy("region")
-    edges = vertices.select("region", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(whole.orderBy("idx"))).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(whole.orderBy("idx"))).alias("y2"))
-    box = vertices.groupBy("region").agg(F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1"))
-    shapes = edges.groupBy("region").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges")).join(box, "region")
-    hit = points.join(shapes, (F.col("x") >= F.col("bx0")) & (F.col("x") <= F.col("bx1")) & (F.col("y") >= F.col("by0")) & (F.col("y") <= F.col("by1")))
-    crosses = F.filter("edges", lambda e: ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & (F.col("x") < (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+def point_in_polygon_join(points: DataFrame, vertices: DataFrame, band: float = 1.0) -> DataFrame:
+    """(points' columns, region): planar, by the parity of crossings of a ray over all rings, so that holes and several parts count.
+    Regions come as vertex rows (region, idx, x, y), with `ring` where they have several. A ray only meets edges of its own band of
+    y, so points and edges are joined on the band's number, and a point only sees the edges of its band."""
+    rings = vertices if "ring" in vertices.columns else vertices.withColumn("ring", F.lit(1))
+    w = Window.partitionBy("region", "ring").orderBy("idx")
+    edges = rings.select("region", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(w)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(w)).alias("y2"))
+    number = lambda c: F.floor(c / F.lit(band))
+    banded = edges.where("y1 != y2").withColumn("_band", F.explode(F.sequence(number(F.least("y1", "y2")), number(F.greatest("y1", "y2")))))
+    shapes = banded.groupBy("region", "_band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"), F.max(F.greatest("x1", "x2")).alias("_right"))
+    hit = points.withColumn("_band", number(F.col("y"))).join(shapes, "_band").where(F.col("x") <= F.col("_right"))
+    crosses = F.filter("_edges", lambda e: ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & (F.col("x") < (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
     return hit.where(F.size(crosses) % 2 == 1).select(*points.columns, "region")
 
 
@@ -143,11 +146,17 @@ def migrant_class(rows: DataFrame, five: bool = True) -> DataFrame:
     return a.select("trip_id", kind.alias("migrant"))
 
 
+def stage_subset(context: DataFrame, migrants: DataFrame) -> DataFrame:
+    """Rows of stage_context() as they enter a stage's distribution: a Resident2 trip's stages without the runs beside them."""
+    j = context.join(migrants, "trip_id", "left")
+    return j.where((F.coalesce("migrant", F.lit("")) != "Resident2") | (F.col("stage") == F.col("context"))).drop("migrant")
+
+
 def resident_overrides(wide: DataFrame) -> DataFrame:
-    """Residents have no departure from B1; Resident2 leaves B1 when it arrives in W1, and W1 when it arrives in B2."""
+    """Residents have no departure from B1; Resident2 leaves B1 when it arrives in W1, and W1 when it arrives in B1."""
     r, r2 = F.col("migrant") == "Resident", F.col("migrant") == "Resident2"
     b1 = F.when(r, F.lit(None)).when(r2, F.col("W1_arr")).otherwise(F.col("B1_dep"))
-    return wide.withColumn("W1_dep", F.when(r2, F.col("B2_arr")).otherwise(F.col("W1_dep"))).withColumn("B1_dep", b1)
+    return wide.withColumn("W1_dep", F.when(r2, F.col("B1_arr")).otherwise(F.col("W1_dep"))).withColumn("B1_dep", b1)
 
 
 def stage_dates(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,16 +58,30 @@ def threshold_path(pairs: DataFrame, tol: Column | float = 0.0, window_keys: tup
     return interpolate(unwrap_lon(found, window_keys), "lat", window_keys)
 
 
+def _held(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Linear over time between known values, held at the ends; nothing where nothing is known."""
+    known = ~np.isnan(value)
+    return np.where(known, value, np.interp(at, at[known], value[known])) if known.any() else value
+
+
 def tolerance_sweep(pairs: DataFrame, n: float = 0.001, largest: float = 0.2, d: int = 20, sep: int = 23, mar: int = 21) -> DataFrame:
-    """(trip_id, tol, spread_sep, spread_mar): the range of interpolated latitudes near both equinoxes for each tolerance. Solar
-    terms are computed once; only they are repeated for the tolerances, and each (trip, tolerance) is a window of its own."""
-    steps = round(largest / n)
-    grid = solar_terms(pairs).select("*", F.explode(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: i * n)).alias("tol"))
-    path = interpolate(grid.withColumn("lat", latitude(F.col("tol"))), "lat", ("trip_id", "tol"))
-    day = F.to_date("ts")
-    lat_sep, lat_mar = (F.when(near_day(day, m, dom, d), F.col("lat")) for m, dom in ((9, sep), (3, mar)))
-    few = F.count(lat_mar) < 2
-    return path.groupBy("trip_id", "tol").agg((F.max(lat_sep) - F.min(lat_sep)).alias("spread_sep"), F.when(few, float("inf")).otherwise(F.max(lat_mar) - F.min(lat_mar)).alias("spread_mar"), F.count(lat_mar).alias("n_mar"))
+    """(trip_id, tol, spread_sep, spread_mar, n_mar): the range of interpolated latitudes near both equinoxes for each tolerance. A
+    group has a trip's solar terms once, and goes through the tolerances."""
+    day, steps = F.to_date("ts"), round(largest / n)
+    terms = solar_terms(pairs).select("trip_id", "ord", us("ts").alias("at"), "lat1", "lat2", "dec1", "dec2", near_day(day, 9, sep, d).alias("sep"), near_day(day, 3, mar, d).alias("mar"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "ord"], ignore_index=True)
+        at, lat1, lat2, dec1, dec2 = (pdf[c].to_numpy(np.float64) for c in ("at", "lat1", "lat2", "dec1", "dec2"))
+        near_sep, near_mar, rows = pdf.sep.to_numpy(bool), pdf.mar.to_numpy(bool), []
+        for i in range(1, steps + 1):
+            a, b = (np.where(dec > i * n, lat, np.nan) for dec, lat in ((dec1, lat1), (dec2, lat2)))
+            lat = _held(np.where(np.isnan(a), b, np.where(np.isnan(b), a, (a + b) / 2)), at)
+            s, m = (x[~np.isnan(x)] for x in (lat[near_sep], lat[near_mar]))
+            rows.append((i * n, np.ptp(s) if len(s) else None, np.ptp(m) if len(m) > 1 else np.inf, len(m)))
+        return pd.DataFrame({"trip_id": int(pdf.trip_id.iloc[0]), **dict(zip(("tol", "spread_sep", "spread_mar", "n_mar"), map(list, zip(*rows, strict=True)), strict=True))}).astype({"spread_sep": "float64"})
+
+    return terms.groupBy("trip_id").applyInPandas(one, "trip_id long, tol double, spread_sep double, spread_mar double, n_mar long")
 
 
 def select_tolerance(sweep: DataFrame, spread: str, k: float = 0.95, least: int | None = None) -> DataFrame:
@@ -108,9 +124,10 @@ def anchor_class(positions: DataFrame, days: DataFrame, trips: DataFrame) -> Dat
 
 
 def apply_anchor(positions: DataFrame, colonies: DataFrame, km: float = 100.0, seed: int = 0) -> DataFrame:
-    """Class 1 moves to the colony, class 2 to a point km away in a bearing that a hash of trip and time gives."""
+    """Class 1 moves to the colony, class 2 to a point km away in a bearing that a checksum of trip and time gives."""
     j = positions.join(colonies.select("trip_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat")), "trip_id", "left")
-    bearing = F.pmod(F.xxhash64("trip_id", "ts", F.lit(seed)), F.lit(36000)) / 100.0
+    digest = F.md5(F.concat_ws("|", F.col("trip_id").cast("string"), us("ts").cast("string"), F.lit(str(seed))))
+    bearing = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(36000)) / 100.0
     lon2, lat2 = destination(F.col("_lon"), F.col("_lat"), bearing, km)
     lon = F.when(F.col("anchor") == 1, F.col("_lon")).when(F.col("anchor") == 2, lon2).otherwise(F.col("lon"))
     lat = F.when(F.col("anchor") == 1, F.col("_lat")).when(F.col("anchor") == 2, lat2).otherwise(F.col("lat"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfowl.functions.tracks import in_order, near_day, us
+from wayfowl.functions.tracks import checkpoint_folder, in_order, near_day, us
 
 ATTRIBUTES = ("dx", "dy", "dist", "dt", "r2n", "abs_angle", "rel_angle")
 
@@ -64,9 +63,7 @@ def drop_large_jumps(track: DataFrame, limit: float = 40.0, window_rounds: int =
     """Drops rows whose step to the next one is too long, until none is, then rows without complete attributes. A round is a
     window and a filter; dirty trips go on to the next one, clean ones are set aside, and each round is checkpointed. Trips that
     are dirty after `window_rounds` are finished by one pass over each trip's rows, however many rounds they need."""
-    spark = track.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-wayfowl-"))  # only without a cluster's setting, as in tests
+    checkpoint_folder(track.sparkSession)
     todo, done = track, None
     for _ in range(window_rounds):
         w = in_order()
@@ -124,14 +121,14 @@ def drop_repeated_lat(track: DataFrame, more_than: int = 4) -> DataFrame:
 
 def trim_ends(track: DataFrame, last: int = 5, first: int = 5, drop_last: int = 5, drop_first: int = 4) -> DataFrame:
     """Repeated latitudes within the last rows: these go. Else, within the first rows: the first go."""
-    whole = Window.partitionBy("trip_id")
-    d = track.withColumn("_i", F.row_number().over(in_order())).withColumn("_n", F.count("*").over(whole))
+    d = track.withColumn("_i", F.row_number().over(in_order())).withColumn("_n", F.count("*").over(Window.partitionBy("trip_id")))
 
     def repeats(inside: Column) -> Column:
         y = F.when(inside, F.col("y"))
-        return F.size(F.collect_list(y).over(whole)) > F.size(F.collect_set(y).over(whole))
+        return F.count(y) > F.count_distinct(y)
 
-    d = d.withColumn("_late", repeats(F.col("_i") > F.col("_n") - last)).withColumn("_early", repeats(F.col("_i") <= first))
+    ends = d.where((F.col("_i") > F.col("_n") - last) | (F.col("_i") <= first)).groupBy("trip_id").agg(repeats(F.col("_i") > F.col("_n") - last).alias("_late"), repeats(F.col("_i") <= first).alias("_early"))
+    d = d.join(ends, "trip_id", "left")
     gone = (F.col("_late") & (F.col("_i") > F.col("_n") - drop_last)) | (~F.col("_late") & F.col("_early") & (F.col("_i") <= drop_first))
     return d.where(~gone).drop("_i", "_n", "_late", "_early")
 
@@ -286,27 +283,49 @@ def raw_shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int = 3
 OF_REDISCRETISED = ("straightness", "sinuosity", "ang_vector", "ang_mean")
 
 
-def shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int = 3) -> DataFrame:
-    """Per (trip_id, seg) the metrics of raw_shape_metrics, but turning vector, straightness and sinuosity of the segment's track
-    rediscretised to its mean step."""
-    walked = raw_shape_metrics(step_attributes(rediscretise(steps), ("trip_id", "seg")), frame_s, places)
+def shape_metrics(track: DataFrame, frame_s: float = 1 / 50, places: int = 3, by: str = "seg") -> DataFrame:
+    """Per (trip_id, by), where `by` is the segment or its cluster, the metrics of raw_shape_metrics from steps between the group's own
+    positions, but turning vector, straightness and sinuosity of its track rediscretised to its mean step. track may bring r2n."""
+    own = track.select("trip_id", F.col(by).alias("seg"), "ts", "ord", "x", "y", *(F.col(c).alias("_r2n") for c in track.columns if c == "r2n"))
+    keys = ("trip_id", "seg")
+    steps = step_attributes(own, keys)
+    if "_r2n" in own.columns:
+        steps = steps.withColumn("r2n", F.col("_r2n")).drop("_r2n")
+    walked = raw_shape_metrics(step_attributes(rediscretise(own), keys), frame_s, places)
     raw = raw_shape_metrics(steps, frame_s, places).drop(*OF_REDISCRETISED)
-    return raw.join(walked.select("trip_id", "seg", *OF_REDISCRETISED), ["trip_id", "seg"], "left")
+    return raw.join(walked.select(*keys, *OF_REDISCRETISED), [*keys], "left").withColumnRenamed("seg", by)
 
 
 _REDISCRETISED = "trip_id long, seg int, ord long, ts timestamp, x double, y double"
 
 
+def equal_chords(p: np.ndarray, step: float) -> np.ndarray:
+    """Points on a path, each `step` from the one before in a straight line; what is left at the end is shorter than a step."""
+    out, at, i = [p[0]], p[0], 1
+    while step > 0 and i < len(p):
+        far = np.hypot(*(p[i:] - at).T) >= step
+        if not far.any():
+            break
+        i += int(far.argmax())
+        a, d = p[i - 1], p[i] - p[i - 1]
+        e = a - at  # |e + t d| = step, the later of both places
+        qa, qb, qc = d @ d, 2 * (e @ d), e @ e - step * step
+        at = a + (-qb + np.sqrt(max(0.0, qb * qb - 4 * qa * qc))) / (2 * qa) * d
+        out.append(at)
+    return np.array(out)
+
+
 def rediscretise(track: DataFrame) -> DataFrame:
-    """Each segment's path walked again in steps of its mean step length."""
+    """Each segment's path walked again in straight steps of its mean step length."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "ord"], ignore_index=True)
         p = pdf[["x", "y"]].to_numpy(np.float64)
-        at = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))])
-        step = at[-1] / max(1, len(p) - 1)
-        along = np.arange(0, at[-1] + step / 2, step)[: len(p)] if step > 0 else np.zeros(1)
-        return pd.DataFrame({"trip_id": int(pdf.trip_id.iloc[0]), "seg": int(pdf.seg.iloc[0]), "ord": np.arange(1, len(along) + 1), "ts": pdf.ts.iloc[0], "x": np.interp(along, at, p[:, 0]), "y": np.interp(along, at, p[:, 1])})
+        p = p[~np.isnan(p).any(axis=1)]
+        if not len(p):
+            return pd.DataFrame(columns=["trip_id", "seg", "ord", "ts", "x", "y"])
+        q = equal_chords(p, float(np.hypot(*np.diff(p, axis=0).T).mean()) if len(p) > 1 else 0.0)
+        return pd.DataFrame({"trip_id": int(pdf.trip_id.iloc[0]), "seg": int(pdf.seg.iloc[0]), "ord": np.arange(1, len(q) + 1), "ts": pdf.ts.iloc[0], "x": q[:, 0], "y": q[:, 1]})
 
     return track.select("trip_id", "seg", "ts", "ord", "x", "y").groupBy("trip_id", "seg").applyInPandas(one, _REDISCRETISED)
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfowl.functions.solar import haversine_km
 from wayfowl.functions.tracks import hour_of_day, in_order, last_known, minute_of_day, near_day, next_known, run_number, us
@@ -73,9 +79,9 @@ def rise_julian(events: DataFrame) -> DataFrame:
 
 def loess_filter_flag(events: DataFrame, k: float = 3.0, span: float = 0.05) -> DataFrame:
     """Flags events whose hour departs from the smooth of their type by more than k interquartile ranges."""
-    smooth = local_regression(events.withColumn("value", hour_of_day("ts")), span).withColumn("resid", F.abs(F.col("value") - F.col("smooth")))
+    smooth = local_regression(events.withColumn("value", hour_of_day("ts")), span).withColumn("resid", F.round(F.abs(F.col("value") - F.col("smooth")), 9))
     iqr = smooth.groupBy("trip_id", "type").agg((F.percentile("resid", F.lit(0.75)) - F.percentile("resid", F.lit(0.25))).alias("iqr"))
-    return smooth.join(iqr, ["trip_id", "type"]).withColumn("loess_flag", F.col("resid") > k * F.col("iqr")).drop("resid", "iqr", "value", "smooth")
+    return smooth.join(iqr, ["trip_id", "type"]).withColumn("loess_flag", F.round(F.col("resid") - k * F.col("iqr"), 6) > 0).drop("resid", "iqr", "value", "smooth")
 
 
 def speed_filter_flag(positions: DataFrame, max_kmh: float = 500.0) -> DataFrame:
@@ -115,24 +121,33 @@ def unwrap_hours(events: DataFrame) -> DataFrame:
     return worst.select("trip_id", "type", best["shift"].alias("shift"), best["jump"].alias("jump"))
 
 
+def local_quadratic(values: np.ndarray, h: int) -> np.ndarray:
+    """Local quadratics over h rows on either side with tricube weights; missing values (not a number) do not count."""
+    d = np.arange(-h, h + 1)
+    weight = (1 - (np.abs(d) / (h + 1)) ** 3) ** 3
+    known = ~np.isnan(values)
+    y = np.where(known, values, 0.0)
+    near = lambda x, k: np.convolve(x, (weight * d**k)[::-1])[h : h + len(x)]  # noqa: E731  sums over the rows around each one
+    s0, s1, s2, s3, s4 = (near(known.astype(float), k) for k in range(5))
+    t0, t1, t2 = (near(y, k) for k in range(3))
+    det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+    top = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(np.abs(det) > 1e-9, top / det, np.where(s0 > 0, t0 / s0, np.nan))
+
+
 def local_regression(values: DataFrame, span: float = 0.05) -> DataFrame:
-    """Local quadratic with tricube weights over the nearest rows (a share `span` of the type's rows), in row order. Every
-    weighted sum is gathered by a window over collected neighbours, without joining rows to rows."""
-    w = in_order("type")
-    whole = Window.partitionBy("trip_id", "type")
-    numbered = values.withColumn("i", F.row_number().over(w).cast("double")).withColumn("h", F.greatest(F.lit(2.0), F.ceil(F.count("*").over(whole) * span / 2)))
-    widest = 60  # rows on either side that a window may hold; h is capped there
-    near = numbered.withColumn("h", F.least("h", F.lit(float(widest)))).withColumn("near", F.collect_list(F.struct("i", "value")).over(w.rowsBetween(-widest, widest)))
-    inside = F.filter("near", lambda p: (F.abs(p["i"] - F.col("i")) <= F.col("h")) & p["value"].isNotNull())
-    weight = lambda p: F.pow(1 - F.pow(F.abs(p["i"] - F.col("i")) / (F.col("h") + 1), 3.0), 3.0)
+    """Local quadratic with tricube weights over the nearest rows (a share `span` of the type's rows), in row order. A group has the
+    rows of one trip and type, whatever their number; its weighted sums are convolutions."""
+    schema = T.StructType([*values.schema.fields, T.StructField("smooth", T.DoubleType())])
 
-    def total(power: int, value: bool = False) -> Column:
-        return F.aggregate("near", F.lit(0.0), lambda a, p: a + weight(p) * F.pow(p["i"] - F.col("i"), float(power)) * (p["value"] if value else F.lit(1.0)))
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("ts", "ascending"), ("ord", "ascending")], null_placement="at_start"))
+        value = rows.column("value").cast(pa.float64()).to_numpy().astype(np.float64)
+        smooth = local_quadratic(value, max(2, math.ceil(len(value) * span / 2)))
+        return rows.append_column("smooth", pa.array(smooth, pa.float64(), from_pandas=True))
 
-    sums = near.withColumn("near", inside).select("*", *(total(k).alias(f"s{k}") for k in range(5)), *(total(k, True).alias(f"t{k}") for k in range(3))).drop("near")
-    det = "(s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2))"
-    fit = F.expr(f"CASE WHEN abs{det} > 1e-9 THEN (t0*(s2*s4-s3*s3) - s1*(t1*s4-t2*s3) + s2*(t1*s3-t2*s2)) / {det} WHEN s0 > 0 THEN t0 / s0 END")
-    return sums.withColumn("smooth", fit).drop("i", "h", *(f"s{k}" for k in range(5)), *(f"t{k}" for k in range(3)))
+    return values.groupBy("trip_id", "type").applyInArrow(one, schema)
 
 
 def daily_grid(events: DataFrame) -> DataFrame:
@@ -171,8 +186,23 @@ def prediction_fallback(predicted: DataFrame, dawn: str = "dawn", dusk: str = "d
     return predicted.withColumn("pred_ts", F.coalesce(stamp, civil))
 
 
-def rescue_nearest(events: DataFrame) -> DataFrame:
-    """Of the flagged events of a (trip, type, date) the one nearest to the predicted hour on a 24 h clock is kept."""
+def borrow_prediction(events: DataFrame, months: tuple[int, ...], within_days: int = 10) -> DataFrame:
+    """In these months an event without a prediction takes that of the nearest date of its trip and type, at most within_days away;
+    of two as near the earlier one's. Windows over the trip's own rows."""
+    w = in_order("type")
+    own = F.when(F.col("pred").isNotNull(), F.struct(F.to_date("ts").alias("day"), "pred"))
+    before, after = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(own, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    e = events.withColumn("_b", before).withColumn("_a", after)
+    gap_b, gap_a = F.datediff(F.to_date("ts"), F.col("_b.day")), F.datediff(F.col("_a.day"), F.to_date("ts"))
+    near = F.when((gap_b <= within_days) & (gap_a.isNull() | (gap_b <= gap_a)), F.col("_b.pred")).when(gap_a <= within_days, F.col("_a.pred"))
+    return e.withColumn("pred", F.when(F.month("ts").isin(*months), F.coalesce("pred", near)).otherwise(F.col("pred"))).drop("_b", "_a")
+
+
+def rescue_nearest(events: DataFrame, borrow_months: tuple[int, ...] = ()) -> DataFrame:
+    """Of the flagged events of a (trip, type, date) the one nearest to the predicted hour on a 24 h clock is kept. In the months of
+    `borrow_months` (leg tucking; none by default) a missing prediction is that of the nearest date."""
+    if borrow_months:
+        events = borrow_prediction(events, borrow_months)
     apart = F.abs((hour_of_day("ts") - F.col("pred")) * 3600)
     clock = F.least(apart, 86400 - apart)
     w = Window.partitionBy("trip_id", "type", F.to_date("ts"), "remove").orderBy(F.col("clock").asc_nulls_last(), "ts", "ord")

@@ -1,7 +1,10 @@
 """Queries over calibration, positions and phenology."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from wayfowl.functions.tracks import checkpoint_folder
 from wayfowl.operators import calibrate as cb
 from wayfowl.operators import phenology as ph
 from wayfowl.operators import positions as ps
@@ -38,8 +41,8 @@ FILES = "SELECT trip_id, CASE WHEN trip_id % 3 = 0 THEN NULL ELSE concat('adj',
 
 
 def files(v):
-    v("trips").createOrReplaceTempView("wayfowl_trips")
-    return v("trips").sparkSession.sql(FILES + "wayfowl_trips")
+    t = v("trips")
+    return t.sparkSession.sql(FILES + "{t}", t=t)
 
 
 @query("a5_choose_file", f"WITH f AS ({FILES} v_trips) SELECT trip_id, coalesce(file_adjlux, file_lux) AS file FROM f WHERE coalesce(file_adjlux, file_lux) IS NOT NULL AND trip_id % 5 <> 0")
@@ -59,6 +62,26 @@ def a8(v):
     return rv.calibration_events(v("dates").withColumn("place", F.when(F.col("ord") % 2 == 0, "predep").otherwise("postrec")).withColumn("marker", (F.col("ord") % 10).cast("int")))
 
 
+@query("a7_write_locator_backup", "SELECT concat('trip', CAST(trip_id % 7 AS VARCHAR(9)), '.trn') AS file, concat_ws(',', strftime(ts, '%d/%m/%y %H:%M:%S'), CASE WHEN type = 1 THEN 'Sunrise' ELSE 'Sunset' END, CASE WHEN ord % 2 = 0 THEN '9' ELSE '1' END) AS line FROM v_dates")
+def a7w(v):
+    from wayfowl.sources import files as fs
+
+    rows = a7(v)
+    path, trips = _scratch(rows.sparkSession), rows.select("trip_id").distinct().withColumn("file", F.concat(F.lit("trip"), F.col("trip_id") % 7, F.lit(".trn")))
+    fs.write_locator_backup(rows, trips, path)
+    return rows.sparkSession.read.schema("value string, file string").text(path).select("file", F.col("value").alias("line"))
+
+
+@query("a8_write_calibration_twilights", "SELECT concat('l', CAST(trip_id % 5 AS VARCHAR(9)), CASE WHEN ord % 2 = 0 THEN '_predep' ELSE '_postrec' END, '_.trn') AS file, concat_ws(',', strftime(ts, '%Y-%m-%d %H:%M:%S'), CASE WHEN type = 1 THEN 'Sunrise' ELSE 'Sunset' END, CAST(CAST(ord % 10 AS INT) AS VARCHAR(9))) AS line FROM v_dates")
+def a8w(v):
+    from wayfowl.sources import files as fs
+
+    rows = a8(v)
+    path, loggers = _scratch(rows.sparkSession), rows.select("trip_id").distinct().withColumn("file", F.concat(F.lit("l"), F.col("trip_id") % 5))
+    fs.write_calibration_twilights(rows, loggers, path)
+    return rows.sparkSession.read.schema("value string, file string").text(path).select("file", F.col("value").alias("line"))
+
+
 @query("a11_update_status", f"WITH f AS ({FILES} v_trips) SELECT trip_id, file_adjlux, file_lux, CASE WHEN trip_id % 4 = 0 THEN 'Yes' ELSE calibrations END AS calibrations, CASE WHEN trip_id % 4 = 0 THEN 'No' ELSE no_data END AS no_data FROM f")
 def a11(v):
     t = files(v)
@@ -145,8 +168,8 @@ INFO = "SELECT trip_id AS logger_id, " + ", ".join(f"CAST(min(ts) AS DATE) + {40
 
 
 def info(v):
-    v("dates").createOrReplaceTempView("wayfowl_dates")
-    return v("dates").sparkSession.sql(INFO.format("wayfowl_dates"))
+    d = v("dates")
+    return d.sparkSession.sql(INFO.format("{d}"), d=d)
 
 
 @query("f1_unpivot_periods", "WITH i AS (" + INFO.format("v_dates") + ") " + " UNION ALL ".join(f"SELECT logger_id, '{p}' AS period, '{w}' AS place, CAST(start_{i} AS VARCHAR) AS start, CAST(end_{i} + 1 AS VARCHAR) AS \"end\", loc_{i} AS loc, lon_{i} AS lon, lat_{i} AS lat, CAST(end_{i} - start_{i} AS INT) AS n_days FROM i WHERE end_{i} IS NOT NULL" for i, p, w in ((1, "PD1", "predep"), (2, "PD2", "predep"), (3, "PR3", "postrec"))))
@@ -179,13 +202,14 @@ def f4(v):
 
 
 GAMMA = """
-WITH e AS (SELECT producer, period, CASE WHEN zenith > 0 THEN zenith / 1000 END AS x FROM v_calib WHERE period <= 3),
-s AS (SELECT producer, period, count(x) AS n, avg(x) AS m, avg(ln(x)) AS ml, stddev_samp(ln(x)) AS sl FROM e GROUP BY 1, 2), k AS (SELECT *, ln(m) - ml AS s FROM s)
+WITH e AS (SELECT producer, period, CASE WHEN zenith > 0 THEN zenith / 1000 END AS x, 92 + ln(1 + zenith / 1000) + period % 3 AS z FROM v_calib),
+s AS (SELECT producer, period, count(x) AS n, avg(x) AS m, avg(ln(x)) AS ml, stddev_samp(ln(x)) AS sl, max(x) > min(x) AS two FROM e GROUP BY 1, 2),
+k AS (SELECT * REPLACE (CASE WHEN two THEN m END AS m, CASE WHEN two THEN ml END AS ml, CASE WHEN two THEN sl END AS sl), CASE WHEN two THEN ln(m) - ml END AS s FROM s)
 """
 
 
 def errors(v):
-    return v("calib").where("period <= 3").withColumn("error", F.col("zenith") / 1000)
+    return v("calib").withColumn("error", F.col("zenith") / 1000).withColumn("at_zenith", 92 + F.ln(1 + F.col("zenith") / 1000) + F.col("period") % 3)
 
 
 @query("f5_fit_gamma", GAMMA + "SELECT producer, period, round((3 - s + sqrt(pow(s - 3, 2) + 24 * s)) / (12 * s), 6) AS shape, round(m / ((3 - s + sqrt(pow(s - 3, 2) + 24 * s)) / (12 * s)), 6) AS scale FROM k")
@@ -198,6 +222,19 @@ def f5l(v):
     return cb.fit_error_distribution(errors(v), ["producer", "period"], method="lognormal")
 
 
+LINES = GAMMA + ", r AS (SELECT producer, period, regr_slope(z, x) AS slope, regr_intercept(z, x) AS z0 FROM e GROUP BY 1, 2), sh AS (SELECT k.*, (3 - s + sqrt(pow(s - 3, 2) + 24 * s)) / (12 * s) AS shape FROM k), f AS (SELECT sh.*, slope, z0 FROM sh JOIN r ON sh.producer = r.producer AND sh.period = r.period)"
+
+
+@query("f5_fit_zenith_gamma", LINES + " SELECT producer, period, round(shape, 6) AS shape, round(m / shape, 6) AS scale, round(CASE WHEN two THEN z0 + slope * CASE WHEN shape > 1 THEN (shape - 1) * (m / shape) ELSE 0 END END, 6) AS zenith, round(CASE WHEN two THEN z0 END, 6) AS zenith0 FROM f")
+def f5z(v):
+    return cb.fit_error_distribution(errors(v), ["producer", "period"], zenith="at_zenith")
+
+
+@query("f5_fit_zenith_lognormal", LINES + " SELECT producer, period, round(ml, 6) AS shape, round(sl, 6) AS scale, round(z0 + slope * exp(ml - sl * sl), 6) AS zenith, round(CASE WHEN two THEN z0 END, 6) AS zenith0 FROM f")
+def f5zl(v):
+    return cb.fit_error_distribution(errors(v), ["producer", "period"], method="lognormal", zenith="at_zenith")
+
+
 WIDE = "WITH w AS (SELECT logger_id, producer, colony_id, " + ", ".join(f"max(zenith) FILTER (period = {i}) AS zenith_P{i}" for i in (1, 2, 3)) + " FROM v_calib WHERE period <= 3 GROUP BY 1, 2, 3)"
 
 
@@ -293,9 +330,23 @@ def e1(v):
     return _rounded(ps.threshold_location(zenith_pairs(v).withColumn("zenith", F.lit(90.0) + 4.5)))
 
 
-@query("g2_threshold_path")
+def _path(tol: str, src: str, keys: str) -> str:
+    """Positions of a tolerance: latitudes near an equinox are interpolated; w2 has the path."""
+    w = f"(PARTITION BY {keys} ORDER BY mid, ord"
+    return f""", pp AS (SELECT *, CASE WHEN abs(a_sin) > {tol} THEN l1 END AS x1, CASE WHEN abs(b_sin) > {tol} THEN l2 END AS x2 FROM {src}),
+pl2 AS (SELECT *, coalesce((x1 + x2) / 2, x1, x2) AS lat, lon - lag(lon) OVER {w}) AS st FROM pp),
+pu AS (SELECT *, lon + sum(CASE WHEN st > 180 THEN -360.0 WHEN st < -180 THEN 360.0 ELSE 0 END) OVER {w}) AS ulon, CASE WHEN lat IS NOT NULL THEN mid END AS t FROM pl2),
+w1 AS (SELECT *, last_value(lat IGNORE NULLS) OVER {w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v0, last_value(t IGNORE NULLS) OVER {w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t0,
+  first_value(lat IGNORE NULLS) OVER {w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1, first_value(t IGNORE NULLS) OVER {w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM pu),
+w2 AS (SELECT *, coalesce(lat, v0 + (v1 - v0) * (mid - t0) / nullif(t1 - t0, 0), v0, v1) AS plat FROM w1)"""
+
+
+TERMS = PLACE + f", la AS (SELECT *, {_lat('a_', 96.0)} AS l1, {_lat('b_', 96.0)} AS l2, (u + u2) // 2 AS mid FROM ln)"
+
+
+@query("g2_threshold_path", TERMS + _path("0.35", "la", "trip_id") + " SELECT trip_id, ord, mid AS ts, round(ulon, 4) AS lon, round(plat, 4) AS lat FROM w2")
 def g2(v):
-    return ps.threshold_path(zenith_pairs(v), 0.05).select("trip_id", "ord", "ts", "lon", "lat")
+    return ps.threshold_path(zenith_pairs(v), 0.35).select("trip_id", "ord", "ts", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
 
 
 PATH = f"""
@@ -313,9 +364,13 @@ def g2i(v):
     return ps.interpolate(t, "y").select("trip_id", "ord", "y")
 
 
-@query("g3_tolerance_sweep")
+def _near(month: int, dom: int) -> str:
+    return f"abs(date_diff('day', make_date(year(make_timestamp(mid)), {month}, {dom}), CAST(make_timestamp(mid) AS DATE))) <= 20"
+
+
+@query("g3_tolerance_sweep", TERMS + ", lt AS (SELECT la.*, i * 0.001::DOUBLE AS tol FROM la, range(1, 201) r(i))" + _path("tol", "lt", "trip_id, tol") + f", z AS (SELECT trip_id, tol, CASE WHEN {_near(9, 23)} THEN plat END AS ls, CASE WHEN {_near(3, 21)} THEN plat END AS lm FROM w2) SELECT trip_id, round(tol, 6) AS tol, round(max(ls) - min(ls), 4) AS spread_sep, CASE WHEN count(lm) < 2 THEN CAST('inf' AS DOUBLE) ELSE round(max(lm) - min(lm), 4) END AS spread_mar, count(lm) AS n_mar FROM z GROUP BY trip_id, tol")
 def g3(v):
-    return ps.tolerance_sweep(zenith_pairs(v))
+    return ps.tolerance_sweep(zenith_pairs(v)).withColumn("spread_sep", F.round("spread_sep", 4)).withColumn("spread_mar", F.round("spread_mar", 4))
 
 
 TOL = """
@@ -361,10 +416,17 @@ def g7(v):
     return anchored(v).select("trip_id", "ord", "anchor")
 
 
-@query("g8_apply_anchor")
+MOVED_TO = "WITH an AS (" + ANCHOR.replace("SELECT trip_id, ord, CASE WHEN i", "SELECT trip_id, ord, ts, x, y, CASE WHEN i").replace("SELECT t.trip_id, t.ord, t.ts,", "SELECT t.trip_id, t.ord, t.ts, t.x, t.y,") + """), c AS (SELECT s.trip_id, k.lon, k.lat FROM v_trips s JOIN v_colony k ON s.colony_id = k.colony_id),
+j AS (SELECT an.*, c.lon AS clon, c.lat AS clat, radians((CAST(concat('0x', md5(concat_ws('|', CAST(an.trip_id AS VARCHAR), CAST(US(ts) AS VARCHAR), '0'))[1:8]) AS BIGINT) % 36000) / 100.0::DOUBLE) AS b, 100.0::DOUBLE / 6371.0 AS d FROM an LEFT JOIN c ON an.trip_id = c.trip_id),
+k AS (SELECT *, asin(sin(radians(clat)) * cos(d) + cos(radians(clat)) * sin(d) * cos(b)) AS p2 FROM j),
+l AS (SELECT *, degrees(radians(clon) + atan2(sin(b) * sin(d) * cos(radians(clat)), cos(d) - sin(radians(clat)) * sin(p2))) + 180 AS l2 FROM k)
+SELECT trip_id, ord, anchor, round(CASE anchor WHEN 1 THEN clon WHEN 2 THEN l2 - 360 * floor(l2 / 360) - 180 ELSE x END, 5) AS lon, round(CASE anchor WHEN 1 THEN clat WHEN 2 THEN degrees(p2) ELSE y END, 5) AS lat FROM l"""
+
+
+@query("g8_apply_anchor", MOVED_TO)
 def g8(v):
     p = anchored(v).withColumnRenamed("x", "lon").withColumnRenamed("y", "lat")
-    return ps.apply_anchor(p, v("trips").join(v("colony"), "colony_id")).select("trip_id", "ord", "anchor", "lon", "lat")
+    return ps.apply_anchor(p, v("trips").join(v("colony"), "colony_id")).select("trip_id", "ord", "anchor", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
 CIVIL = "WITH dd AS (SELECT d.trip_id, d.day, c.lon, c.lat, epoch_us(CAST(d.day AS TIMESTAMP)) / 1e6 + 43200.0 - c.lon * 240.0 AS noon0 FROM v_days d JOIN v_trips t ON d.trip_id = t.trip_id JOIN v_colony c ON t.colony_id = c.colony_id)" + sun_ctes("dd", "sa", "noon0", "a_") + """,
@@ -458,10 +520,10 @@ def k9(v):
     return visits(v)
 
 
-POLY = "(VALUES ('triangle', 1, 5.0, 5.0), ('triangle', 2, 25.0, 8.0), ('triangle', 3, 12.0, 30.0), ('ell', 1, 30.0, 5.0), ('ell', 2, 50.0, 5.0), ('ell', 3, 50.0, 25.0), ('ell', 4, 40.0, 25.0), ('ell', 5, 40.0, 15.0), ('ell', 6, 30.0, 15.0), ('square', 1, 10.0, 35.0), ('square', 2, 45.0, 35.0), ('square', 3, 45.0, 50.0), ('square', 4, 10.0, 50.0)) AS t(region, idx, x, y)"
+POLY = "(VALUES ('triangle', 1, 1, 5.0, 5.0), ('triangle', 1, 2, 25.0, 8.0), ('triangle', 1, 3, 12.0, 30.0), ('ell', 1, 1, 30.0, 5.0), ('ell', 1, 2, 50.0, 5.0), ('ell', 1, 3, 50.0, 25.0), ('ell', 1, 4, 40.0, 25.0), ('ell', 1, 5, 40.0, 15.0), ('ell', 1, 6, 30.0, 15.0), ('square', 1, 1, 10.0, 35.0), ('square', 1, 2, 45.0, 35.0), ('square', 1, 3, 45.0, 50.0), ('square', 1, 4, 10.0, 50.0), ('square', 2, 1, 15.0, 38.0), ('square', 2, 2, 35.0, 38.0), ('square', 2, 3, 25.0, 47.0), ('square', 3, 1, 60.0, 35.0), ('square', 3, 2, 70.0, 36.0), ('square', 3, 3, 65.0, 60.0)) AS t(region, ring, idx, x, y)"
 INSIDE = f"""
-WITH pv AS (SELECT region, idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {POLY}),
-e AS (SELECT region, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM pv WINDOW w AS (PARTITION BY region ORDER BY idx)),
+WITH pv AS (SELECT region, ring, idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {POLY}),
+e AS (SELECT region, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM pv WINDOW w AS (PARTITION BY region, ring ORDER BY idx)),
 pt AS (SELECT trip_id, ord, ts, x + 0.013 AS x, y + 0.017 AS y FROM v_track),
 hit AS (SELECT pt.trip_id, pt.ord, region FROM pt, e WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)
 """
@@ -469,7 +531,7 @@ hit AS (SELECT pt.trip_id, pt.ord, region FROM pt, e WHERE (y1 > y) <> (y2 > y)
 
 def located(v):
     t = v("track").withColumn("x", F.col("x") + 0.013).withColumn("y", F.col("y") + 0.017)
-    poly = t.sparkSession.sql(f"SELECT region, idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {POLY}")
+    poly = t.sparkSession.sql(f"SELECT region, ring, idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {POLY}")
     return ph.point_in_polygon_join(t, poly)
 
 
@@ -515,11 +577,16 @@ def wide_dates(v):
     return ph.pivot_dates(dates_of(v), STAGES)
 
 
-@query("k13_resident_overrides", PIV + ', o AS (SELECT pv.*, migrant FROM pv JOIN mc ON pv.trip_id = mc.trip_id) SELECT trip_id, migrant, CASE WHEN migrant = \'Resident\' THEN NULL WHEN migrant = \'Resident2\' THEN W1_arr ELSE B1_dep END AS "B1_dep", CASE WHEN migrant = \'Resident2\' THEN B2_arr ELSE W1_dep END AS "W1_dep" FROM o')
+@query("k13_resident_overrides", PIV + ', o AS (SELECT pv.*, migrant FROM pv JOIN mc ON pv.trip_id = mc.trip_id) SELECT trip_id, migrant, CASE WHEN migrant = \'Resident\' THEN NULL WHEN migrant = \'Resident2\' THEN W1_arr ELSE B1_dep END AS "B1_dep", CASE WHEN migrant = \'Resident2\' THEN B1_arr ELSE W1_dep END AS "W1_dep" FROM o')
 def k13(v):
     return ph.resident_overrides(wide_dates(v).join(classes(v), "trip_id")).select("trip_id", "migrant", "B1_dep", "W1_dep")
 
 
+@query("k13_stage_subset", SPLITG + ", cx AS (SELECT h.trip_id, h.ord, h.stage, r.run AS context_run, r.stage AS context FROM h JOIN runs r ON h.trip_id = r.trip_id AND h.run BETWEEN r.run - 1 AND r.run + 1 WHERE r.stage <> 'mig') SELECT cx.trip_id, ord, stage, CAST(context_run AS BIGINT) AS context_run, context FROM cx JOIN mc ON cx.trip_id = mc.trip_id WHERE migrant <> 'Resident2' OR stage = context")
+def k13s(v):
+    return ph.stage_subset(context(v), classes(v)).select("trip_id", "ord", "stage", "context_run", "context")
+
+
 @query("k14_pivot_dates", PIV + f" SELECT trip_id, {COLS} FROM pv")
 def k14(v):
     return wide_dates(v)
@@ -545,11 +612,7 @@ def k17(v):
 
 
 def _scratch(spark):
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-wayfowl-')}"
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 LIGHT = "SELECT CAST(trip_id AS VARCHAR) AS trip_id, US(ts) // 1000000 * 1000000 AS ts, round(lux, 6) AS lux FROM v_light"
@@ -613,12 +676,16 @@ def a9(v):
     return s.sparkSession.read.schema(s.schema).parquet(path)
 
 
-@query("a10_polygons", "SELECT n_name AS region, CAST(1 AS INT) AS idx, CAST(n_nationkey AS DOUBLE) AS x, CAST(n_regionkey AS DOUBLE) AS y FROM nation")
+#: A square of each nation with a square hole: side 4 or 2, corner by corner.
+SQUARES = "SELECT n_name AS region, CAST(r AS INT) AS ring, CAST(i AS INT) AS idx, CAST(n_nationkey * 5 + r + CASE WHEN i IN (2, 3) THEN 6 - 2 * r ELSE 0 END AS DOUBLE) AS {x}, CAST(n_regionkey * 5 + r + CASE WHEN i IN (3, 4) THEN 6 - 2 * r ELSE 0 END AS DOUBLE) AS {y} FROM"
+
+
+@query("a10_polygons", SQUARES.format(x="x", y="y") + " nation, range(1, 3) a(r), range(1, 5) b(i)")
 def a10(v):
     from wayfowl.sources import files as fs
 
-    c = v("nation").select(F.col("n_name").alias("region"), F.lit(1).alias("idx"), F.col("n_nationkey").cast("double").alias("lon"), F.col("n_regionkey").cast("double").alias("lat"))
-    return fs.polygons(c.withColumn("ring", F.lit(1)).unionByName(c.withColumn("ring", F.lit(2))))
+    n = v("nation")
+    return fs.polygons(n.sparkSession.sql(SQUARES.format(x="lon", y="lat") + " {n} CROSS JOIN (SELECT id AS r FROM range(1, 3)) CROSS JOIN (SELECT id AS i FROM range(1, 5))", n=n))
 
 
 @query("j7_export_corrected", "SELECT trip_id, ord, label FROM v_label")

@@ -117,6 +117,11 @@ def h12w(v):
     return tr.shape_metrics(seg_steps(v))
 
 
+@query("h12_shape_metrics_by_cluster")
+def h12c(v):
+    return tr.shape_metrics(seg_steps(v).withColumn("cluster", F.col("seg") % 3), by="cluster")
+
+
 @query("h12_rediscretise")
 def h12r(v):
     return tr.rediscretise(v("track").withColumn("seg", (F.floor((F.col("ord") - 1) / 40) + 1).cast("int")))
@@ -138,8 +143,8 @@ SW = "(PARTITION BY trip_id ORDER BY seg)"
 
 
 def metrics(v):
-    v("seg").createOrReplaceTempView("wayfowl_seg")
-    return v("seg").sparkSession.sql(METRICS + "wayfowl_seg")
+    s = v("seg")
+    return s.sparkSession.sql(METRICS + "{s}", s=s)
 
 
 GROUPS = [("straightness",), ("sinuosity",), ("ang_vector", "ang_mean"), ("emax",), ("sq_disp",), ("dc_mean", "dc_sd"), ("r2n_mean", "r2n_sd"), ("mu_x", "sd_x"), ("mu_y", "sd_y"), ("mu_dist", "sd_dist"), ("mu_dx", "mu_dy")]

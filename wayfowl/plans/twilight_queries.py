@@ -19,6 +19,9 @@ e AS (SELECT trip_id, ord, u, make_timestamp(u) AS ts, type FROM f WHERE NOT gon
 """
 
 
+HOUR = "((hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INT)) / 3600.0::DOUBLE)"
+
+
 def events(v):
     return tw.threshold_crossings(v("light"), THR)
 
@@ -64,9 +67,17 @@ def c6(v):
     return tw.rise_julian(v("dates"))
 
 
-@query("c7_loess_filter_flag")
+LOCAL = CROSS + f""", a AS (SELECT trip_id, type, ord, {HOUR} AS value, row_number() OVER w AS i, greatest(2, ceil(count(*) OVER (PARTITION BY trip_id, type) * 0.05::DOUBLE / 2)) AS h FROM e WINDOW w AS (PARTITION BY trip_id, type ORDER BY u, ord)),
+j AS (SELECT a.trip_id, a.type, a.ord, a.value, pow(1 - pow(abs(b.i - a.i) / (a.h + 1.0::DOUBLE), 3), 3) AS w, CAST(b.i - a.i AS DOUBLE) AS d, b.value AS y FROM a JOIN a b ON a.trip_id = b.trip_id AND a.type = b.type AND abs(b.i - a.i) <= a.h),
+g AS (SELECT trip_id, type, ord, any_value(value) AS value, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * d * d * d) AS s3, sum(w * d * d * d * d) AS s4, sum(w * y) AS t0, sum(w * d * y) AS t1, sum(w * d * d * y) AS t2 FROM j GROUP BY 1, 2, 3),
+k AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM g),
+sm AS (SELECT *, CASE WHEN abs(det) > 1e-9 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det WHEN s0 > 0 THEN t0 / s0 END AS smooth FROM k)
+"""
+
+
+@query("c7_loess_filter_flag", LOCAL + ", rs AS (SELECT *, round(abs(value - smooth), 9) AS r FROM sm), q AS (SELECT trip_id, type, quantile_cont(r, 0.75) - quantile_cont(r, 0.25) AS iqr FROM rs GROUP BY 1, 2) SELECT rs.trip_id, rs.type, ord, round(r - 3 * iqr, 6) > 0 AS loess_flag FROM rs JOIN q ON rs.trip_id = q.trip_id AND rs.type = q.type")
 def c7(v):
-    return tw.loess_filter_flag(events(v))
+    return tw.loess_filter_flag(events(v)).select("trip_id", "type", "ord", "loess_flag")
 
 
 SPEED = """
@@ -104,7 +115,6 @@ def d2(v):
     return tw.rolling_sd(events(v)).select("trip_id", "ord", "type", "sd", "usable")
 
 
-HOUR = "((hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INT)) / 3600.0::DOUBLE)"
 
 
 @query("d3_unwrap_hours", CROSS + f""", h AS (SELECT trip_id, type, u, ord, i, ({HOUR} + i) % 24 AS s FROM e CROSS JOIN range(24) t(i)),
@@ -115,7 +125,7 @@ def d3(v):
     return tw.unwrap_hours(events(v))
 
 
-@query("d4_local_regression")
+@query("d4_local_regression", LOCAL + "SELECT trip_id, type, ord, round(value, 6) AS value, round(smooth, 6) AS smooth FROM sm")
 def d4(v):
     return tw.local_regression(events(v).withColumn("value", hour_of_day("ts"))).select("trip_id", "type", "ord", "value", "smooth")
 
@@ -181,6 +191,18 @@ def rescued(v):
     return tw.rescue_nearest(tw.flag_same_day(events(v)).withColumn("pred", (F.col("ord") % 240) / F.lit(10.0)))
 
 
+BORROW = CROSS + f""", p AS (SELECT trip_id, ord, type, u, ts, CAST(ts AS DATE) AS day, CASE WHEN ord % 3 = 0 THEN {HOUR} END AS pred FROM e),
+n AS (SELECT *, last_value(CASE WHEN pred IS NOT NULL THEN day END IGNORE NULLS) OVER b AS bd, last_value(pred IGNORE NULLS) OVER b AS bp, first_value(CASE WHEN pred IS NOT NULL THEN day END IGNORE NULLS) OVER f AS ad, first_value(pred IGNORE NULLS) OVER f AS ap FROM p
+  WINDOW b AS (PARTITION BY trip_id, type ORDER BY u, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY trip_id, type ORDER BY u, ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+"""
+
+
+@query("d10_borrow_prediction", BORROW + "SELECT trip_id, ord, type, round(coalesce(pred, CASE WHEN day - bd <= 1 AND (ad IS NULL OR day - bd <= ad - day) THEN bp WHEN ad - day <= 1 THEN ap END), 6) AS pred FROM n")
+def d10b(v):
+    e = events(v).withColumn("pred", F.when(F.col("ord") % 3 == 0, hour_of_day("ts")))
+    return tw.borrow_prediction(e, (1,), 1).select("trip_id", "ord", "type", "pred")
+
+
 @query("d10_rescue_nearest", RESCUE + "SELECT trip_id, ord, type, remove AND k <> 1 AS remove FROM z")
 def d10(v):
     return rescued(v).select("trip_id", "ord", "type", "remove")
@@ -192,9 +214,23 @@ def d11(v):
     return tw.rechain(pairs).drop("remove")
 
 
-@query("e2_mask_equinox_lat")
+def fill_ctes(src: str, out: str, span: int, most: int) -> str:
+    """Layers of common table expressions that fill gaps of lat; the last is called out."""
+    return f"""
+{out}n AS (SELECT *, row_number() OVER w AS i, CASE WHEN lat IS NULL THEN NULL ELSE avg(lat) OVER (PARTITION BY trip_id ORDER BY ts, ord ROWS BETWEEN {span - 1} PRECEDING AND CURRENT ROW) END AS b,
+  CASE WHEN lat IS NULL THEN NULL ELSE avg(lat) OVER (PARTITION BY trip_id ORDER BY ts, ord ROWS BETWEEN CURRENT ROW AND {span - 1} FOLLOWING) END AS a FROM {src} WINDOW w AS (PARTITION BY trip_id ORDER BY ts, ord)),
+{out}k AS (SELECT *, CASE WHEN lat IS NULL THEN NULL ELSE i END AS k FROM {out}n),
+{out}m AS (SELECT *, last_value(b IGNORE NULLS) OVER p AS b0, last_value(k IGNORE NULLS) OVER p AS k0, first_value(a IGNORE NULLS) OVER f AS a1, first_value(k IGNORE NULLS) OVER f AS k1 FROM {out}k
+  WINDOW p AS (PARTITION BY trip_id ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY trip_id ORDER BY ts, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{out} AS (SELECT trip_id, ord, ts, CASE WHEN lat IS NULL AND k1 - k0 - 1 <= {most} THEN b0 + (a1 - b0) * (i - k0) / (k1 - k0) ELSE lat END AS lat FROM {out}m)"""
+
+
+MASK = "WITH s AS (SELECT trip_id, ord, ts, CASE WHEN ord % 11 < 3 THEN NULL ELSE y END AS lat FROM v_track)," + fill_ctes("s", "p1", 1, 5) + ", ms AS (SELECT trip_id, ord, ts, CASE WHEN dayofyear(ts) BETWEEN 51 AND 95 OR dayofyear(ts) BETWEEN 251 AND 293 THEN NULL ELSE lat END AS lat FROM p1)," + fill_ctes("ms", "p2", 10, 130)
+
+
+@query("e2_mask_equinox_lat", MASK + " SELECT trip_id, ord, round(lat, 6) AS lat FROM p2")
 def e2(v):
-    return tw.mask_equinox_lat(v("track").select("trip_id", "ord", "ts", F.col("y").alias("lat"))).select("trip_id", "ord", "lat")
+    return tw.mask_equinox_lat(v("track").select("trip_id", "ord", "ts", F.when(F.col("ord") % 11 >= 3, F.col("y")).alias("lat"))).select("trip_id", "ord", "lat")
 
 
 #: Minutes by reference latitude and month, from a rule: they grow with latitude and towards the solstices.

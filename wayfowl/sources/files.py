@@ -52,12 +52,35 @@ def normalise_light(raw: DataFrame, trips: DataFrame | None = None) -> DataFrame
     return df.join(trips.select("trip_id", "start_date", "end_date"), "trip_id").where(F.col("day").between(F.to_date("start_date"), F.to_date("end_date"))).drop("start_date", "end_date")
 
 
+def _write_lines(rows: DataFrame, name: Column, columns: list[str], path: str, order: list[str]) -> None:
+    """Headerless lines, in a folder for each file name; within a folder the part files are in order, one after the other."""
+    line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns))
+    named = rows.withColumn("file", name).repartitionByRange("file", *order).sortWithinPartitions("file", *order)
+    named.select("file", line.alias("value")).write.partitionBy("file").text(path)
+
+
+def write_locator_backup(backup: DataFrame, trips: DataFrame, path: str) -> None:
+    """`dd/mm/yy HH:MM:SS,Sunrise|Sunset,confidence`, sorted by the formatted text; (trip_id, file) names the files."""
+    _write_lines(backup.join(trips.select("trip_id", F.col("file").alias("_file")), "trip_id"), F.col("_file"), ["date_time", "type", "confidence"], path, ["date_time"])
+
+
+def write_calibration_twilights(events: DataFrame, loggers: DataFrame, path: str) -> None:
+    """`date_time,type,confidence`; files are named by the logger's (trip_id, file) and the period before or after deployment."""
+    j = events.join(loggers.select("trip_id", F.col("file").alias("_file")), "trip_id")
+    _write_lines(j, F.concat_ws("_", "_file", "place", F.lit(".trn")), ["date_time", "type", "confidence"], path, ["date_time"])
+
+
 def read_table_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, nullValue="NA")
 
 
-def write_twilights(events: DataFrame, path: str) -> None:
-    """One folder a trip, with the file name as a column; csv with a header and without quotes."""
+def write_twilights(events: DataFrame, path: str, folders: int | None = None) -> None:
+    """One folder a trip, with the trip as a column; csv with a header and without quotes. `folders` sets how many folders all trips
+    share instead, for archives of very many trips: there a trip's rows lie together in one of them."""
+    if folders:
+        shared = events.withColumn("folder", F.pmod(F.xxhash64("trip_id"), F.lit(folders)))
+        shared.repartition("folder").sortWithinPartitions("folder", "trip_id").write.partitionBy("folder").option("header", True).option("nullValue", "NA").csv(path)
+        return
     events.write.partitionBy("trip_id").option("header", True).option("nullValue", "NA").csv(path)
 
 
@@ -78,5 +101,5 @@ def twilight_file_name(trips: DataFrame) -> DataFrame:
 
 
 def polygons(vertices: DataFrame) -> DataFrame:
-    """Regions as vertex rows (region, ring, idx, lon, lat), reduced to the region's name and its outer ring."""
-    return vertices.where("ring = 1").select("region", "idx", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    """Regions as vertex rows (region, ring, idx, lon, lat), reduced to the region's name; all rings stay: parts and holes."""
+    return vertices.select("region", "ring", "idx", F.col("lon").alias("x"), F.col("lat").alias("y"))
