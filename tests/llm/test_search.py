@@ -30,6 +30,22 @@ def test_exact_topk(spark):
         assert got == want
 
 
+def test_what_a_worker_has_reached_prunes_later_shards_and_loses_nothing():
+    rng = np.random.default_rng(6)
+    x, q = rng.integers(-50, 50, (900, 6)), rng.integers(-50, 50, (7, 6))
+    run = topk._search_group(5, 16)
+    frame = lambda m, ids, **more: topk.pd.DataFrame({"v": list(m), **ids, **more})
+    queries = frame(q, {"query_id": np.arange(1000, 1007)}, floor=-(2**62), block=0)
+    parts = [run(frame(x[lo : lo + 300], {"vec_id": np.arange(lo, lo + 300)}), queries) for lo in (0, 300, 600)]
+    assert len(parts[2]) < len(parts[0]) == 35
+    found = topk.pd.concat(parts).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(5)
+    for i in range(7):
+        want = sorted((-int(s), j) for j, s in enumerate(x @ q[i]))[:5]
+        assert [(-s, j) for j, s in found[found.query_id == 1000 + i][["vec_id", "score"]].itertuples(index=False)] == want
+    with pytest.raises(OverflowError):
+        list(topk.search(np.array([[2**40, 1]]), np.array([1]), np.array([0]), np.array([[2**40, 1]]), np.array([2])))
+
+
 def test_exact_sql(spark):
     import duckdb
 

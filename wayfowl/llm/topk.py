@@ -3,10 +3,12 @@
 Candidates are dealt into shards of bounded size by a hash; each shard builds a ball tree over its vectors. A ball with centre
 c and radius r holds no inner product above q.c + |q| r, so a query visits nodes in the order of that bound and stops where it
 falls below the score of its current k-th candidate. That score is shared: a first pass over one pilot shard gives every query
-a k-th score that it really reaches, all other shards start from it, and within a task it goes on from shard to shard.
+a k-th score that it really reaches, all other shards start from it, and a worker carries what its later shards have reached on
+to the next (FLOOR_BLOCKS blocks of queries at most). Shards are dealt by a hash, which keeps them even; each is pruned from
+within, never as a whole.
 
 Vectors are integers: floor(scale * x) of each component. Products are summed exactly, in double precision where all partial
-sums stay below 2**53 and in 64-bit integers beyond.
+sums stay below 2**53 and in 64-bit integers beyond; vectors whose products need not fit a long raise an OverflowError.
 
 Queries are dealt in blocks, so that a (shard, block) pair is a unit of bounded memory however many queries there are.
 
@@ -19,6 +21,7 @@ least of their vectors; with fewer candidates than k all are returned; other col
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,8 @@ EVERY = 50
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
 LEAF_ROWS = 256
+#: Blocks of queries whose k-th scores a worker carries from shard to shard.
+FLOOR_BLOCKS = 32
 #: Room for the rounding of bounds in double precision.
 SLACK = 1e-9
 
@@ -83,6 +88,9 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, x: np
     if not len(x) or not len(queries):
         return
     small = float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2**53
+    longest = [float((m.astype(np.float64) ** 2).sum(axis=1).max()) for m in (queries, x)]
+    if not small and longest[0] * longest[1] >= 2.0**126:
+        raise OverflowError("inner products of these vectors do not fit a long")
     exact = np.float64 if small else np.int64
     tree = BallTree(x.astype(np.float64), leaf_rows)
     rows, ids, q = x[tree.order].astype(exact), ids[tree.order], queries.astype(exact)
@@ -114,15 +122,34 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, x: np
 _HITS = "query_id long, vec_id long, score long"
 
 
+#: Of this worker: for each search and block the k-th scores that its queries have reached.
+_REACHED: dict[tuple[str, int], dict[int, int]] = {}
+
+
+def _carried(name: str, block: int) -> dict[int, int]:
+    found = _REACHED.pop((name, block), {})
+    while len(_REACHED) >= FLOOR_BLOCKS:
+        del _REACHED[next(iter(_REACHED))]
+    _REACHED[name, block] = found
+    return found
+
+
 def _search_group(k: int, leaf_rows: int):
+    name = uuid.uuid4().hex
+
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
+        reached = _carried(name, int(queries.block.iloc[0])) if len(queries) else {}
         for size, own in queries.groupby(queries.v.map(len)):  # vectors of one length only meet their like
             some = candidates[candidates.v.map(len) == size]
             if size and len(some):
                 qids = own.query_id.to_numpy()
-                found = search(np.stack(own.v), qids, own.floor.to_numpy(), np.stack(some.v), some.vec_id.to_numpy(), k, leaf_rows)
-                out += [(int(qids[i]), c, s) for i, c, s in found]
+                floors = np.array([max(f, reached.get(q, f)) for q, f in zip(qids.tolist(), own.floor.tolist(), strict=True)], np.int64)
+                hits: dict[int, list[int]] = {}
+                for i, c, s in search(np.stack(own.v), qids, floors, np.stack(some.v), some.vec_id.to_numpy(), k, leaf_rows):
+                    out.append((int(qids[i]), c, s))
+                    hits.setdefault(int(qids[i]), []).append(s)
+                reached.update({q: max(min(s), reached.get(q, min(s))) for q, s in hits.items() if len(s) == k})
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     return run
