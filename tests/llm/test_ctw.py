@@ -94,7 +94,7 @@ def test_scores_equal_the_slow_tree(spark, depth, hot):
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    pairs, n = ctw.summed(rng.integers(97, 101, 4000).astype(np.uint64) << np.uint64(8) | rng.integers(97, 103, 4000).astype(np.uint64), np.ones(4000))
+    pairs, n = ctw.summed(rng.integers(97, 101, 4000).astype(np.uint64) << np.uint64(8) | rng.integers(97, 103, 4000).astype(np.uint64), np.ones(4000, np.int64))
     for ctx in (97, 99, 122):
         every = np.arange(256, dtype=np.uint64) | np.uint64(ctx << 8)
         both = np.union1d(pairs, every)

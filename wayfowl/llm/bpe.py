@@ -37,7 +37,7 @@ MEMO_STATES = 250_000
 #: text that is remembered. When half of that is new, the older half goes.
 MEMO_SIZE = 384 << 20
 MEMO_BYTES = 64
-ENTRY = 150
+ENTRY = 200
 #: Bytes of a piece after which its settled tokens are written.
 SETTLE_BYTES = 4096
 DECODE_TOKENS = 8192

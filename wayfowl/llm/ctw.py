@@ -42,13 +42,13 @@ from .common import id_bucket, short_batches, table, text_bytes, written
 
 MAX_DEPTH = 6
 TOP_DEPTH = 3
-HOT_PAIRS = 1 << 20
-HOT_WORDS = 1 << 19
+HOT_PAIRS = 1 << 21
+HOT_WORDS = 1 << 20
 HELD_OUT = (7, 2)  # crc32(doc_id as text) modulo 7 is 2: nothing is learnt from these rows
 #: Bytes of texts that are worked on at once, also of one long text.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 512 << 10
 #: Keys that a task gathers before it sums them up, and that one row of a block holds.
-GATHER_KEYS = 4 << 20
+GATHER_KEYS = 2 << 20
 BLOCK_KEYS = 4096
 WORDS, PAIRS = 0, 1
 END = xxhash.xxh64_intdigest(b"")  # no word is empty
@@ -153,8 +153,10 @@ def pair_keys(words: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, n, len(distinct)).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n[order], first) if len(keys) else n.astype(np.int64)
 
 
 class _Gathered:
@@ -234,8 +236,8 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row(at: tuple[int, int], parts: list[tuple[bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys = np.concatenate([p[1] for p in parts])
-        distinct, place = np.unique(keys, return_inverse=True)
-        n, m = (np.bincount(place, np.concatenate([p[2] if p[0] == side else np.zeros(len(p[2])) for p in parts]), len(distinct)).astype(np.int64) for side in (False, True))
+        n, m = (np.concatenate([p[2] if p[0] == side else np.zeros(len(p[2]), np.int64) for p in parts]) for side in (False, True))
+        (distinct, n), (_, m) = summed(keys, n), summed(keys, m)
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*at, distinct.tobytes(), n.tobytes(), m.tobytes()), _SUM_SCHEMA.types, strict=True)], schema=_SUM_SCHEMA)
 
     last, parts = None, []
