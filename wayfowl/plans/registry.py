@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import place_queries, track_queries, twilight_queries  # noqa: F401
+from . import place_queries, track_queries, twilight_queries, workflow_queries  # noqa: F401
 from .register import ORACLES, QUERIES
 
 

@@ -7,6 +7,7 @@ from wayfowl.operators import review as rv
 from wayfowl.operators import tracks as tr
 
 from .register import query
+from .workflows import GROUPS
 
 W = "(PARTITION BY trip_id ORDER BY ts, ord)"
 TURN = "CASE WHEN d > pi() + 1e-9 THEN d - 2 * pi() WHEN d <= -pi() + 1e-9 THEN d + 2 * pi() ELSE d END"
@@ -147,9 +148,6 @@ def metrics(v):
     return s.sparkSession.sql(METRICS + "{s}", s=s)
 
 
-GROUPS = [("straightness",), ("sinuosity",), ("ang_vector", "ang_mean"), ("emax",), ("sq_disp",), ("dc_mean", "dc_sd"), ("r2n_mean", "r2n_sd"), ("mu_x", "sd_x"), ("mu_y", "sd_y"), ("mu_dist", "sd_dist"), ("mu_dx", "mu_dy")]
-
-
 @query("i1_metric_combinations", "WITH c AS (SELECT a, b, c FROM range(11) x(a), range(11) y(b), range(11) z(c) WHERE a < b AND b < c UNION ALL SELECT a, b, NULL FROM range(11) x(a), range(11) y(b) WHERE a < b UNION ALL SELECT a, NULL, NULL FROM range(11) x(a)) SELECT t.trip_id, CAST(count(*) AS BIGINT) AS combos FROM (SELECT DISTINCT trip_id FROM v_seg) t CROSS JOIN c GROUP BY 1")
 def i1(v):
     t = v("seg").select("trip_id").distinct()
