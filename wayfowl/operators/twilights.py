@@ -113,9 +113,9 @@ def unwrap_hours(events: DataFrame) -> DataFrame:
     """(trip_id, type, shift): the shift of 0..23 hours that makes the largest jump between neighbours smallest; on ties the
     first. All 24 shifts are candidate columns of one pass, so nothing is multiplied."""
     w = in_order("type")
-    hours = events.select("trip_id", "type", "ts", "ord", hour_of_day("ts").alias("h"))
-    shifted = [F.pmod(F.col("h") + i, F.lit(24.0)) for i in range(24)]
-    jumps = hours.select("trip_id", "type", *(F.abs(s - F.lag(s).over(w)).alias(f"j{i}") for i, s in enumerate(shifted)))
+    hours = events.select("trip_id", "type", "ts", "ord", hour_of_day("ts").alias("h")).withColumn("h0", F.lag("h").over(w))
+    shifted = lambda c, i: F.pmod(F.col(c) + i, F.lit(24.0))
+    jumps = hours.select("trip_id", "type", *(F.abs(shifted("h", i) - shifted("h0", i)).alias(f"j{i}") for i in range(24)))
     worst = jumps.groupBy("trip_id", "type").agg(*(F.round(F.max(f"j{i}"), 2).alias(f"j{i}") for i in range(24)))
     best = F.array_min(F.array(*(F.struct(F.coalesce(F.col(f"j{i}"), F.lit(0.0)).alias("jump"), F.lit(i).alias("shift")) for i in range(24))))
     return worst.select("trip_id", "type", best["shift"].alias("shift"), best["jump"].alias("jump"))
