@@ -41,7 +41,7 @@ DECAY = 3e-5
 THRESHOLD = 0.5
 HELD_OUT = (5, 0)  # crc32(doc_id as text) modulo 5 is 0: its labels are never used
 #: Words whose scores a worker remembers at most; longer ones are scored each time.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 MEMO_BYTES = 64
 #: Bytes of texts, and new words, that are scored at once.
 GROUP_BYTES = 2 << 20
@@ -131,11 +131,12 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, prior: floa
             word.append(number.setdefault(w, len(number)))
             times.append(n)
     doc, word, times = np.array(doc), np.array(word), np.array(times, np.float64)
-    ids, size = bags(list(number))
+    names = list(number)
+    ids, size = (np.concatenate(c) for c in zip(*(bags(names[lo : lo + GROUP_WORDS]) for lo in range(0, max(1, len(names)), GROUP_WORDS)), strict=True))
     some = size > 0
     starts, count = (np.cumsum(size) - size)[some], size[some]
     n_words = len(number)
-    del number
+    del number, names
 
     rng = np.random.default_rng(seed)
     emb, soft = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM))
