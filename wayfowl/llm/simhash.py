@@ -144,15 +144,16 @@ def _spanning(fps: np.ndarray, tab: np.ndarray, max_bits: int) -> list[tuple[int
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, tab: np.ndarray, max_bits: int) -> pa.RecordBatch:
+def _links(keys: np.ndarray, fps: np.ndarray, pivots: np.ndarray, max_bits: int) -> pa.RecordBatch:
     """Links within runs of equal keys."""
     fps = fps.view(np.uint64)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(first, len(keys)))
     kept = np.repeat(sizes > 1, sizes)  # who is alone in a block has no candidates
-    keys, fps, tab, sizes = keys[kept], fps[kept], tab[kept], sizes[sizes > 1]
+    keys, fps, sizes = keys[kept], fps[kept], sizes[sizes > 1]
     found: list[np.ndarray] = []
     if len(keys):
+        tab = pivot_table(fps, pivots)  # of those that have candidates; made here, as it is larger than what is shuffled without it
         small = np.flatnonzero(np.repeat(sizes <= SMALL_GROUP, sizes))
         for shift in range(1, SMALL_GROUP):
             i, j = small[:-shift], small[shift:]
@@ -176,29 +177,17 @@ def _tables(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
 
 
-def _with_table(n_pivots: int):
+def _link_runs(max_bits: int, n_pivots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = pivot_fingerprints(n_pivots)
+        pivots, keys, fps = pivot_fingerprints(n_pivots), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            tab = pivot_table(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), pivots)
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([r.tobytes() for r in tab], pa.binary())], names=["fp", "tab"])
-
-    return run
-
-
-def _link_runs(max_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if batch.num_rows:
-                parts.append((*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "fp")), _tables(batch.column("tab"))))
-                keys, fps, tab = (np.concatenate(c) for c in zip(*parts, strict=True))
-                cut = int(np.searchsorted(keys == keys[-1], True))  # the last run may go on in the next batch
-                if cut:
-                    yield _links(keys[:cut], fps[:cut], tab[:cut], max_bits)
-                parts = [(keys[cut:], fps[cut:], tab[cut:])]
-        if parts:
-            yield _links(*parts[0], max_bits)
+            keys = np.concatenate([keys, batch.column("block").to_numpy(zero_copy_only=False)])
+            fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False)])
+            if len(keys) and (cut := int(np.searchsorted(keys == keys[-1], True))):  # the last run may go on in the next batch
+                yield _links(keys[:cut], fps[:cut], pivots, max_bits)
+                keys, fps = keys[cut:], fps[cut:]
+        if len(keys):
+            yield _links(keys, fps, pivots, max_bits)
 
     return run
 
@@ -230,18 +219,17 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS,
     out, never all its pairs; its connected components are those of all links."""
     spark = distinct.sparkSession
     blocks, agree = block_scheme(distinct.count() if n is None else n, max_bits)
-    short_batches(spark, 65536)
-    tables = distinct.select("fp").mapInArrow(_with_table(n_pivots), "fp long, tab binary")
-    keyed = tables.select("fp", "tab", F.explode(block_keys(F.col("fp"), blocks, agree)).alias("key"))
+    keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), blocks, agree)).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > block_rows).select("key", F.ceil(F.col("count") / block_rows).alias("chunks"))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))
     dealt = keyed.join(hot, "key", "left").select(
-        "fp", "tab", "key", own.alias("own"),
+        "fp", "key", own.alias("own"),
         F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).alias("other"),
     )
     block = F.when(F.col("own").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    short_batches(spark, 65536)
     # A collision of two block hashes only adds candidates, which are verified like all.
-    found = dealt.select("fp", "tab", block.alias("block")).repartition("block").sortWithinPartitions("block", "fp").mapInArrow(_link_runs(max_bits), "a long, b long")
+    found = dealt.select("fp", block.alias("block")).repartition("block").sortWithinPartitions("block", "fp").mapInArrow(_link_runs(max_bits, n_pivots), "a long, b long")
     return found.distinct()
 
 
