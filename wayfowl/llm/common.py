@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the memory of a Python worker: few rows in each Arrow batch."""
+    """Bounds the memory of a Python worker: few rows in each Arrow batch. Their bytes are bounded by Spark's own
+    spark.sql.execution.arrow.maxBytesPerBatch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

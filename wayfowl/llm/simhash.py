@@ -367,8 +367,9 @@ def _block_links(max_bits: int, similarity: float):
     return run
 
 
-def similar_groups(rows: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, max_bits: int = SIMILAR_BITS, n_pivots: int = PIVOTS) -> DataFrame:
-    """(row, doc_id, node, component) over (row, doc_id, text); component is the group's smallest node."""
+def similar_groups(rows: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, max_bits: int = SIMILAR_BITS, n_pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Over (row, doc_id, text): the node of each row, (row, doc_id, node), and the group of each node, (node, component); component
+    is the group's smallest node. Copies of a text share a node, and are not joined with anything here."""
     spark = rows.sparkSession
     short_batches(spark)
     keyed = written(rows.select("row", "doc_id", "text").mapInArrow(per_text(_band_keys(shingle_words), _KEYED, ("row", "doc_id")), "row long, doc_id long, node long, bands array<long>"))
@@ -398,16 +399,16 @@ def similar_groups(rows: DataFrame, shingle_words: int = SIMILAR_WORDS, similari
     joins = written(dealt.groupBy("key", "lo", "hi").applyInArrow(_block_links(max_bits, similarity), "a long, b long"))
     labelled = connected_components(stars.unionByName(joins))
     names = nodes.select("node").join(labelled, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
-    return keyed.select("row", "doc_id", "node").join(names, "node").select("row", "doc_id", "node", "component")
+    return keyed.select("row", "doc_id", "node"), names
 
 
 def near_copies(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, component_id) of every row by the rule on shingles; component_id is the smallest doc_id of the group."""
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    found = written(similar_groups(rows, **params))
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("component").alias("root"))
-    named = _named(nodes.select("node", "first_id"), nodes.select("node", "root")).select("node", "component_id")
-    return found.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    members, names = similar_groups(rows, **params)
+    first = members.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    named = _named(first, names.select("node", F.col("component").alias("root")))
+    return members.join(named, "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
@@ -416,9 +417,10 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     number = next(f"row{i or ''}" for i in range(len(docs.columns) + 1) if f"row{i or ''}" not in docs.columns)
     numbered = written(docs.withColumn(number, F.monotonically_increasing_id()))
     rows = numbered.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(similar_groups(rows, **params))
-    chosen = found.where("doc_id IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias(number))
-    kept = chosen.unionByName(found.where("doc_id IS NULL").select(F.col("row").alias(number)))
+    members, names = similar_groups(rows, **params)
+    best = members.where("doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("best"))
+    chosen = best.join(names, "node").groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias(number))
+    kept = chosen.unionByName(members.where("doc_id IS NULL").select(F.col("row").alias(number)))
     return numbered.join(kept, number, "left_semi").select(*docs.columns)
 
 
