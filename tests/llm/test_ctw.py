@@ -104,6 +104,19 @@ def test_probabilities_sum_to_one():
         assert np.exp(logs[np.searchsorted(both, every)]).sum() == pytest.approx(1, rel=1e-9)
 
 
+def test_lookup_finds_what_is_there():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**63, 5000, np.uint64))
+    rng.shuffle(keys)
+    keys = np.concatenate([[0], keys]).astype(np.uint64)
+    for tables in (1, 3):
+        table = ctw.Lookup(keys, rng.integers(0, 9, len(keys)).astype(np.int16), {"v": np.arange(len(keys))}, tables)
+        asked = np.concatenate([keys, rng.integers(0, 2**63, 3000, np.uint64)])
+        known = {k: i for i, k in enumerate(keys.tolist())}
+        assert [-1 if i < 0 else table.values["v"][i] for i in table.find(asked)] == [known.get(k, -1) for k in asked.tolist()]
+    assert (ctw.Lookup(keys[:0], np.zeros(0, np.int16), {}).find(keys) == -1).all()
+
+
 def test_large_counts_meet_small_ones():
     a, b = np.array([0.0, 3.0, 5e3, 2e4, 1e7]), np.array([0.0, 9.0, 16e3, 1.0, 3e6])
     assert ctw.own_log(a, b) == pytest.approx([SlowTree.kt(x, y) for x, y in zip(a, b, strict=True)], rel=1e-9, abs=1e-9)

@@ -27,6 +27,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -42,8 +43,8 @@ from .common import id_bucket, short_batches, table, text_bytes, written
 
 MAX_DEPTH = 6
 TOP_DEPTH = 3
-HOT_PAIRS = 1 << 21
-HOT_WORDS = 1 << 20
+HOT_PAIRS = 3 << 19
+HOT_WORDS = 1 << 19
 HELD_OUT = (7, 2)  # crc32(doc_id as text) modulo 7 is 2: nothing is learnt from these rows
 #: Bytes of texts that are worked on at once, also of one long text.
 GROUP_BYTES = 512 << 10
@@ -418,34 +419,62 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- scoring -------------------------------------------------------------------------------------------------------------
 
 
-def frequent(values: DataFrame, kind: int, most: int) -> tuple[int, pa.Table]:
-    """(least, rows): the values of the keys of a kind that occur `least` times or more, at most `most` of them."""
-    own = values.where(F.col("kind") == kind)
-    sizes = np.zeros(256, np.int64)
-    for r in own.groupBy(F.floor(4 * F.log2("times")).cast("int").alias("k")).agg(F.count("*").alias("m")).collect():  # 256 rows at most
-        sizes[r.k] += r.m
-    first = int(np.argmax(np.cumsum(sizes[::-1])[::-1] <= most))
-    rows = own.where(F.floor(4 * F.log2("times")) >= first)
-    return first, rows.select("key", *ADDS[kind].values()).toArrow()
-
-
 #: What a word and a pair add to a text's sums: the sum's name, and the value's.
 ADDS = {WORDS: {"n_known": "known", "base": "base"}, PAIRS: {"score": "score"}}
 
 
-class _Lookup:
-    def __init__(self, rows: pa.Table):
-        key = rows.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        self.keys = key[order]
-        self.values = {c: rows.column(c).to_numpy()[order] for c in rows.column_names if c != "key"}
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, whether it is there) of sorted keys."""
+def frequent(values: DataFrame, kind: int, most: int) -> tuple[int, tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """(least, (keys, levels, values)) of the keys of a kind whose class of frequency is `least` or more, at most `most` of them."""
+    own = values.where(F.col("kind") == kind)
+    level = F.floor(4 * F.log2("times"))
+    sizes = np.zeros(256, np.int64)
+    for r in own.groupBy(level.cast("int").alias("k")).agg(F.count("*").alias("m")).collect():  # 256 rows at most
+        sizes[r.k] += r.m
+    first = int(np.argmax(np.cumsum(sizes[::-1])[::-1] <= most))
+    rows = own.where(level >= first).select("key", level.cast("short").alias("level"), *ADDS[kind].values()).toArrow()
+    found = rows.column("key").to_numpy().view(np.uint64), rows.column("level").to_numpy(), {c: rows.column(c).to_numpy() for c in ADDS[kind].values()}
+    del rows
+    pa.default_memory_pool().release_unused()
+    return first, found
+
+
+class Lookup:
+    """A hash table in arrays: of the keys that share a slot the first one stays, the others go on to a smaller table, and the last
+    few are sorted. The most frequent keys are placed first, so nearly all that are asked for are found at once."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray, values: dict[str, np.ndarray], tables: int = 3):
+        order = np.argsort(-levels, kind="stable")
+        keys = keys[order]
+        self.keys, self.values, self.slots = keys, {c: v[order] for c, v in values.items()}, []
+        left = np.arange(len(keys))
+        for level in range(tables):
+            slots = np.full(1 << max(4, (2 * len(left)).bit_length()), -1, np.int32)
+            _, first = np.unique(self._slot(keys[left], level, len(slots)), return_index=True)
+            slots[self._slot(keys[left[first]], level, len(slots))] = left[first]
+            self.slots.append(slots)
+            left = np.delete(left, first)
+        self.rest = left[np.argsort(keys[left])]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
+        return ((keys + np.uint64(level)) * _MIX) >> np.uint64(65 - size.bit_length())
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        place = np.full(len(keys), -1, np.int32)
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+            return place
+        todo = np.arange(len(keys))
+        for level, slots in enumerate(self.slots):
+            at = slots[self._slot(keys, level, len(slots))]
+            found = self.keys[at] == keys
+            found &= at >= 0
+            place[todo[found]] = at[found]
+            todo, keys = todo[~found], keys[~found]
+        if len(self.rest):
+            at = self.rest[np.minimum(np.searchsorted(self.keys[self.rest], keys), len(self.rest) - 1)]
+            place[todo] = np.where(self.keys[at] == keys, at, -1)
+        return place
 
 
 _ROWS = "row long, doc_id long, n_tokens long, n_bytes long, n_known long, base double, score double, kind int, key long, times long"
@@ -453,11 +482,18 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
 _ROW_SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in _ROWS.split(", ")])
 
 
+_LOOKUPS: dict[str, tuple[Lookup, ...]] = {}  # a Python worker serves many tasks
+
+
 def _score_rows(shared, depth: int):
     """For each text a row with what its frequent words and pairs give, and a row for each other distinct word and pair."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_at, pairs_at = shared.value
+        if name not in _LOOKUPS:
+            _LOOKUPS.clear()
+            _LOOKUPS[name] = tuple(Lookup(*x) for x in shared.value)
+        words_at, pairs_at = _LOOKUPS[name]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column("doc_id")
@@ -467,13 +503,12 @@ def _score_rows(shared, depth: int):
                 rest = []
                 for kind, lookup, found in ((WORDS, words_at, [word_keys(words)]), (PAIRS, pairs_at, pair_keys(words, depth))):
                     for keys, of in found:
-                        distinct, place = np.unique(keys, return_inverse=True)
-                        spot, there = lookup.find(distinct)
+                        place = lookup.find(keys)
+                        missed = place < 0
                         sums["n_tokens" if kind == WORDS else "n_bytes"] += np.bincount(of, minlength=size)
-                        if there.any():
+                        if not missed.all():
                             for to, c in ADDS[kind].items():
-                                sums[to] += np.bincount(of, np.where(there, lookup.values[c][spot], 0)[place], size)
-                        missed = ~there[place]
+                                sums[to] += np.bincount(of, np.where(missed, 0, lookup.values[c][place]), size)
                         if missed.any():
                             k, t = keys[missed], of[missed]
                             order = np.lexsort((k, t))
@@ -500,7 +535,7 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, max_d
     size = sums.where(F.col("kind") == WORDS).mapInArrow(_sizes, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     values = key_values(sums, size.n + size.v + 1, max_depth, min(TOP_DEPTH, max_depth))
     (least_words, words), (least_pairs, pairs) = frequent(values, WORDS, hot_words), frequent(values, PAIRS, hot_pairs)
-    shared = spark.sparkContext.broadcast((_Lookup(words), _Lookup(pairs)))
+    shared = spark.sparkContext.broadcast((words, pairs))
     del words, pairs
     short_batches(spark)
     rows = written(own.mapInArrow(_score_rows(shared, max_depth), _ROWS))
