@@ -32,7 +32,7 @@ END_ID = 1
 GROUP_PIECES = 32768
 #: Bytes of memory (with what Python needs for an entry) that remembered ids of words take at most, and the longest word that is
 #: remembered. When half of that is new, the older half goes.
-MEMO_SIZE = 160 << 20
+MEMO_SIZE = 224 << 20
 MEMO_BYTES = 64
 ENTRY = 200
 
