@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, bpe, ctw, mincut, packing, quality, simhash, topk, toxicity, warc
+    from . import ann, bpe, conversations, ctw, mincut, packing, quality, simhash, topk, toxicity, warc
 
     return {
         "op1_exact_topk": topk.op1_exact_topk,
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_warc": warc.op10_warc,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
