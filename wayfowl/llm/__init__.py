@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, bpe, conversations, ctw, mincut, packing, quality, simhash, topk, toxicity, warc
+    from . import ann, bpe, conversations, ctw, mincut, minhash, packing, quality, simhash, topk, toxicity, warc
 
     return {
         "op1_exact_topk": topk.op1_exact_topk,
@@ -17,11 +17,12 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_warc": warc.op10_warc,
+        "op12_minhash_near_duplicates": minhash.op12_minhash_near_duplicates,
         "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import topk, warc
+    from . import minhash, topk, warc
 
-    return {"op1_exact_topk": topk.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op1_exact_topk": topk.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op12_minhash_near_duplicates": minhash.ORACLE_SQL}
