@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, bpe, conversations, ctw, mincut, minhash, packing, quality, simhash, topk, toxicity, warc
+    from . import ann, bpe, conversations, ctw, lexical, mincut, minhash, packing, quality, simhash, topk, toxicity, warc
 
     return {
         "op1_exact_topk": topk.op1_exact_topk,
@@ -17,12 +17,13 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_warc": warc.op10_warc,
+        "op11_lexical_search": lexical.op11_lexical_search,
         "op12_minhash_near_duplicates": minhash.op12_minhash_near_duplicates,
         "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import minhash, topk, warc
+    from . import lexical, minhash, topk, warc
 
-    return {"op1_exact_topk": topk.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op12_minhash_near_duplicates": minhash.ORACLE_SQL}
+    return {"op1_exact_topk": topk.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL, "op12_minhash_near_duplicates": minhash.ORACLE_SQL}
