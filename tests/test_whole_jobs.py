@@ -1,6 +1,7 @@
 """Jobs that must be done whole, however large a trip is."""
 
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -56,12 +57,91 @@ def test_long_trips_are_not_averaged(spark):
     assert sorted((r.first_row, r.last_row) for r in got) == [(1, 801), (802, 1601)]
 
 
-def test_blocks_of_costs_change_nothing():
-    v = np.random.default_rng(7).normal(0, 1, (120, 2)).cumsum(axis=0)
-    whole, best = tracks.best_segments(v, 6, 5)
-    for cells in (1, 500, 3000):
-        ends, cost = tracks.best_segments(v, 6, 5, cells)
-        assert ends == whole and np.allclose(cost, best)
+def tracks_of_kinds(rng, n):
+    """A walk, pieces with noise, and a walk on a grid, which has many equal costs and segments without variance."""
+    yield rng.normal(size=(n, 2)).cumsum(axis=0)
+    yield np.repeat(rng.normal(0, 5, (n // 10 + 1, 2)), 10, axis=0)[:n] + rng.normal(0, 1, (n, 2))
+    yield np.round(rng.normal(0, 1, (n, 2)).cumsum(axis=0) / 4)
+
+
+def test_pruned_blocks_lose_no_split():
+    rng = np.random.default_rng(7)
+    for n in (4, 11, 57, 200, 400):
+        for v in tracks_of_kinds(rng, n):
+            cost = tracks.segment_costs(v - v.mean(axis=0), 5)
+            want = [cost[0]]
+            for _ in range(min(6, n // 5) - 1):
+                want.append((want[-1][:, None] + cost).min(axis=0))
+            for block in (4, 16, 128):
+                ends, best = tracks.best_segments(v, 6, 5, block)
+                assert np.allclose(best, [w[n] for w in want[: n // 5]]) and len(ends) == min(6, n // 5)
+                for cut, b in zip(ends, best, strict=True):
+                    assert math.isclose(sum(cost[i, j] for i, j in zip([0, *cut], cut)), b, rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_pruning_skips_most_of_a_long_trip(monkeypatch):
+    rng, cells, costs = np.random.default_rng(1), [], tracks._costs
+    monkeypatch.setattr(tracks, "_costs", lambda s, q, a, b, lmin: cells.append(len(a) * len(b)) or costs(s, q, a, b, lmin))
+    v = np.concatenate([rng.normal(m, 1, (2000, 1)) for m in (0, 8, -5, 20, 3)])
+    ends, _ = tracks.best_segments(v, 5, 5)
+    assert ends[4] == [2000, 4000, 6000, 8000, 10000] and bool(sum(cells) < 0.3 * len(v) ** 2 / 2)
+
+
+def slow_joint(v, k, clusters, lmin):
+    """The largest likelihood over all segments and all their groupings in so many clusters at most."""
+    best = -np.inf
+    for cuts in itertools.combinations(range(1, len(v)), k - 1):
+        ends = [0, *cuts, len(v)]
+        if min(b - a for a, b in itertools.pairwise(ends)) >= lmin:
+            for labels in itertools.product(range(clusters), repeat=k):
+                rows = np.repeat(labels, np.diff(ends))
+                ll = 0.0
+                for c in set(labels):
+                    own = v[rows == c]
+                    var = np.maximum(own.var(axis=0), tracks.LEAST_VARIANCE)
+                    ll -= 0.5 * (len(own) * np.log(2 * np.pi * var) + ((own - own.mean(axis=0)) ** 2).sum(axis=0) / var).sum()
+                best = max(best, ll)
+    return best
+
+
+def test_joint_model_equals_exhaustive_search_and_never_falls():
+    rng, hits = np.random.default_rng(11), 0
+    for trial in range(40):
+        places = rng.normal(0, 4, (2, 2))
+        v = np.concatenate([rng.normal(places[i % 2], 1, (int(rng.integers(3, 6)), 2)) for i in range(3)])
+        cut = tracks.best_segments(v, 3, 3)[0][2]
+        starts = [tracks.row_clusters(v, 2, seed) for seed in range(6)]
+        for c in starts:
+            history = tracks.joint_segments(v, 3, c, 3)[3]
+            assert all(b >= a for a, b in itertools.pairwise(history))
+        ends, label, own, ll = tracks.joint_model(v, 3, 2, cut, 3, starts)
+        assert math.isclose(ll, own.density(v)[np.repeat(label, np.diff([0, *ends])), np.arange(len(v))].sum(), rel_tol=1e-9)
+        want = slow_joint(v, 3, 2, 3)
+        assert ll <= want + 1e-6
+        hits += ll >= want - 1e-6
+    assert hits == 40
+
+
+def test_joint_likelihood_is_never_below_the_two_stages(spark):
+    from wayfowl.plans.standins import stand_in
+
+    track = stand_in(spark, "/root/testdata/sf0.01", "track").select("trip_id", "ts", "ord", "x", "y").toPandas()
+    more = 0
+    for _, trip in track.groupby("trip_id"):
+        v = trip.sort_values(["ts", "ord"])[["x", "y"]].to_numpy()
+        for cut in tracks.best_segments(v, 12, 5)[0][5::3]:
+            two = tracks.cluster_segments(v, cut, 5)[1]
+            joint = tracks.joint_model(v, len(cut), 5, cut, 5, [])[3]
+            assert joint >= two - 1e-6
+            more += joint > two + 1
+    assert more > 0
+
+
+def test_a_trip_of_many_rows(spark):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(m, 1, (6000, 2)) for m in (0, 9, 0, -9)])
+    got = tracks.segment_tracks(positions_of(spark, v[:, 0], v[:, 1]), 4, 5, (2, 3)).where("n_cluster = 3").orderBy("seg").collect()
+    assert [r.last_row for r in got] == [6000, 12000, 18000, 24000] and got[0].state == got[2].state and len({r.state for r in got}) == 3
 
 
 def test_segmentation_query_takes_whole_trips(spark, sf):
@@ -108,17 +188,43 @@ def test_shape_metrics_come_from_the_rediscretised_track(spark):
     assert alone[1] == alone[2]  # no step leads from one segment to the next
 
 
-def test_local_regression_has_no_widest_window():
+def test_local_regression_takes_the_nearest_in_time():
     rng = np.random.default_rng(3)
-    v = rng.normal(size=3000).cumsum()
-    v[rng.integers(0, 3000, 40)] = np.nan
-    h = 75  # five percent of 3000 rows
-    got = twilights.local_quadratic(v, h)
-    for i in (0, 3, 74, 1500, 2999):
-        rows = np.array([j for j in range(max(0, i - h), min(3000, i + h + 1)) if not math.isnan(v[j])])
-        w = (1 - (np.abs(rows - i) / (h + 1)) ** 3) ** 3
-        fit = np.polyfit(rows - i, v[rows], 2, w=np.sqrt(w))
-        assert math.isclose(got[i], fit[2], rel_tol=1e-6, abs_tol=1e-8)
+    for n, k in ((3000, 150), (40, 5), (5, 5), (4, 9)):
+        x = (rng.exponential(50_000, n) * (1 + 20 * (np.arange(n) % 50 == 0))).cumsum()
+        v = rng.normal(size=n).cumsum()
+        v[rng.random(n) < 0.02] = np.nan
+        got = twilights.local_quadratic(x, v, k)
+        known = np.flatnonzero(~np.isnan(v))
+        for i in (0, 1, n // 3, n // 2, n - 2, n - 1):
+            rows = known[np.argsort(np.abs(x[known] - x[i]), kind="stable")[:k]]
+            h = np.abs(x[rows] - x[i]).max()
+            w = (1 - (np.abs(x[rows] - x[i]) / h) ** 3) ** 3
+            assert (w > 0).sum() >= 3
+            fit = np.polyfit((x[rows] - x[i]) / h, v[rows], 2, w=np.sqrt(w))
+            assert math.isclose(got[i], fit[2], rel_tol=1e-6, abs_tol=1e-6)
+    ends = twilights.local_quadratic(np.arange(200.0), np.arange(200.0) ** 2, 10)
+    assert np.allclose(ends, np.arange(200.0) ** 2)  # a quadratic is its own fit, at the ends too
+    assert twilights.local_quadratic(np.zeros(6), np.arange(6.0), 5)[0] == 2.0 and np.isnan(twilights.local_quadratic(np.zeros(2), np.full(2, np.nan), 5)).all()
+
+
+def test_blocks_of_neighbours_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, v = rng.exponential(1, 500).cumsum(), rng.normal(size=500)
+    want = twilights.local_quadratic(x, v, 25)
+    monkeypatch.setattr(twilights, "NEIGHBOUR_CELLS", 100)
+    assert (twilights.local_quadratic(x, v, 25) == want).all()
+
+
+def test_one_spike_is_one_flag(spark):
+    places = [0.0, 0.5, 1.0, 80.0, 1.5, None, 2.0, 2.0, 40.0, 41.0, 2.5]
+    rows = [(t, T0 + dt.timedelta(hours=12 * (i - (i == 7))), i, x, 0.0, "x") for t in (1, 2) for i, x in enumerate(places)] + [(3, T0, 0, 170.0, 0.0, "x")]
+    df = spark.createDataFrame(rows, "trip_id long, ts timestamp, ord long, lon double, lat double, _note string")
+    got = twilights.speed_filter_flag(df, 100.0)
+    assert got.columns == [*df.columns, "speed_flag"]
+    flags = {t: [r.speed_flag for r in got.where(F.col("trip_id") == t).orderBy("ts", "ord").collect()] for t in (1, 2, 3)}
+    assert flags[1] == flags[2] == [i in (3, 8, 9) for i in range(11)] and flags[3] == [False]
+    assert twilights.speed_filter_flag(df.limit(0)).count() == 0
 
 
 def test_holes_and_parts_of_polygons(spark):

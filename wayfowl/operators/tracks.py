@@ -142,8 +142,10 @@ def colony_r2n(track: DataFrame, colonies: DataFrame) -> DataFrame:
 # --- segmentation: a dynamic programme per trip ------------------------------------------------------------------------
 
 
-#: Costs that are held at once while the best splits are sought; bounds the memory of a long trip.
-COST_CELLS = 1 << 20
+#: Rows of a block: starts and ends of segments are compared by blocks first.
+SEGMENT_BLOCK = 128
+#: Least variance of a segment or cluster.
+LEAST_VARIANCE = 1e-6
 
 
 def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +154,11 @@ def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _costs(s: np.ndarray, q: np.ndarray, starts: np.ndarray, ends: np.ndarray, lmin: int) -> np.ndarray:
     length = ends[None, :] - starts[:, None]
-    safe, cost = np.maximum(length, 1), np.zeros(length.shape)
+    safe, product = np.maximum(length, 1), np.ones(length.shape)
     for c in range(s.shape[1]):
-        var = (q[ends, c][None] - q[starts, c][:, None]) / safe - ((s[ends, c][None] - s[starts, c][:, None]) / safe) ** 2
-        cost += safe * (np.log(2 * np.pi * np.maximum(var, 1e-6)) + 1)
+        mean = (s[ends, c][None] - s[starts, c][:, None]) / safe
+        product *= 2 * np.pi * np.maximum((q[ends, c][None] - q[starts, c][:, None]) / safe - mean * mean, LEAST_VARIANCE)
+    cost = safe * (np.log(product) + s.shape[1])
     return np.where(length >= lmin, 0.5 * cost, np.inf)
 
 
@@ -165,25 +168,60 @@ def segment_costs(values: np.ndarray, lmin: int) -> np.ndarray:
     return _costs(*_sums(values), rows, rows, lmin)
 
 
-def best_segments(values: np.ndarray, kmax: int, lmin: int, cells: int = COST_CELLS) -> tuple[list[list[int]], np.ndarray]:
-    """For each number of segments the ends of the best split, and its cost. Costs are made for a block of ends at a time, so
-    that memory is in proportion to rows times kmax."""
+def _least_costs(s: np.ndarray, q: np.ndarray, first: np.ndarray, last: np.ndarray, lo: int, hi: int, lmin: int) -> np.ndarray:
+    """For blocks of starts first..last, a bound below the costs of all segments to the ends lo..hi-1; -inf where the blocks touch.
+    A segment's sum of squares is no less than that of the rows which all these segments share, and for a given sum the cost is
+    concave in the length and then falls, so that its least value is at one of the lengths' ends."""
+    inner = np.maximum(lo - last, 1)
+    least = np.zeros(len(first))
+    for c in range(s.shape[1]):
+        squares = q[lo, c] - q[last, c] - (s[lo, c] - s[last, c]) ** 2 / inner
+        squares = np.maximum(squares - 1e-12 * q[-1, c], 0)  # what prefix sums may have lost
+        costs = [n * (np.log(2 * np.pi * np.maximum(squares / n, LEAST_VARIANCE)) + 1) for n in (np.maximum(inner, lmin), hi - 1 - first)]
+        least += 0.5 * np.minimum(*costs)
+    return np.where(lo > last, least - 1e-9 * np.abs(least), -np.inf)
+
+
+def best_segments(values: np.ndarray, kmax: int, lmin: int, block: int = SEGMENT_BLOCK) -> tuple[list[list[int]], np.ndarray]:
+    """For each number of segments the ends of the best split, and its cost. For a block of ends, blocks of starts are visited in the
+    order of a bound below their costs, until it is above what each of the ends has reached: starts that can't win are pruned by the
+    block, and the result is exact. Memory is in proportion to rows times kmax; of equally good starts the first is taken."""
     n = len(values)
     kmax = min(kmax, n // lmin)
     if kmax < 1:
         return [], np.zeros(0)
-    s, q = _sums(values)
+    s, q = _sums(values - values.mean(axis=0))
     best, back = np.full((kmax, n + 1), np.inf), np.zeros((kmax, n + 1), np.int32)
-    width = max(1, cells // (n + 1))
-    for lo in range(lmin, n + 1, width):
-        hi = min(lo + width, n + 1)
-        starts = hi - lmin  # later rows start no segment that ends here
-        cost = _costs(s, q, np.arange(starts), np.arange(lo, hi), lmin)
-        best[0, lo:hi] = cost[0]
+    least = np.full((kmax, n // block + 1), np.inf)  # of each block's entries in best
+    for lo in range(0, n + 1, block):
+        hi = min(lo + block, n + 1)
+        ends, here = np.arange(lo, hi), lo // block
+        best[0, lo:hi] = _costs(s, q, np.zeros(1, int), ends, lmin)[0]
+        least[0, here] = best[0, lo:hi].min()
+        first = np.arange(0, max(hi - lmin, 0), block)
+        if not len(first):
+            continue
+        bound, costs = _least_costs(s, q, first, np.minimum(first + block - 1, n), lo, hi, lmin), {}
         for k in range(1, kmax):
-            total = best[k - 1, :starts, None] + cost
-            back[k, lo:hi] = total.argmin(axis=0)
-            best[k, lo:hi] = total.min(axis=0)
+            can = ends >= (k + 1) * lmin
+            if not can.any():
+                break
+            now, at = np.full(hi - lo, np.inf), np.zeros(hi - lo, np.int32)
+            hope = least[k - 1, : len(first)] + bound
+            for i in np.argsort(hope, kind="stable").tolist():
+                if hope[i] > now[can].max():
+                    break
+                if least[k - 1, i] == np.inf:
+                    continue
+                if i not in costs:
+                    costs[i] = _costs(s, q, np.arange(first[i], min(first[i] + block, n + 1)), ends, lmin)
+                total = best[k - 1, first[i] : first[i] + block, None] + costs[i]
+                start = total.argmin(axis=0)
+                found = total[start, np.arange(hi - lo)]
+                start += first[i]
+                better = (found < now) | ((found == now) & (start < at))
+                now[better], at[better] = found[better], start[better]
+            best[k, lo:hi], back[k, lo:hi], least[k, here] = now, at, now.min()
     ends = []
     for k in range(kmax):
         cut, at = [n], n
@@ -195,7 +233,7 @@ def best_segments(values: np.ndarray, kmax: int, lmin: int, cells: int = COST_CE
 
 
 def cluster_segments(values: np.ndarray, ends: list[int], clusters: int, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Groups segments by mean and variance (classification EM): the label of each segment and the log-likelihood."""
+    """Groups given segments by mean and variance (classification EM): the label of each segment and the log-likelihood."""
     parts = np.split(values, ends[:-1])
     size, mean, sq = np.array([len(p) for p in parts]), np.array([p.mean(axis=0) for p in parts]), np.array([(p**2).mean(axis=0) for p in parts])
     order = np.argsort(mean[:, 0], kind="stable")
@@ -209,7 +247,7 @@ def cluster_segments(values: np.ndarray, ends: list[int], clusters: int, rounds:
             if own.any():
                 w = size[own] / size[own].sum()
                 m = w @ mean[own]
-                var = np.maximum(w @ sq[own] - m**2, 1e-6)
+                var = np.maximum(w @ sq[own] - m**2, LEAST_VARIANCE)
                 fit[:, c] = -0.5 * size * (np.log(2 * np.pi * var) + (sq - 2 * m * mean + m**2) / var).sum(axis=1)
         new = fit.argmax(axis=1)
         loglik = float(fit.max(axis=1).sum())
@@ -219,32 +257,140 @@ def cluster_segments(values: np.ndarray, ends: list[int], clusters: int, rounds:
     return label, loglik
 
 
+class Clusters:
+    """Means and variances that the segments of a cluster share."""
+
+    def __init__(self, values: np.ndarray, label: np.ndarray, clusters: int, before: Clusters | None = None):
+        """Of labelled rows; a cluster without rows keeps what it had before."""
+        count = np.bincount(label, minlength=clusters)
+        sums = [np.array([np.bincount(label, v[:, c], clusters) for c in range(values.shape[1])]) for v in (values, values**2)]
+        self.mean = sums[0] / np.maximum(count, 1)
+        self.var = np.maximum(sums[1] / np.maximum(count, 1) - self.mean**2, LEAST_VARIANCE)
+        if before is not None:
+            self.mean[:, count == 0], self.var[:, count == 0] = before.mean[:, count == 0], before.var[:, count == 0]
+
+    def density(self, values: np.ndarray) -> np.ndarray:
+        """Log-density of each row under each cluster (clusters x rows)."""
+        out = np.zeros((self.mean.shape[1], len(values)))
+        for v, m, var in zip(values.T, self.mean, self.var, strict=True):
+            out -= 0.5 * (np.log(2 * np.pi * var)[:, None] + (v[None] - m[:, None]) ** 2 / var[:, None])
+        return out
+
+
+def segments_under(density: np.ndarray, k: int, lmin: int) -> tuple[list[int], list[int], float]:
+    """Ends, clusters and log-likelihood of the best k segments of at least lmin rows when each row has these log-densities. As rows
+    add up, the best start before each end is a running maximum, and time is in proportion to rows."""
+    n = density.shape[1]
+    total = np.concatenate([np.zeros((len(density), 1)), np.cumsum(density, axis=1)], axis=1)
+    best = np.full((k + 1, n + 1), -np.inf)
+    best[0, 0] = 0
+    before, after = np.empty_like(total), np.empty((len(total), n + 1 - lmin))
+    for i in range(1, k + 1):
+        np.maximum.accumulate(np.subtract(best[i - 1], total, out=before), axis=1, out=before)
+        np.add(total[:, lmin:], before[:, : n + 1 - lmin], out=after).max(axis=0, out=best[i, lmin:])
+    ends, labels, at = [], [], n
+    for i in range(k, 0, -1):
+        before = best[i - 1, : at - lmin + 1][None] - total[:, : at - lmin + 1]
+        start = before.argmax(axis=1)
+        c = int((before[np.arange(len(before)), start] + total[:, at]).argmax())
+        ends.append(at)
+        labels.append(c)
+        at = int(start[c])
+    return ends[::-1], labels[::-1], float(best[k, n])
+
+
+def joint_segments(values: np.ndarray, k: int, clusters: Clusters, lmin: int, rounds: int = 30) -> tuple[list[int], np.ndarray, Clusters, list[float]]:
+    """Segments, their clusters and the clusters' parameters, and the log-likelihood of each round. Rounds alternate between the best
+    segments under the clusters and the best clusters of the segments, so the likelihood never falls; they end when it stays."""
+    history: list[float] = []
+    for _ in range(rounds):
+        ends, labels, found = segments_under(clusters.density(values), k, lmin)
+        if history and found <= history[-1] + 1e-9 * abs(history[-1]):
+            break
+        history.append(found)
+        kept = ends, np.array(labels), clusters
+        clusters = Clusters(values, np.repeat(labels, np.diff([0, *ends])), len(clusters.mean.T), clusters)
+    return *kept, history
+
+
+def row_clusters(values: np.ndarray, clusters: int, seed: int = 0, rounds: int = 10) -> Clusters:
+    """Clusters of rows without their order: the farthest row of those chosen is chosen next, then rows and means alternate."""
+    scaled = (values - values.mean(axis=0)) / np.maximum(values.std(axis=0), 1e-3)
+    centre = scaled[[int(np.random.default_rng(seed).integers(len(values)))]]
+    far = ((scaled - centre[0]) ** 2).sum(axis=1)
+    while len(centre) < clusters:
+        centre = np.concatenate([centre, scaled[[int(far.argmax())]]])
+        far = np.minimum(far, ((scaled - centre[-1]) ** 2).sum(axis=1))
+    for _ in range(rounds):
+        label = ((scaled[None] - centre[:, None]) ** 2).sum(axis=2).argmin(axis=0)
+        count = np.bincount(label, minlength=clusters)
+        mean = np.array([np.bincount(label, v, clusters) for v in scaled.T]).T / np.maximum(count, 1)[:, None]
+        centre = np.where(count[:, None] > 0, mean, centre)
+    return Clusters(values, label, clusters)
+
+
+def merged_segments(values: np.ndarray, ends: list[int], least: int) -> dict[int, np.ndarray]:
+    """For each number of groups down to `least` the labels of the given segments when the two groups whose union costs least are
+    merged again and again."""
+    parts = np.split(values, ends[:-1])
+    size, sums = np.array([len(p) for p in parts], float), np.array([[p.sum(axis=0), (p**2).sum(axis=0)] for p in parts])
+
+    def cost(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        mean = m[..., 0, :] / n[..., None]
+        return 0.5 * n * np.log(np.maximum(m[..., 1, :] / n[..., None] - mean * mean, LEAST_VARIANCE)).sum(axis=-1)
+
+    label = np.arange(len(parts))
+    out = {len(parts): label}
+    while len(size) > least:
+        alone = cost(size, sums)
+        more = cost(size[:, None] + size, sums[:, None] + sums) - alone[:, None] - alone
+        i, j = divmod(int(np.where(np.tri(len(size), dtype=bool), np.inf, more).argmin()), len(size))
+        size[i], sums[i] = size[i] + size[j], sums[i] + sums[j]
+        size, sums = np.delete(size, j), np.delete(sums, j, axis=0)
+        label = np.where(label == j, i, np.where(label > j, label - 1, label))
+        out[len(size)] = label
+    return out
+
+
+def joint_model(values: np.ndarray, k: int, clusters: int, ends: list[int], lmin: int, starts: list[Clusters], merged: np.ndarray | None = None) -> tuple[list[int], np.ndarray, Clusters, float]:
+    """The joint model from the start whose first segments are likeliest: the given ends with their segments clustered (so it is
+    never below that two-stage model) or merged, and the given clusters."""
+    labels = cluster_segments(values, ends, clusters)[0], merged_segments(values, ends, clusters)[clusters] if merged is None else merged
+    own = [Clusters(values, np.repeat(label, np.diff([0, *ends])), clusters) for label in labels]
+    first = max([*own, *starts], key=lambda c: segments_under(c.density(values), k, lmin)[2])
+    cut, label, found, history = joint_segments(values, k, first, lmin)
+    return cut, label, found, history[-1]
+
+
 _SEGMENTS = "trip_id long, n_seg int, n_cluster int, bic double, seg int, state int, first_row int, last_row int"
 
 
-def segment_tracks(track: DataFrame, kmax: int = 15, lmin: int = 5, clusters: tuple[int, ...] = tuple(range(5, 11)), columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """Joint segmentation and clustering of each trip for every number of clusters: n_seg and bic of each model, and its
-    segments. A trip is one group of its own rows, whatever its length; time grows with the square of its rows, memory does not."""
+def segment_tracks(track: DataFrame, kmax: int = 15, lmin: int = 5, clusters: tuple[int, ...] = tuple(range(5, 11)), columns: tuple[str, ...] = ("x", "y"), seeds: int = 0) -> DataFrame:
+    """Joint segmentation and clustering of each trip for every number of clusters: n_seg and bic of the best model, and its
+    segments with their cluster (state). Segments of a cluster share its mean and variance. Starts are the best segments with
+    parameters of their own, clustered or merged, `seeds` clusterings of rows, and what the model of one segment less has found. A trip is one group of
+    its own rows, whatever its length; rows without values of the columns don't count."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "ord"], ignore_index=True)
         values = pdf[list(columns)].to_numpy(np.float64)
         rows, trip = [], int(pdf.trip_id.iloc[0])
         ends, _ = best_segments(values, kmax, lmin)
+        merged = {len(cut): merged_segments(values, cut, min(clusters)) for cut in ends if len(cut) >= min(clusters)}
         for c in clusters:
-            models = []
-            for cut in ends:
-                if len(cut) >= c:
-                    label, ll = cluster_segments(values, cut, c)
-                    free = len(cut) - 1 + 2 * len(columns) * c
-                    models.append((2 * ll - free * np.log(len(values)), cut, label))
+            starts = [row_clusters(values, c, seed) for seed in range(seeds)] if len(ends) >= c else []
+            models, last = [], []
+            for cut in ends[c - 1 :]:
+                cut, label, own, ll = joint_model(values, len(cut), c, cut, lmin, [*starts, *last], merged[len(cut)][c])
+                last = [own]
+                free = len(cut) - 1 + 2 * len(columns) * c
+                models.append((2 * ll - free * np.log(len(values)), cut, label))
             if models:
                 bic, cut, label = max(models, key=lambda m: m[0])
-                starts = [0, *cut[:-1]]
-                rows += [(trip, len(cut), c, bic, i + 1, int(s) + 1, a + 1, b) for i, (s, a, b) in enumerate(zip(label, starts, cut, strict=True))]
+                rows += [(trip, len(cut), c, bic, i + 1, int(s) + 1, a + 1, b) for i, (s, a, b) in enumerate(zip(label, [0, *cut[:-1]], cut, strict=True))]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _SEGMENTS.split(", ")])
 
-    return track.select("trip_id", "ts", "ord", *columns).groupBy("trip_id").applyInPandas(one, _SEGMENTS)
+    return track.select("trip_id", "ts", "ord", *columns).na.drop(subset=list(columns)).groupBy("trip_id").applyInPandas(one, _SEGMENTS)
 
 
 def select_model(models: DataFrame) -> DataFrame:

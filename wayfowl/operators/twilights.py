@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfowl.functions.solar import haversine_km
 from wayfowl.functions.tracks import hour_of_day, in_order, last_known, minute_of_day, near_day, next_known, run_number, us
 
 
@@ -84,12 +84,41 @@ def loess_filter_flag(events: DataFrame, k: float = 3.0, span: float = 0.05) ->
     return smooth.join(iqr, ["trip_id", "type"]).withColumn("loess_flag", F.round(F.col("resid") - k * F.col("iqr"), 6) > 0).drop("resid", "iqr", "value", "smooth")
 
 
+def _speed_flags(max_kmh: float):
+    """Flags of rows sorted by trip and time; the last kept position goes on from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = kept = None
+        for batch in batches:
+            flags = []
+            for trip, t, lon, lat in zip(batch.column("trip_id").to_pylist(), batch.column("_us").to_pylist(), batch.column("lon").to_pylist(), batch.column("lat").to_pylist(), strict=True):
+                if trip != now:
+                    now, kept = trip, None
+                fast = False
+                if lon is not None and lat is not None and t is not None:
+                    hours = (t - kept[0]) / 3.6e9 if kept else 0
+                    fast = hours > 0 and _km(*kept[1:], lon, lat) > max_kmh * hours
+                    if not fast:
+                        kept = t, lon, lat
+                flags.append(fast)
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "_us"), pa.array(flags, pa.bool_())], names=[*(n for n in batch.schema.names if n != "_us"), "speed_flag"])
+
+    return run
+
+
+def _km(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+    h = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+
 def speed_filter_flag(positions: DataFrame, max_kmh: float = 500.0) -> DataFrame:
-    """Flags positions (lon, lat) that are too far from the previous one for the time between; without a time span none."""
-    w = in_order()
-    hours = (us("ts") - us(F.lag("ts").over(w))) / 3.6e9
-    km = haversine_km(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))
-    return positions.withColumn("speed_flag", F.coalesce(F.when(hours > 0, km > max_kmh * hours), F.lit(False)))
+    """Flags positions (lon, lat) that are too far from the last one that was kept, for the time between: after an outlier the next
+    good position is held against the one before it. The first position, those without a place, and those without a time span
+    are kept; one without a place is nobody's last. Rows stream in their trip's order, with one position held, however long a
+    trip is."""
+    rows = positions.withColumn("_us", us("ts")).repartition("trip_id").sortWithinPartitions("trip_id", "ts", "ord")
+    schema = T.StructType([*positions.schema.fields, T.StructField("speed_flag", T.BooleanType())])
+    return rows.mapInArrow(_speed_flags(max_kmh), schema)
 
 
 # --- clean-up ----------------------------------------------------------------------------------------------------------
@@ -121,30 +150,48 @@ def unwrap_hours(events: DataFrame) -> DataFrame:
     return worst.select("trip_id", "type", best["shift"].alias("shift"), best["jump"].alias("jump"))
 
 
-def local_quadratic(values: np.ndarray, h: int) -> np.ndarray:
-    """Local quadratics over h rows on either side with tricube weights; missing values (not a number) do not count."""
-    d = np.arange(-h, h + 1)
-    weight = (1 - (np.abs(d) / (h + 1)) ** 3) ** 3
+#: Rows times neighbours that are held at once.
+NEIGHBOUR_CELLS = 1 << 20
+
+
+def local_quadratic(x: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    """At each x, in ascending order, a quadratic over the k nearest known values with tricube weights, the farthest of them having
+    none. The neighbours are a window that slides with x and is one-sided at the ends. Where they don't determine a quadratic, their
+    weighted mean; without any known value, not a number."""
     known = ~np.isnan(values)
-    y = np.where(known, values, 0.0)
-    near = lambda x, k: np.convolve(x, (weight * d**k)[::-1])[h : h + len(x)]  # noqa: E731  sums over the rows around each one
-    s0, s1, s2, s3, s4 = (near(known.astype(float), k) for k in range(5))
-    t0, t1, t2 = (near(y, k) for k in range(3))
-    det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
-    top = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(np.abs(det) > 1e-9, top / det, np.where(s0 > 0, t0 / s0, np.nan))
-
-
-def local_regression(values: DataFrame, span: float = 0.05) -> DataFrame:
-    """Local quadratic with tricube weights over the nearest rows (a share `span` of the type's rows), in row order. A group has the
-    rows of one trip and type, whatever their number; its weighted sums are convolutions."""
+    near, y = x[known], values[known]
+    k = min(k, len(near))
+    out = np.full(len(x), np.nan)
+    if not k:
+        return out
+    # A window goes on by one as long as the row that comes in is nearer than the one that goes out.
+    first = np.searchsorted(near[:-k] + near[k:], 2 * x, "left") if k < len(near) else np.zeros(len(x), int)
+    rows = max(1, NEIGHBOUR_CELLS // k)
+    for lo in range(0, len(x), rows):
+        at = first[lo : lo + rows, None] + np.arange(k)
+        d, v = near[at] - x[lo : lo + rows, None], y[at]
+        h = np.abs(d).max(axis=1, keepdims=True)
+        z = d / np.where(h > 0, h, 1)
+        w = (1 - np.abs(z) ** 3) ** 3
+        s0, s1, s2, s3, s4 = ((w * z**i).sum(axis=1) for i in range(5))
+        t0, t1, t2 = ((w * v * z**i).sum(axis=1) for i in range(3))
+        det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+        top = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[lo : lo + rows] = np.where(np.abs(det) > 1e-9, top / det, np.where(s0 > 0, t0 / s0, v.mean(axis=1)))
+    return out
+
+
+def local_regression(values: DataFrame, span: float = 0.05, least: int = 5) -> DataFrame:
+    """smooth: at each row a local quadratic over the nearest share `span` of its trip's and type's values in time, `least` of them at
+    least. A group has the rows of one trip and type, whatever their number; their neighbours are held in blocks."""
     schema = T.StructType([*values.schema.fields, T.StructField("smooth", T.DoubleType())])
 
     def one(rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("ts", "ascending"), ("ord", "ascending")], null_placement="at_start"))
         value = rows.column("value").cast(pa.float64()).to_numpy().astype(np.float64)
-        smooth = local_quadratic(value, max(2, math.ceil(len(value) * span / 2)))
+        time = rows.column("ts").cast(pa.timestamp("us", rows.schema.field("ts").type.tz)).cast(pa.int64()).to_numpy()
+        smooth = local_quadratic((time - time[0]) / 1e6, value, max(least, int(len(value) * span + 1e-5)))
         return rows.append_column("smooth", pa.array(smooth, pa.float64(), from_pandas=True))
 
     return values.groupBy("trip_id", "type").applyInArrow(one, schema)

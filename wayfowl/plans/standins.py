@@ -47,8 +47,9 @@ def oracle(sql: str) -> str:
     ctes = [f"v_{n} AS ({re.sub(r'TS[(]([a-z_]+)[)]', r'CAST(\1 AS TIMESTAMP)', re.sub(r'[{]([a-z_]+)[}]', lambda m: 'v_' + m[1] if m[1] in VIEWS else m[1], VIEWS[n]))})" for n in need]
     body = sql.strip()
     if body.upper().startswith("WITH "):
-        ctes.append(body[5:])
-        text = "WITH " + ",\n".join(ctes)
+        word = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+        ctes.append(body[len(word) :])
+        text = word + ",\n".join(ctes)
     else:
         text = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
     return re.sub(r"\bUS\(([^()]+)\)", r"epoch_us(\1)", text)

@@ -67,11 +67,14 @@ def c6(v):
     return tw.rise_julian(v("dates"))
 
 
-LOCAL = CROSS + f""", a AS (SELECT trip_id, type, ord, {HOUR} AS value, row_number() OVER w AS i, greatest(2, ceil(count(*) OVER (PARTITION BY trip_id, type) * 0.05::DOUBLE / 2)) AS h FROM e WINDOW w AS (PARTITION BY trip_id, type ORDER BY u, ord)),
-j AS (SELECT a.trip_id, a.type, a.ord, a.value, pow(1 - pow(abs(b.i - a.i) / (a.h + 1.0::DOUBLE), 3), 3) AS w, CAST(b.i - a.i AS DOUBLE) AS d, b.value AS y FROM a JOIN a b ON a.trip_id = b.trip_id AND a.type = b.type AND abs(b.i - a.i) <= a.h),
-g AS (SELECT trip_id, type, ord, any_value(value) AS value, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * d * d * d) AS s3, sum(w * d * d * d * d) AS s4, sum(w * y) AS t0, sum(w * d * y) AS t1, sum(w * d * d * y) AS t2 FROM j GROUP BY 1, 2, 3),
+#: The nearest rows by rank, here; the operator slides a window.
+LOCAL = CROSS + f""", a AS (SELECT trip_id, type, ord, u, {HOUR} AS value, greatest(5, CAST(floor(count(*) OVER (PARTITION BY trip_id, type) * 0.05::DOUBLE + 1e-5) AS BIGINT)) AS q FROM e),
+n AS (SELECT a.trip_id, a.type, a.ord, a.value, CAST(b.u - a.u AS DOUBLE) AS d, b.value AS y, a.q, row_number() OVER (PARTITION BY a.trip_id, a.type, a.ord ORDER BY abs(b.u - a.u), b.u, b.ord) AS k FROM a JOIN a b ON a.trip_id = b.trip_id AND a.type = b.type),
+m AS (SELECT *, max(abs(d)) OVER (PARTITION BY trip_id, type, ord) AS h FROM n WHERE k <= q),
+z AS (SELECT * REPLACE (CASE WHEN h > 0 THEN d / h ELSE 0 END AS d), pow(1 - pow(CASE WHEN h > 0 THEN abs(d) / h ELSE 0 END, 3), 3) AS w FROM m),
+g AS (SELECT trip_id, type, ord, any_value(value) AS value, avg(y) AS mean, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * d * d * d) AS s3, sum(w * d * d * d * d) AS s4, sum(w * y) AS t0, sum(w * d * y) AS t1, sum(w * d * d * y) AS t2 FROM z GROUP BY 1, 2, 3),
 k AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM g),
-sm AS (SELECT *, CASE WHEN abs(det) > 1e-9 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det WHEN s0 > 0 THEN t0 / s0 END AS smooth FROM k)
+sm AS (SELECT *, CASE WHEN abs(det) > 1e-9 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det WHEN s0 > 0 THEN t0 / s0 ELSE mean END AS smooth FROM k)
 """
 
 
@@ -80,11 +83,18 @@ def c7(v):
     return tw.loess_filter_flag(events(v)).select("trip_id", "type", "ord", "loess_flag")
 
 
+#: Row by row, with the last kept position carried along.
 SPEED = """
-WITH p AS (SELECT t.trip_id, ord, ts, x * 3 - 75 AS lon, y / 2 AS lat FROM v_track t),
-s AS (SELECT *, (US(ts) - lag(US(ts)) OVER w) / 3.6e9 AS h, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM p WINDOW w AS (PARTITION BY trip_id ORDER BY ts, ord)),
-k AS (SELECT *, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))) AS km FROM s)
-SELECT trip_id, ord, coalesce(CASE WHEN h > 0 THEN km > 50 * h END, false) AS speed_flag FROM k
+WITH RECURSIVE p AS (SELECT t.trip_id, ord, US(ts) AS u, x * 3 - 75 AS lon, y / 2 AS lat, row_number() OVER (PARTITION BY trip_id ORDER BY ts, ord) AS i FROM v_track t),
+f AS (
+  SELECT trip_id, i, ord, u AS u0, lon AS lon0, lat AS lat0, false AS flag FROM p WHERE i = 1
+  UNION ALL
+  SELECT trip_id, i, ord, CASE WHEN flag THEN u0 ELSE u END, CASE WHEN flag THEN lon0 ELSE lon END, CASE WHEN flag THEN lat0 ELSE lat END, flag FROM (
+    SELECT p.*, u0, lon0, lat0, p.u > u0 AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - lon0) / 2), 2)))) > 50 * ((p.u - u0) / 3.6e9) AS flag
+    FROM f JOIN p ON p.trip_id = f.trip_id AND p.i = f.i + 1
+  )
+)
+SELECT trip_id, ord, flag AS speed_flag FROM f
 """
 
 
