@@ -57,10 +57,11 @@ def stage_context(rows: DataFrame, label: str = "stage") -> DataFrame:
     return around.join(names, ["trip_id", "context_run"])
 
 
-def project_laea(rows: DataFrame, keys: list[str], radius_km: float = 6371.0) -> DataFrame:
-    """px, py in km: Lambert azimuthal equal-area about the mean position of the group."""
+def project_laea(rows: DataFrame, keys: list[str], radius_km: float = 6371.0, of: Column | None = None) -> DataFrame:
+    """px, py in km: Lambert azimuthal equal-area about the mean position of the group, or of those of its rows that `of` holds for."""
     w = Window.partitionBy(*keys)
-    lon0, lat0 = F.radians(F.avg("lon").over(w)), F.radians(F.avg("lat").over(w))
+    lon, lat = (F.col(c) if of is None else F.when(of, F.col(c)) for c in ("lon", "lat"))
+    lon0, lat0 = F.radians(F.avg(lon).over(w)), F.radians(F.avg(lat).over(w))
     d = rows.withColumn("_l0", lon0).withColumn("_p0", lat0)
     l, p = F.radians("lon") - F.col("_l0"), F.radians("lat")
     k = F.sqrt(2 / (1 + F.sin("_p0") * F.sin(p) + F.cos("_p0") * F.cos(p) * F.cos(l)))
@@ -152,11 +153,23 @@ def stage_subset(context: DataFrame, migrants: DataFrame) -> DataFrame:
     return j.where((F.coalesce("migrant", F.lit("")) != "Resident2") | (F.col("stage") == F.col("context"))).drop("migrant")
 
 
-def resident_overrides(wide: DataFrame) -> DataFrame:
+def resident_overrides(wide: DataFrame, suffix: str = "") -> DataFrame:
     """Residents have no departure from B1; Resident2 leaves B1 when it arrives in W1, and W1 when it arrives in B1."""
     r, r2 = F.col("migrant") == "Resident", F.col("migrant") == "Resident2"
-    b1 = F.when(r, F.lit(None)).when(r2, F.col("W1_arr")).otherwise(F.col("B1_dep"))
-    return wide.withColumn("W1_dep", F.when(r2, F.col("B1_arr")).otherwise(F.col("W1_dep"))).withColumn("B1_dep", b1)
+    c = lambda name: F.col(name + suffix)
+    b1 = F.when(r, F.lit(None)).when(r2, c("W1_arr")).otherwise(c("B1_dep"))
+    return wide.withColumn("W1_dep" + suffix, F.when(r2, c("B1_arr")).otherwise(c("W1_dep"))).withColumn("B1_dep" + suffix, b1)
+
+
+def resident_label_dates(wide: DataFrame) -> DataFrame:
+    """By labels, Resident2 and Resident2_mig leave B1 when they arrive in W1."""
+    return wide.withColumn("B1_dep", F.when(F.col("migrant").isin("Resident2", "Resident2_mig"), F.col("W1_arr")).otherwise(F.col("B1_dep")))
+
+
+def pivot_regions(regions: DataFrame, most: int = 5) -> DataFrame:
+    """(trip_id, WA1, WA2, ...): the region of each W stage."""
+    wide = regions.groupBy("trip_id").pivot("stage", [f"W{i + 1}" for i in range(most)]).agg(F.first("region"))
+    return wide.select("trip_id", *(F.col(f"W{i + 1}").alias(f"WA{i + 1}") for i in range(most)))
 
 
 def stage_dates(rows: DataFrame) -> DataFrame:

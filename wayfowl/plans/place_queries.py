@@ -529,10 +529,13 @@ hit AS (SELECT pt.trip_id, pt.ord, region FROM pt, e WHERE (y1 > y) <> (y2 > y)
 """
 
 
+def regions(spark):
+    return spark.sql(f"SELECT region, ring, idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {POLY}")
+
+
 def located(v):
     t = v("track").withColumn("x", F.col("x") + 0.013).withColumn("y", F.col("y") + 0.017)
-    poly = t.sparkSession.sql(f"SELECT region, ring, idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {POLY}")
-    return ph.point_in_polygon_join(t, poly)
+    return ph.point_in_polygon_join(t, regions(t.sparkSession))
 
 
 @query("k10_point_in_polygon_join", INSIDE + "SELECT trip_id, ord, region FROM hit")
