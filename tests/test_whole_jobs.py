@@ -269,6 +269,17 @@ def test_linkage_equals_the_slow_one():
         assert behaviour.complete_linkage_two(points).tolist() == want
 
 
+def test_linkage_of_all_combinations_equals_one_by_one(monkeypatch):
+    rng = np.random.default_rng(10)
+    used = [list(c) for k in (1, 2, 3) for c in itertools.combinations(range(5), k)]
+    for n in range(1, 16):
+        points = rng.integers(0, 5, (n, 5)).astype(float) if n % 2 else rng.normal(size=(n, 5))
+        want = np.array([behaviour.complete_linkage_two(points[:, u]) for u in used])
+        for cells in (1 << 22, 700):
+            monkeypatch.setattr(behaviour, "LINKED_CELLS", cells)
+            assert (behaviour.linkage_of_combinations(points, used) == want).all()
+
+
 def test_light_files_are_written_by_several_tasks(spark, sf, tmp_path, monkeypatch):
     from wayfowl.plans import place_queries, registry
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wayfowl.functions.tracks import in_order
 
 
-
 def _segs() -> WindowSpec:
     return Window.partitionBy("trip_id").orderBy("seg")
 
@@ -53,16 +52,47 @@ def complete_linkage_two(points: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Distances of combinations that are linked at once.
+LINKED_CELLS = 1 << 22
+
+
+def linkage_of_combinations(points: np.ndarray, used: list[list[int]]) -> np.ndarray:
+    """complete_linkage_two() for many choices of columns at once (choices x rows). Squared differences are made once a column and
+    added up for each choice; each merge is then a step over all choices."""
+    n, cells = len(points), len(points) ** 2
+    apart = (points.T[:, :, None] - points.T[:, None, :]) ** 2
+    out = np.ones((len(used), n), np.int64)
+    for lo in range(0, len(used), block := max(1, LINKED_CELLS // max(cells, 1))):
+        some = used[lo : lo + block]
+        far = np.sqrt(np.array([apart[c].sum(axis=0) for c in some]))
+        far[:, np.tri(n, dtype=bool)] = np.inf  # pairs i < j; ties go to the first
+        group, rows, all_rows = np.tile(np.arange(n), (len(some), 1)), np.arange(len(some)), np.arange(n)
+        for _ in range(n - 2):
+            i, j = np.divmod(far.reshape(len(some), -1).argmin(axis=1), n)
+            both = [np.minimum(far[rows, k], far[rows, :, k]) for k in (i, j)]
+            farther = np.maximum(*both)
+            later = all_rows[None] > i[:, None]
+            far[rows, i] = np.where(later, farther, np.inf)
+            far[rows, :, i] = np.where(~later & (all_rows[None] != i[:, None]), farther, np.inf)
+            far[rows, j], far[rows, :, j] = np.inf, np.inf
+            group = np.where(group == j[:, None], i[:, None], group)
+        out[lo : lo + block] = np.where(group == group[:, :1], 1, 2)
+    return out
+
+
 def two_cluster(segments: DataFrame, combos: DataFrame, columns: list[str]) -> DataFrame:
     """(trip_id, combo, seg, cluster): each trip's segments in two clusters for each combination of metrics. A group has a trip's
-    few segments and goes through the list of combinations, which has a fixed size."""
-    listed = [(r.combo, [m for m in r.metrics if m in columns]) for r in combos.collect()]
+    few segments and takes all combinations of the list, which has a fixed size, at once."""
+    listed = [(r.combo, [columns.index(m) for m in r.metrics if m in columns]) for r in combos.collect()]
+    numbers, used = np.array([c for c, _ in listed]), [u for _, u in listed]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg", ignore_index=True)
-        return pd.concat([pd.DataFrame({"trip_id": pdf.trip_id, "combo": c, "seg": pdf.seg, "cluster": complete_linkage_two(np.nan_to_num(pdf[used].to_numpy(np.float64)))}) for c, used in listed])
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seg")
+        points = np.column_stack([np.nan_to_num(rows.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)) for c in columns])
+        clusters, seg = linkage_of_combinations(points, used), rows.column("seg").to_numpy()
+        return pa.table({"trip_id": pa.repeat(rows.column("trip_id")[0], clusters.size), "combo": np.repeat(numbers, len(seg)).astype(np.int32), "seg": np.tile(seg, len(used)).astype(np.int32), "cluster": clusters.ravel()})
 
-    return segments.select("trip_id", "seg", *columns).groupBy("trip_id").applyInPandas(one, "trip_id long, combo int, seg int, cluster long")
+    return segments.select("trip_id", "seg", *columns).groupBy("trip_id").applyInArrow(one, "trip_id long, combo int, seg int, cluster long")
 
 
 def classify_segment(segments: DataFrame, short: int = 5) -> DataFrame:
