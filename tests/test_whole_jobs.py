@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wayfowl.operators import behaviour, phenology, tracks, twilights
+from wayfowl.operators import positions as positions_op
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -256,6 +257,33 @@ def test_all_tolerances_and_combinations(spark, sf):
     assert len(best) == len({r.trip_id for r in best}) == clusters.select("trip_id").distinct().count() and all(0 <= r.score <= 1 for r in best)
 
 
+def slow_spreads(at, lats, decs, near_sep, near_mar, tols):
+    """The whole trip interpolated anew for each tolerance."""
+    out = []
+    for tol in tols:
+        a, b = (np.where(dec > tol, lat, np.nan) for dec, lat in zip(decs, lats))
+        lat = np.where(np.isnan(a), b, np.where(np.isnan(b), a, (a + b) / 2))
+        known = ~np.isnan(lat)
+        if known.any():
+            lat = np.where(known, lat, np.interp(at, at[known], lat[known]))
+        s, m = (x[~np.isnan(x)] for x in (lat[near_sep], lat[near_mar]))
+        out.append((np.ptp(s) if len(s) else None, np.ptp(m) if len(m) > 1 else np.inf, len(m)))
+    return out
+
+
+def test_sweep_over_lost_latitudes_equals_interpolating_anew():
+    rng, tols = np.random.default_rng(12), np.arange(1, 61) * 0.005
+    for n in (1, 2, 3, 10, 80, 80, 400):
+        at = np.sort(rng.choice(10**9, n, replace=False))
+        lats, decs = rng.normal(30, 20, (2, n)), np.abs(rng.normal(0, 0.15, (2, n)))
+        lats[rng.random((2, n)) < 0.15] = np.nan
+        decs[:, n // 2 :] = np.round(decs[:, n // 2 :], 2)  # on the grid of tolerances
+        windows = [rng.random(n) < share for share in (0.4, 0.2)]
+        got, want = (f(at, lats, decs, *windows, tols) for f in (positions_op.spreads, slow_spreads))
+        for g, w in zip(got, want, strict=True):
+            assert g[2] == w[2] and (g[0] is None) == (w[0] is None) and np.allclose([x or 0 for x in g[:2]], [x or 0 for x in w[:2]], atol=1e-9)
+
+
 def test_linkage_equals_the_slow_one():
     rng = np.random.default_rng(9)
     for n in range(1, 16):

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,30 +63,129 @@ def threshold_path(pairs: DataFrame, tol: Column | float = 0.0, window_keys: tup
     return interpolate(unwrap_lon(found, window_keys), "lat", window_keys)
 
 
-def _held(value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Linear over time between known values, held at the ends; nothing where nothing is known."""
-    known = ~np.isnan(value)
-    return np.where(known, value, np.interp(at, at[known], value[known])) if known.any() else value
+class Extremes:
+    """The least and largest of values that come and go under keys: two heaps, whose outdated entries go when they come up."""
+
+    def __init__(self) -> None:
+        self.low: list[tuple[float, int, int]] = []
+        self.high: list[tuple[float, int, int]] = []
+        self.now: dict[int, int] = {}
+        self.version = 0
+
+    def put(self, key: int, values: tuple[float, ...]) -> None:
+        """The key's values from now on; none removes it."""
+        self.now.pop(key, None)
+        if values:
+            self.version += 1
+            self.now[key] = self.version
+            for v in values:
+                heapq.heappush(self.low, (v, key, self.version))
+                heapq.heappush(self.high, (-v, key, self.version))
+
+    def spread(self) -> float | None:
+        for heap in (self.low, self.high):
+            while heap and self.now.get(heap[0][1]) != heap[0][2]:
+                heapq.heappop(heap)
+        return -self.high[0][0] - self.low[0][0] if self.low else None
+
+
+class Latitudes:
+    """A trip's latitudes while they get lost one after the other. Between two known rows, and beyond the outermost, latitudes are
+    linear in time, so of the rows of a window in such a gap the first and last have the extremes: a change touches one row and two
+    gaps."""
+
+    def __init__(self, at: list[int], value: list[float], windows: list[list[int]]):
+        self.at, self.value, self.windows = at, value, [(w, set(w), Extremes()) for w in windows]
+        known = [-1, *(i for i, v in enumerate(value) if v == v), len(at)]
+        self.after, self.before = dict(itertools.pairwise(known)), {b: a for a, b in itertools.pairwise(known)}
+        self.known = len(known) - 2
+        for i in known[1:-1]:
+            self._row(i)
+        for a in known[:-1]:
+            self._gap(a)
+
+    def _row(self, i: int) -> None:
+        for _, inside, extremes in self.windows:
+            if i in inside:
+                extremes.put(i, (self.value[i],) if i in self.after else ())
+
+    def _gap(self, a: int) -> None:
+        """What lies between the known row a (or the start) and the next one."""
+        b, n = self.after.get(a), len(self.at)
+        for rows, _, extremes in self.windows:
+            ends = ()
+            if b is not None and not (a < 0 and b == n):
+                first, last = bisect.bisect_right(rows, a), bisect.bisect_left(rows, b) - 1
+                if first <= last:
+                    ends = tuple(self._between(a, b, rows[k]) for k in {first, last})
+            extremes.put(-2 - a, ends)
+
+    def _between(self, a: int, b: int, i: int) -> float:
+        if a < 0 or b == len(self.at):
+            return self.value[b if a < 0 else a]
+        span = self.at[b] - self.at[a]
+        return self.value[a] + (self.value[b] - self.value[a]) / span * (self.at[i] - self.at[a]) if span else self.value[b]
+
+    def change(self, i: int, value: float) -> None:
+        self.value[i] = value
+        self._row(i)
+        self._gap(self.before[i])
+        self._gap(i)
+
+    def lose(self, i: int) -> None:
+        a, b = self.before.pop(i), self.after.pop(i)
+        self.after[a], self.before[b] = b, a
+        self.known -= 1
+        self._row(i)
+        self._gap(i)
+        self._gap(a)
+
+
+def spreads(at: np.ndarray, lats: np.ndarray, decs: np.ndarray, near_sep: np.ndarray, near_mar: np.ndarray, tols: np.ndarray) -> list[tuple[float | None, float, int]]:
+    """(spread_sep, spread_mar, n_mar) at each tolerance: a row's latitude is the mean of those of its two whose declination is beyond
+    the tolerance, and interpolated where neither is. Time is in proportion to rows and tolerances, with a logarithm for the heaps."""
+    ends = np.where(np.isnan(lats) | np.isnan(decs), 0, np.searchsorted(tols, decs, "left"))  # from this tolerance on it is lost
+    lats = np.where(ends > 0, lats, np.nan)
+    both = np.where(np.isnan(lats[0]), lats[1], np.where(np.isnan(lats[1]), lats[0], (lats[0] + lats[1]) / 2))
+    windows = [np.flatnonzero(w).tolist() for w in (near_sep, near_mar)]
+    path = Latitudes(at.tolist(), both.tolist(), windows)
+    first, last = np.minimum(*np.where(ends > 0, ends, len(tols) + 1)), ends.max(axis=0)
+    longer = np.where(ends[0] >= ends[1], lats[0], lats[1]).tolist()
+    events: list[list[tuple[int, bool]]] = [[] for _ in tols]
+    for i, (one, gone) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        if 0 < gone < len(tols):
+            events[gone].append((i, True))
+        if 0 < one < gone and one < len(tols):
+            events[one].append((i, False))
+    out = []
+    for now in events:
+        for i, gone in now:
+            if gone:
+                path.lose(i)
+            else:
+                path.change(i, longer[i])
+        n_mar = len(windows[1]) if path.known else 0
+        spread = [w[2].spread() for w in path.windows]
+        out.append((spread[0], spread[1] if n_mar > 1 else math.inf, n_mar))
+    return out
 
 
 def tolerance_sweep(pairs: DataFrame, n: float = 0.001, largest: float = 0.2, d: int = 20, sep: int = 23, mar: int = 21) -> DataFrame:
     """(trip_id, tol, spread_sep, spread_mar, n_mar): the range of interpolated latitudes near both equinoxes for each tolerance. A
-    group has a trip's solar terms once, and goes through the tolerances."""
+    group has a trip's solar terms once; as the tolerance grows, only what each lost latitude changes is looked at."""
     day, steps = F.to_date("ts"), round(largest / n)
     terms = solar_terms(pairs).select("trip_id", "ord", us("ts").alias("at"), "lat1", "lat2", "dec1", "dec2", near_day(day, 9, sep, d).alias("sep"), near_day(day, 3, mar, d).alias("mar"))
+    tols = np.arange(1, steps + 1) * n
+
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("at", "ascending"), ("ord", "ascending")])
+        num = lambda *names: np.array([rows.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names])
+        near = (rows.column(c).fill_null(False).to_numpy(zero_copy_only=False).astype(bool) for c in ("sep", "mar"))
+        found = spreads(rows.column("at").to_numpy(), num("lat1", "lat2"), num("dec1", "dec2"), *near, tols)
+        columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]
+        return pa.table([pa.repeat(rows.column("trip_id")[0], steps), pa.array(tols), *columns], names=["trip_id", "tol", "spread_sep", "spread_mar", "n_mar"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "ord"], ignore_index=True)
-        at, lat1, lat2, dec1, dec2 = (pdf[c].to_numpy(np.float64) for c in ("at", "lat1", "lat2", "dec1", "dec2"))
-        near_sep, near_mar, rows = pdf.sep.to_numpy(bool), pdf.mar.to_numpy(bool), []
-        for i in range(1, steps + 1):
-            a, b = (np.where(dec > i * n, lat, np.nan) for dec, lat in ((dec1, lat1), (dec2, lat2)))
-            lat = _held(np.where(np.isnan(a), b, np.where(np.isnan(b), a, (a + b) / 2)), at)
-            s, m = (x[~np.isnan(x)] for x in (lat[near_sep], lat[near_mar]))
-            rows.append((i * n, np.ptp(s) if len(s) else None, np.ptp(m) if len(m) > 1 else np.inf, len(m)))
-        return pd.DataFrame({"trip_id": int(pdf.trip_id.iloc[0]), **dict(zip(("tol", "spread_sep", "spread_mar", "n_mar"), map(list, zip(*rows, strict=True)), strict=True))}).astype({"spread_sep": "float64"})
-
-    return terms.groupBy("trip_id").applyInPandas(one, "trip_id long, tol double, spread_sep double, spread_mar double, n_mar long")
+    return terms.groupBy("trip_id").applyInArrow(one, "trip_id long, tol double, spread_sep double, spread_mar double, n_mar long")
 
 
 def select_tolerance(sweep: DataFrame, spread: str, k: float = 0.95, least: int | None = None) -> DataFrame:
