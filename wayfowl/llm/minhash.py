@@ -21,6 +21,9 @@ probability of 8e-7 by the bands and of 3e-10 by LEAST_SHARE, and less above.
 Keys that hold many rows (copies of one text, a node that thousands are compared with) are spread over SALTS keys where they are
 joined; which keys these are is broadcast, HOT_KEYS rows at most by their definition.
 
+Only texts that have candidates are shuffled: documents are read again and pass a bitmap of the wanted ones, of FILTER_BITS bits at
+most, which is broadcast. It lets some others pass, which a join drops; where it gets full it only saves less.
+
 Defined cases: null text counts as empty; a text without words has no shingles, and is linked with nothing; one of fewer words than
 a shingle has its whole sequence as its only shingle; rows with a null doc_id can be linked, never name a group (a group of such
 rows alone has a null component_id), and are not kept; repeated rows stay; an empty table gives an empty result; other columns are
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import per_text, short_batches, table, written
@@ -59,6 +62,9 @@ DENSE = 4
 HOT_LEAST = 5000
 HOT_KEYS = 1000
 SALTS = 64
+#: Bits of the filter of texts for each wanted one, and in all (16 MB).
+BITS_EACH = 16
+FILTER_BITS = 1 << 27
 
 _EMPTY = np.uint64(2**64 - 1)
 _HALF = np.uint64(32)
@@ -101,8 +107,12 @@ def band_keys(places: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(rows)], np.uint64).view(np.int64)
 
 
-_KEYED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
-_KEYED_SQL = "row long, doc_id long, text string, digest binary, n long, bands array<long>, sketch binary"
+_KEYED = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_KEYED_SQL = "doc_id long, place long, digest binary, n long, bands array<long>, sketch binary"
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def _keyed(shingle_words: int):
@@ -114,26 +124,32 @@ def _keyed(shingle_words: int):
             if not len(hashes):
                 return b"", 0, [], b""
             places = sketch(hashes)
-            return xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), band_keys(places), (places & np.uint64(255)).astype(np.uint8).tobytes()
+            return _digest(hashes), len(hashes), band_keys(places), (places & np.uint64(255)).astype(np.uint8).tobytes()
 
         return keys
 
     return make
 
 
-def _sets(shingle_words: int):
-    return lambda: lambda text: (np.unique(shingle_hashes(text, shingle_words)).tobytes(),)
+def _hot(many: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """(key, salts) of the hot keys of many, broadcast. counts: (key, rows) of many, if known."""
+    counts = many.groupBy(key).agg(F.count("*").alias("rows")) if counts is None else counts
+    return F.broadcast(counts.where((F.col("rows") > HOT_LEAST) & (F.col("rows") * HOT_KEYS > many.count())).select(key, F.lit(SALTS).alias("salts")))
+
+
+def _spread(many: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    return many.join(hot, key, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.floor(F.rand(7) * SALTS).cast("int"))).drop("salts")
+
+
+def _copied(one: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    return one.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
-    """many.join(one, key) with hot keys of many spread over SALTS keys; one has each key once. counts: (key, rows) of many, if
-    known. many is read twice, so it should be a written table."""
-    counts = many.groupBy(key).agg(F.count("*").alias("rows")) if counts is None else counts
-    total = many.count()
-    hot = F.broadcast(counts.where((F.col("rows") > HOT_LEAST) & (F.col("rows") * HOT_KEYS > total)).select(key, F.lit(SALTS).alias("salts")))
-    spread = many.join(hot, key, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.floor(F.rand(7) * SALTS).cast("int"))).drop("salts")
-    copied = one.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return spread.join(copied, [key, "salt"]).drop("salt")
+    """many.join(one, key) with hot keys of many spread over SALTS keys; one has each key once. many is read twice, so it should be a
+    written table."""
+    hot = _hot(many, key, counts)
+    return _spread(many, hot, key).join(_copied(one, hot, key), [key, "salt"]).drop("salt")
 
 
 # --- verification -----------------------------------------------------------------------------------------------------------------
@@ -169,32 +185,75 @@ def _passing(percent: int):
     return run
 
 
-def _verified(percent: int):
+def _both_sides(pairs: DataFrame, one: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with columns of one (node, ...) for either side; b may be hot."""
+    side = lambda s: one.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
+    return spread_join(pairs, side("b"), "b").join(side("a"), "a")
+
+
+def _bit(place: Column, bits: int) -> Column:
+    return F.pmod(place, F.lit(bits)) + 1
+
+
+def _wanted_texts(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, text) of wanted (node, digest, place), a written table: once each."""
+    bits = FILTER_BITS
+    count = wanted.count()
+    while bits > 1 << 15 and bits // 2 >= BITS_EACH * count:
+        bits //= 2
+    marks = wanted.select(_bit(F.col("place"), bits).alias("bit"))
+    filters = marks.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+    own = docs.withColumn("bit", _bit(F.col("place"), bits)).withColumn("bucket", F.bitmap_bucket_number("bit")).withColumn("at", F.bitmap_bit_position("bit"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, CAST(at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    some = own.join(F.broadcast(filters), "bucket").where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("at") % 8)), F.lit(2)) == 1)
+
+    def digests():
+        return lambda text: (_digest(np.unique(shingle_hashes(text, shingle_words))),)
+
+    schema = pa.schema([("text", pa.string()), ("digest", pa.binary())])
+    texts = some.select("text").mapInArrow(per_text(digests, schema, ("text",)), "text string, digest binary")
+    return wanted.select("node", "digest").join(texts.groupBy("digest").agg(F.first("text").alias("text")), "digest").select("node", "text")
+
+
+def _meetings(shingle_words: int, percent: int):
+    """Rows (meet, salt, node, text), a meeting's own node first: which of the others are linked with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
         for batch in batches:
-            sets = [batch.column(c) for c in ("hashes_a", "hashes_b")]
-            kept = [linked(*(np.frombuffer(c[k].as_py(), np.uint64) for c in sets), percent) for k in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            found = []
+            for meet, salt, node, text in zip(*(batch.column(c).to_pylist() for c in ("meet", "salt", "node", "text")), strict=True):
+                hashes = np.unique(shingle_hashes(text.encode(), shingle_words))
+                if (meet, salt) != now:
+                    now, own = (meet, salt), hashes
+                if node != meet and linked(own, hashes, percent):
+                    found.append((node, meet))
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _both_sides(pairs: DataFrame, one: DataFrame, *columns: str) -> DataFrame:
-    """pairs (a, b) with columns of one (node, ...) for either side; b may be hot."""
-    side = lambda s: one.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
-    return spread_join(pairs, side("b"), "b").join(side("a"), "a")
+def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Of the written pairs (a, b) those whose full sets are similar: each a goes to its b, whose set is made once."""
+    hot = _hot(pairs, "b")
+    others = _spread(pairs, hot, "b").select(F.col("a").alias("node"), F.col("b").alias("meet"), "salt")
+    need = written(others.unionByName(_copied(pairs.select("b").distinct(), hot, "b").select(F.col("b").alias("node"), F.col("b").alias("meet"), "salt")))
+    wanted = written(nodes.select("node", "digest", "place").join(need.select("node").distinct(), "node", "left_semi"))
+    met = need.join(_wanted_texts(docs, wanted, shingle_words), "node")
+    short_batches(docs.sparkSession)
+    ordered = met.repartition("meet", "salt").sortWithinPartitions("meet", "salt", F.col("node") != F.col("meet"))
+    return written(ordered.select("meet", "salt", "node", "text").mapInArrow(_meetings(shingle_words, percent), "a long, b long"))
 
 
-def _confirm(pairs: DataFrame, rows: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Of the written pairs (a, b) those whose full sets are similar."""
-    sets = written(_sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle_words))
-    return written(_both_sides(pairs, sets, "hashes").mapInArrow(_verified(percent), "a long, b long"))
+def _sets_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, hashes) of the chosen nodes."""
+    wanted = written(nodes.select("node", "digest", "place").join(chosen, "node", "left_semi"))
 
+    def sets():
+        return lambda text: (np.unique(shingle_hashes(text, shingle_words)).tobytes(),)
 
-def _sets_of(rows: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, hashes) of nodes; a node's name is the number of its first row."""
-    texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
-    return texts.mapInArrow(per_text(_sets(shingle_words), pa.schema([("node", pa.int64()), ("hashes", pa.binary())]), ("node",)), "node long, hashes binary")
+    return _wanted_texts(docs, wanted, shingle_words).mapInArrow(per_text(sets, pa.schema([("node", pa.int64()), ("hashes", pa.binary())]), ("node",)), "node long, hashes binary")
 
 
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
@@ -279,9 +338,9 @@ def _dealt(placed: DataFrame, chunks: DataFrame) -> DataFrame:
     return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("chunks", "other")
 
 
-def links(rows: DataFrame, nodes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Links (a, b), a > b, whose components are those of all links between nodes."""
-    spark = rows.sparkSession
+    spark = docs.sparkSession
     member = nodes.select("node", F.explode("bands").alias("key"))
     least = member.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
     member = written(member.join(least, "key"))
@@ -289,7 +348,7 @@ def links(rows: DataFrame, nodes: DataFrame, shingle_words: int, percent: int) -
     short_batches(spark, 4096)
     stars = written(_both_sides(stars, nodes, "n", "sketch").mapInArrow(_passing(percent), "a long, b long"))
     short_batches(spark)
-    stars = _confirm(stars, rows, shingle_words, percent)
+    stars = _confirm(stars, docs, nodes, shingle_words, percent)
     root = connected_components(stars)
     # Keys that hold nodes of several groups.
     placed = written(member.select("node", "key").join(root, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")))
@@ -300,12 +359,12 @@ def links(rows: DataFrame, nodes: DataFrame, shingle_words: int, percent: int) -
     short_batches(spark, 4096)
     found = written(dealt.select("block", "key", "node", "root", "n", "sketch").repartition("block").sortWithinPartitions("block", "key").mapInArrow(_candidates(percent), "a long, b long, key long"))
     short_batches(spark)
-    pairs = _confirm(written(found.where("b IS NOT NULL").select("a", "b").distinct()), rows, shingle_words, percent)
+    pairs = _confirm(written(found.where("b IS NOT NULL").select("a", "b").distinct()), docs, nodes, shingle_words, percent)
     # Dense blocks: full sets meet.
     dense = written(found.where("b IS NULL").select("key", F.col("a").alias("node")).distinct())
     if dense.isEmpty():
         return stars.unionByName(pairs)
-    sets = written(_sets_of(rows, dense.select("node").distinct(), shingle_words))
+    sets = written(_sets_of(docs, nodes, dense.select("node").distinct(), shingle_words))
     whole = written(dense.join(placed, ["key", "node"]).join(nodes.select("node", "n", "sketch"), "node").join(sets, "node"))
     chunks = whole.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("hashes")) / BLOCK_BYTES)).cast("long").alias("chunks"))
     joins = written(_dealt(whole, chunks).groupBy("key", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long"))
@@ -315,14 +374,16 @@ def links(rows: DataFrame, nodes: DataFrame, shingle_words: int, percent: int) -
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id of the group."""
     short_batches(docs.sparkSession)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(numbered.mapInArrow(per_text(_keyed(shingle_words), _KEYED, ("row", "doc_id", "text")), _KEYED_SQL))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = own.withColumn("place", F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))))  # where its text is found again
+    keyed = own.mapInArrow(per_text(_keyed(shingle_words), _KEYED, ("doc_id", "place")), _KEYED_SQL)
+    rows = written(keyed.withColumn("row", F.monotonically_increasing_id()))
     # A node is named by the number of its first row.
-    nodes = written(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.max("n").alias("n"), F.min_by("bands", "row").alias("bands"), F.min_by("sketch", "row").alias("sketch")))
-    labelled = connected_components(links(rows, nodes, shingle_words, percent))
+    first = [F.min_by(c, "row").alias(c) for c in ("place", "bands", "sketch")]
+    nodes = written(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.max("n").alias("n"), *first))
+    labelled = connected_components(links(own, nodes, shingle_words, percent))
     named = nodes.select("node", "digest").join(_named(nodes.select("node", "first_id"), labelled), "node").select("digest", "component_id")
-    own = rows.where("n > 0").select("doc_id", "n", "digest")
-    grouped = spread_join(own, named, "digest", nodes.select("digest", "rows")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    grouped = spread_join(rows.where("n > 0").select("doc_id", "n", "digest"), named, "digest", nodes.select("digest", "rows")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return grouped.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
