@@ -51,6 +51,20 @@ def test_densities_reach_every_part_of_a_trip(spark, sf):
     assert {(r.trip_id, r.g) for r in registry.queries()["k7_utilisation_distribution"](spark, sf).select("trip_id", "g").distinct().collect()} == groups
 
 
+def test_density_equals_the_sum_of_all_kernels(spark):
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.normal(0, 30, (300, 2)), rng.normal(200, 5, (40, 2))])
+    points = spark.createDataFrame([(1, float(x), float(y)) for x, y in xy], "g long, px double, py double")
+    h = points.transform(lambda p: phenology.href(p, ["g"])).first().h
+    got = {(r.gx, r.gy): r.density for r in phenology.utilisation_distribution(points, ["g"], 2.0).collect()}
+    cells = {(math.floor(x / h * 2) + i, math.floor(y / h * 2) + j) for x, y in xy for i in range(-6, 7) for j in range(-6, 7)}
+    assert set(got) == cells
+    for (gx, gy), d in got.items():
+        centre = (np.array([gx, gy]) + 0.5) * h / 2
+        near = (np.abs(np.floor(xy / h * 2) - [gx, gy]) <= 6).all(axis=1)
+        assert math.isclose(d, np.exp(-((xy[near] - centre) ** 2).sum(axis=1) / (2 * h * h)).sum(), rel_tol=1e-9)
+
+
 def test_long_trips_are_not_averaged(spark):
     rng = np.random.default_rng(6)
     xs = np.concatenate([rng.normal(0, 1, 801), rng.normal(30, 1, 800)])

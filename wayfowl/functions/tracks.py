@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TRIP = ("trip_id",)
@@ -47,6 +47,12 @@ def next_known(c: str, window: WindowSpec) -> Column:
     return F.first(c, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
 
 
+def one_trip_a_partition(rows: DataFrame) -> DataFrame:
+    """Each trip's rows together, in all of the session's shuffle partitions: few rows with much work on each are not drawn together
+    into one task, as Spark does by their bytes. Groups of a trip need no other shuffle."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "trip_id")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. Where it is unset, a cluster is refused; a session on one machine (tests) gets a folder."""
     sc = spark.sparkContext

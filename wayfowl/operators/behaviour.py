@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wayfowl.functions.tracks import in_order
+from wayfowl.functions.tracks import in_order, one_trip_a_partition
 
 
 def _segs() -> WindowSpec:
@@ -92,7 +92,7 @@ def two_cluster(segments: DataFrame, combos: DataFrame, columns: list[str]) -> D
         clusters, seg = linkage_of_combinations(points, used), rows.column("seg").to_numpy()
         return pa.table({"trip_id": pa.repeat(rows.column("trip_id")[0], clusters.size), "combo": np.repeat(numbers, len(seg)).astype(np.int32), "seg": np.tile(seg, len(used)).astype(np.int32), "cluster": clusters.ravel()})
 
-    return segments.select("trip_id", "seg", *columns).groupBy("trip_id").applyInArrow(one, "trip_id long, combo int, seg int, cluster long")
+    return one_trip_a_partition(segments.select("trip_id", "seg", *columns)).groupBy("trip_id").applyInArrow(one, "trip_id long, combo int, seg int, cluster long")
 
 
 def classify_segment(segments: DataFrame, short: int = 5) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfowl.functions.solar import destination, threshold_lat, threshold_lon, with_sun, without_sun
-from wayfowl.functions.tracks import in_order, last_known, near_day, next_known, us
+from wayfowl.functions.tracks import in_order, last_known, near_day, next_known, one_trip_a_partition, us
 
 
 def solar_terms(pairs: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def tolerance_sweep(pairs: DataFrame, n: float = 0.001, largest: float = 0.2, d:
         columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]
         return pa.table([pa.repeat(rows.column("trip_id")[0], steps), pa.array(tols), *columns], names=["trip_id", "tol", "spread_sep", "spread_mar", "n_mar"])
 
-    return terms.groupBy("trip_id").applyInArrow(one, "trip_id long, tol double, spread_sep double, spread_mar double, n_mar long")
+    return one_trip_a_partition(terms).groupBy("trip_id").applyInArrow(one, "trip_id long, tol double, spread_sep double, spread_mar double, n_mar long")
 
 
 def select_tolerance(sweep: DataFrame, spread: str, k: float = 0.95, least: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfowl.functions.tracks import checkpoint_folder, in_order, near_day, us
+from wayfowl.functions.tracks import checkpoint_folder, in_order, near_day, one_trip_a_partition, us
 
 ATTRIBUTES = ("dx", "dy", "dist", "dt", "r2n", "abs_angle", "rel_angle")
 
@@ -276,6 +276,10 @@ class Clusters:
             out -= 0.5 * (np.log(2 * np.pi * var)[:, None] + (v[None] - m[:, None]) ** 2 / var[:, None])
         return out
 
+    def likeliest(self, values: np.ndarray, ends: list[int]) -> float:
+        """The log-likelihood of given segments, each in its likeliest cluster."""
+        return float(np.add.reduceat(self.density(values), [0, *ends[:-1]], axis=1).max(axis=0).sum())
+
 
 def segments_under(density: np.ndarray, k: int, lmin: int) -> tuple[list[int], list[int], float]:
     """Ends, clusters and log-likelihood of the best k segments of at least lmin rows when each row has these log-densities. As rows
@@ -356,8 +360,9 @@ def joint_model(values: np.ndarray, k: int, clusters: int, ends: list[int], lmin
     """The joint model from the start whose first segments are likeliest: the given ends with their segments clustered (so it is
     never below that two-stage model) or merged, and the given clusters."""
     labels = cluster_segments(values, ends, clusters)[0], merged_segments(values, ends, clusters)[clusters] if merged is None else merged
-    own = [Clusters(values, np.repeat(label, np.diff([0, *ends])), clusters) for label in labels]
-    first = max([*own, *starts], key=lambda c: segments_under(c.density(values), k, lmin)[2])
+    rows = [np.repeat(label, np.diff([0, *ends])) for label in labels]
+    own = max((Clusters(values, r, clusters) for r in rows), key=lambda c: c.likeliest(values, ends))
+    first = max([own, *starts], key=lambda c: segments_under(c.density(values), k, lmin)[2]) if starts else own
     cut, label, found, history = joint_segments(values, k, first, lmin)
     return cut, label, found, history[-1]
 
@@ -390,7 +395,7 @@ def segment_tracks(track: DataFrame, kmax: int = 15, lmin: int = 5, clusters: tu
                 rows += [(trip, len(cut), c, bic, i + 1, int(s) + 1, a + 1, b) for i, (s, a, b) in enumerate(zip(label, [0, *cut[:-1]], cut, strict=True))]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _SEGMENTS.split(", ")])
 
-    return track.select("trip_id", "ts", "ord", *columns).na.drop(subset=list(columns)).groupBy("trip_id").applyInPandas(one, _SEGMENTS)
+    return track.select("trip_id", "ts", "ord", *columns).na.drop(subset=list(columns)).transform(one_trip_a_partition).groupBy("trip_id").applyInPandas(one, _SEGMENTS)
 
 
 def select_model(models: DataFrame) -> DataFrame:
@@ -473,7 +478,7 @@ def rediscretise(track: DataFrame) -> DataFrame:
         q = equal_chords(p, float(np.hypot(*np.diff(p, axis=0).T).mean()) if len(p) > 1 else 0.0)
         return pd.DataFrame({"trip_id": int(pdf.trip_id.iloc[0]), "seg": int(pdf.seg.iloc[0]), "ord": np.arange(1, len(q) + 1), "ts": pdf.ts.iloc[0], "x": q[:, 0], "y": q[:, 1]})
 
-    return track.select("trip_id", "seg", "ts", "ord", "x", "y").groupBy("trip_id", "seg").applyInPandas(one, _REDISCRETISED)
+    return track.select("trip_id", "seg", "ts", "ord", "x", "y").transform(one_trip_a_partition).groupBy("trip_id", "seg").applyInPandas(one, _REDISCRETISED)
 
 
 def r2n_limit(steps: DataFrame, lmin: int = 5) -> DataFrame:
@@ -485,4 +490,4 @@ def r2n_limit(steps: DataFrame, lmin: int = 5) -> DataFrame:
         limit = float(v[ends[2][:2]].mean()) if len(ends) == 3 else None
         return pd.DataFrame({"trip_id": [int(pdf.trip_id.iloc[0])], "limit": [limit]})
 
-    return steps.where("r2n IS NOT NULL").select("trip_id", "ts", "ord", "r2n").groupBy("trip_id").applyInPandas(one, "trip_id long, limit double")
+    return steps.where("r2n IS NOT NULL").select("trip_id", "ts", "ord", "r2n").transform(one_trip_a_partition).groupBy("trip_id").applyInPandas(one, "trip_id long, limit double")

@@ -495,12 +495,22 @@ def k6(v):
     return ph.href(projected(v), ["trip_id", "g"]).withColumn("h", F.round("h", 4))
 
 
-@query("k7_utilisation_distribution")
+#: Every point's kernel at every cell that it reaches.
+UD = LAEA + """
+, bw AS (SELECT trip_id, g, sqrt((var_samp(px) + var_samp(py)) / 2) * pow(count(*), -1 / 6.0::DOUBLE) AS h FROM q GROUP BY 1, 2 HAVING count(*) >= 6),
+pl AS (SELECT q.*, h, CAST(floor(px / (h / 2)) AS BIGINT) AS cx, CAST(floor(py / (h / 2)) AS BIGINT) AS cy FROM q JOIN bw ON q.trip_id = bw.trip_id AND q.g = bw.g WHERE h > 0),
+dn AS (SELECT trip_id, g, cx + i AS gx, cy + j AS gy, sum(exp(-(pow((cx + i + 0.5) * h / 2 - px, 2) + pow((cy + j + 0.5) * h / 2 - py, 2)) / (2 * h * h))) AS density FROM pl, range(-6, 7) a(i), range(-6, 7) b(j) GROUP BY 1, 2, 3, 4),
+hd AS (SELECT *, coalesce(sum(density) OVER (PARTITION BY trip_id, g ORDER BY round(density, 6) DESC, gx, gy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(density) OVER (PARTITION BY trip_id, g) AS total FROM dn),
+ud AS (SELECT * FROM hd WHERE held < 0.9 * total)
+"""
+
+
+@query("k7_utilisation_distribution", UD + "SELECT trip_id, g, gx, gy, round(density, 4) AS density FROM ud")
 def k7(v):
-    return ph.utilisation_distribution(projected(v), ["trip_id", "g"]).select("trip_id", "g", "gx", "gy", "density")
+    return ph.utilisation_distribution(projected(v), ["trip_id", "g"]).select("trip_id", "g", "gx", "gy", F.round("density", 4).alias("density"))
 
 
-@query("k8_points_in_ud")
+@query("k8_points_in_ud", UD + "SELECT q.trip_id, q.ord, ud.gx IS NOT NULL AS inside FROM q LEFT JOIN pl ON pl.trip_id = q.trip_id AND pl.ord = q.ord LEFT JOIN ud ON ud.trip_id = pl.trip_id AND ud.g = pl.g AND ud.gx = cx AND ud.gy = cy")
 def k8(v):
     p = projected(v)
     return ph.points_in_ud(p, ph.utilisation_distribution(p, ["trip_id", "g"]), ["trip_id", "g"]).select("trip_id", "ord", "inside")
