@@ -250,6 +250,32 @@ def test_holes_and_parts_of_polygons(spark):
         assert sorted(r.pid for r in phenology.point_in_polygon_join(points, shapes, band).collect()) == [0, 2, 3, 6]
 
 
+def test_strips_of_a_coast_with_many_vertices(spark):
+    """A round island with a rough coast, of 8,000 vertices, and a lake in it."""
+    rng = np.random.default_rng(13)
+    angle = np.linspace(0, 2 * np.pi, 8_000, endpoint=False)
+    radius = 30 + np.sin(7 * angle) + rng.normal(0, 0.001, 8_000)
+    coast = [("island", 1, i, float(r * np.cos(a)), float(r * np.sin(a))) for i, (a, r) in enumerate(zip(angle, radius, strict=True))]
+    lake = [("island", 2, i, float(10 * np.cos(a)), float(10 * np.sin(a))) for i, a in enumerate(angle[::50])]
+    shapes = spark.createDataFrame([*coast, *lake], "region string, ring int, idx int, x double, y double")
+    strips = phenology.edge_strips(shapes, 1.0).select("level", F.size("edges").alias("n")).collect()
+    assert max(r.n for r in strips) <= 128 and len({r.level for r in strips}) > 3
+    xy = [(float(x), float(y)) for x, y in rng.uniform(-33, 33, (400, 2))] + [(0.0, y) for y in (-40.0, 0.0, 9.99, 10.01, 29.0, 64.0)]
+    xs, ys = np.array([c[3] for c in coast]), np.array([c[4] for c in coast])
+    lx, ly = np.array([c[3] for c in lake]), np.array([c[4] for c in lake])
+
+    def crossings(x, y, px, py):
+        x2, y2 = np.roll(x, -1), np.roll(y, -1)
+        at = (y > py) != (y2 > py)
+        return int((px < (x2 - x)[at] * (py - y[at]) / (y2 - y)[at] + x[at]).sum())
+
+    want = {i for i, (px, py) in enumerate(xy) if (crossings(xs, ys, px, py) + crossings(lx, ly, px, py)) % 2}
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(xy)], "pid int, x double, y double")
+    got = phenology.point_in_polygon_join(points, shapes)
+    assert got.columns == ["pid", "x", "y", "region"] and {r.pid for r in got.collect()} == want and 0 < len(want) < len(xy)
+    assert phenology.point_in_polygon_join(points, shapes.limit(0)).count() == 0
+
+
 def test_twilight_files_of_many_trips_share_folders(spark, tmp_path):
     from wayfowl.sources import files
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wayfowl.functions.tracks import in_order, run_number
+from wayfowl.functions.tracks import checkpoint_folder, in_order, run_number
 
 
 def _trip() -> WindowSpec:
@@ -123,18 +123,54 @@ def arrival_departure(points: DataFrame, context: str = "context") -> DataFrame:
     return g.select("trip_id", c.alias("stage"), F.when(c != "B1", F.col("arr")).alias("arr"), F.when(c != "B2", F.col("dep")).alias("dep"))
 
 
-def point_in_polygon_join(points: DataFrame, vertices: DataFrame, band: float = 1.0) -> DataFrame:
-    """(points' columns, region): planar, by the parity of crossings of a ray over all rings, so that holes and several parts count.
-    Regions come as vertex rows (region, idx, x, y), with `ring` where they have several. A ray only meets edges of its own band of
-    y, so points and edges are joined on the band's number, and a point only sees the edges of its band."""
+#: Edges of a strip, and halvings of a strip's height at most.
+STRIP_EDGES = 64
+STRIP_HALVINGS = 24
+
+
+def _edges(vertices: DataFrame) -> DataFrame:
     rings = vertices if "ring" in vertices.columns else vertices.withColumn("ring", F.lit(1))
     w = Window.partitionBy("region", "ring").orderBy("idx")
-    edges = rings.select("region", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(w)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(w)).alias("y2"))
-    number = lambda c: F.floor(c / F.lit(band))
-    banded = edges.where("y1 != y2").withColumn("_band", F.explode(F.sequence(number(F.least("y1", "y2")), number(F.greatest("y1", "y2")))))
-    shapes = banded.groupBy("region", "_band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"), F.max(F.greatest("x1", "x2")).alias("_right"))
-    hit = points.withColumn("_band", number(F.col("y"))).join(shapes, "_band").where(F.col("x") <= F.col("_right"))
-    crosses = F.filter("_edges", lambda e: ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & (F.col("x") < (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w))
+    return rings.select("region", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt("x").alias("x2"), nxt("y").alias("y2")).where("y1 != y2")
+
+
+def edge_strips(vertices: DataFrame, band: float = 1.0, most: int = STRIP_EDGES, halvings: int = STRIP_HALVINGS) -> DataFrame:
+    """(region, level, cell, edges, right): a cover of each region's edges by strips of y. A strip of level k has the height band /
+    2**k and the number floor(y / height); one with more than `most` edges is halved, level by level, as long as most of them end in
+    it, so that strips are short where a coast has many vertices. What is left are edges that a horizontal line really crosses. No
+    point of a region is in two of its strips. An edge is in each strip that it touches."""
+    checkpoint_folder(vertices.sparkSession)
+    number = lambda c, k: F.floor(c / F.lit(band / 2**k))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    todo, done = _edges(vertices).withColumn("cell", F.explode(F.sequence(number(low, 0), number(high, 0)))), None
+    for k in range(halvings + 1):
+        w = Window.partitionBy("region", "cell")
+        through = (number(low, k) < F.col("cell")) & (number(high, k) > F.col("cell"))
+        todo = todo.withColumn("_n", F.count("*").over(w)).withColumn("_through", F.count_if(through).over(w)).checkpoint()
+        full = F.lit(k < halvings) & (F.col("_n") > most) & (F.col("_through") * 2 < F.col("_n"))
+        own = todo.where(~full).withColumn("level", F.lit(k))
+        done = own if done is None else done.unionByName(own)
+        todo = todo.where(full).drop("_n", "_through")
+        if todo.isEmpty():
+            break
+        # Either half that the edge reaches.
+        halves = F.sequence(F.greatest(number(low, k + 1), F.col("cell") * 2), F.least(number(high, k + 1), F.col("cell") * 2 + 1))
+        todo = todo.withColumn("cell", F.explode(halves))
+    return done.groupBy("region", "level", "cell").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"), F.max(F.greatest("x1", "x2")).alias("right"))
+
+
+def point_in_polygon_join(points: DataFrame, vertices: DataFrame, band: float = 1.0) -> DataFrame:
+    """(points' columns, region): planar, by the parity of crossings of a ray over all rings, so that holes and several parts count.
+    Regions come as vertex rows (region, idx, x, y), with `ring` where they have several. Points and strips of edges are joined on
+    the strip's number at each level that there is; a ray meets the few edges of its strip only."""
+    strips = edge_strips(vertices, band)
+    levels = sorted(r.level for r in strips.select("level").distinct().collect())  # as many as halvings, at most
+    if not levels:
+        return points.crossJoin(vertices.select("region").limit(0))
+    at = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("y") / F.lit(band / 2**k)).alias("cell")) for k in levels))
+    hit = points.withColumn("_at", F.explode(at)).join(strips.select("region", "edges", "right", F.struct("level", "cell").alias("_at")), "_at").where(F.col("x") <= F.col("right"))
+    crosses = F.filter("edges", lambda e: ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & (F.col("x") < (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
     return hit.where(F.size(crosses) % 2 == 1).select(*points.columns, "region")
 
 
