@@ -113,14 +113,58 @@ def h12(v):
     return s.select("trip_id", "seg", *(F.round(c, 2).alias(c) for c in ("straightness", "sinuosity", "emax", "ang_vector", "dc_mean")), F.round(F.col("r2n_mean") + 1e-7, 2).alias("r2n_mean"))
 
 
-@query("h12_shape_metrics_rediscretised")
+def _steps_of(name: str, rows: str, more: str = "") -> str:
+    """CTEs up to {name}s: the steps of rows (trip_id, seg, o, x, y) within each segment."""
+    w = "(PARTITION BY trip_id, seg ORDER BY o)"
+    return f"""{name}a AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM {rows} WINDOW w AS {w}),
+{name}b AS (SELECT *, sqrt(dx * dx + dy * dy) AS dist FROM {name}a),
+{name}c AS (SELECT *, CASE WHEN dist >= 1e-7 THEN atan2(dy, dx) END AS abs_angle FROM {name}b),
+{name}d AS (SELECT *, abs_angle - lag(abs_angle) OVER {w} AS d FROM {name}c),
+{name}s AS (SELECT *, {TURN} AS rel_angle FROM {name}d),
+{name}g AS (SELECT trip_id, seg, sum(dist) AS len, sqrt(pow(sum(dx), 2) + pow(sum(dy), 2)) AS net, count(dist) AS n, avg(dist) AS p, stddev_samp(dist) AS sd, avg(dist * dist) AS p2, avg(cos(rel_angle)) AS c0, avg(sin(rel_angle)) AS si,
+  avg(abs(degrees(rel_angle)) * 50) AS dc_mean, stddev_samp(abs(degrees(rel_angle)) * 50) AS dc_sd{more} FROM {name}s GROUP BY 1, 2),
+{name}m AS (SELECT *, CASE WHEN abs(c0) < 1 THEN c0 END AS c FROM {name}g)"""
+
+
+def _walked(seg: str) -> str:
+    """The reference's metrics: each segment's path is walked chord by chord, from one point to the last place at a step's distance on
+    the first leg whose end is as far."""
+    def r(c: str, name: str) -> str:
+        return f"round({c} + 1e-7, 3) AS {name}"
+
+    return f"""
+WITH RECURSIVE ra AS (SELECT *, lead(x) OVER w - x AS dx0, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0 FROM v_track WINDOW w AS {W}),
+rows AS (SELECT trip_id, {seg} AS seg, ord AS o, x, y, (x - x0) * (x - x0) + (y - y0) * (y - y0) AS r2n, row_number() OVER (PARTITION BY trip_id, {seg} ORDER BY ts, ord) AS i FROM ra),
+{_steps_of("r", "rows", ", avg(r2n) AS r2n_mean, stddev_samp(r2n) AS r2n_sd").replace("ra AS (SELECT *, lead(x) OVER w - x AS dx, ", "rz AS (SELECT *, lead(x) OVER w - x AS dx, ").replace("FROM ra)", "FROM rz)")},
+walk AS (
+  SELECT trip_id, seg, 1 AS o, CAST(2 AS BIGINT) AS i, x, y FROM rows WHERE i = 1
+  UNION ALL
+  SELECT trip_id, seg, o + 1, i, bx + (-qb + sqrt(greatest(0.0, qb * qb - 4 * qa * qc))) / (2 * qa) * lx, by_ + (-qb + sqrt(greatest(0.0, qb * qb - 4 * qa * qc))) / (2 * qa) * ly FROM (
+    SELECT f.trip_id, f.seg, f.o, f.i, a.x AS bx, a.y AS by_, b.x - a.x AS lx, b.y - a.y AS ly, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) AS qa, 2 * ((a.x - f.x) * (b.x - a.x) + (a.y - f.y) * (b.y - a.y)) AS qb, pow(a.x - f.x, 2) + pow(a.y - f.y, 2) - p * p AS qc
+    FROM (SELECT walk.trip_id, walk.seg, walk.o, any_value(walk.x) AS x, any_value(walk.y) AS y, any_value(p) AS p, min(rows.i) AS i FROM walk JOIN rm ON rm.trip_id = walk.trip_id AND rm.seg = walk.seg JOIN rows ON rows.trip_id = walk.trip_id AND rows.seg = walk.seg AND rows.i >= walk.i
+      WHERE p > 0 AND sqrt(pow(rows.x - walk.x, 2) + pow(rows.y - walk.y, 2)) >= p GROUP BY 1, 2, 3) f
+    JOIN rows a ON a.trip_id = f.trip_id AND a.seg = f.seg AND a.i = f.i - 1 JOIN rows b ON b.trip_id = f.trip_id AND b.seg = f.seg AND b.i = f.i
+  )
+),
+{_steps_of("k", "walk")}
+SELECT rm.trip_id, rm.seg, {r("km.net / nullif(km.len, 0)", "straightness")}, {r("CASE WHEN km.p * ((1 + km.c) / (1 - km.c) + pow(km.sd / nullif(km.p, 0), 2)) > 0 THEN 2 / sqrt(km.p * ((1 + km.c) / (1 - km.c) + pow(km.sd / nullif(km.p, 0), 2))) END", "sinuosity")},
+  {r("sqrt(km.c0 * km.c0 + km.si * km.si)", "ang_vector")}, {r("atan2(km.si, km.c0)", "ang_mean")}, {r("rm.c / (1 - rm.c)", "emax")}, {r("rm.n * rm.p2 + 2 * rm.p * rm.p * (rm.c / (1 - rm.c)) * (rm.n - (1 - pow(rm.c, rm.n)) / (1 - rm.c))", "sq_disp")},
+  {r("rm.dc_mean", "dc_mean")}, {r("rm.dc_sd", "dc_sd")}, {r("rm.r2n_mean", "r2n_mean")}, {r("rm.r2n_sd", "r2n_sd")} FROM rm LEFT JOIN km ON rm.trip_id = km.trip_id AND rm.seg = km.seg
+"""
+
+
+def _three_places(m, key):
+    return m.select("trip_id", key, *(F.round(F.col(c) + 1e-7, 3).alias(c) for c in m.columns if c not in ("trip_id", key)))
+
+
+@query("h12_shape_metrics_rediscretised", _walked(SEG))
 def h12w(v):
-    return tr.shape_metrics(seg_steps(v))
+    return _three_places(tr.shape_metrics(seg_steps(v), places=9), "seg")
 
 
-@query("h12_shape_metrics_by_cluster")
+@query("h12_shape_metrics_by_cluster", _walked(f"({SEG}) % 3").replace("SELECT rm.trip_id, rm.seg,", "SELECT rm.trip_id, rm.seg AS cluster,"))
 def h12c(v):
-    return tr.shape_metrics(seg_steps(v).withColumn("cluster", F.col("seg") % 3), by="cluster")
+    return _three_places(tr.shape_metrics(seg_steps(v).withColumn("cluster", F.col("seg") % 3), places=9, by="cluster"), "cluster")
 
 
 @query("h12_rediscretise")
