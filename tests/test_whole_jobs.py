@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from wayfowl.operators import behaviour, phenology, tracks, twilights
+from wayfowl.operators import behaviour, calibrate, phenology, tracks, twilights
 from wayfowl.operators import positions as positions_op
 
 T0 = dt.datetime(2024, 1, 1)
@@ -242,6 +242,24 @@ def test_one_spike_is_one_flag(spark):
     assert twilights.speed_filter_flag(df.limit(0)).count() == 0
 
 
+def test_hinges_of_large_groups(spark):
+    rng = np.random.default_rng(14)
+    groups = {"a": rng.normal(size=5000), "b": np.round(rng.normal(size=4001), 1), "c": np.ones(300), "d": rng.normal(size=1), "e": rng.normal(size=2), "f": rng.normal(size=3), "g": np.array([])}
+    rows = [(g, float(x), float(-x) if i % 3 else None) for g, v in groups.items() for i, x in enumerate(v)] + [("g", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {(r.g, r.column): (r.lower, r.upper) for r in calibrate.tukey_hinges(df, ["x", "y"], "g").collect()}
+    for g in groups:
+        for k, c in ((1, "x"), (2, "y")):
+            v = sorted(r[k] for r in rows if r[0] == g and r[k] is not None)
+            if v:
+                depth = ((len(v) + 3) // 2) / 2
+                want = tuple((u[math.floor(depth) - 1] + u[math.ceil(depth) - 1]) / 2 for u in (v, v[::-1]))
+                assert np.allclose(got[g, c], want)
+            else:
+                assert (g, c) not in got
+    assert calibrate.boxplot_outliers_to_null(df, ["x", "y"], "g").count() == len(rows)
+
+
 def test_holes_and_parts_of_polygons(spark):
     square = lambda r, a, b: [("r", r, i + 1, x, y) for i, (x, y) in enumerate([(a, a), (b, a), (b, b), (a, b)])]
     shapes = spark.createDataFrame([*square(1, 0.0, 10.0), *square(2, 3.0, 6.0), *square(3, 20.0, 22.0)], "region string, ring int, idx int, x double, y double")

@@ -78,23 +78,37 @@ def pivot_periods(params: DataFrame, keys: list[str], metrics: list[str], period
     return wide.select(*keys, *(F.col(f"`{old}`").alias(new) for old, new in names.items()))
 
 
+#: Parts of a group's values that are counted before the one that holds a hinge is sorted.
+HINGE_PARTS = 64
+
+
+def tukey_hinges(df: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """(by, column, lower, upper) of each group's known values. Distinct values are counted in parts that an approximate quantile cuts;
+    only the parts that hold a hinge are sorted, so a group may have any number of rows."""
+    keys = [by, "column"]
+    long = df.select(by, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))).alias("_v")).select(by, "_v.*")
+    values = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("value", [i / HINGE_PARTS for i in range(1, HINGE_PARTS)], 10_000).alias("cuts"))
+    parted = values.join(cuts, keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    before = Window.partitionBy(*keys).orderBy("part")
+    parts = parted.groupBy(*keys, "part").agg(F.sum("n").alias("own")).withColumn("to", F.sum("own").over(before)).withColumn("all", F.sum("own").over(Window.partitionBy(*keys)))
+    depth = F.floor((F.col("all") + 3) / F.lit(2.0)) / 2  # of the hinges, from either end
+    places = {"l0": F.floor(depth), "l1": F.ceil(depth), "u0": F.col("all") + 1 - F.floor(depth), "u1": F.col("all") + 1 - F.ceil(depth)}
+    parts = parts.withColumns({k: F.when((c > F.col("to") - F.col("own")) & (c <= F.col("to")), c - F.col("to") + F.col("own")) for k, c in places.items()})
+    parts = parts.where(F.coalesce(*places).isNotNull()).drop("own", "to", "all")
+    placed = parted.join(parts, [*keys, "part"]).withColumn("_c", F.sum("n").over(Window.partitionBy(*keys, "part").orderBy("value")))
+    found = placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_c") >= F.col(k), F.col("value"))).alias(k) for k in places))
+    return found.select(*keys, ((F.col("l0") + F.col("l1")) / 2).alias("lower"), ((F.col("u0") + F.col("u1")) / 2).alias("upper"))
+
+
 def boxplot_outliers_to_null(df: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """Values beyond 1.5 times the hinge spread from Tukey's hinges of their group become null. The hinges come from sorted
-    arrays of a group's values, one aggregation for all columns."""
-    def hinge(values: Column, upper: bool) -> Column:
-        n = F.size(values)
-        depth = (F.floor((n + 3) / F.lit(2.0)) / 2).cast("double")
-        lo, hi = F.floor(depth).cast("int"), F.ceil(depth).cast("int")
-        a = F.element_at(values, n + 1 - lo) if upper else F.element_at(values, lo)
-        b = F.element_at(values, n + 1 - hi) if upper else F.element_at(values, hi)
-        return F.when(n > 0, (a + b) / 2)
-
-    sorted_ = df.groupBy(by).agg(*(F.sort_array(F.collect_list(c)).alias(f"_{c}") for c in columns))
-    fences = sorted_.select(by, *(h for c in columns for h in (hinge(F.col(f"_{c}"), False).alias(f"_lo_{c}"), hinge(F.col(f"_{c}"), True).alias(f"_hi_{c}"))))
-    out = df.join(fences, by, "left")
+    """Values beyond 1.5 times the hinge spread from Tukey's hinges of their group become null."""
+    hinges = tukey_hinges(df, columns, by).groupBy(by).pivot("column", columns).agg(F.first(F.struct("lower", "upper")))
+    out = df.join(hinges.select(by, *(F.col(f"`{c}`").alias(f"_h_{c}") for c in columns)), by, "left")
     for c in columns:
-        spread = 1.5 * (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))
-        outside = (F.col(c) < F.col(f"_lo_{c}") - spread) | (F.col(c) > F.col(f"_hi_{c}") + spread)
+        lower, upper = F.col(f"_h_{c}.lower"), F.col(f"_h_{c}.upper")
+        spread = 1.5 * (upper - lower)
+        outside = (F.col(c) < lower - spread) | (F.col(c) > upper + spread)
         out = out.withColumn(c, F.when(~F.coalesce(outside, F.lit(False)), F.col(c)))
     return out.select(*df.columns)
 

@@ -224,7 +224,7 @@ def join_prediction(events: DataFrame, predicted: DataFrame) -> DataFrame:
     return events.withColumn("day", F.to_date("ts")).join(one, ["trip_id", "type", "day"], "left")
 
 
-def prediction_fallback(predicted: DataFrame, dawn: str = "dawn", dusk: str = "dusk", breeding_months: tuple[int, ...] = (4, 5, 6, 7, 8, 9)) -> DataFrame:
+def prediction_fallback(predicted: DataFrame, dawn: str = "dawn", dusk: str = "dusk", breeding_months: tuple[int, ...] = (5, 6, 7, 8)) -> DataFrame:
     """pred_ts: hours taken back by shift, folded at 24, floored to the minute; in breeding months a missing one is dawn or dusk."""
     back = F.abs(F.col("pred") - F.col("shift"))
     hour = F.when(back > 24, 48 - back).otherwise(back)

@@ -184,7 +184,7 @@ def d7(v):
 WITH p AS (SELECT trip_id, ord, type, CAST(ts AS DATE) AS day, CASE WHEN ord % 4 = 0 THEN NULL ELSE (ord % 2300) / 100.0::DOUBLE END AS pred, CAST(ord % 24 AS INT) AS shift FROM v_dates),
 b AS (SELECT *, abs(pred - shift) AS k, epoch_us(CAST(day AS TIMESTAMP)) AS d0 FROM p),
 h AS (SELECT *, CASE WHEN k > 24 THEN 48 - k ELSE k END AS h FROM b)
-SELECT trip_id, ord, coalesce(d0 + CAST(floor(h * 60) * 60000000 AS BIGINT), CASE WHEN month(day) BETWEEN 4 AND 9 THEN CASE WHEN type = 1 THEN d0 + 18000000000 ELSE d0 + 72000000000 END END) AS pred_ts FROM h""")
+SELECT trip_id, ord, coalesce(d0 + CAST(floor(h * 60) * 60000000 AS BIGINT), CASE WHEN month(day) BETWEEN 5 AND 8 THEN CASE WHEN type = 1 THEN d0 + 18000000000 ELSE d0 + 72000000000 END END) AS pred_ts FROM h""")
 def d9(v):
     p = v("dates").select("trip_id", "ord", "type", F.to_date("ts").alias("day"), F.when(F.col("ord") % 4 == 0, None).otherwise((F.col("ord") % 2300) / F.lit(100.0)).alias("pred"), (F.col("ord") % 24).cast("int").alias("shift"))
     p = p.withColumn("dawn", F.expr("CAST(day AS TIMESTAMP) + INTERVAL 5 HOUR")).withColumn("dusk", F.expr("CAST(day AS TIMESTAMP) + INTERVAL 20 HOUR"))
