@@ -5,8 +5,10 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from wayfowl.functions import solar
 from wayfowl.operators import phenology
 from wayfowl.operators import tracks as tr
+from wayfowl.operators import twilights as tw
 from wayfowl.plans import workflows
 
 START = dt.datetime(2024, 6, 1)
@@ -81,6 +83,36 @@ def test_cleaned_track(spark):
     assert some.where("trip_id = 5").count() == 276
 
 
+def light_at(spark, lon, lat, days, trip=1):
+    """Readings of ten minutes at one place: 100 by day, 0 by night, and some of the night where clouds and lamps disturb."""
+    moments = spark.range(days * 144).select(F.lit(trip).cast("long").alias("trip_id"), F.timestamp_seconds(F.lit(1_730_000_000) + F.col("id") * 600).alias("ts"), F.col("id").alias("ord"))
+    d, s = solar.with_sun(moments, "_s", F.unix_micros("ts") / 1e6)
+    high = F.sin(F.radians(F.lit(lat))) * s.sin_dec + F.cos(F.radians(F.lit(lat))) * s.cos_dec * F.cos(F.radians(s.solar_time + lon - 180))
+    lamp = (F.col("ord") % 1009).between(100, 102)
+    return d.select("trip_id", "ts", "ord", F.when((high > float(np.cos(np.radians(96.0)))) | lamp, 100.0).otherwise(0.0).alias("lux"))
+
+
+def test_light_finds_its_place(spark):
+    lon, lat, start = -15.4, 28.0, dt.date(2024, 10, 27)
+    light = light_at(spark, lon, lat, 300)
+    colony = spark.createDataFrame([(1, 40.0, 60.0)], "trip_id long, lon double, lat double")
+    zenith = spark.createDataFrame([(1, 96.0)], "trip_id long, zenith double")
+    reference = spark.createDataFrame([(0.0, m + 1, 30.0) for m in range(12)], "lat double, month int, minutes double")
+    events = workflows.light_to_twilights(light, colony, zenith, reference, 50.0, breeding=()).checkpoint()
+    rows = events.orderBy("ts").collect()
+    raw = tw.threshold_crossings(light, 50.0).count()
+    assert 580 <= len(rows) < raw  # lamps are gone
+    late = sum(a.type == b.type for a, b in zip(rows, rows[1:]))
+    assert late <= 4 and {r.confidence for r in rows} == {1, 2, 9}
+    trips = spark.createDataFrame([(1, start, start + dt.timedelta(days=299))], "trip_id long, start_date date, end_date date")
+    days = spark.createDataFrame([(1, start + dt.timedelta(days=100), True, None)], "trip_id long, day date, light boolean, wetdry boolean")
+    found = workflows.twilights_to_positions(events, trips, colony, zenith, days).orderBy("ts").collect()
+    free = [r for r in found if r.anchor == 0]
+    assert np.median([abs(r.lon - lon) for r in free]) < 2 and np.median([abs(r.lat - lat) for r in free]) < 4
+    assert all((r.lon, r.lat) == (40.0, 60.0) for r in found if r.anchor == 1) and 2 <= sum(r.anchor == 1 for r in found) <= 8
+    assert len({r.tol for r in found}) <= 2 and all(0 <= r.tol <= 0.2 for r in found)
+
+
 def test_track_to_dates_finds_the_journey(spark):
     track = track_of(spark, *(journey(t, LONG, t) for t in (7, 8))).drop("label")
     home = spark.createDataFrame([(t, -15.0, 40.0) for t in (7, 8)], "trip_id long, lon double, lat double")
