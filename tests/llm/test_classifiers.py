@@ -144,6 +144,21 @@ def test_a_labelled_text_that_is_too_long_teaches_nothing_but_hides_no_other(spa
     assert len(set(y.tolist())) == 2 and max(map(len, texts)) < 20_000 // 16
 
 
+def test_quality_reaches_the_least_risk_of_all_rows_whatever_the_start(spark):
+    rng = np.random.default_rng(6)
+    n = len(quality.FEATURES)
+    x = np.concatenate([rng.normal(0, 1, (900, n)), rng.normal(1.5, 1, (300, n))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<double>")
+    trusted = spark.createDataFrame([(i,) for i in range(0, 900, 3)], "doc_id long")
+    models = [quality.fit_rows(rows, trusted, 0.6, start, 40) for start in (600, 1200)]
+    for m in models:
+        p, u = m.expand(x[:900:3]), m.expand(x)
+        g = u.T @ (1 / (1 + np.exp(-(u @ m.weights + m.bias)))) / 1200 - 0.6 * p.mean(axis=0) + quality.DECAY * m.weights
+        assert np.abs(g).max() < 1e-4
+    a, b = (m.predict(x) for m in models)
+    assert np.abs(a - b).max() < 0.05 and ((a > 0.5) == (b > 0.5)).mean() > 0.99
+
+
 def test_repeated_ids_come_to_the_driver_once(spark):
     docs = spark.createDataFrame([(i % 3, f"some text {i}") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
