@@ -167,9 +167,14 @@ def h12c(v):
     return _three_places(tr.shape_metrics(seg_steps(v).withColumn("cluster", F.col("seg") % 3), places=9, by="cluster"), "cluster")
 
 
-@query("h12_rediscretise")
+WALKED = _walked(SEG).split(",\nka AS")[0] + f""" SELECT walk.trip_id, walk.seg, CAST(o AS BIGINT) AS ord, f.ts, round(x, 5) AS x, round(y, 5) AS y
+FROM walk JOIN (SELECT trip_id, {SEG} AS seg, min(US(ts)) AS ts FROM v_track GROUP BY 1, 2) f ON f.trip_id = walk.trip_id AND f.seg = walk.seg"""
+
+
+@query("h12_rediscretise", WALKED)
 def h12r(v):
-    return tr.rediscretise(v("track").withColumn("seg", (F.floor((F.col("ord") - 1) / 40) + 1).cast("int")))
+    walked = tr.rediscretise(v("track").withColumn("seg", (F.floor((F.col("ord") - 1) / 40) + 1).cast("int")))
+    return walked.withColumn("x", F.round("x", 5)).withColumn("y", F.round("y", 5))
 
 
 @query("h13_r2n_limit")
