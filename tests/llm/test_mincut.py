@@ -51,6 +51,57 @@ def test_pages_that_are_not_as_the_textbook_has_them(html):
     assert mincut.main_text(html).split("\n") == TEXT
 
 
+MORE = "<p>What follows here is one more paragraph of the article, as long as the others are.</p>"
+LONG = " ".join(f"Sentence {i} of a long section says what there is to say about its subject." for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<h2 id='privacy'>Privacy at work</h2>", ["Privacy at work"]),
+        ("<h2 id='related-work'>Related work</h2>", ["Related work"]),
+        ("<h2 id='comments'>Comments on the draft</h2>", ["Comments on the draft"]),
+        ("<section id='discussion'><h2>Discussion</h2><p>We saw that it works well.</p></section>", ["Discussion", "We saw that it works well."]),
+        (f"<section class='discussion'><p>{LONG}</p></section>", [LONG]),
+        ("<div class='share-price-table'><table><tr><td>Monday<td>12.5</table></div>", ["Monday", "12.5"]),
+        ("<div class='notice-board'><p>The board hangs beside the door of the hall, where all can read it.</p></div>", ["The board hangs beside the door of the hall, where all can read it."]),
+        ("<section id='cookies'><h2>Cookies from the oven</h2><p>Bake them for ten minutes.</p></section>", ["Cookies from the oven", "Bake them for ten minutes."]),
+        ("<div class='notice'><p>We have changed the terms of our service.</p></div>", []),
+        ("<div class='share'><h4>Share this</h4><a href='/f'>One place</a> <a href='/t'>Another place</a></div>", []),
+        ("<div class='related'><h3>Related</h3><ul><li><a href='/1'>A story of the day</a><li><a href='/2'>Another story</a></ul></div>", []),
+        ("<div class='ad-leaderboard'><p>Buy this splendid thing now, it is cheap and it is very good.</p></div>", []),
+        (f"<div class='comments'><h2>Comments</h2><p>{LONG}</p></div>", []),
+        ("<div class='newsletter-signup'><h3>Newsletter</h3><p>Sign up for our letter and get it every single morning.</p></div>", []),
+    ],
+)
+@pytest.mark.parametrize("around", ["article", "div class='entry-content'"])
+def test_names_within_an_article(part, text, around):
+    html = f"<body><nav>{SIDE}</nav><{around}>{BODY}{part}{MORE}</{around.split()[0]}></body>"
+    assert mincut.main_text(html).split("\n") == [*TEXT, *text, re.sub("<[^>]*>", "", MORE)]
+
+
+def test_names_around_a_page():
+    body = BODY.replace("h1>", "h2>")
+    footer = "<div class='footer'><p>All rights reserved by us, and by nobody else, in this year too.</p></div>"
+    for name in ("page sidebar-right", "nav-left", "layout sidebar"):
+        html = f"<body><div class='{name}'><div class='menu'>{SIDE}</div><div>{body}</div>{footer}</div></body>"
+        assert mincut.main_text(html).split("\n") == TEXT, name
+    assert mincut.main_text(f"<body><div class='comments'><h2>Comments</h2><p>{LONG}</p></div></body>") == ""
+    assert mincut.main_text(f"<body><div class='page'>{body}<div class='comments'><h2>Comments</h2><p>{LONG}</p><p>{LONG}</p></div></div></body>").split("\n") == TEXT
+
+
+def test_what_stands_beside_the_article():
+    column = "<div><p>Buy this splendid thing now, it is cheap and it is very good.</p></div>"
+    reader = f"<div><b>Ann</b><p>{LONG}</p></div><div><b>Ben</b><p>I have read this and I do not think that it is right at all.</p></div>"
+    for around in ("article", "main"):
+        assert mincut.main_text(f"<body><{around}>{BODY}{MORE}</{around}>{column}{reader}</body>").split("\n") == [*TEXT, re.sub("<[^>]*>", "", MORE)]
+    assert mincut.main_text(f"<body><div>{column[5:-6]}</div><article>{BODY}{MORE}</article></body>").split("\n")[-4:] == [*TEXT, re.sub("<[^>]*>", "", MORE)]
+    # a heading above the article belongs to it; parts of the text in several articles are all text
+    head, rest = BODY.split("</h1>")
+    assert mincut.main_text(f"<body><div>{head}</h1></div><article>{rest}</article></body>").split("\n") == TEXT
+    assert mincut.main_text(f"<body><article>{BODY}</article><article>{MORE}</article></body>").split("\n")[:3] == TEXT
+
+
 def test_work_is_in_proportion_to_the_page():
     def seconds(n):
         deep = "<div><section>" * n + BODY + "</article></nav></li>" * n + "</section></div>" * n + "<svg>" * n + "<li>" * n

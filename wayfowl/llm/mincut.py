@@ -10,6 +10,12 @@ A block is the text between two boundaries of block elements; a line break insid
 title, and other elements without readable text are left out as a whole; end tags that HTML lets out may be missing. An element that
 wraps the page (a form around everything, a layout named after its sidebar) is no evidence. Work is in proportion to the page.
 
+Names in classes and ids are weighed by where they stand. The id of a heading or a paragraph is made from its own words and is no
+evidence. Inside an article, a main element or a container named as content, a name that may also be a subject (`discussion`,
+`privacy`, `related`) counts only if it has no other subject in it (`share-price-table`), and if what it names does not read as a part
+of the text: few links, and a heading that says the same or enough running text. Where articles or main elements hold most of a
+page's running text, what stands outside them is at a disadvantage, above all behind them: it has unnamed columns and comments.
+
 Defined cases: null html counts as empty; a page without content blocks has empty text; rows with a null page_id or url and
 repeated rows are kept; an empty table gives an empty result; other columns are ignored.
 """
@@ -38,22 +44,41 @@ RAW = frozenset("script style textarea title".split())
 LEFT_OUT = frozenset("template noscript svg math iframe object canvas select audio video".split())
 #: Evidence of an element for the text in it (positive: content). The weights were set by hand, to the rule that any one clear sign
 #: of boilerplate outweighs a long paragraph inside an article, and that page-wide wrappers count for nothing.
-ELEMENTS = {"article": 3.0, "main": 2.5, "nav": -9.0, "footer": -9.0, "aside": -9.0, "menu": -8.0, "dialog": -9.0, "button": -8.0, "option": -8.0, "address": -3.0}
+ELEMENTS = {"article": 3.0, "main": 2.5, "nav": -12.0, "footer": -12.0, "aside": -12.0, "menu": -8.0, "dialog": -12.0, "button": -8.0, "option": -8.0, "address": -3.0}
 #: The same of elements that can also wrap a whole page, and of names in classes and ids: they count for nothing around it.
-WRAPPERS = {"form": -8.0, "fieldset": -6.0, "header": -5.0}
-ROLES = {"navigation": -9.0, "banner": -6.0, "contentinfo": -9.0, "complementary": -9.0, "search": -8.0, "dialog": -9.0, "alert": -8.0, "alertdialog": -9.0, "form": -8.0, "menu": -8.0, "menubar": -8.0, "main": 2.5, "article": 3.0}
+WRAPPERS = {"form": -12.0, "fieldset": -6.0, "header": -5.0}
+ROLES = {"navigation": -12.0, "banner": -6.0, "contentinfo": -12.0, "complementary": -12.0, "search": -8.0, "dialog": -12.0, "alert": -8.0, "alertdialog": -12.0, "form": -8.0, "menu": -8.0, "menubar": -8.0, "main": 2.5, "article": 3.0}
 #: Words in classes and ids, and the evidence for the text in them.
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright cta disclaimer discussion disqus feedback footer footnav gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popover popup privacy promo promoted promotion recommended related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored sponsors submenu subscribe subscription tagcloud tags teaser toast toc toolbar topbar tracking trending widget widgets".split()
 )
+#: Those of them that are also subjects of articles.
+SUBJECTS = frozenset(
+    "advertising banner consent cookie cookies copyright disclaimer discussion feedback header masthead menu modal navigation notice notification overlay privacy promotion recommended related replies reply respond rss search share sharing skip social sponsor sponsors subscription tags tracking trending widget widgets".split()
+)
+#: Those of them that name readers' comments, which may be longer than the article.
+READERS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
+#: Words that add no subject to a name.
+PARTS = frozenset(
+    "above after area articles bar before below block bottom box button buttons card center column container div element end footer form global group holder icon icons inline inner item items law layout left level link links list message mobile module more outer page panel placeholder policy posts read right row section settings side site slot sticky stories thread title top unit user view wrap wrapper zone".split()
+)
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text prose".split())
 #: Words of the article's own heading, where an article is around it or named with it.
 HEADING_NAMES = frozenset("header masthead banner".split())
 #: A name that begins so tells what is beside or what the page can do, not what the element is.
 STATES = frozenset("has with without no is js not hide show can supports".split())
-BAD_NAME, GOOD_NAME, HIDDEN = -8.0, 1.5, -20.0
+#: Elements whose id is made from their own words.
+OWN_IDS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd figcaption caption".split())
+BAD_NAME, GOOD_NAME, HIDDEN = -12.0, 1.5, -20.0
 #: Share of a page's running text that an element with an h1 or a main element in it (or a form) must hold to be a wrapper.
 WRAPS = 0.6
+#: An element with another heading is a wrapper if the running text that no name speaks against is below this share of its own.
+BARE = 0.1
+#: What a part with a doubtful name must hold to be text: characters of running text; and the most it may have in links.
+READS, LINKED = 200, 0.1
+#: Share of the running text that articles (or main elements) must hold to speak against what is outside them, without and with an h1
+#: in them; evidence before and behind the first of their blocks.
+HOLDS, HEADED, BEFORE, BEHIND = 0.6, 0.25, -2.0, -7.0
 SMOOTH = 1.6  # capacity between neighbours with the same parent
 
 _TAGS = re.compile(
@@ -67,6 +92,8 @@ _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.IGNORECASE) for t in RAW |
 _NAMES = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _LINKS = frozenset(("a",))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXTS = {"article": 2, "main": 1}
 
 
 @dataclass(slots=True)
@@ -76,9 +103,18 @@ class _Node:
     depth: int
     own: float  # evidence of this element alone, wherever it stands
     soft: float  # evidence that does not count if the element wraps the page
-    inside: bool  # of an article or a main element
-    running: int = 0  # characters of running text below it
+    inside: int  # 2 in an article, 1 in a main element, 0 elsewhere
+    named: bool = False  # in a container named as content
+    doubt: float = 0.0  # evidence that only counts if the part does not read as text
+    subjects: frozenset = frozenset()  # the words of that evidence
+    doubtful: _Node | None = None  # the nearest such element around it, itself included
+    readers: bool = False  # it is named as readers' comments
+    total: int = 0  # characters of text below it
+    linked: int = 0  # of them in links
+    running: int = 0  # of them running text
+    agrees: bool = False  # a heading in it has one of its subjects
     heads: bool = False  # an h1 or a main element is in it
+    titled: bool = False  # a heading is in it
     firm: float = 0.0  # evidence of all elements around the text: in one part, in the other, and in all
     softly: float = 0.0
     evidence: float = 0.0
@@ -89,11 +125,12 @@ class Block:
     node: _Node
     text: str
     linked: int  # characters in links
+    place: float = 0.0  # evidence of its place outside the articles
 
 
-def _name_evidence(value: str, inside: bool) -> float:
-    """Of a class or an id: each of its names alone."""
-    out = 0.0
+def _name_evidence(value: str, inside: int, named: bool) -> tuple[float, frozenset, bool, bool]:
+    """Of a class or an id, each of its names alone: evidence, doubtful words, is it named as content, as readers' comments."""
+    out, doubtful, content, readers = 0.0, frozenset(), False, False
     for name in value.split():
         words = [w.lower() for w in _WORDS.findall(name)]
         if not words or words[0] in STATES:
@@ -101,32 +138,48 @@ def _name_evidence(value: str, inside: bool) -> float:
         bad, good = BAD_NAMES.intersection(words), GOOD_NAMES.intersection(words)
         if bad and bad <= HEADING_NAMES and (inside or good):
             continue
-        out += BAD_NAME if bad else GOOD_NAME if good else 0.0
-    return min(max(out, BAD_NAME), GOOD_NAME)
-
-
-def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
-    """(wherever it stands, if it is no wrapper)"""
-    out, soft = ELEMENTS.get(tag, 0.0), WRAPPERS.get(tag, 0.0)
-    if tag == "header" and inside:
-        soft = 0.0  # the article's own heading
+        if bad and (inside or named) and bad <= SUBJECTS:
+            if all(len(w) < 3 or w in BAD_NAMES or w in PARTS or w in GOOD_NAMES for w in words):
+                doubtful |= bad
+        elif bad:
+            out += BAD_NAME
+        elif good:
+            out += GOOD_NAME
+            content = True
+        readers |= not READERS.isdisjoint(bad)
+    return min(max(out, BAD_NAME), GOOD_NAME), doubtful, content, readers
+
+
+def _weigh(node: _Node, attributes: str) -> None:
+    """The evidence of an element's tag and attributes; where it stands is known."""
+    tag, up = node.tag, node.parent
+    node.own, node.soft = ELEMENTS.get(tag, 0.0), WRAPPERS.get(tag, 0.0)
+    node.named, node.doubtful = up.named, up.doubtful
+    if tag == "header" and node.inside:
+        node.soft = 0.0  # the article's own heading
     if not attributes or attributes.isspace():
-        return out, soft
+        return
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "role":
-            if not (value.lower() == "banner" and inside):
-                out += ROLES.get(value.lower(), 0.0)
+            if not (value.lower() == "banner" and node.inside):
+                node.own += ROLES.get(value.lower(), 0.0)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE)):
-            out += HIDDEN
-        elif name in ("class", "id") and tag not in ("html", "body", "main"):
-            soft += _name_evidence(value, inside)
-    return out, soft
+            node.own += HIDDEN
+        elif name == "class" or (name == "id" and tag not in OWN_IDS):
+            if tag not in ("html", "body", "main"):
+                out, subjects, content, readers = _name_evidence(value, up.inside, up.named)
+                node.soft += out
+                node.subjects |= subjects
+                node.readers |= readers
+                node.named |= content and out > 0
+    if node.subjects:
+        node.doubt, node.doubtful = BAD_NAME, node
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks of text in their order."""
-    root = node = _Node("#", None, 0, 0.0, 0.0, False)
+    root = node = _Node("#", None, 0, 0.0, 0.0, 0)
     nodes: list[_Node] = [root]
     opened: Counter = Counter()  # of each tag, how many elements are open
     closed: set[str] = set()  # elements to leave out that have no end tag any more
@@ -198,9 +251,10 @@ def blocks(html: str) -> list[Block]:
                 if last is not None:
                     leave(last)
             if tag not in VOID:
-                hard, soft = _evidence(tag, attributes, node.inside)
-                node = _Node(tag, node, node.depth + 1, hard, soft, node.inside or tag in ("article", "main"))
-                node.heads = tag in ("h1", "main")
+                node = _Node(tag, node, node.depth + 1, 0.0, 0.0, node.inside)
+                _weigh(node, attributes)
+                node.inside = max(node.inside, _TEXTS.get(tag, 0))
+                node.heads, node.titled = tag in ("h1", "main"), tag in _HEADINGS
                 nodes.append(node)
                 opened[tag] += 1
         elif tag in _LINKS:
@@ -213,18 +267,51 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def _runs(b: Block) -> bool:
+    return b.text.count(" ") >= 9 and 2 * b.linked < len(b.text)
+
+
 def _surroundings(nodes: list[_Node], found: list[Block]) -> None:
-    """The evidence around every element; parents stand before their children."""
+    """The evidence around every element and of every block's place; parents stand before their children."""
     for b in found:
-        if b.text.count(" ") >= 9 and 2 * b.linked < len(b.text):
-            b.node.running += len(b.text)
+        b.node.total += len(b.text)
+        b.node.linked += b.linked
+        b.node.running += len(b.text) if _runs(b) else 0
+        if b.node.tag in _HEADINGS and (around := b.node.doubtful):
+            around.agrees |= not around.subjects.isdisjoint(w.lower() for w in _WORDS.findall(b.text))
     for n in reversed(nodes[1:]):
-        n.parent.running += n.running
-        n.parent.heads |= n.heads
+        up = n.parent
+        up.total += n.total
+        up.linked += n.linked
+        up.running += n.running
+        up.heads |= n.heads
+        up.titled |= n.titled
+    for n in nodes[1:]:
+        reads = n.linked <= LINKED * n.total and (n.agrees or n.running >= max(READS, n.total / 2))
+        n.soft += 0.0 if reads else n.doubt
     whole = WRAPS * nodes[0].running
+    _add_up(nodes, whole)
+    bare = sum(len(b.text) for b in found if b.node.evidence >= 0 and _runs(b))
+    if bare < BARE * nodes[0].running:
+        _add_up(nodes, whole, bare / BARE)
+    runs = [(b.node.inside, len(b.text)) for b in found if b.node.evidence >= 0 and _runs(b)]
+    for least in (2, 1):
+        headed = any(b.node.tag == "h1" and b.node.inside >= least and b.node.evidence >= 0 for b in found)
+        if sum(n for i, n in runs if i >= least) > (HEADED if headed else HOLDS) * sum(n for _, n in runs):
+            behind = False
+            for b in found:
+                if b.node.inside >= least:
+                    behind |= b.node.evidence >= 0
+                elif b.node.tag != "h1":
+                    b.place = BEHIND if behind else BEFORE
+            return
+
+
+def _add_up(nodes: list[_Node], whole: float, least: float | None = None) -> None:
+    """Evidence of each element with all that are around it; with `least`, elements with any heading can be wrappers."""
     for n in nodes[1:]:
         around, soft = n.parent.softly, n.soft
-        if n.running > whole and soft < 0 and (n.heads or n.tag == "form"):
+        if n.running > whole and soft < 0 and (n.heads or (n.tag == "form" and not n.inside) or (least is not None and n.titled and not n.readers and n.running > least)):
             soft = 0.0
         if n.tag in ("article", "main") and soft >= 0 and (n.heads or n.running > whole):
             around = max(around, 0.0)  # names around the page's article do not speak against it
@@ -236,12 +323,12 @@ def evidence(block: Block) -> float:
     """Log-odds of content."""
     text, n = block.text, len(block.text)
     words = text.count(" ") + 1
-    out = max(block.node.evidence, -20.0) - 0.6
+    out = max(block.node.evidence, -20.0) + block.place - 0.6
     out += min(words, 60) / 12
     out -= 5.0 * min(1.0, block.linked / n)
     if text[-1] in ".!?…\"'”»:" and words > 3:
         out += 0.8
-    if block.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    if block.node.tag in _HEADINGS:
         out += 1.2
     elif block.node.tag in ("p", "blockquote", "pre"):
         out += 1.0
