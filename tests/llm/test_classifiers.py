@@ -107,34 +107,84 @@ def test_toxicity_equals_the_formulas_written_out():
     ids, sizes = toxicity.bags([w.encode() for w in words])
     assert [sorted(p.tolist()) for p in np.split(ids, np.cumsum(sizes)[:-1])] == [slow_bag(w) for w in words]
     rng = np.random.default_rng(2)
-    model = toxicity.ToxicityModel(rng.normal(size=toxicity.BUCKETS), -1.5, 0.2)
-    for text in ["", "Hello x ...", " ".join(words * 3), "... !!"]:
-        safe = 1.0
-        for w in text.split():
-            if bag := slow_bag(w):
-                safe /= 1 + math.exp(sum(model.logits[i] for i in bag) / len(bag) + model.bias)
-        assert np.isclose(model.score(text.encode()), 1 - safe)
-    # The first step of training: Adam's steps have the size of the rate, against the sign of the gradient.
-    texts, y = ["bad word here", "good word there", "word"], [1, 0, 0]
-    model = toxicity.fit([t.encode() for t in texts], np.array(y), np.ones(3), 0.3, epochs=1)
+    model = toxicity.ToxicityModel(rng.normal(size=toxicity.BUCKETS), rng.normal(size=toxicity.BUCKETS), -1.5, 0.2)
+
+    def mean(values, word):
+        return sum(values[i] for i in slow_bag(word)) / len(slow_bag(word))
+
+    def score(words):
+        found = [w for w in words if slow_bag(w)]
+        total = sum(math.exp(mean(model.gates, w)) for w in found)
+        z = sum(math.exp(mean(model.gates, w)) * mean(model.logits, w) for w in found) / total - 1.5
+        return 1 / (1 + math.exp(-z))
+
+    for text in ["Hello x ...", " ".join(words * 3), "(naïve)"]:
+        assert np.isclose(model.score(text.encode()), score(text.split()))
+    many = [words[i] for i in rng.integers(len(words), size=toxicity.WINDOW + 1)]
+    assert np.isclose(model.score(" ".join(many).encode()), max(score(many[: toxicity.WINDOW // 2]), score(many[toxicity.WINDOW // 2 :])))
+    assert all(np.diff(np.append(toxicity.windows(n), n)).max() <= toxicity.WINDOW for n in (1, 511, 512, 513, 5000))
+    assert model.score(b"") == model.score(b"... !!") == 0
+
+
+def test_first_steps_of_toxicity_equal_the_formulas_written_out():
+    """Adam's first step has the size of the rate, against the sign of the gradient, which is taken by differences here."""
+    texts, y = ["bad word here", "good word there", "word word ...", ""], [1, 0, 0, 1]
+    encoded = [t.encode() for t in texts]
+    models = [toxicity.fit(encoded, np.array(y), np.ones(4), 0.3, epochs=1, fill=0)]
     rng = np.random.default_rng(9)
     emb, soft = rng.normal(0, 0.1, (toxicity.BUCKETS, toxicity.DIM)), rng.normal(0, 0.5, (2, toxicity.DIM))
-    bias, across = math.log(0.3 / (7 / 3)), soft[1] - soft[0]
-    z = {w: np.mean([emb[i] @ across for i in slow_bag(w)]) + bias for w in set(" ".join(texts).split())}
-    d_bias, d_v = 0.0, {}
-    for t, label in zip(texts, y):
-        s = sum(math.log(1 + math.exp(z[w])) for w in t.split())
-        d_s = (-1 / math.expm1(s) if label else 1.0) / 3
-        for w in t.split():
-            d_z = d_s / (1 + math.exp(-z[w]))
-            d_bias += d_z
-            for i in slow_bag(w):
-                d_v[i] = d_v.get(i, 0.0) + d_z / len(slow_bag(w))
-    assert np.isclose(model.bias, bias - 0.05 * np.sign(d_bias))
+    gates, bias, across = np.zeros(toxicity.BUCKETS), math.log(0.3 / 0.7), soft[1] - soft[0]
+
+    def loss(v, gates, bias):
+        out = 0.0
+        for text, label in zip(texts[:3], y):
+            bags = [b for b in map(slow_bag, text.split()) if b]
+            of = [math.exp(sum(gates[i] for i in b) / len(b)) for b in bags]
+            z = sum(a * sum(v[i] for i in b) / len(b) for a, b in zip(of, bags)) / sum(of) + bias
+            out += (math.log(1 + math.exp(z)) - label * z) / 4
+        return out
+
+    v, h, d_v = emb @ across, 1e-5, {}
+    start = loss(v, gates, bias)
+    assert np.isclose(models[0].bias, bias - toxicity.RATE / 2 * np.sign(loss(v, gates, bias + h) - start))
+    for i in {i for t in texts for w in t.split() for i in slow_bag(w)}:
+        up = np.zeros(toxicity.BUCKETS)
+        up[i] = h
+        d_v[i] = (loss(v + up, gates, bias) - loss(v - up, gates, bias)) / (2 * h)
+        d_gate = (loss(v, gates + up, bias) - loss(v, gates - up, bias)) / (2 * h)
+        if abs(d_gate) > 1e-7:
+            assert np.isclose(models[0].gates[i], -toxicity.GATE_RATE / 2 * np.sign(d_gate), rtol=1e-3)
     d_across = sum(emb[i] * d for i, d in d_v.items())
-    after = soft - 0.05 * np.sign(np.stack([-d_across, d_across]) + 1e-6 * soft)
-    for i, d in list(d_v.items())[:20]:
-        assert np.isclose(model.logits[i], (emb[i] - 0.05 * np.sign(d * across + toxicity.DECAY * emb[i])) @ (after[1] - after[0]), atol=1e-6)
+    after = soft - toxicity.RATE / 2 * np.sign(np.stack([-d_across, d_across]) + 1e-6 * soft)
+    for i, d in d_v.items():
+        assert np.isclose(models[0].logits[i], (emb[i] - toxicity.RATE / 2 * np.sign(d * across + toxicity.DECAY * emb[i])) @ (after[1] - after[0]), atol=1e-6)
+
+
+def test_filled_texts():
+    texts = [b"a b", b"", b"c d e", b"x " * 9]
+    got, of = toxicity.filled(texts, np.array([1, 0, 0, 0]), 6)
+    assert of.tolist() == [0, 2] and [len(t.split()) for t in got] == [6, 6]
+    assert got[0].startswith(b"a b ") and got[1].startswith(b"c d e ") and not set(got[0].split()[2:]) & {b"a", b"b"}
+    assert toxicity.filled([b"a"], np.array([1]))[0] == []
+
+
+def test_toxicity_does_not_depend_on_length(spark):
+    """Held-out texts among 30 harmless ones are found, and those alone flag nearly none."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = docs.join(labels, "doc_id").where("pmod(crc32(CAST(doc_id AS STRING)), 5) = 0 AND toxic IS NOT NULL").orderBy("doc_id").collect()
+    bad, good = ([(r.text or "").encode() for r in rows if r.toxic == y] for y in (1, 0))
+    rng = np.random.default_rng(3)
+    crowd = [[good[i] for i in rng.integers(len(good), size=30)] for _ in bad]
+    calm = [[t for t in c if model.score(t) < 0.5] for c in crowd]
+    assert (model.scores(bad) >= 0.5).mean() > 0.88 and (model.scores(good) >= 0.5).mean() < 0.01
+    assert (model.scores([b"\n".join([*c[:15], t, *c[15:]]) for t, c in zip(bad, calm)]) >= 0.5).mean() > 0.8
+    assert (model.scores([b"\n".join(c) for c in calm]) >= 0.5).mean() < 0.03
+
+
+def test_toxicity_of_labelled_texts_without_words():
+    model = toxicity.fit([b"", b"..."], np.array([0, 1]), np.ones(2), 0.5)
+    assert model.scores([b"", b"some words"]).tolist()[0] == 0
 
 
 def test_a_labelled_text_that_is_too_long_teaches_nothing_but_hides_no_other(spark):

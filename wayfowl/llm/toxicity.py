@@ -1,11 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is a bag of character n-grams (with its borders marked) and of itself; the bag's embeddings are averaged and a linear
-softmax gives the probability that the word is an insult, so unseen misspellings share vectors with what was seen. A text is
-toxic if one of its words is: its probability is one minus the product over all its words (a noisy-or), because averaging
-over a whole text drowns one insult among a thousand words (measured on sf0.1's held-out labels: one average a text finds 72 of 97
-toxic texts and flags 25 of 728 others, weighted by inverse word frequency 67 and 25; this model 90 and 2). Embeddings and softmax
-are trained together on the labels of whole texts; the gradient reaches each word through that product.
+A word is a bag of character n-grams (with its borders marked) and of itself. Each of them has an embedding and a gate; a word has the
+mean of its bag's embeddings, and weighs as much as e to the mean of its bag's gates. A text is the average of its words so weighed,
+and a linear softmax gives its probability, so unseen misspellings share vectors and gates with what was seen. Embeddings, gates
+and softmax are trained together on the labels of whole texts. The gates learn to pass over what says nothing: without them one
+insult drowns among a thousand words. To teach them that, short training texts are shown a second time, filled up with words of
+harmless ones; and words are averaged in windows of a text, of which the most toxic gives the score, so that a text's length does
+not count.
 
 The model is fitted on a bounded sample of labelled rows (MAX_PER_CLASS rows and MAX_BYTES bytes of text for each class,
 chosen by a hash of the id; texts over a sixteenth of MAX_BYTES are not drawn) weighted back to the classes' shares; scoring
@@ -36,8 +37,14 @@ NGRAMS = (3, 4, 5)
 MAX_PER_CLASS = 1500
 MAX_BYTES = 8 << 20
 EPOCHS = 80
-#: Pull of embeddings towards zero: what a single text suggests stays weak, what many share comes through.
-DECAY = 3e-5
+#: Pull of embeddings and of gates towards zero: what a single text suggests stays weak, what many share comes through.
+DECAY, GATE_DECAY = 3e-5, 1e-5
+#: First steps of gates and of all else; a gate's mean counts within these limits.
+GATE_RATE, RATE, GATE_LIMIT = 0.2, 0.1, 15.0
+#: Words that are averaged at most; the score of a longer text is the largest of its windows'.
+WINDOW = 512
+#: Words up to which shorter training texts are filled, for a second time of being shown.
+FILL = WINDOW
 THRESHOLD = 0.5
 HELD_OUT = (5, 0)  # crc32(doc_id as text) modulo 5 is 0: its labels are never used
 #: Words whose scores a worker remembers at most; longer ones are scored each time.
@@ -74,28 +81,45 @@ def bags(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.nda
     return (np.concatenate(hashes)[order] % np.uint64(buckets)).astype(np.int32), np.bincount(owner, minlength=len(marked))
 
 
+def _word_sums(logits: np.ndarray, gates: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its mean logit and its weight, both 0 if it has no n-grams."""
+    some = size > 0
+    mean, weight = np.zeros(len(size)), np.zeros(len(size))
+    if some.any():
+        starts, count = (np.cumsum(size) - size)[some], size[some]
+        mean[some] = np.add.reduceat(logits[ids], starts) / count
+        weight[some] = np.exp(np.clip(np.add.reduceat(gates[ids], starts) / count, -GATE_LIMIT, GATE_LIMIT))
+    return mean, weight
+
+
+def windows(n: int) -> np.ndarray:
+    """Where the windows of n words start: as few of equal length as have WINDOW words at most."""
+    k = -(-n // WINDOW)
+    return np.arange(k) * n // k
+
+
 @dataclass
 class ToxicityModel:
     """logits: for each n-gram, its embedding times the difference of the two softmax rows."""
 
     logits: np.ndarray
+    gates: np.ndarray
     bias: float
     prior: float
 
     def __post_init__(self) -> None:
-        self.memo: dict[bytes, float] = {}
+        self.memo: dict[bytes, complex] = {}
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        """For each word -log of the probability that it is harmless."""
-        ids, size = bags(words, len(self.logits))
-        sums = np.bincount(np.repeat(np.arange(len(words)), size), self.logits[ids], len(words))
-        return np.where(size > 0, np.logaddexp(0.0, sums / np.maximum(size, 1) + self.bias), 0.0)
+        """For each word its weighed logit (real part) and its weight (imaginary part)."""
+        mean, weight = _word_sums(self.logits, self.gates, *bags(words, len(self.logits)))
+        return weight * (mean + 1j)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The score of each text; words that were not met lately are worked out together."""
         if not len(self.logits):
             return np.full(len(texts), self.prior)
-        memo, totals, at = self.memo, np.zeros(len(texts)), 0
+        memo, out, at = self.memo, np.zeros(len(texts)), 0
         while at < len(texts):
             stop, size = at, 0
             while stop < len(texts) and (stop == at or size + len(texts[stop]) <= GROUP_BYTES):
@@ -108,62 +132,90 @@ class ToxicityModel:
             for lo in range(0, len(new), GROUP_WORDS):
                 memo.update(zip(new[lo : lo + GROUP_WORDS], self.words(new[lo : lo + GROUP_WORDS]).tolist(), strict=True))
             for i, words in enumerate(own, at):
-                totals[i] = sum(map(memo.__getitem__, words))
+                out[i] = self._text(np.fromiter(map(memo.__getitem__, words), complex, len(words)))
             for w in new:
                 if len(w) > MEMO_BYTES:
                     del memo[w]
             at = stop
-        return -np.expm1(-totals)
+        return out
+
+    def _text(self, words: np.ndarray) -> float:
+        """The largest probability of a text's windows."""
+        if not len(words):
+            return 0.0
+        sums = np.add.reduceat(words, windows(len(words)))
+        sums = sums[sums.imag > 0]
+        if not len(sums):
+            return 0.0
+        return float(1 / (1 + np.exp(-np.clip((sums.real / sums.imag).max() + self.bias, -40, 40))))
 
     def score(self, text: bytes) -> float:
         return float(self.scores([text])[0])
 
 
-def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, prior: float, epochs: int = EPOCHS, decay: float = DECAY, seed: int = 9) -> ToxicityModel:
-    """Full-batch Adam on embeddings, softmax rows and bias."""
+def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, prior: float, epochs: int = EPOCHS, decay: float = DECAY, fill: int = FILL, seed: int = 9) -> ToxicityModel:
+    """Full-batch Adam on embeddings, softmax rows, gates and bias."""
     if len(set(labels.tolist())) < 2:
-        return ToxicityModel(np.zeros(0), 0.0, prior)
+        return ToxicityModel(np.zeros(0), np.zeros(0), 0.0, prior)
+    more, of = filled(texts, labels, fill)
+    texts, labels, weights = texts + more, np.append(labels, labels[of]), np.append(weights, weights[of])
     number: dict[bytes, int] = {}
-    doc, word, times = [], [], []
-    for i, text in enumerate(texts):
-        for w, n in Counter(text.split()).items():
-            doc.append(i)
-            word.append(number.setdefault(w, len(number)))
-            times.append(n)
-    doc, word, times = np.array(doc), np.array(word), np.array(times, np.float64)
+    word, times = [], []
+    for text in texts:
+        counts = Counter(text.split())
+        word.append(np.fromiter((number.setdefault(w, len(number)) for w in counts), np.int64, len(counts)))
+        times.append(np.fromiter(counts.values(), np.float64, len(counts)))
+    doc = np.repeat(np.arange(len(texts)), list(map(len, word)))
+    word, times = np.concatenate(word), np.concatenate(times)
     names = list(number)
     ids, size = (np.concatenate(c) for c in zip(*(bags(names[lo : lo + GROUP_WORDS]) for lo in range(0, max(1, len(names)), GROUP_WORDS)), strict=True))
-    some = size > 0
-    starts, count = (np.cumsum(size) - size)[some], size[some]
-    n_words = len(number)
+    some, n_words, n_texts = size > 0, len(number), len(texts)
+    count = size[some]
     del number, names
 
+    def by_ngram(of_words: np.ndarray) -> np.ndarray:
+        return np.bincount(ids, np.repeat(of_words[some] / count, count), BUCKETS)
+
     rng = np.random.default_rng(seed)
     emb, soft = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM))
-    bias = np.log(prior / np.bincount(doc, times).mean())
-    state = [np.zeros_like(x) for x in (emb, emb, soft, soft)] + [0.0, 0.0]
-    y, weights = labels.astype(bool), weights / weights.sum()
+    values = [emb, soft, np.zeros(BUCKETS), np.array([np.log(prior / (1 - prior))])]
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in values]
+    y, weights = labels.astype(np.float64), weights / weights.sum()
     for t in range(1, epochs + 1):
-        rate = 0.1 * (1 - t / (epochs + 1))
+        emb, soft, gates, bias = values
         across = soft[1] - soft[0]
-        z = np.full(n_words, -50.0)
-        z[some] = np.add.reduceat((emb @ across)[ids], starts) / count + bias
-        s = np.bincount(doc, np.logaddexp(0, z)[word] * times, len(texts))
-        # loss: s for harmless texts, -log(1 - exp(-s)) for toxic ones
-        d_s = weights * np.where(y, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0)
-        d_z = np.bincount(word, d_s[doc] * times, n_words) / (1 + np.exp(-z))
-        d_v = np.bincount(ids, np.repeat(d_z[some] / count, count), BUCKETS)
+        mean, weight = _word_sums(emb @ across, gates, ids, size)
+        total = np.bincount(doc, weight[word] * times, n_texts)
+        share = 1 / np.where(total > 0, total, 1.0)
+        average = np.bincount(doc, (weight * mean)[word] * times, n_texts) * share
+        # Texts without words have no part in it.
+        d_z = weights * (1 / (1 + np.exp(-np.clip(average + bias[0], -40, 40))) - y) * (total > 0)
+        d_mean = weight * np.bincount(word, (d_z * share)[doc] * times, n_words)
+        d_weight = mean * d_mean - weight * np.bincount(word, (d_z * share * average)[doc] * times, n_words)
+        d_v = by_ngram(d_mean)
         d_across = emb.T @ d_v
-        moves = (d_v[:, None] * across[None, :] + decay * emb, np.stack([-d_across, d_across]) + 1e-6 * soft, float(d_z[some].sum()))
-        for k, (value, g) in enumerate(zip((emb, soft, bias), moves, strict=True)):
-            state[2 * k] = m = 0.9 * state[2 * k] + 0.1 * g
-            state[2 * k + 1] = v = 0.98 * state[2 * k + 1] + 0.02 * g * g
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-12)
-            if k == 2:
-                bias -= step
-            else:
-                value -= step
-    return ToxicityModel((emb @ (soft[1] - soft[0])).astype(np.float64), float(bias), prior)
+        moves = (d_v[:, None] * across[None, :] + decay * emb, np.stack([-d_across, d_across]) + 1e-6 * soft, by_ngram(d_weight) + GATE_DECAY * gates, np.array([d_z.sum()]))
+        for value, (m, v), g, rate in zip(values, state, moves, (RATE, RATE, GATE_RATE, RATE), strict=True):
+            m += 0.1 * (g - m)
+            v += 0.02 * (g * g - v)
+            value -= rate * (1 - t / (epochs + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-12)
+    emb, soft, gates, bias = values
+    return ToxicityModel(emb @ (soft[1] - soft[0]), gates, float(bias[0]), prior)
+
+
+def filled(texts: list[bytes], labels: np.ndarray, n: int = FILL, seed: int = 1) -> tuple[list[bytes], np.ndarray]:
+    """The texts of fewer than n words, filled up to n with words of harmless ones, and whose they are."""
+    rng = np.random.default_rng(seed)
+    harmless = [i for i, y in enumerate(labels.tolist()) if not y and texts[i].split(None, 1)]
+    out, of = [], []
+    for i, text in enumerate(texts):
+        words = text.split()
+        if words and harmless and len(words) < n:
+            while len(words) < n:
+                words += texts[harmless[rng.integers(len(harmless))]].split(None, n)[: n - len(words)]
+            out.append(b" ".join(words))
+            of.append(i)
+    return out, np.array(of, np.int64)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int] = HELD_OUT, max_per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_BYTES):
