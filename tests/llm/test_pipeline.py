@@ -1,7 +1,8 @@
 import corpus_pipeline
+import pyarrow as pa
 from test_simhash import slow_groups
 from wayfowl.llm import packing, quality, toxicity
-from wayfowl.llm.common import table
+from wayfowl.llm.common import table, written
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,3 +53,28 @@ def test_empty_documents(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_packing_leaves_nothing_in_the_workers_of_the_next_run(spark):
+    """Objects of packing's that Python workers hold in a task of their own, after packing and after each stage of another run."""
+
+    def held(batches):
+        import gc
+
+        n = sum(type(o).__name__ == "WordTokens" for o in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    def most():
+        return max(r.n for r in spark.range(16).repartition(16).mapInArrow(held, "n long").collect())
+
+    docs = written(table(spark, SF, "documents").select("doc_id", "text").limit(300).repartition(16))
+    first = corpus_pipeline.pack(spark, docs, SF).toPandas()
+    assert most() > 0  # a later task of packing finds what was learnt
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        corpus_pipeline.pack(spark, docs, SF).count()
+        stage(spark, docs, SF).collect()
+        assert most() == 0
+    again = corpus_pipeline.pack(spark, docs, SF).toPandas()
+    by = ["doc_id", "piece"]
+    assert first.sort_values(by)[["doc_id", "length", "ids_crc32"]].values.tolist() == again.sort_values(by)[["doc_id", "length", "ids_crc32"]].values.tolist()

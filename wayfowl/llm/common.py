@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows that one Arrow batch holds at most. Texts can have hundreds of kilobytes, so batches are kept short.
 BATCH_ROWS = 256
 
+#: What this Python worker remembers from task to task.
+_REMEMBERED: dict[Hashable, Any] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,10 +68,26 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def remembered(key: Hashable, make: Callable[[], Any]):
+    """What make() gives, kept in this Python worker for later tasks that ask for the same key. What was kept for another key goes."""
+    if key not in _REMEMBERED:
+        forget()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def forget() -> None:
+    """Frees what this Python worker remembers. Spark gives a worker one operator's tasks after the other's, so tasks that remember
+    nothing begin with this: else they would run beside the memory of an operator that is through."""
+    _REMEMBERED.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def per_text(make: Callable[[], Callable[[bytes], tuple]], schema: pa.Schema, keep: tuple[str, ...] = ("doc_id",), text: str = "text"):
     """A function for mapInArrow: the kept columns, then what make()'s function gives for each text. make() runs once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         f = make()
         for batch in batches:
             if batch.num_rows:

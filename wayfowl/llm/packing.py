@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import short_batches, table, text_bytes, written
+from .common import remembered, short_batches, table, text_bytes, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -121,13 +121,11 @@ class WordTokens:
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_TOKENS: dict[str, WordTokens] = {}  # a Python worker serves many tasks
 
 
 def word_tokens(path: str) -> WordTokens:
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+    """Kept by the Python worker, which serves many tasks, until it turns to another operator."""
+    return remembered(("word_tokens", path), lambda: WordTokens(path))
 
 
 def _cut(path: str, capacity: int, end_id: int):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, short_batches, table, text_bytes, written
+from .common import forget, id_bucket, short_batches, table, text_bytes, written
 from .toxicity import keep_by_score
 
 MAX_POSITIVE = 6000
@@ -82,6 +82,7 @@ def feature_rows(docs: DataFrame, *extra: str) -> DataFrame:
     """(doc_id, extra columns, x): x has the features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             x = pa.array([features(t) for t in text_bytes(batch, "text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in extra), x], names=["doc_id", *extra, "x"])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket, short_batches, table, text_bytes
+from .common import forget, id_bucket, short_batches, table, text_bytes
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -250,6 +250,7 @@ def scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(text_bytes(batch, "text")), pa.float64())], names=["doc_id", "score"])
 
@@ -265,6 +266,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def keep_by_score(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             yield batch.filter(pa.array(keep(text_bytes(batch, "text")), pa.bool_()))
 
