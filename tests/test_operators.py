@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -110,3 +111,18 @@ def test_light_files(spark, tmp_path):
     assert [(r.trip_id, r.ts.minute, r.light) for r in got] == [("1001", 0, "3"), ("1001", 10, "4"), ("1001", 20, None)]
     (tmp_path / "2.lux").write_text("x\n" * 19 + "date\tlight\n05/06/2024 01:00:00\t3,25\n31/02/2024 01:00:00\t1\n")
     assert [(r.trip_id, r.lux) for r in files.normalise_light(files.read_light_tabbed(spark, str(tmp_path / "*.lux"))).collect()] == [("2", 3.25)]
+
+
+def at_seconds(spark, rows):
+    """Events (trip, second of the day, type), in order."""
+    return spark.createDataFrame([(trip, T0 + dt.timedelta(seconds=s), i, t) for i, (trip, s, t) in enumerate(rows)], "trip_id long, ts timestamp, ord long, type int")
+
+
+def test_a_jump_that_is_half_a_hundredth(spark):
+    got = twilights.unwrap_hours(at_seconds(spark, [(1, 15455, 1), (1, 64937, 1), (2, 74068, 1), (2, 22462, 1)])).collect()
+
+    def best(a, b):
+        jumps = [math.floor(abs((a / 3600.0 + i) % 24 - (b / 3600.0 + i) % 24) * 100 + 0.5) / 100 for i in range(24)]
+        return jumps.index(min(jumps)), min(jumps)
+
+    assert {r.trip_id: (r.shift, r.jump) for r in got} == {1: best(15455, 64937), 2: best(74068, 22462)}

@@ -30,6 +30,12 @@ def hour_of_day(c: str | Column) -> Column:
     return (F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c).cast("int")) / 3600.0
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double to so many places: half of the scaled double up, as SQL engines do it. Spark's round goes by the decimal digits of the
+    unscaled one, where what is meant as a half may lie below."""
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def near_day(day: Column, month: int, dom: int, d: int) -> Column:
     """Whether a date lies within d days of month-dom of its own year."""
     return F.abs(F.datediff(day, F.make_date(F.year(day), F.lit(month), F.lit(dom)))) <= d
