@@ -126,3 +126,17 @@ def test_a_jump_that_is_half_a_hundredth(spark):
         return jumps.index(min(jumps)), min(jumps)
 
     assert {r.trip_id: (r.shift, r.jump) for r in got} == {1: best(15455, 64937), 2: best(74068, 22462)}
+
+
+#: Two pairs of events as far before as after their predicted hour, where the differences of hours as doubles say otherwise.
+AS_NEAR = [(4.9, 16174, 19106), (6.9, 24667, 25013)]
+
+
+def as_near(spark):
+    rows = [(trip, s, 1) for trip, (_, a, b) in enumerate(AS_NEAR) for s in (a, b)]
+    hours = F.element_at(F.array(*(F.lit(p) for p, _, _ in AS_NEAR)), F.col("trip_id").cast("int") + 1)
+    return twilights.rescue_nearest(twilights.flag_same_day(at_seconds(spark, rows)).withColumn("pred", hours))
+
+
+def test_of_two_events_as_near_the_earlier_one_is_kept(spark):
+    assert {r.ord: r.remove for r in as_near(spark).collect()} == {0: False, 1: True, 2: False, 3: True}
