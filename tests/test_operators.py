@@ -140,3 +140,10 @@ def as_near(spark):
 
 def test_of_two_events_as_near_the_earlier_one_is_kept(spark):
     assert {r.ord: r.remove for r in as_near(spark).collect()} == {0: False, 1: True, 2: False, 3: True}
+
+
+def test_the_chain_goes_on_from_the_earlier_of_two_events_as_near(spark):
+    pairs = as_near(spark).select("trip_id", "ord", "remove", F.col("ts").alias("tFirst"), F.col("ts").alias("tSecond"))
+    later = pairs.where("ord % 2 = 0").select("trip_id", (F.col("ord") + 10).alias("ord"), F.lit(False).alias("remove"), (F.col("tFirst") + F.expr("INTERVAL 1 DAY")).alias("tFirst"), F.col("tSecond"))
+    got = twilights.rechain(pairs.unionByName(later)).where("ord < 10").collect()
+    assert sorted((r.trip_id, (r.tFirst - T0).seconds, (r.tSecond - r.tFirst).days) for r in got) == [(0, 16174, 1), (1, 24667, 1)]
