@@ -377,3 +377,49 @@ def test_light_files_are_written_by_several_tasks(spark, sf, tmp_path, monkeypat
         parts = {f.name.split("-")[1] for f in (tmp_path / name).glob("*/part-*")}
         assert rows == spark.read.text(path + "/*").count() and len(parts) > 1
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def chords_of_sql(p):
+    """The walk as its SQL states it: sums row by row, squares by pow."""
+    steps = [math.sqrt((b[0] - a[0]) * (b[0] - a[0]) + (b[1] - a[1]) * (b[1] - a[1])) for a, b in itertools.pairwise(p)]
+    step = 0.0
+    for s in steps:
+        step += s
+    step /= len(steps)
+    out, i = [tuple(p[0])], 1
+    while i < len(p):
+        (fx, fy), (ax, ay), (bx, by) = out[-1], p[i - 1], p[i]
+        if math.sqrt(math.pow(bx - fx, 2) + math.pow(by - fy, 2)) < step:
+            i += 1
+            continue
+        lx, ly = bx - ax, by - ay
+        qa, qb, qc = math.pow(lx, 2) + math.pow(ly, 2), 2 * ((ax - fx) * lx + (ay - fy) * ly), math.pow(ax - fx, 2) + math.pow(ay - fy, 2) - step * step
+        t = (-qb + math.sqrt(max(0.0, qb * qb - 4 * qa * qc))) / (2 * qa)
+        out.append((ax + t * lx, ay + t * ly))
+    return out
+
+
+def test_a_long_walk_keeps_to_the_last_digit(spark):
+    paths = {}
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        paths[seed] = np.stack([rng.integers(1, 51, 200).astype(float), np.floor(rng.random(200) * 500) / 10], 1).tolist()
+    rows = [(seed, 1, T0 + dt.timedelta(days=i), i, *p) for seed, path in paths.items() for i, p in enumerate(path)]
+    got = tracks.rediscretise(spark.createDataFrame(rows, "trip_id long, seg int, ts timestamp, ord long, x double, y double")).orderBy("ord").collect()
+    for seed, path in paths.items():
+        assert [(r.x, r.y) for r in got if r.trip_id == seed] == chords_of_sql(path)
+
+
+def test_walks_side_by_side_equal_walks_alone():
+    rng = np.random.default_rng(2)
+    n = rng.integers(1, 60, 300)
+    end = np.cumsum(n)
+    p, step = rng.normal(0, 20, (end[-1], 2)), np.where(n > 1, rng.exponential(20, 300), 0.0)
+    path, x, y = tracks._walk_all(*p.T.copy(), end - n, end, step)
+    for k in range(300):
+        assert np.array_equal(tracks.equal_chords(p[end[k] - n[k] : end[k]], step[k]), np.stack([x, y], 1)[path == k])
+
+
+def test_metrics_without_places_are_not_rounded(spark):
+    steps = spark.createDataFrame([(1, 1, 1.0, 0.0, 199.9999999, 0.1, 0.0), (1, 1, 0.0, 0.0, 0.0, 0.1, 0.0)], "trip_id long, seg int, dx double, dy double, dist double, rel_angle double, r2n double")
+    assert tracks.raw_shape_metrics(steps, places=None).first().straightness == 1 / 199.9999999  # a bit over 0.005, by less than nine places show

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -409,10 +411,10 @@ def segment_stats(steps: DataFrame, columns: tuple[str, ...] = ("dx", "dy", "r2n
     return steps.groupBy("trip_id", "seg").agg(*(a for c in columns for a in (F.avg(c).alias(f"mu_{c}"), F.stddev_samp(c).alias(f"sd_{c}"))))
 
 
-def raw_shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int = 3) -> DataFrame:
+def raw_shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int | None = 3) -> DataFrame:
     """Per (trip_id, seg), from the raw steps: straightness, sinuosity, Emax, expected squared displacement, directional change.
-    Sums over steps only; a segment without turns gets nulls."""
-    c = F.cos("rel_angle")
+    Sums over steps only; a segment without turns gets nulls. Without `places` nothing is rounded."""
+    c, to = F.cos("rel_angle"), lambda m: m if places is None else F.round(m, places)
     w = Window.partitionBy("trip_id", "seg")
     a = steps.withColumn("_x", F.sum("dx").over(w)).withColumn("_y", F.sum("dy").over(w))
     dc = F.abs(F.degrees("rel_angle")) / frame_s
@@ -425,8 +427,8 @@ def raw_shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int = 3
     sq = F.col("n") * F.col("p2") + 2 * F.col("p") * F.col("p") * (one / (1 - one)) * (F.col("n") - (1 - F.pow(one, F.col("n").cast("double"))) / (1 - one))
     inner = F.col("p") * ((1 + one) / (1 - one) + b2)
     return s.select(
-        "trip_id", "seg", F.round(F.col("net") / F.nullif("length", F.lit(0.0)), places).alias("straightness"), F.round(F.when(inner > 0, 2 / F.sqrt(inner)), places).alias("sinuosity"), F.round(one / (1 - one), places).alias("emax"),
-        F.round(sq, places).alias("sq_disp"), F.round(F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")), places).alias("ang_vector"), F.round(F.atan2("s", "c"), places).alias("ang_mean"), F.round("dc_mean", places).alias("dc_mean"), F.round("dc_sd", places).alias("dc_sd"), F.round("r2n_mean", places).alias("r2n_mean"), F.round("r2n_sd", places).alias("r2n_sd"),
+        "trip_id", "seg", to(F.col("net") / F.nullif("length", F.lit(0.0))).alias("straightness"), to(F.when(inner > 0, 2 / F.sqrt(inner))).alias("sinuosity"), to(one / (1 - one)).alias("emax"),
+        to(sq).alias("sq_disp"), to(F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s"))).alias("ang_vector"), to(F.atan2("s", "c")).alias("ang_mean"), to(F.col("dc_mean")).alias("dc_mean"), to(F.col("dc_sd")).alias("dc_sd"), to(F.col("r2n_mean")).alias("r2n_mean"), to(F.col("r2n_sd")).alias("r2n_sd"),
     )
 
 
@@ -434,7 +436,7 @@ def raw_shape_metrics(steps: DataFrame, frame_s: float = 1 / 50, places: int = 3
 OF_REDISCRETISED = ("straightness", "sinuosity", "ang_vector", "ang_mean")
 
 
-def shape_metrics(track: DataFrame, frame_s: float = 1 / 50, places: int = 3, by: str = "seg") -> DataFrame:
+def shape_metrics(track: DataFrame, frame_s: float = 1 / 50, places: int | None = 3, by: str = "seg") -> DataFrame:
     """Per (trip_id, by), where `by` is the segment or its cluster, the metrics of raw_shape_metrics from steps between the group's own
     positions, but turning vector, straightness and sinuosity of its track rediscretised to its mean step. track may bring r2n."""
     own = track.select("trip_id", F.col(by).alias("seg"), "ts", "ord", "x", "y", *(F.col(c).alias("_r2n") for c in track.columns if c == "r2n"))
@@ -450,35 +452,125 @@ def shape_metrics(track: DataFrame, frame_s: float = 1 / 50, places: int = 3, by
 _REDISCRETISED = "trip_id long, seg int, ord long, ts timestamp, x double, y double"
 
 
+def _walk(x: list, y: list, i: int, n: int, at: tuple[float, float], step: float) -> list[tuple[float, float]]:
+    """The points of equal_chords after `at`, which lies before row i of rows up to n. Squares are those of pow, as in SQL, and terms in
+    its order: where a step meets a leg at a flat angle, the last digit grows from chord to chord."""
+    out, pow2 = [], math.pow
+    ax, ay = at
+    while i < n:
+        if not math.sqrt(pow2(x[i] - ax, 2) + pow2(y[i] - ay, 2)) >= step:
+            i += 1
+            continue
+        cx, cy = x[i - 1], y[i - 1]
+        dx, dy, ex, ey = x[i] - cx, y[i] - cy, cx - ax, cy - ay  # |e + t d| = step, the later of both places
+        qa, qb, qc = pow2(dx, 2) + pow2(dy, 2), 2 * (ex * dx + ey * dy), pow2(ex, 2) + pow2(ey, 2) - step * step
+        t = (-qb + math.sqrt(max(0.0, qb * qb - 4 * qa * qc))) / (2 * qa)
+        ax, ay = cx + t * dx, cy + t * dy
+        out.append((ax, ay))
+    return out
+
+
 def equal_chords(p: np.ndarray, step: float) -> np.ndarray:
     """Points on a path, each `step` from the one before in a straight line; what is left at the end is shorter than a step."""
-    out, at, i = [p[0]], p[0], 1
-    while step > 0 and i < len(p):
-        far = np.hypot(*(p[i:] - at).T) >= step
-        if not far.any():
-            break
-        i += int(far.argmax())
-        a, d = p[i - 1], p[i] - p[i - 1]
-        e = a - at  # |e + t d| = step, the later of both places
-        qa, qb, qc = d @ d, 2 * (e @ d), e @ e - step * step
-        at = a + (-qb + np.sqrt(max(0.0, qb * qb - 4 * qa * qc))) / (2 * qa) * d
-        out.append(at)
-    return np.array(out)
+    return np.array([p[0], *(_walk(*p.T.tolist(), 1, len(p), tuple(p[0].tolist()), step) if step > 0 else ())])
+
+
+#: Rows whose paths are walked at once, and the number of paths from which on each is walked alone.
+WALK_ROWS, WALK_ALONE = 1 << 16, 32
+
+
+def _pow2(v: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.pow, v.tolist(), itertools.repeat(2.0)), np.float64, len(v))
+
+
+def _walk_all(x: np.ndarray, y: np.ndarray, start: np.ndarray, end: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(path, x, y) of equal_chords of all paths, whose rows go from start to end: all of them look at their next row or go on by a
+    chord at once, with the terms of _walk."""
+    ax, ay, i = x[start], y[start], start + 1
+    found = [(np.arange(len(start)), ax.copy(), ay.copy())]
+    g = np.flatnonzero((step > 0) & (i < end))
+    while len(g) > WALK_ALONE:
+        row, p = i[g], step[g]
+        dx, dy = x[row] - ax[g], y[row] - ay[g]
+        d = np.sqrt(dx * dx + dy * dy)
+        far = d >= p
+        near = np.flatnonzero(np.abs(d - p) <= 1e-12 * p)
+        if len(near):
+            far[near] = np.sqrt(_pow2(dx[near]) + _pow2(dy[near])) >= p[near]
+        i[g[~far]] += 1
+        h, row, p = g[far], row[far], p[far]
+        if len(h):
+            cx, cy = x[row - 1], y[row - 1]
+            dx, dy, ex, ey = x[row] - cx, y[row] - cy, cx - ax[h], cy - ay[h]
+            qa, qb, qc = _pow2(dx) + _pow2(dy), 2 * (ex * dx + ey * dy), _pow2(ex) + _pow2(ey) - p * p
+            t = (-qb + np.sqrt(np.maximum(0.0, qb * qb - 4 * qa * qc))) / (2 * qa)
+            ax[h], ay[h] = cx + t * dx, cy + t * dy
+            found.append((h, ax[h], ay[h]))
+        g = g[i[g] < end[g]]
+    for k in g.tolist():
+        a, n = int(i[k]) - 1, int(end[k])
+        rest = _walk(x[a:n].tolist(), y[a:n].tolist(), 1, n - a, (float(ax[k]), float(ay[k])), float(step[k]))
+        if rest:
+            found.append((np.full(len(rest), k), *np.array(rest).T))
+    path, px, py = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(path, kind="stable")
+    return path[order], px[order], py[order]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of sorted rows as tables of so many rows or more that hold whole groups, and where each group starts."""
+
+    def numbers(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.array([batch.column(k).cast(pa.int64()).fill_null(-(2**63)).to_numpy() for k in keys])
+
+    def whole(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        now = numbers(table)
+        return table, np.flatnonzero(np.concatenate([[True], (now[:, 1:] != now[:, :-1]).any(axis=0)]))
+
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if count >= rows:
+            other = (numbers(batch) != numbers(held[-1].slice(held[-1].num_rows - 1))).any(axis=0)
+            if other.any():
+                cut = int(other.argmax())
+                yield whole([*held, batch.slice(0, cut)])
+                held, count, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        count += batch.num_rows
+    if held:
+        yield whole(held)
 
 
 def rediscretise(track: DataFrame) -> DataFrame:
-    """Each segment's path walked again in straight steps of its mean step length."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "ord"], ignore_index=True)
-        p = pdf[["x", "y"]].to_numpy(np.float64)
-        p = p[~np.isnan(p).any(axis=1)]
-        if not len(p):
-            return pd.DataFrame(columns=["trip_id", "seg", "ord", "ts", "x", "y"])
-        q = equal_chords(p, float(np.hypot(*np.diff(p, axis=0).T).mean()) if len(p) > 1 else 0.0)
-        return pd.DataFrame({"trip_id": int(pdf.trip_id.iloc[0]), "seg": int(pdf.seg.iloc[0]), "ord": np.arange(1, len(q) + 1), "ts": pdf.ts.iloc[0], "x": q[:, 0], "y": q[:, 1]})
-
-    return track.select("trip_id", "seg", "ts", "ord", "x", "y").transform(one_trip_a_partition).groupBy("trip_id", "seg").applyInPandas(one, _REDISCRETISED)
+    """Each segment's path walked again in straight steps of its mean step length. The paths of a task are walked side by side, in
+    blocks of whole segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, first in _whole_groups(batches, ("trip_id", "seg"), WALK_ROWS):
+            x, y = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "y"))
+            group = np.repeat(np.arange(len(first)), np.diff([*first, len(x)]))
+            known = ~(np.isnan(x) | np.isnan(y))
+            x, y, group = x[known], y[known], group[known]
+            here, start = np.unique(group, return_index=True)
+            if not len(here):
+                continue
+            end = np.append(start[1:], len(x))
+            own = group[1:] == group[:-1]
+            dx, dy = np.diff(x)[own], np.diff(y)[own]
+            n = end - start
+            length = np.bincount(np.searchsorted(here, group[1:][own]), np.sqrt(dx * dx + dy * dy), len(here))  # added up row by row
+            path, px, py = _walk_all(x, y, start, end, np.where(n > 1, length / np.maximum(n - 1, 1), 0.0))
+            at = rows.select(["trip_id", "seg", "ts"]).take(pa.array(first[here[path]]))
+            place = np.arange(len(path)) - np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))[path] + 1
+            columns = [at.column("trip_id").cast(pa.int64()), at.column("seg").cast(pa.int32()), pa.array(place), at.column("ts"), pa.array(px), pa.array(py)]
+            yield from pa.table(columns, names=["trip_id", "seg", "ord", "ts", "x", "y"]).to_batches()
+
+    rows = one_trip_a_partition(track.select("trip_id", "seg", "ts", "ord", "x", "y"))
+    ordered = rows.sortWithinPartitions("trip_id", "seg", F.col("ts").asc_nulls_last(), F.col("ord").asc_nulls_last())
+    return ordered.mapInArrow(run, _REDISCRETISED)
 
 
 def r2n_limit(steps: DataFrame, lmin: int = 5) -> DataFrame:
