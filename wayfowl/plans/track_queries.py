@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wayfowl.functions.tracks import rounded
 from wayfowl.operators import behaviour as bh
 from wayfowl.operators import review as rv
 from wayfowl.operators import tracks as tr
@@ -109,8 +110,8 @@ SELECT trip_id, seg, round(net / len, 2) AS straightness, round(2 / sqrt(p * ((1
 
 @query("h12_shape_metrics", SHAPE)
 def h12(v):
-    s = tr.raw_shape_metrics(seg_steps(v), 1 / 50, 9)  # as its SQL twin does; the next query has the reference's metrics
-    return s.select("trip_id", "seg", *(F.round(c, 2).alias(c) for c in ("straightness", "sinuosity", "emax", "ang_vector", "dc_mean")), F.round(F.col("r2n_mean") + 1e-7, 2).alias("r2n_mean"))
+    s = tr.raw_shape_metrics(seg_steps(v), 1 / 50, None)  # as its SQL twin does; the next query has the reference's metrics
+    return s.select("trip_id", "seg", *(rounded(F.col(c), 2).alias(c) for c in ("straightness", "sinuosity", "emax", "ang_vector", "dc_mean")), rounded(F.col("r2n_mean") + 1e-7, 2).alias("r2n_mean"))
 
 
 def _steps_of(name: str, rows: str, more: str = "") -> str:
@@ -174,7 +175,7 @@ FROM walk JOIN (SELECT trip_id, {SEG} AS seg, min(US(ts)) AS ts FROM v_track GRO
 @query("h12_rediscretise", WALKED)
 def h12r(v):
     walked = tr.rediscretise(v("track").withColumn("seg", (F.floor((F.col("ord") - 1) / 40) + 1).cast("int")))
-    return walked.withColumn("x", F.round("x", 5)).withColumn("y", F.round("y", 5))
+    return walked.withColumn("x", rounded(F.col("x"), 5)).withColumn("y", rounded(F.col("y"), 5))
 
 
 @query("h13_r2n_limit")
