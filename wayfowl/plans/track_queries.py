@@ -155,17 +155,17 @@ SELECT rm.trip_id, rm.seg, {r("km.net / nullif(km.len, 0)", "straightness")}, {r
 
 
 def _three_places(m, key):
-    return m.select("trip_id", key, *(F.round(F.col(c) + 1e-7, 3).alias(c) for c in m.columns if c not in ("trip_id", key)))
+    return m.select("trip_id", key, *(rounded(F.col(c) + 1e-7, 3).alias(c) for c in m.columns if c not in ("trip_id", key)))
 
 
 @query("h12_shape_metrics_rediscretised", _walked(SEG))
 def h12w(v):
-    return _three_places(tr.shape_metrics(seg_steps(v), places=9), "seg")
+    return _three_places(tr.shape_metrics(seg_steps(v), places=None), "seg")
 
 
 @query("h12_shape_metrics_by_cluster", _walked(f"({SEG}) % 3").replace("SELECT rm.trip_id, rm.seg,", "SELECT rm.trip_id, rm.seg AS cluster,"))
 def h12c(v):
-    return _three_places(tr.shape_metrics(seg_steps(v).withColumn("cluster", F.col("seg") % 3), places=9, by="cluster"), "cluster")
+    return _three_places(tr.shape_metrics(seg_steps(v).withColumn("cluster", F.col("seg") % 3), places=None, by="cluster"), "cluster")
 
 
 WALKED = _walked(SEG).split(",\nka AS")[0] + f""" SELECT walk.trip_id, walk.seg, CAST(o AS BIGINT) AS ord, f.ts, round(x, 5) AS x, round(y, 5) AS y
