@@ -423,3 +423,34 @@ def test_walks_side_by_side_equal_walks_alone():
 def test_metrics_without_places_are_not_rounded(spark):
     steps = spark.createDataFrame([(1, 1, 1.0, 0.0, 199.9999999, 0.1, 0.0), (1, 1, 0.0, 0.0, 0.0, 0.1, 0.0)], "trip_id long, seg int, dx double, dy double, dist double, rel_angle double, r2n double")
     assert tracks.raw_shape_metrics(steps, places=None).first().straightness == 1 / 199.9999999  # a bit over 0.005, by less than nine places show
+
+
+def files_written(spark, sf, name, monkeypatch):
+    """How many files a query leaves in the scratch folders that it makes, and its trips."""
+    from pathlib import Path
+
+    from wayfowl.plans import place_queries, registry
+
+    made, scratch = [], place_queries._scratch
+    monkeypatch.setattr(place_queries, "_scratch", lambda s: made.append(scratch(s)) or made[-1])
+    trips = registry.queries()[name](spark, sf).select("trip_id").distinct().count()
+    return sum(len(list(Path(p.removeprefix("file:")).rglob("part-*"))) for p in made), trips
+
+
+def test_twilights_are_written_to_fewer_files_than_trips(spark, sf, monkeypatch):
+    n, trips = files_written(spark, sf, "a6_write_twilights", monkeypatch)
+    assert 0 < n <= 64 < trips
+
+
+def test_light_is_written_to_fewer_files_than_trips(spark, sf, monkeypatch):
+    for name in ("a1_read_light_delimited", "a2_read_light_tabbed"):
+        n, trips = files_written(spark, sf.replace("sf0.001", "sf0.01"), name, monkeypatch)
+        assert 0 < n <= 64 < trips
+
+
+def test_light_of_many_trips_in_one_file(spark, tmp_path):
+    from wayfowl.sources import files
+
+    (tmp_path / "all.lig").write_text("ok,01/02/2024 03:04:05,0,1.5,7\nok,01/02/2024 03:05:05,0,,8\n")
+    got = files.normalise_light(files.read_light_delimited(spark, str(tmp_path / "all.lig"), trip_field=4)).orderBy("ts").collect()
+    assert [(r.trip_id, r.lux) for r in got] == [("7", 1.5), ("8", None)]

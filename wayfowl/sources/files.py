@@ -25,23 +25,23 @@ def parse_time(text: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in patterns))
 
 
-def _light(spark: SparkSession, path: str, separator: str, time_field: int, light_field: int, patterns: tuple[str, ...], folder: str | None) -> DataFrame:
-    name = F.col("_metadata.file_path")
-    trip = file_stem(name) if folder is None else F.regexp_extract(name, f"/{folder}=([^/]+)/", 1)
-    lines = spark.read.text(path).select(trip.alias("trip_id"), F.split("value", separator).alias("f"))
+def _light(spark: SparkSession, path: str, separator: str, time_field: int, light_field: int, patterns: tuple[str, ...], folder: str | None, trip_field: int | None) -> DataFrame:
+    name, fields = F.col("_metadata.file_path"), F.split("value", separator)
+    trip = F.trim(F.get(fields, F.lit(trip_field))) if trip_field is not None else file_stem(name) if folder is None else F.regexp_extract(name, f"/{folder}=([^/]+)/", 1)
+    lines = spark.read.text(path).select(trip.alias("trip_id"), fields.alias("f"))
     time = F.trim(F.get("f", F.lit(time_field)))
     return lines.select("trip_id", parse_time(time, patterns).alias("ts"), F.trim(F.get("f", F.lit(light_field))).alias("light")).where("ts IS NOT NULL")
 
 
-def read_light_delimited(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+def read_light_delimited(spark: SparkSession, path: str, folder: str | None = None, trip_field: int | None = None) -> DataFrame:
     """Comma-separated light files: time in the second field, light in the fourth; lines without a time are headers. The trip is
-    the file's name, or the value in the name of its folder."""
-    return _light(spark, path, ",", 1, 3, PATTERNS, folder)
+    the file's name, or the value in the name of its folder, or a field of each line, for archives of very many trips in few files."""
+    return _light(spark, path, ",", 1, 3, PATTERNS, folder, trip_field)
 
 
-def read_light_tabbed(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    """Tab-separated light files with a header: time, light."""
-    return _light(spark, path, "\t", 0, 1, ("dd/MM/yyyy HH:mm:ss",), folder)
+def read_light_tabbed(spark: SparkSession, path: str, folder: str | None = None, trip_field: int | None = None) -> DataFrame:
+    """Tab-separated light files with a header: time, light. The trip as in read_light_delimited."""
+    return _light(spark, path, "\t", 0, 1, ("dd/MM/yyyy HH:mm:ss",), folder, trip_field)
 
 
 def normalise_light(raw: DataFrame, trips: DataFrame | None = None) -> DataFrame:
