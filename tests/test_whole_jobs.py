@@ -454,3 +454,11 @@ def test_light_of_many_trips_in_one_file(spark, tmp_path):
     (tmp_path / "all.lig").write_text("ok,01/02/2024 03:04:05,0,1.5,7\nok,01/02/2024 03:05:05,0,,8\n")
     got = files.normalise_light(files.read_light_delimited(spark, str(tmp_path / "all.lig"), trip_field=4)).orderBy("ts").collect()
     assert [(r.trip_id, r.lux) for r in got] == [("7", 1.5), ("8", None)]
+
+
+def test_latitude_lost_between_rows_of_one_time():
+    at, lat = np.array([0, 5, 5, 5, 9]), np.array([[0.0, 10.0, 99.0, 30.0, 40.0]] * 2)
+    decs = np.array([[1.0, 1.0, 0.0, 1.0, 1.0]] * 2)
+    inside = np.array([True, False, True, False, False])
+    got = positions_op.spreads(at, lat, decs, inside, inside, np.array([0.1, 0.2]))
+    assert got == [(10.0, 10.0, 2), (10.0, 10.0, 2)]  # the known row before it, as interpolate() and SQL have it

@@ -124,7 +124,7 @@ class Latitudes:
         if a < 0 or b == len(self.at):
             return self.value[b if a < 0 else a]
         span = self.at[b] - self.at[a]
-        return self.value[a] + (self.value[b] - self.value[a]) / span * (self.at[i] - self.at[a]) if span else self.value[b]
+        return self.value[a] + (self.value[b] - self.value[a]) * (self.at[i] - self.at[a]) / span if span else self.value[a]
 
     def change(self, i: int, value: float) -> None:
         self.value[i] = value
